@@ -30,7 +30,7 @@ def fold(ratings: DataFrame, key: DataFrame, item: str, candidate: str, high: li
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return per.withColumn("composite", F.round(total / len(parts), 4))
+    return per.withColumn("composite", F.round(total / len(parts), 6))
 
 
 def ranked(folded: DataFrame, candidate: str) -> DataFrame:

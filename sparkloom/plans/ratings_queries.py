@@ -21,7 +21,7 @@ FOLD_SQL = """
 SELECT d.source, count(*) AS n_ratings, count(DISTINCT l.doc_id) AS n_items,
   round(coalesce(avg(l.quality), 0.0), 4) AS quality_mean, round(coalesce(stddev_pop(l.quality), 0.0), 4) AS quality_std, count(l.quality) AS quality_n,
   round(coalesce(avg(l.toxic), 0.0), 4) AS toxic_mean, round(coalesce(stddev_pop(l.toxic), 0.0), 4) AS toxic_std, count(l.toxic) AS toxic_n,
-  round((round(coalesce(avg(l.quality), 0.0), 4) + (1.0::DOUBLE - round(coalesce(avg(l.toxic), 0.0), 4))) / 2, 4) AS composite
+  round((round(coalesce(avg(l.quality), 0.0), 4) + (1.0::DOUBLE - round(coalesce(avg(l.toxic), 0.0), 4))) / 2, 6) AS composite
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.source"""
 
 QUERIES["q_rating_fold"] = lambda spark, d: R.ranked(_folded(spark, d), "source")
@@ -29,8 +29,8 @@ ORACLE["q_rating_fold"] = f"SELECT *, CAST(row_number() OVER (ORDER BY composite
 
 QUERIES["q_anchor_gap"] = lambda spark, d: R.anchor_gap(_folded(spark, d), "source", "src1", HIGH, LOW)
 ORACLE["q_anchor_gap"] = f"""
-WITH f AS ({FOLD_SQL}), a AS (SELECT quality_mean AS aq, toxic_mean AS at FROM f WHERE source = 'src1')
-SELECT source, round(quality_mean - aq, 4) AS quality_gap, round(at - toxic_mean, 4) AS toxic_gap FROM f, a WHERE source <> 'src1'"""
+WITH f AS ({FOLD_SQL}), a AS (SELECT quality_mean AS aq, toxic_mean AS atox FROM f WHERE source = 'src1')
+SELECT source, round(quality_mean - aq, 4) AS quality_gap, round(atox - toxic_mean, 4) AS toxic_gap FROM f, a WHERE source <> 'src1'"""
 
 QUERIES["q_orphan_ratings"] = lambda spark, d: R.orphans(
     table(spark, d, "labels").withColumn("rater", F.col("doc_id") % 7), table(spark, d, "documents").filter("lang = 'en'").select("doc_id"), "doc_id", "rater"
