@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, sharding
+from sparkloom.llm import bpe, language, mixing, near_dup, sharding
 
 CONTRACT = {"op3": ["doc_id", "size", "source_size", "target", "taken"]}
 
@@ -15,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Path of the byte-level vocabulary; the package with the files is optional until it is used."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(CONTRACT["op3"])
 
@@ -23,6 +34,14 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents")).drop("row_number")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_language(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS r FROM documents),
@@ -40,7 +59,7 @@ SELECT doc_id, size, source_size, target, (size * (whole + (middle < target - wh
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op6_shard)}
+    return {f.__name__: f for f in (op1_minhash_near_dup, op3_mix_sources, op6_shard, op8_language_id, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
