@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, language, mixing, near_dup, sharding
+from sparkloom.llm import bpe, embedding_dedup, html_text, language, lm, mixing, near_dup, sharding, substring_dedup, topk
 
 CONTRACT = {"op3": ["doc_id", "size", "source_size", "target", "taken"]}
 
@@ -26,14 +27,34 @@ def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(CONTRACT["op3"])
 
 
+def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents")).drop("row_number")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the kept text, and the removed spans as "start-until" pairs of offsets in the original text."""
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["until"].cast("string"))), " ")
+    cut = substring_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "text", F.size("removed").alias("n_removed"), "n_removed_chars", spans.alias("removed"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_language(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -42,6 +63,26 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), deg AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT m.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(m.vec_id, coalesce(l.b, m.vec_id)) AS component_id, least(m.vec_id, coalesce(l.b, m.vec_id)) = m.vec_id AS kept
+FROM embeddings m LEFT JOIN low l ON m.vec_id = l.a LEFT JOIN deg d ON m.vec_id = d.a"""
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS r FROM documents),
@@ -59,8 +100,12 @@ SELECT doc_id, size, source_size, target, (size * (whole + (middle < target - wh
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dup, op3_mix_sources, op6_shard, op8_language_id, op9_bpe)}
+    own = (
+        op1_minhash_near_dup, op2_exact_top_k, op3_mix_sources, op4_embedding_near_dup, op5_html_text,
+        op6_shard, op7_substring_dedup, op8_language_id, op9_bpe, op10_lm_score,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_embedding_near_dup": OP4_SQL}
