@@ -1,7 +1,7 @@
 """Language-model scores by prediction by partial matching over bytes, with a word base score beside it.
 
 Model: a trie of byte contexts of 0 to 5 bytes, learned from the training documents. A byte that a context has seen c times of T, among D
-different ones, has c / (T + D); the escape to the context one byte shorter has D / (T + D), and there the bytes of the longer context are
+different ones, has (c - 1/2) / T; the escape to the context one byte shorter has D / 2T, and there the bytes of the longer context are
 excluded from T and D. After the empty context, what is left is uniform over the bytes not seen. As the trie is static, the probability of a
 byte depends on the byte and its 5-byte context only, so it is computed once for each distinct six bytes of the corpus.
 """
@@ -97,11 +97,11 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: Counts) -> np.n
             out = np.add.reduceat(np.where(same, c[p], 0), up_first).astype(np.float64) if len(up_first) else np.zeros(0)
             t[up_known] -= out[up_at[up_known]]
             d[up_known] -= up_kinds[up_at[up_known]]
-        open_ = known & ~done & (t + d > 0)
+        open_ = known & ~done & (t > 0)
         take = open_ & hit
-        result[take] += np.log10(c[place[take]] / (t + d)[take])
+        result[take] += np.log10((c[place[take]] - 0.5) / t[take])
         leave = open_ & ~hit
-        result[leave] += np.log10(d[leave] / (t + d)[leave])
+        result[leave] += np.log10(d[leave] / (2 * t[leave]))
         done |= take
         longer = (node, first, kinds, at, known)
     left = 256 - (len(nodes[0][0]) if len(nodes[0][0]) < 256 else 0)
