@@ -29,7 +29,7 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
     total = F.sum("source_size").over(W.partitionBy())
     level = (total - F.coalesce(F.sum(cap).over(so_far), F.lit(0))) / F.sum("weight").over(rest)
     each = sources.withColumn("level", level).withColumn("clamped", cap < F.col("weight") * F.col("level"))
-    final = F.min(F.when(~F.col("clamped"), F.col("level"))).over(W.partitionBy())
+    final = F.max(F.when(~F.col("clamped"), F.col("level"))).over(W.partitionBy())  # that of the first source not clamped: levels fall after it
     return each.withColumn("final", final).select(
         "source", "source_size", "weight", F.when(F.col("clamped"), cap.cast("double")).otherwise(F.col("weight") * F.coalesce("final", F.lit(0.0))).alias("target")
     )

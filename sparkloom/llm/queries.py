@@ -92,7 +92,7 @@ l AS (SELECT *, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(source_size *
     / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM w WINDOW o AS (ORDER BY (source_size * 3)::DOUBLE / weight, source NULLS LAST)),
 c AS (SELECT *, source_size * 3 < weight * level AS clamped FROM l),
-t AS (SELECT source, source_size, CASE WHEN clamped THEN (source_size * 3)::DOUBLE ELSE weight * min(level) FILTER (WHERE NOT clamped) OVER () END AS target FROM c),
+t AS (SELECT source, source_size, CASE WHEN clamped THEN (source_size * 3)::DOUBLE ELSE weight * max(level) FILTER (WHERE NOT clamped) OVER () END AS target FROM c),
 e AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 1 END AS whole,
     sum(size) OVER (PARTITION BY d.source ORDER BY r % 256, r, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
