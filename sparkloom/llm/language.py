@@ -108,18 +108,20 @@ def train(labelled: DataFrame, alpha: float = 0.5) -> Model:
         return Model(labels, np.log(docs / max(docs.sum(), 1)), np.log(c / c.sum(axis=1, keepdims=True)).T.astype(np.float32).copy())
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score (the posterior) of every row of ``docs`` (doc_id, text), over the whole text.
+def tag(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score (the posterior), over the whole text of every row.
 
     A null text, one without letters, or a model without labels gives ``und`` with score 0. Equal posteriors go to the first label in
-    code-point order. Repeated rows get equal results; an empty table gives none; other columns are ignored.
+    code-point order. Repeated rows get equal results; an empty table gives none. Columns of ``docs`` named like a result column are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(place).to_pylist()
             for a, b in _parts(texts):
                 buckets, owner, letters = grams(texts[a:b])
                 best, score = np.zeros(b - a, int), np.zeros(b - a)
@@ -128,9 +130,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best = logs.argmax(axis=1)
                     score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 known = (letters > 0) & bool(m.labels)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([m.labels[j] if k else "und" for j, k in zip(best, known, strict=True)], pa.string()), pa.array(np.where(known, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+                labels = pa.array([m.labels[j] if k else "und" for j, k in zip(best, known, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), labels, pa.array(np.where(known, score, 0.0))], names=[*names, "lang_pred", "score"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    return docs.select(*names).mapInArrow(run, f"{shape}, lang_pred string, score double")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text); see ``tag``."""
+    return tag(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "lang_pred", "score")
 
 
 def fold(doc_id: Column, of: int) -> Column:
