@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ratings",)
+MODULES = ("ratings", "runs", "profile")
 
 
 def _all(part: str) -> dict:
