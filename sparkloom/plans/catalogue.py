@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ratings", "runs", "profile")
+MODULES = ("ratings", "runs", "profile", "selection")
 
 
 def _all(part: str) -> dict:
