@@ -24,9 +24,14 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority"""
 QUERIES["q_fallback_rate"] = lambda spark, d: R.fallback_rate(table(spark, d, "orders"), F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT")
 ORACLE["q_fallback_rate"] = "SELECT round(coalesce(avg((o_orderpriority = '1-URGENT')::INT), 0.0), 6) AS fallback_rate FROM orders WHERE o_orderstatus = 'F'"
 
-K = F.get_json_object("props", "$.k").cast("int")
+
+
+def k():
+    return F.get_json_object("props", "$.k").cast("int")
+
+
 QUERIES["q_dropped_controls"] = lambda spark, d: R.dropped_controls(
-    table(spark, d, "events").withColumn("k", K), "event_type",
+    table(spark, d, "events").withColumn("k", k()), "event_type",
     F.array_compact(F.array(F.when(F.col("k") % 2 == 1, "speed"), F.when(F.col("k") % 3 == 0, "emotion"), F.when(F.col("k") > 95, "seed"))),
 )
 ORACLE["q_dropped_controls"] = """
@@ -35,7 +40,7 @@ c AS (SELECT event_type, unnest(list_filter([CASE WHEN k % 2 = 1 THEN 'speed' EN
 SELECT event_type, array_to_string(list_sort(list(DISTINCT c)), ',') AS controls FROM c GROUP BY event_type"""
 
 QUERIES["q_failure_topk"] = lambda spark, d: R.failure_top(
-    table(spark, d, "events").withColumn("k", K).withColumn("error", F.when(F.col("k") % 4 == 0, F.concat(F.lit("code "), F.col("k") % 11))), "event_type", "error", "event_id", 20
+    table(spark, d, "events").withColumn("k", k()).withColumn("error", F.when(F.col("k") % 4 == 0, F.concat(F.lit("code "), F.col("k") % 11))), "event_type", "error", "event_id", 20
 )
 ORACLE["q_failure_topk"] = """
 WITH e AS (SELECT *, CAST(props->>'$.k' AS INT) AS k FROM events)
