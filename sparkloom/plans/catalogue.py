@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ratings", "runs", "profile", "selection", "curation")
+MODULES = ("ratings", "runs", "profile", "selection", "curation", "signal")
 
 
 def _all(part: str) -> dict:
