@@ -71,12 +71,18 @@ def snr(levels: Column) -> Column:
 
 def trimmed_stats(track: Column, low: float = 60.0, high: float = 500.0) -> Column:
     """struct(mean, dev) of the values in range without the outer tenths (one at least each side); null below three values."""
-    v = F.sort_array(F.filter(track, lambda x: x.between(low, high)))
-    cut = F.greatest(F.lit(1), F.floor(F.size(v) / 10).cast("int"))
-    inner = F.when(F.size(v) > 2 * cut, F.slice(v, cut + 1, F.greatest(F.size(v) - 2 * cut, F.lit(0)))).otherwise(v)
-    mean = total(inner) / F.size(inner)
-    dev = F.sqrt(F.aggregate(inner, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(inner))
-    return F.when(F.size(v) >= 3, F.struct(F.round(mean, 2).alias("mean"), F.round(dev, 2).alias("dev")))
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731 - evaluates ``value`` once
+
+    def stats(inner: Column, mean: Column) -> Column:
+        dev = F.sqrt(F.aggregate(inner, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(inner))
+        return F.struct(F.round(mean, 2).alias("mean"), F.round(dev, 2).alias("dev"))
+
+    def middle(v: Column) -> Column:
+        cut = F.greatest(F.lit(1), F.floor(F.size(v) / 10).cast("int"))
+        return F.when(F.size(v) > 2 * cut, F.slice(v, cut + 1, F.greatest(F.size(v) - 2 * cut, F.lit(0)))).otherwise(v)
+
+    whole = F.sort_array(F.filter(track, lambda x: x.between(low, high)))
+    return let(whole, lambda v: F.when(F.size(v) >= 3, let(middle(v), lambda inner: let(total(inner) / F.size(inner), lambda mean: stats(inner, mean)))))
 
 
 def cosine(a: Column, b: Column) -> Column:
