@@ -21,7 +21,7 @@ def bigrams(text: Column) -> Column:
     """Distinct overlapping character pairs without punctuation and white space; a single character is its own."""
     chars = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), IGNORED, ""), "")
     n = F.size(chars)
-    pairs = F.array_distinct(F.zip_with(F.slice(chars, 1, F.greatest(n - 1, F.lit(0))), F.slice(chars, 2, F.greatest(n - 1, F.lit(0))), F.concat))
+    pairs = F.array_distinct(F.zip_with(F.slice(chars, 1, F.greatest(n - 1, F.lit(0))), F.slice(chars, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
     return F.when(n >= 2, pairs).otherwise(F.filter(chars, lambda x: x != ""))
 
 
