@@ -119,10 +119,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     rows, asked = (kept(t).filter(fits.isNull()) for t in (vectors, queries))
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
+    deal = lambda parts, *salt: F.pmod(F.xxhash64("vec_id", *salt), F.lit(parts)).cast("int")
     numbers = lambda parts: F.sequence(F.lit(0), F.lit(parts - 1))
     rows = rows.withColumn("part", deal(shards))
-    asked = asked.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
+    asked = asked.withColumn("b", deal(blocks, F.lit(1)))  # of one type on both sides of a cogroup, or equal keys would be dealt apart
     name = lambda part: F.concat_ws("/", F.col("dim"), part)
     first = _best(
         _searched(
