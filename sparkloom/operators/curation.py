@@ -68,7 +68,7 @@ def map_label(label: Column, mapping: dict[str, str]) -> Column:
 
 def confidence(v: Column) -> Column:
     """Log-likelihoods below 0 become 1 + v / 5; all are clamped to 0..1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v < 0, 1 + v / 5).otherwise(v)))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v < 0, 1 + v / 5).otherwise(v))))
 
 
 def speed(factor: Column, rate: Column) -> Column:
@@ -89,7 +89,7 @@ def emotion_vector(style: Column, intensity: Column) -> Column:
 def quality_score(clipping: Column, snr: Column, peak: Column, text: Column, duration: Column, min_snr: float = 8.0, shortest: float = 0.8) -> Column:
     """1 less penalties for clipping, noise, quiet peaks, blank text and short clips; null measurements cost nothing."""
     zero = F.lit(0.0)
-    out = F.lit(1.0) - F.coalesce(F.least(F.lit(0.5), clipping * 50), zero)
+    out = F.lit(1.0) - F.when(clipping.isNotNull(), F.least(F.lit(0.5), clipping * 50)).otherwise(zero)
     out = out - F.coalesce(F.when(snr < min_snr, F.least(F.lit(0.35), (min_snr - snr) / 30)), zero)
     out = out - F.when(peak < -35, 0.15).otherwise(zero) - F.when(blank(text), 0.3).otherwise(zero) - F.when(duration < shortest, 0.2).otherwise(zero)
     return F.round(F.greatest(zero, F.least(F.lit(1.0), out)), 4)

@@ -50,7 +50,7 @@ ORACLE["q_issue_histogram"] = f"SELECT unnest(string_split(issues, ',')) AS issu
 
 QUERIES["q_quality_score"] = lambda spark, d: _segments(spark, d).select("l_orderkey", "l_linenumber", C.quality_score(c("clipping"), c("snr"), c("peak"), c("t"), c("duration")).alias("quality"))
 ORACLE["q_quality_score"] = f"""
-SELECT l_orderkey, l_linenumber, round(greatest(0.0, least(1.0, 1.0::DOUBLE - coalesce(least(0.5, clipping * 50), 0.0) - coalesce(CASE WHEN snr < 8 THEN least(0.35, (8 - snr) / 30) END, 0.0)
+SELECT l_orderkey, l_linenumber, round(greatest(0.0, least(1.0, 1.0::DOUBLE - CASE WHEN clipping IS NOT NULL THEN least(0.5, clipping * 50) ELSE 0.0 END - coalesce(CASE WHEN snr < 8 THEN least(0.35, (8 - snr) / 30) END, 0.0)
   - CASE WHEN peak < -35 THEN 0.15 ELSE 0.0 END - CASE WHEN trim(t) = '' THEN 0.3 ELSE 0.0 END - CASE WHEN duration < 0.8 THEN 0.2 ELSE 0.0 END)), 4)::DOUBLE AS quality FROM ({SEG_SQL})"""
 
 QUERIES["q_text_tags"] = lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", F.array_join(C.text_tags(c("text")), ",").alias("tags"), C.guess_style(c("text")).alias("style"))

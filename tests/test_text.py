@@ -1,0 +1,91 @@
+"""Goldens of the text front end, chunks and text columns."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.functions import chinese as Z
+from sparkloom.functions import text as T
+from sparkloom.operators import chunks as K
+
+
+@pytest.mark.parametrize(
+    ("n", "said"),
+    [(0, "零"), (10, "十"), (110, "一百一十"), (1250, "一千二百五十"), (10001, "一万零一"), (100001, "十万零一"), (110000, "十一万"), (-42, "负四十二"), (10**8 + 1, "一亿零一"), (20010000, "二千零一万"), (10**16, "一" + "零" * 16)],
+)
+def test_cardinal(n, said):
+    assert Z.cardinal(n) == said
+
+
+@pytest.mark.parametrize(("text", "said"), [("3.14", "三点一四"), ("78.5", "七十八点五"), ("-1.25", "负一点二五"), ("1,250", "一千二百五十"), (".5", "零点五")])
+def test_number(text, said):
+    assert Z.number(text) == said
+
+
+@pytest.mark.parametrize(("said", "after", "out"), [("二", "个", "两"), ("十二", "个", "十二"), ("二", "月", "两"), ("二", "", "二"), ("二", "小时", "两")])
+def test_measure(said, after, out):
+    assert Z.with_measure(said, after) == out
+
+
+@pytest.mark.parametrize(("time", "said"), [(("14", "30"), "十四点半"), (("2", "05"), "两点零五分"), (("9", "00"), "九点整"), (("14", "30", "05"), "十四点三十分五秒")])
+def test_clock(time, said):
+    assert Z.clock(*time) == said
+
+
+@pytest.mark.parametrize(
+    ("text", "said"),
+    [
+        ("2026年3月17日", "二零二六年三月十七日"), ("增长78.5%", "增长百分之七十八点五"), ("¥1250", "一千二百五十元"), ("25°C", "二十五摄氏度"), ("13800138000", "一三八零零一三八零零零"), ("１２５０", "一千二百五十"),
+        ("他有2个苹果", "他有两个苹果"), ("比例1/2", "比例二分之一"), ("第3名", "第三名"), ("等3-5天", "等三到五天"), ("下午14:30见", "下午十四：三十见"), ("你好...", "你好……"), ("GPT-5.6", "G P T 五点六"),
+    ],
+)
+def test_normalize(text, said):
+    assert Z.normalize(text)[0] == said
+
+
+def test_normalize_warns_and_keeps_policy():
+    assert Z.normalize("")[2] == ["empty"]
+    assert Z.latin("好NASA好", "drop") == "好好"
+    assert Z.latin("好NASA好") == "好 N A S A 好"
+    assert Z.edit_distance(list("摘桂花"), list("斋桂")) == (2, ["花"])
+
+
+def test_chunks_lose_nothing():
+    text = "你好啊。今天天气不错，我们去公园吧！但是下雨了怎么办？没关系。" * 5
+    parts = K.split(text)
+    assert "".join(parts) == text
+    assert all(len(p) <= 100 for p in parts)
+    assert not any(p.startswith("但是") for p in parts)
+    assert K.split("") == [] and K.split("。。。") == []
+    assert [len(p) for p in K.split("好" * 250)] == [100, 100, 50]
+
+
+def test_streamed_chunks_equal_whole():
+    text = "第一句话说完了。第二句话也说完了！然后还有一个很长的句子，没有停顿，一直说到最后为止，这样就超过了六十个字的限制，所以要在逗号的地方切开，然后继续说下去。"
+    out, buffer = [], ""
+    for ch in text:
+        new, buffer = K.take(buffer + ch, len(out))
+        out += new
+    out += K.rest(buffer, len(out))
+    assert "".join(out) == text
+
+
+def test_chunk_function_in_sql(spark):
+    K.register(spark)
+    spark.createDataFrame([(1, "好的。我们现在就走吧。")], "id int, text string").createOrReplaceTempView("replies")
+    rows = spark.sql("SELECT id, chunk, is_final FROM replies, LATERAL speech_chunks(text)").collect()
+    assert [r.chunk for r in rows] == ["好的。", "我们现在就走吧。"] and rows[-1].is_final
+
+
+def test_text_columns(spark):
+    df = spark.createDataFrame([("在吗？", "v1.2.3", "a/../b", "（笑）你好。我走了")], "t string, v string, p string, n string")
+    r = df.select(
+        T.bigrams(F.col("t")).alias("g"), T.bigrams(F.lit("在")).alias("one"), T.bigrams(F.lit("")).alias("none"), T.version(F.col("v"))["patch"].alias("patch"), T.path_problem(F.col("p")).alias("path"),
+        T.strip_narration(F.col("n")).alias("n"), T.truncate_reply(T.strip_narration(F.col("n")), 5).alias("cut"), T.truncate_reply(F.lit("  "), 5).alias("empty"), T.chars_per_second(F.lit("你好ab"), F.lit(2.0)).alias("cps"),
+        T.mask_secret(F.lit("sk-proj-abc1234")).alias("m"), T.mask_secret(F.lit("")).alias("m0"), T.nearest_style(F.lit("soft_teasing"), ["teasing", "neutral"]).alias("s"), T.digest_mod(F.lit("k"), F.lit(7)).alias("dm"),
+    ).first()
+    assert r.g == ["在吗"] and r.one == ["在"] and r.none == [] and r.patch == 3 and r.path == "parent"
+    assert r.n == "你好。我走了" and r.cut == "你好。" and r.empty == "……" and r.cps == 1.0
+    assert r.m == "sk-" + "•" * 8 + "1234" and r.m0 is None and r.s == "teasing"
+    import hashlib
+
+    assert r.dm == int(hashlib.sha256(b"k").hexdigest(), 16) % 7
