@@ -14,6 +14,12 @@ EMOTION = {
     "teasing": {"happy": 0.6, "calm": 0.3}, "serious": {"calm": 0.8}, "surprised": {"surprised": 1.0}, "whisper": {"calm": 0.6}, "excited": {"happy": 0.8, "surprised": 0.4},
 }
 
+#: Emotion labels of a recogniser, in two languages, and the core style of each; an empty one is unknown.
+LABELS = {
+    "angry": "angry", "生气": "angry", "disgusted": "angry", "厌恶": "angry", "fearful": "surprised", "恐惧": "surprised", "happy": "happy", "开心": "happy", "neutral": "neutral", "中立": "neutral",
+    "sad": "sad", "难过": "sad", "surprised": "surprised", "吃惊": "surprised", "other": "", "其他": "", "unknown": "", "未知": "",
+}
+
 
 def tags(*pairs: tuple[Column, str]) -> Column:
     """The names whose condition holds, in order; a null condition doesn't hold."""
@@ -59,7 +65,7 @@ def guess_style(text: Column) -> Column:
     return F.when(t.rlike("[！!]$"), "excited").when(t.contains("……") | t.contains("..."), "soft").otherwise("neutral")
 
 
-def map_label(label: Column, mapping: dict[str, str]) -> Column:
+def map_label(label: Column, mapping: dict[str, str] = LABELS) -> Column:
     """The first part (split at / and |) that ``mapping`` has; unknown else."""
     known = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     parts = F.transform(F.split(F.lower(F.trim(label)), r"[/|]"), F.trim)

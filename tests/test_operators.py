@@ -55,6 +55,11 @@ def test_curation_nulls(spark):
     assert r.r is None and r.i == ["no_text"] and r.q == 1.0 and r.s == "excited"
 
 
+def test_emotion_labels(spark):
+    r = spark.range(1).select(*[C.map_label(F.lit(x)).alias(str(i)) for i, x in enumerate(("生气/angry", "new|SAD", "other", ""))]).first()
+    assert tuple(r) == ("angry", "sad", "unknown", "unknown")
+
+
 def test_examples_prefer_relevant_and_distinct(spark):
     pool = spark.createDataFrame([(0, "你吃饭了吗", "我吃过饭了", "a"), (1, "今天天气", "天气真好", "a"), (2, "吃饭吗", "我吃过饭了", "a"), (3, "", "晚安", "b")], "pos int, user string, character string, style string")
     q = spark.createDataFrame([(1, "吃饭了吗", None), (2, "zzz", None)], "query_id int, query string, style string")
