@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _left: list[tuple] = []
@@ -30,6 +31,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks for several readers in one run: no files in the shared folder, and what a lost executor held is
+    computed again from its sources. ``release`` it once nothing reads it."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def release(*frames: DataFrame) -> None:
+    for df in frames:
+        df.unpersist()
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in frames:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._store import drop, store
+from sparkloom.llm._store import hold, release, store
 from sparkloom.llm._text import chunks, mix, powers, shingles
 from sparkloom.llm.components import connected
 
@@ -85,26 +85,86 @@ def estimate(a: Column, b: Column, bits: int = 2) -> Column:
     return (equal - 2.0**-bits) / (1 - 2.0**-bits)
 
 
+#: A side of at most so many rows of two ids (16 MB) is broadcast; a larger one is shuffled.
+SMALL = 500_000
+
+
+def _checked(side: DataFrame) -> DataFrame:
+    """``side`` (stored, ids only) marked for broadcast if a count shows that it is small."""
+    return F.broadcast(side) if side.count() <= SMALL else side
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |intersection| >= percent * |union| of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
+    """The pairs (a, b) with 100 * intersection >= percent * union on their full sets. Only sets that a pair needs are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y) or not len(x):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").filter("linked").select("a", "b")
+    small = pairs.count() <= SMALL
+    mark = F.broadcast if small else lambda t: t
+    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")).join(mark(pairs), "b")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")).join(mark(pairs.select("a").distinct()), "a", "left_semi")
+    return right.join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").filter("linked").select("a", "b").distinct()
+
+
+def _across(open_: DataFrame, near: DataFrame, least: float, percent: int, block: int = 1024) -> DataFrame:
+    """(u, v): components of ``open_`` (key, rep, component) that a linked pair in one bucket joins, all such pairs tested. ``near`` has rep, bands, sig, members.
+
+    A bucket's members are dealt to blocks, and a task compares two blocks: signatures as bit matrices, then the full sets of the likely pairs
+    of different components whose first common band is the bucket's. Only joins of components are returned, no pairs.
+    """
+    parts = F.ceil(F.col("n") / block).cast("int")
+    counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    met = (
+        open_.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("rep", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("key", "rep", "component", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+        .join(near, "rep")
+    )
+
+    def compare(t: pa.Table) -> pa.Table:
+        lists = lambda name, n: t.column(name).combine_chunks().flatten().to_numpy().reshape(-1, n)
+        sig, bands, component, side = lists("sig", 2 * MINIMA // 64), lists("bands", BANDS), t.column("component").to_numpy(), t.column("mine").to_numpy()
+        sets_ = [np.frombuffer(x.as_buffer(), U) for x in t.column("members")]
+        lo, hi, key = (t.column(c)[0].as_py() for c in ("lo", "hi", "key"))
+        band = int((bands[0] == key).argmax())
+        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        out = []
+        half = MINIMA // 64
+        for i in left:
+            others = right[(right > i) if lo == hi else slice(None)]
+            others = others[component[others] != component[i]]
+            x = sig[others] ^ sig[i]
+            equal = 1 - np.bitwise_count((x[:, :half] | x[:, half:]).view(np.uint64)).sum(axis=1) / MINIMA
+            others = others[(equal - 0.25) / 0.75 >= least]
+            others = others[(bands[others] == bands[i]).argmax(axis=1) == band]
+            for j in others:
+                a, b = root(int(component[i])), root(int(component[j]))
+                if a != b and _linked(sets_[i], sets_[j], percent):
+                    joined[max(a, b)] = min(a, b)
+                    out.append((max(a, b), min(a, b)))
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return met.groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -112,9 +172,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Documents are linked when 100 * |intersection| >= ``percent`` * |union| of their distinct ``k``-word shingles (A-Z
     lower-cased, ASCII white space). Equal sets are one class first, so copies cost one row. Classes that share a band are
-    candidates: each with the smallest of its bucket, then, in buckets of several components, with every member of another
-    component. The signature estimate drops pairs five standard deviations below the threshold, and full sets decide the rest; nothing is
-    capped. ``component_id`` is the smallest doc_id reachable, and kept tells whether that is the document itself.
+    candidates: first each with the smallest of its bucket; then, in buckets that still hold several components, each with all members of other
+    components. The signature estimate drops pairs five standard deviations below the threshold, and full sets decide the rest; nothing is
+    capped, and pairs inside a component need no test. ``component_id`` is the smallest doc_id reachable, and kept tells whether that is the
+    document itself.
 
     Null, empty and blank texts have no shingles and link with nothing. Repeated rows (same doc_id and text) share one class and
     all get its component. An empty table gives no rows; other columns are ignored.
@@ -123,29 +184,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     agree = p + (1 - p) / 4
     least = p - 5 * (agree * (1 - agree) / MINIMA) ** 0.5 / 0.75
     drawn = store(sketch(docs, k), "sketch")
-    groups = drawn.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = store(groups, "classes")
-    reps = store(drawn.join(classes.select("rep", "d1", "d2", "n"), ["d1", "d2", "n"]).filter("doc_id = rep").select("rep", "bands", "sig"), "reps")
+    classes = store(drawn.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = hold(drawn.join(classes, ["d1", "d2", "n"]).filter("doc_id = rep").select("rep", "bands", "sig"))
+    if reps.count() > reps.select("rep").distinct().count():  # repeated rows
+        reps = hold(reps.dropDuplicates(["rep"]))
     banded = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = store(banded.join(buckets, "key").select("key", "rep", "center", "members"), "buckets")
-    star = store(shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    sigs = reps.select("rep", "sig")
-    tested = star.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("t")), "b")
-    likely = store(tested.filter(estimate(F.col("s"), F.col("t")) >= least).select("a", "b"), "likely")
-    wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = store(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
-    links = store(_exact(likely, sets, percent), "links")
-    found = store(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-    # the rest: members of one bucket that are still in different components
-    placed = shared.filter("members > 2").join(found, shared.rep == found.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key")
-    open_ = placed.join(split, "key").join(sigs, "rep")
-    one, two = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("s")), open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("t"))
-    rest = one.join(two, "key").filter("a < b and ca <> cb").filter(estimate(F.col("s"), F.col("t")) >= least).select("a", "b").distinct().join(likely, ["a", "b"], "left_anti")
-    more = store(_exact(rest, sets, percent), "links")
-    if not more.isEmpty():
-        found = store(connected(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-    drop(reps, shared, star, likely, sets, links, more)
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = hold(banded.join(buckets, "key"))
+    wanted = hold(shared.select(F.col("rep").alias("doc_id")).distinct())
+    few = _checked(wanted)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
+    near = hold(reps.join(shingle_sets(whole, k).select(F.col("doc_id").alias("rep"), "members"), "rep"))
+    if near.count() > wanted.count():  # repeated rows
+        near = hold(near.dropDuplicates(["rep"]))
+    sets = near.select(F.col("rep").alias("doc_id"), "members")
+    a, b = near.select(F.col("rep").alias("a"), F.col("sig").alias("s")), near.select(F.col("rep").alias("b"), F.col("sig").alias("t"))
+    star = shared.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = hold(star.join(a, "a").join(b, "b").filter(estimate(F.col("s"), F.col("t")) >= least).select("a", "b"))
+    first = connected(_exact(likely, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = shared.filter("members > 2").join(first, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key")
+    open_ = hold(placed.join(mixed, "key").distinct())
+    second = connected(_across(open_, near, least, percent))
+    found = first.select("id", F.col("component").alias("c")).unionByName(near.select(F.col("rep").alias("id"), F.col("rep").alias("c")).join(first, "id", "left_anti"))
+    found = store(found.join(second.select(F.col("id").alias("c"), "component"), "c", "left").select("id", F.coalesce("component", "c").alias("component")), "components")
+    release(reps, shared, wanted, near, likely, open_)
     ids = drawn.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     return ids.join(found, ids.rep == found.id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each group, and one row of each doc_id where rows repeat."""
+    found = store(near_duplicates(docs, k, percent).select("doc_id", "kept"), "kept")
+    gone = store(found.filter("not kept").select("doc_id").distinct(), "gone")
+    rest = docs.join(_checked(gone), docs.doc_id == gone.doc_id, "left_anti")
+    stay = found.filter("kept")
+    return rest.dropDuplicates(["doc_id"]) if stay.count() > stay.distinct().count() else rest
