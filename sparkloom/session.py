@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import os
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings that the tests and ``bench.py`` use."""
@@ -23,3 +29,16 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; column pruning and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, with this repository on the Python path of workers that run on the driver's machine, whatever its working folder. On a cluster, ship the package with --py-files."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), ROOT]))
+        return query(spark, sf_dir)
+
+    return run
