@@ -20,6 +20,7 @@ def _ends(marks: str) -> re.Pattern:
     return re.compile(f"(?=([{re.escape(marks)}][{re.escape(CLOSERS)}]*[{re.escape(STRONG)}]*))")
 
 
+_OPENS = re.compile(r"\s*(?:" + "|".join(OPENERS) + ")")
 _STRONG, _SOFT, _ANY = _ends(STRONG), _ends(SOFT), _ends(STRONG + SOFT)
 
 
@@ -32,21 +33,24 @@ class Limits:
     soft_from: int = 16
 
 
-def cut_at(text: str, first: bool, limits: Limits = Limits(), force: bool = False) -> int | None:
-    """Where to cut ``text``: at the first sentence end within the preferred length; beyond it at the last pause that fits, or the sentence end;
-    at the hard limit, the last mark or bluntly. None: wait for more."""
-    least = limits.first if first else limits.least
-    free = lambda e: not text[e:].lstrip().startswith(OPENERS)
-    strong = next((e for m in _STRONG.finditer(text) if (e := m.end(1)) >= least and free(e)), None)
-    if strong is not None and strong <= limits.most:
+def cut_at(text: str, first: bool, limits: Limits = Limits(), force: bool = False, start: int = 0) -> int | None:
+    """Where to cut ``text`` after ``start``: at the first sentence end within the preferred length; beyond it at the last pause that fits, or the sentence end;
+    at the hard limit, the last mark or bluntly. None: wait for more. Only what a cut can depend on is looked at, so long texts take linear time."""
+    least, size = start + (limits.first if first else limits.least), len(text) - start
+    free = lambda e: not _OPENS.match(text, e)
+    strong = next((e for m in _STRONG.finditer(text, start) if (e := m.end(1)) >= least and free(e)), None)
+    if strong is not None and strong - start <= limits.most:
         return strong
-    if len(text) >= limits.most:
-        fits = [e for m in _SOFT.finditer(text) if max(least, limits.soft_from) <= (e := m.end(1)) <= limits.most and free(e)]
+    if size >= limits.most:
+        window = text[start : start + limits.most + 1]  # a pause whose closers go on beyond it doesn't fit
+        fits = [e for m in _SOFT.finditer(window) if max(least, start + limits.soft_from) <= (e := start + m.end(1)) <= start + limits.most and free(e)]
         if fits or strong is not None:
             return fits[-1] if fits else strong
-    if text and (force or len(text) >= limits.hard):
-        marks = [m for m in _ANY.finditer(text) if least <= m.start() < limits.hard]
-        return marks[-1].end(1) if marks else limits.hard
+    if size > 0 and (force or size >= limits.hard):
+        cut = None
+        for m in _ANY.finditer(text, least, min(len(text), start + limits.hard)):
+            cut = m.start()
+        return start + limits.hard if cut is None else _ANY.match(text, cut).end(1)
     return None
 
 
@@ -57,22 +61,24 @@ def _spoken(piece: str) -> str:
 def take(buffer: str, emitted: int, limits: Limits = Limits()) -> tuple[list[str], str]:
     """The chunks that are complete in ``buffer`` (``emitted`` were before) and what stays."""
     out: list[str] = []
-    while (at := cut_at(buffer, emitted + len(out) == 0, limits)) is not None:
-        piece, buffer = buffer[:at], buffer[at:]
-        if said := _spoken(piece):
+    start = 0
+    while (at := cut_at(buffer, emitted + len(out) == 0, limits, start=start)) is not None:
+        if said := _spoken(buffer[start:at]):
             out.append(said)
-    return out, buffer
+        start = at
+    return out, buffer[start:]
 
 
 def rest(buffer: str, emitted: int, limits: Limits = Limits()) -> list[str]:
     """The last chunks, whatever their length."""
     out: list[str] = []
-    while len(buffer) > limits.hard:
-        at = cut_at(buffer, emitted + len(out) == 0, limits, force=True) or limits.hard
-        if said := _spoken(buffer[:at]):
+    start = 0
+    while len(buffer) - start > limits.hard:
+        at = cut_at(buffer, emitted + len(out) == 0, limits, force=True, start=start) or start + limits.hard
+        if said := _spoken(buffer[start:at]):
             out.append(said)
-        buffer = buffer[at:]
-    return out + ([said] if (said := _spoken(buffer)) else [])
+        start = at
+    return out + ([said] if (said := _spoken(buffer[start:])) else [])
 
 
 def split(text: str, limits: Limits = Limits()) -> list[str]:
