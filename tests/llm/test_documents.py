@@ -269,3 +269,9 @@ def test_repeated_runs():
     got = html_text.repeated([1, 2], [a, b], 4)
     assert got[0].tolist() == [1, 1, 1, 2, 2, 2, 2] and got[1].tolist() == [2, 2, 2, 2, 1]
     assert html_text.repeated([1, 1], [a, a], 4)[0].max() == 1  # one page twice is one page
+
+
+def test_repeated_runs_of_few_tokens():
+    assert [x.tolist() for x in html_text.repeated([1, 2], [["a"], []], 8)] == [[1], []]
+    assert [x.tolist() for x in html_text.repeated([1, 2, 3], [["a", "b"], ["a", "b"], ["c"]], 8)] == [[1, 1], [1, 1], [1]]
+    assert html_text.repeated([], [], 8) == []
