@@ -109,12 +109,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     the query everywhere else (a score below it cannot be among the first k), then the other shards. A task holds one shard and one block. What is shuffled grows with rows times blocks, as the
     scores do; nothing is broadcast or collected but two counts.
 
-    Vectors that are null, empty or hold null or non-finite components take no part, as row or query; vectors of another length
+    Vectors that are null, empty or hold null or non-finite components, and rows without a vec_id, take no part, as row or query; vectors of another length
     than a query are no candidates of it. Components beyond 2 ** 22 in size could overflow 64 bits and make the query fail. Fewer than ``k`` candidates give fewer rows.
     Repeated rows are candidates each, except for a query of the same vec_id. Other columns are ignored; an empty table gives none.
     """
     ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    kept = lambda t: t.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), ints.alias("v"), F.size("embedding").alias("dim"))
+    kept = lambda t: t.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), ints.alias("v"), F.size("embedding").alias("dim"))
     fits = F.assert_true(F.forall("v", lambda x: F.abs(x) < 2**22), F.lit("components are too large"))
     rows, asked = (kept(t).filter(fits.isNull()) for t in (vectors, queries))
     n, m = rows.count(), asked.count()
