@@ -187,3 +187,25 @@ def test_streamed_chunks_and_memory(spark, tmp_path):
     turns = [{"conv": "c", "turn": i, "role": "user" if i % 2 == 0 else "assistant", "text": f"句子{i}"} for i in range(8)]
     rows = stream(spark, tmp_path, "memory_fold", "conv string, turn long, role string, text string", [turns[:5], turns[5:]], lambda d: P.stream_memory(d, 1, 1))
     assert max(rows, key=lambda r: r.turn).summary.split("\n") == ["- 句子0", "- 句子2", "- 句子4"]
+
+
+def test_label_pairs_and_files(spark, tmp_path):
+    audio = spark.createDataFrame([("a", 6.5), ("b", 2.0), ("c", 5.9), ("d", 9.0)], "stem string, duration double")
+    labels = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", "w")], "stem string, text string")
+    assert [r.stem for r in R.pairs(audio, labels, "stem", "duration", 2).collect()] == ["c", "a"]
+    X.label_files(spark.createDataFrame([("s1", "one  line")], "sample_id string, text string"), str(tmp_path / "labels"))
+    assert spark.read.text(str(tmp_path / "labels" / "sample_id=s1")).first().value == "one line"
+
+
+def test_uploads_and_coverage(spark):
+    files = spark.createDataFrame([("a.wav", 10, 0.1), ("b.lab", 10, None), ("c.exe", 10, None), ("d.mp3", 10, None), ("e.wav", 999, 5.0), ("f.WAV", 10, 5.0)], "name string, size long, duration double")
+    got = {r.name: (r.reason, r.kind) for r in R.upload_gate(files, "name", "size", "duration", 100).collect()}
+    assert got == {"a.wav": ("too short", None), "b.lab": (None, "transcript"), "c.exe": ("unsupported", None), "d.mp3": ("not audio", None), "e.wav": ("too large", None), "f.WAV": (None, "audio")}
+    none = R.transcript_coverage(files.limit(0).withColumn("stem", F.col("name")), files.withColumn("stem", F.col("name")), "stem").first()
+    assert none.n == 0 and none.provided is False
+
+
+def test_pronunciation_hints(spark):
+    from sparkloom.functions import chinese as Z
+
+    assert spark.range(1).select(Z.hints(F.lit("重要"), {"重": "chong2", "行": "hang2"}).alias("h")).first().h == {"重": "chong2"}
