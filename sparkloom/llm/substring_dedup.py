@@ -65,12 +65,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, removed array<struct<start, until>>) of the documents that lose something.
 
     A digest's occurrences are ranked by doc_id, then offset; the first stays and the others go. Counting is a map-side aggregate, and
-    only digests that occur again are joined back, so a line that a third of all rows hold costs a partial sum a task and
-    a join that Spark splits. A unit whose every rank is earliest stays even where a line around it goes elsewhere.
+    only digests that occur again are joined back, dealt anew (the rebalance hint) so that both sides of the join come from shuffles of its own:
+    a line that a third of all rows hold costs a partial sum a task and a join that Spark can split. A unit whose every rank is earliest stays even where a line around it goes elsewhere.
     """
     all_units = unit_table(docs)
     first = F.struct("doc_id", "start", "until")
-    again = all_units.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = all_units.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n").hint("rebalance")
     later = all_units.drop("words").join(again, "digest").filter(F.struct("doc_id", "start", "until") != F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "until"))).alias("removed"))
 
