@@ -88,7 +88,7 @@ SELECT doc_id, round(q, 6) AS q FROM (SELECT d.doc_id, (quality * 2 + 1 - toxic)
 
 def _review(spark, d):
     rows = table(spark, d, "documents").select(
-        "doc_id", F.substring("text", 1, 20).alias("transcript"), c("lang").alias("style"), F.when(c("doc_id") % 4 == 0, "approved").when(c("doc_id") % 4 == 1, "rejected").otherwise("pending").alias("status"), F.when(c("doc_id") % 4 == 1, "too_short").alias("reason"), (c("doc_id") % 9 == 0).alias("human_edited")
+        "doc_id", c("text").alias("transcript"), c("lang").alias("style"), F.when(c("doc_id") % 4 == 0, "approved").when(c("doc_id") % 4 == 1, "rejected").otherwise("pending").alias("status"), F.when(c("doc_id") % 4 == 1, "too_short").alias("reason"), (c("doc_id") % 9 == 0).alias("human_edited")
     )
     i = c("doc_id")
     patch = table(spark, d, "labels").select(
@@ -99,7 +99,7 @@ def _review(spark, d):
 
 QUERIES["q_review_patch"] = _review
 ORACLE["q_review_patch"] = """
-WITH r AS (SELECT doc_id, substr(text, 1, 20) AS transcript, lang AS style, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN doc_id % 4 = 1 THEN 'too_short' END AS reason, doc_id % 9 = 0 AS he FROM documents),
+WITH r AS (SELECT doc_id, text AS transcript, lang AS style, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN doc_id % 4 = 1 THEN 'too_short' END AS reason, doc_id % 9 = 0 AS he FROM documents),
 p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fixed ' || doc_id END AS pt, CASE WHEN doc_id % 5 = 0 THEN 'en' END AS ps, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'corrected' ELSE 'approved' END END AS pst,
   CASE WHEN doc_id % 2 = 0 THEN 'music' END AS pr, doc_id % 7 = 0 AS pa FROM labels),
 x AS (SELECT r.*, pt, ps, pst, pr, coalesce(pt IS NOT NULL AND pt IS DISTINCT FROM transcript, false) OR coalesce(ps IS NOT NULL AND ps IS DISTINCT FROM style, false) OR coalesce(pst IS NOT NULL AND pst IS DISTINCT FROM status, false) OR coalesce(pa, false) AS touched
@@ -107,13 +107,13 @@ x AS (SELECT r.*, pt, ps, pst, pr, coalesce(pt IS NOT NULL AND pt IS DISTINCT FR
 SELECT doc_id, coalesce(pt, transcript) AS transcript, coalesce(ps, style) AS style, coalesce(pst, status) AS status, CASE WHEN pst = 'rejected' THEN coalesce(pr, 'other') WHEN pst IS NULL THEN reason END AS reason, he OR touched AS human_edited, touched FROM x"""
 
 QUERIES["q_upsert_merge"] = lambda spark, d: C.upsert(
-    table(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id", F.lit("edited").alias("text"), F.lit("soft").alias("style"), (c("doc_id") % 2 == 0).alias("approved"), (c("doc_id") % 5 == 0).alias("human_edited")),
-    table(spark, d, "documents").filter("doc_id % 4 <> 1").select("doc_id", F.substring("text", 1, 30).alias("text"), c("n_chars").alias("duration")), "doc_id",
+    table(spark, d, "documents").filter("lang <> 'fr'").select("doc_id", F.lit("edited").alias("text"), F.lit("soft").alias("style"), (c("n_chars") > 500).alias("approved"), (c("source") == "src1").alias("human_edited")),
+    table(spark, d, "documents").filter("lang <> 'de'").select("doc_id", "text", c("n_chars").alias("duration")), "doc_id",
 )
 ORACLE["q_upsert_merge"] = r"""
 SELECT doc_id, n_chars AS duration, CASE WHEN keep THEN 'edited' ELSE t END AS text, CASE WHEN keep THEN 'soft' WHEN regexp_matches(t, '[！!]\s*$') THEN 'excited' WHEN contains(t, '……') OR contains(t, '...') THEN 'soft' ELSE 'neutral' END AS style,
-  CASE WHEN keep THEN doc_id % 2 = 0 ELSE t <> '' END AS approved, doc_id % 3 <> 0 AS existed
-FROM (SELECT doc_id, n_chars, trim(substr(text, 1, 30)) AS t, doc_id % 3 <> 0 AND doc_id % 5 = 0 AS keep FROM documents WHERE doc_id % 4 <> 1)"""
+  CASE WHEN keep THEN n_chars > 500 ELSE t <> '' END AS approved, lang <> 'fr' AS existed
+FROM (SELECT doc_id, n_chars, lang, trim(text) AS t, lang <> 'fr' AND source = 'src1' AS keep FROM documents WHERE lang <> 'de')"""
 
 QUERIES["q_pack_summary"] = lambda spark, d: C.pack_summary(_segments(spark, d).withColumn("pack", c("l_orderkey") % 50), "pack", "duration", reason().isNull(), 250, 1500.0)
 ORACLE["q_pack_summary"] = f"""

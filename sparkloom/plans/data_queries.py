@@ -28,11 +28,11 @@ def _samples(spark, d):
 
 
 def _splits(spark, d):
-    return table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("s"), c("p_partkey")).alias("sample_id"), F.when(c("p_partkey") % 22 == 0, "heldout").when(c("p_partkey") % 12 == 0, "val").otherwise("train").alias("split"))
+    return table(spark, d, "part").filter("p_size > 10").select(F.concat(F.lit("s"), c("p_partkey")).alias("sample_id"), F.when(c("p_size") > 45, "heldout").when(c("p_size") > 40, "val").otherwise("train").alias("split"))
 
 
 ROUTED_SQL = """SELECT * FROM (SELECT 's' || p_partkey AS sample_id, 'clips/' || p_partkey || '.wav' AS path, trim(regexp_replace(p_name || '  ' || p_type, '\\s+', ' ', 'g')) AS t, p_brand AS style,
-  CASE WHEN p_partkey % 2 = 0 AND p_partkey % 22 = 0 THEN 'heldout' WHEN p_partkey % 2 = 0 AND p_partkey % 12 = 0 THEN 'val' ELSE 'train' END AS split FROM part WHERE p_partkey % 5 <> 0) WHERE split <> 'heldout'"""
+  CASE WHEN p_size > 45 THEN 'heldout' WHEN p_size > 40 THEN 'val' ELSE 'train' END AS split FROM part WHERE p_partkey % 5 <> 0) WHERE split <> 'heldout'"""
 
 
 def _routed(spark, d):
@@ -105,29 +105,29 @@ ORACLE["q_validation_summary"] = f"SELECT count(*) FILTER (WHERE severity = 'err
 
 
 def _lint(spark, d):
-    p = F.concat(F.lit("p"), c("doc_id") % 12).alias("profile")
-    examples = table(spark, d, "documents").filter("doc_id % 12 <> 5").select(p, c("lang").alias("style"), F.substring("text", 1, 40).alias("character"), F.when(c("doc_id") % 12 != 3, c("source")).alias("source"))
-    styles = spark.range(12).select(F.concat(F.lit("p"), c("id")).alias("profile"), F.explode(F.array(F.lit("en"), F.lit("fr"), F.lit("zh"))).alias("style"))
+    examples = table(spark, d, "documents").select(c("source").alias("profile"), c("lang").alias("style"), c("text").alias("character"), F.when(c("lang") != "de", "file").alias("source"))
+    profiles = examples.select("profile").distinct().unionByName(spark.createDataFrame([("nobody",)], "profile string"))
+    styles = profiles.select("profile", F.explode(F.array(F.lit("en"), F.lit("fr"), F.lit("zh"))).alias("style"))
     distinct = examples.groupBy("profile").agg(F.countDistinct("character").alias("n_distinct"))
-    readings = spark.createDataFrame([("p1", "重", "chong2"), ("p2", "重重", "9x")], "profile string, word string, reading string")
+    readings = spark.createDataFrame([("src1", "重", "chong2"), ("src2", "重重", "9x")], "profile string, word string, reading string")
     return Q.lint(examples, styles, distinct, readings)
 
 
 QUERIES["q_lint"] = _lint
 LINT_SQL = r"""
-WITH e AS (SELECT 'p' || (doc_id % 12) AS profile, lang AS style, substr(text, 1, 40) AS ch, CASE WHEN doc_id % 12 <> 3 THEN source END AS source FROM documents WHERE doc_id % 12 <> 5),
-st AS (SELECT 'p' || i AS profile, s AS style FROM range(12) t(i), (VALUES ('en'), ('fr'), ('zh')) v(s)),
+WITH e AS (SELECT source AS profile, lang AS style, text AS ch, CASE WHEN lang <> 'de' THEN 'file' END AS source FROM documents),
+st AS (SELECT profile, s AS style FROM (SELECT DISTINCT profile FROM e UNION ALL SELECT 'nobody'), (VALUES ('en'), ('fr'), ('zh')) v(s)),
 a AS (SELECT p.profile, count(e.ch) AS n, count(DISTINCT ch) AS nd, count(*) FILTER (WHERE e.ch IS NOT NULL AND trim(coalesce(source, '')) = '') AS us, count(*) FILTER (WHERE regexp_matches(ch, '[A-Za-z]')) AS la FROM (SELECT DISTINCT profile FROM st) p LEFT JOIN e ON p.profile = e.profile GROUP BY 1),
 k AS (SELECT profile, style, count(*) AS k FROM e GROUP BY ALL), dc AS (SELECT st.profile, st.style, coalesce(k, 0) AS k FROM st LEFT JOIN k ON st.profile = k.profile AND st.style = k.style JOIN a ON st.profile = a.profile WHERE a.n > 0)
 SELECT 'error' AS severity, 'profile.no_examples' AS code, profile AS subject FROM a WHERE n = 0 UNION ALL SELECT 'warning', 'profile.few_examples', profile FROM a WHERE n BETWEEN 1 AND 11
 UNION ALL SELECT 'warning', 'profile.duplicate_examples', profile FROM a WHERE nd < n UNION ALL SELECT 'warning', 'profile.unsourced_examples', profile FROM a WHERE us > 0.5 * n UNION ALL SELECT 'info', 'profile.latin_in_examples', profile FROM a WHERE la > 0
 UNION ALL SELECT 'error', 'profile.style_without_examples', profile || '/' || style FROM dc WHERE k = 0 UNION ALL SELECT 'warning', 'profile.thin_style', profile || '/' || style FROM dc WHERE k = 1
-UNION ALL SELECT 'warning', 'profile.examples_in_undeclared_styles', profile || '/' || style FROM k WHERE style NOT IN ('en', 'fr', 'zh') UNION ALL SELECT 'error', 'profile.bad_pronunciation', 'p2/重重' UNION ALL SELECT 'warning', 'profile.multi_char_pronunciation', 'p2/重重'"""
+UNION ALL SELECT 'warning', 'profile.examples_in_undeclared_styles', profile || '/' || style FROM k WHERE style NOT IN ('en', 'fr', 'zh') UNION ALL SELECT 'error', 'profile.bad_pronunciation', 'src2/重重' UNION ALL SELECT 'warning', 'profile.multi_char_pronunciation', 'src2/重重'"""
 ORACLE["q_lint"] = LINT_SQL
-QUERIES["q_lint_summary"] = lambda spark, d: Q.lint_summary(_lint(spark, d), spark.range(13).select(F.concat(F.lit("p"), c("id")).alias("profile")))
+QUERIES["q_lint_summary"] = lambda spark, d: Q.lint_summary(_lint(spark, d), table(spark, d, "documents").select(c("source").alias("profile")))
 ORACLE["q_lint_summary"] = f"""
-SELECT 'p' || i AS profile, count(*) FILTER (WHERE severity = 'error') AS n_error, count(*) FILTER (WHERE severity = 'warning') AS n_warning, count(*) FILTER (WHERE severity = 'info') AS n_info, count(*) FILTER (WHERE severity = 'error') = 0 AS ok
-FROM range(13) t(i) LEFT JOIN ({LINT_SQL}) l ON string_split(subject, '/')[1] = 'p' || i GROUP BY 1"""
+SELECT p.source AS profile, count(*) FILTER (WHERE severity = 'error') AS n_error, count(*) FILTER (WHERE severity = 'warning') AS n_warning, count(*) FILTER (WHERE severity = 'info') AS n_info, count(*) FILTER (WHERE severity = 'error') = 0 AS ok
+FROM (SELECT DISTINCT source FROM documents) p LEFT JOIN ({LINT_SQL}) l ON string_split(subject, '/')[1] = p.source GROUP BY 1"""
 
 QUERIES["q_duplicate_ids"] = lambda spark, d: table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 ORACLE["q_duplicate_ids"] = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"
@@ -142,11 +142,11 @@ ORACLE["q_pipeline_summary"] = """
 SELECT coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_brand END, CASE WHEN p_partkey % 401 <> 0 THEN 'auto' END, 'unassigned') AS key, count(*) AS n, count(*) FILTER (WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0) AS n_approved,
   round(sum(p_size::DOUBLE / 4) FILTER (WHERE p_partkey % 5 <> 0), 3) AS usable_s FROM part GROUP BY 1"""
 
-QUERIES["q_ratings_union"] = lambda spark, d: R.unnested(table(spark, d, "labels").filter("doc_id % 2 = 0").groupBy((c("doc_id") % 5).alias("g")).agg(F.collect_list(F.struct("doc_id", "quality", "toxic")).alias("ratings")), "ratings").unionByName(table(spark, d, "labels").filter("doc_id % 2 = 1"))
+QUERIES["q_ratings_union"] = lambda spark, d: R.unnested(table(spark, d, "labels").filter("quality = 1").groupBy("toxic").agg(F.collect_list(F.struct("doc_id", "quality", "toxic")).alias("ratings")), "ratings").unionByName(table(spark, d, "labels").filter("quality <> 1 OR quality IS NULL"))
 ORACLE["q_ratings_union"] = "SELECT doc_id, quality, toxic FROM labels"
 
-QUERIES["q_incremental_ingest"] = lambda spark, d: R.ingest(table(spark, d, "pages").filter("page_id % 2 = 0").select("page_id"), table(spark, d, "pages"), "page_id", F.encode("html", "UTF-8"))
-ORACLE["q_incremental_ingest"] = "SELECT page_id, sha256(html) AS sha256, CASE WHEN html IS NULL OR html = '' THEN 'empty' END AS error FROM pages WHERE page_id % 2 = 1"
+QUERIES["q_incremental_ingest"] = lambda spark, d: R.ingest(table(spark, d, "pages").filter("url LIKE 'https%'").select("page_id"), table(spark, d, "pages"), "page_id", F.encode("html", "UTF-8"))
+ORACLE["q_incremental_ingest"] = "SELECT page_id, sha256(html) AS sha256, CASE WHEN html IS NULL OR html = '' THEN 'empty' END AS error FROM pages WHERE url NOT LIKE 'https%'"
 
 
 def _uploads(spark, d):

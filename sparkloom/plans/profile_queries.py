@@ -30,12 +30,12 @@ def _cols(zero):
 
 PROFILE = ", ".join(f"round(avg({e}), 3) AS {n}_avg, round(stddev_pop({e}), 3) AS {n}_dev" for n, e in _cols(P.FEATURES).items())
 
-QUERIES["q_prosody_profile"] = lambda spark, d: P.profile(_clips(spark, d).filter("user_id % 3 = 0"))
-ORACLE["q_prosody_profile"] = f"SELECT count(*) AS n_clips, {PROFILE} FROM ({CLIPS_SQL}) WHERE user_id % 3 = 0"
+QUERIES["q_prosody_profile"] = lambda spark, d: P.profile(_clips(spark, d))
+ORACLE["q_prosody_profile"] = f"SELECT count(*) AS n_clips, {PROFILE} FROM ({CLIPS_SQL})"
 
 COMPARE_SQL = f"""
-WITH c AS ({CLIPS_SQL}), p AS (SELECT {PROFILE} FROM c WHERE user_id % 3 = 0 AND event_id % 2 = 0),
-m AS (SELECT event_type, count(*) AS n_clips, {", ".join(f"round(avg({n}), 4) AS {n}" for n in P.FEATURES)} FROM c WHERE user_id % 3 <> 0 GROUP BY event_type),
+WITH c AS ({CLIPS_SQL}), p AS (SELECT {PROFILE} FROM c WHERE event_type = 'view'),
+m AS (SELECT event_type, count(*) AS n_clips, {", ".join(f"round(avg({n}), 4) AS {n}" for n in P.FEATURES)} FROM c WHERE event_type <> 'view' GROUP BY event_type),
 x AS (SELECT event_type, n_clips, round(f0_mean - nullif(f0_mean_avg, 0.0), 2) AS f0_delta, greatest(5.0, coalesce(nullif(f0_mean_dev, 0.0), 20.0)) AS fs, round(f0_std / nullif(f0_std_avg, 0.0), 3) AS f0_ratio,
   round(cps - nullif(cps_avg, 0.0), 3) AS cps_delta, greatest(0.2, coalesce(nullif(cps_dev, 0.0), 0.5)) AS cs, cps / nullif(cps_avg, 0.0) AS cr,
   round(pauses - pauses_avg, 4) AS pause_delta, round(silence - silence_avg, 4) AS silence_delta FROM m, p),
@@ -46,15 +46,15 @@ SELECT event_type, n_clips, f0_delta, f0_ratio, cps_delta, pause_delta, silence_
 
 
 def _one(spark, d):
-    return P.profile(_clips(spark, d).filter("user_id % 3 = 0 AND event_id % 2 = 0"))
+    return P.profile(_clips(spark, d).filter("event_type = 'view'"))
 
 
-QUERIES["q_prosody_compare"] = lambda spark, d: P.ranked(P.compare(_clips(spark, d).filter("user_id % 3 <> 0"), "event_type", _one(spark, d)), "event_type")
+QUERIES["q_prosody_compare"] = lambda spark, d: P.ranked(P.compare(_clips(spark, d).filter("event_type <> 'view'"), "event_type", _one(spark, d)), "event_type")
 ORACLE["q_prosody_compare"] = COMPARE_SQL
 
-QUERIES["q_score_run"] = lambda spark, d: P.score_run(_clips(spark, d).filter("user_id % 3 <> 0"), "event_type", _one(spark, d), F.col("value"), F.col("pauses"))
+QUERIES["q_score_run"] = lambda spark, d: P.score_run(_clips(spark, d).filter("event_type <> 'view'"), "event_type", _one(spark, d), F.col("value"), F.col("pauses"))
 ORACLE["q_score_run"] = f"""SELECT a.*, b.rtf FROM ({COMPARE_SQL}) a JOIN (SELECT event_type, round(avg(value / 1000 / nullif(pauses, 0.0)), 6) AS rtf
-FROM ({CLIPS_SQL}) WHERE user_id % 3 <> 0 GROUP BY event_type) b ON a.event_type = b.event_type"""
+FROM ({CLIPS_SQL}) WHERE event_type <> 'view' GROUP BY event_type) b ON a.event_type = b.event_type"""
 
 QUERIES["q_profile_heldout"] = lambda spark, d: P.from_heldout(_clips(spark, d), F.col("event_id") % 97 == 0, "event_id", 40).groupBy("source").agg(
     F.count(F.lit(1)).alias("n"), F.round(F.avg("f0_mean"), 3).alias("f0_avg"), F.max("event_id").alias("last_id")

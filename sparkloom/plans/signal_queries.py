@@ -88,10 +88,10 @@ ORACLE["q_array_slice"] = f"""
 WITH s AS (SELECT vec_id, x[CAST(floor((vec_id % 3) / 2.0 * 16) AS INT) + 1:CAST(floor(((vec_id % 3) / 2.0 + 1.25) * 16) AS INT)] AS y FROM ({X_SQL}))
 SELECT vec_id, CAST(len(y) AS INTEGER) AS n, round(list_sum(y), 6) AS total FROM s"""
 
-QUERIES["q_char_timing"] = lambda spark, d: table(spark, d, "conversations").withColumn("chars", F.split(F.substring("text", 1, 12), "")).withColumn(
-    "stamps", F.transform(F.sequence(F.lit(1), F.least(F.char_length("text"), F.lit(12)) + F.when(c("conv_id") % 4 == 0, 1).otherwise(0)), lambda i: i * 0.25)
+QUERIES["q_char_timing"] = lambda spark, d: table(spark, d, "conversations").withColumn("chars", F.split("text", "")).withColumn(
+    "stamps", F.transform(F.sequence(F.lit(1), F.char_length("text") + F.when(c("conv_id") % 4 == 0, 1).otherwise(0)), lambda i: i * 0.25)
 ).select("conv_id", "turn", F.when(F.size("chars") == F.size("stamps"), F.arrays_zip("chars", "stamps")).alias("z")).select(
-    "conv_id", "turn", F.coalesce(F.size("z"), F.lit(0)).alias("n"), F.coalesce(F.array_max(F.transform("z", lambda s: s["stamps"])) > 2.5, F.lit(False)).alias("beyond")
+    "conv_id", "turn", F.coalesce(F.size("z"), F.lit(0)).alias("n"), F.coalesce(F.array_max(F.transform("z", lambda s: s["stamps"])) > 25, F.lit(False)).alias("beyond")
 )
 ORACLE["q_char_timing"] = """
-SELECT conv_id, turn, CAST(CASE WHEN conv_id % 4 = 0 THEN 0 ELSE least(length(text), 12) END AS INTEGER) AS n, conv_id % 4 <> 0 AND least(length(text), 12) * 0.25 > 2.5 AS beyond FROM conversations"""
+SELECT conv_id, turn, CAST(CASE WHEN conv_id % 4 = 0 THEN 0 ELSE length(text) END AS INTEGER) AS n, conv_id % 4 <> 0 AND length(text) * 0.25 > 25 AS beyond FROM conversations"""

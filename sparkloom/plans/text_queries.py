@@ -24,9 +24,9 @@ ORACLE["q_clip_id"] = r"""
 WITH s AS (SELECT page_id, repeat(url, 3) || '.wav' AS p, regexp_replace(regexp_replace(repeat(url, 3) || CASE WHEN url LIKE '%/' THEN '.wav' ELSE '' END, '[^\p{L}\p{N}_-]', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM pages)
 SELECT page_id, CASE WHEN length(s) <= 120 THEN s ELSE substr(s, 1, 110) || '_' || substr(sha1(p), 1, 8) END AS clip_id FROM s"""
 
-QUERIES["q_redact"] = lambda spark, d: table(spark, d, "documents").select("doc_id", T.redact(F.concat(F.substring("text", 1, 40), F.lit(" sk-abcdef123456 Authorization: Bearer "), c("doc_id"), F.lit(" api_key="), c("doc_id"))).alias("text"), T.mask_secret(F.concat(F.lit("sk-"), c("doc_id"))).alias("masked"))
+QUERIES["q_redact"] = lambda spark, d: table(spark, d, "documents").select("doc_id", T.redact(F.concat("text", F.lit(" sk-abcdef123456 Authorization: Bearer "), c("doc_id"), F.lit(" api_key="), c("doc_id"))).alias("text"), T.mask_secret(F.concat(F.lit("sk-"), c("doc_id"))).alias("masked"))
 ORACLE["q_redact"] = """
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 40), '(sk-[A-Za-z0-9_\\-]{6})[A-Za-z0-9_\\-]+', '\\1[redacted]', 'g'), '(?i)(authorization:\\s*bearer\\s+)\\S+', '\\1[redacted]', 'g'), '(?i)(api[_-]?key["''=:\\s]+)[^\\s,"''}]+', '\\1[redacted]', 'g')
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(sk-[A-Za-z0-9_\\-]{6})[A-Za-z0-9_\\-]+', '\\1[redacted]', 'g'), '(?i)(authorization:\\s*bearer\\s+)\\S+', '\\1[redacted]', 'g'), '(?i)(api[_-]?key["''=:\\s]+)[^\\s,"''}]+', '\\1[redacted]', 'g')
   || ' sk-abcdef[redacted] Authorization: Bearer [redacted] api_key=[redacted]' AS text, 'sk-••••••••' || CASE WHEN doc_id > 99999 THEN right(doc_id::VARCHAR, 4) ELSE '' END AS masked FROM documents"""
 
 QUERIES["q_path_rules"] = lambda spark, d: table(spark, d, "pages").withColumn("p", F.when(c("page_id") % 3 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("/a", "a\\b", "a/../b", "a//b", "a/b")]), (c("page_id") % 5 + 1).cast("int"))))).select(
@@ -103,20 +103,20 @@ SELECT conv_id, string_agg('- ' || CASE WHEN length(t) > 60 THEN substr(t, 1, 59
 QUERIES["q_transcript"] = lambda spark, d: V.transcript(table(spark, d, "conversations").filter("role <> 'system'"), "conv_id", "turn", "text", F.when(c("role") == "user", "对方").otherwise("她"))
 ORACLE["q_transcript"] = "SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '对方' ELSE '她' END || '：' || trim(text), chr(10) ORDER BY turn) AS transcript FROM conversations WHERE role <> 'system' GROUP BY conv_id"
 
-QUERIES["q_summary_bound"] = lambda spark, d: V.bounded_lines(table(spark, d, "conversations").withColumn("line", F.substring("text", 1, 150)), "conv_id", "turn", "line", 600).select("conv_id", "turn", V.usable_summary(c("line")).alias("usable"))
+QUERIES["q_summary_bound"] = lambda spark, d: V.bounded_lines(table(spark, d, "conversations").withColumn("line", c("text")), "conv_id", "turn", "line", 600).select("conv_id", "turn", V.usable_summary(c("line")).alias("usable"))
 ORACLE["q_summary_bound"] = """
-WITH l AS (SELECT conv_id, turn, substr(text, 1, 150) AS line FROM conversations),
+WITH l AS (SELECT conv_id, turn, text AS line FROM conversations),
 n AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS n FROM l), o AS (SELECT *, max(n > 600) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS o FROM n)
 SELECT conv_id, turn, trim(line) NOT IN ('', '无', '无。', 'none', 'None') AND NOT regexp_matches(trim(line), '^(好的|当然|以下是|作为)') AS usable FROM o WHERE NOT o"""
 
 
 def _reply():
-    return F.concat(F.lit("(sighs) "), F.regexp_replace(F.substring("text", 1, 200), r"\.", "。"), F.lit(" [nods]"))
+    return F.concat(F.lit("(sighs) "), F.regexp_replace("text", r"\.", "。"), F.lit(" [nods]"))
 
 
 QUERIES["q_guards"] = lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", T.truncate_reply(T.strip_narration(_reply()), 60).alias("text"), T.breaks_character(c("text"), ["the", "As an AI"]).alias("breaks"), T.nearest_style(F.concat(F.lit("soft_"), c("role")), ["user", "neutral"]).alias("style"))
 ORACLE["q_guards"] = r"""
-WITH r AS (SELECT conv_id, turn, role, text, trim(regexp_replace('(sighs) ' || replace(substr(text, 1, 200), '.', '。') || ' [nods]', '[（(\[【][^）)\]】]{0,40}[）)\]】]', '', 'g')) AS t FROM conversations),
+WITH r AS (SELECT conv_id, turn, role, text, trim(regexp_replace('(sighs) ' || replace(text, '.', '。') || ' [nods]', '[（(\[【][^）)\]】]{0,40}[）)\]】]', '', 'g')) AS t FROM conversations),
 w AS (SELECT *, regexp_extract(substr(t, 1, 60), '(?s)^.+[。！？…]') AS whole FROM r)
 SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN '……' WHEN length(t) > 60 THEN CASE WHEN whole <> '' THEN whole ELSE rtrim(substr(t, 1, 60)) || '……' END ELSE t END AS text,
   CASE WHEN contains(lower(text), 'the') THEN 'the' WHEN contains(lower(text), 'as an ai') THEN 'As an AI' END AS breaks, CASE WHEN role = 'user' THEN 'user' ELSE 'neutral' END AS style FROM w"""
@@ -139,17 +139,17 @@ def _pool(spark, d):
     t = table(spark, d, "conversations").filter("role <> 'system'")
     prior = F.lag(F.struct("role", "text")).over(W.partitionBy("conv_id").orderBy("turn"))
     x = t.withColumn("p", prior).filter("role = 'assistant' AND p.role = 'user'")
-    return x.select((c("conv_id") * 100 + c("turn")).alias("pos"), F.substring("p.text", 1, 120).alias("user"), F.substring("text", 1, 120).alias("character"), F.when(c("turn") % 2 == 0, "soft").otherwise("plain").alias("style"))
+    return x.select((c("conv_id") * 100 + c("turn")).alias("pos"), c("p.text").alias("user"), c("text").alias("character"), F.when(c("turn") % 2 == 0, "soft").otherwise("plain").alias("style"))
 
 
 def _queries(spark, d):
-    return table(spark, d, "benchmark").select(c("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"), F.when(c("item_id") % 2 == 0, "soft").alias("style"))
+    return table(spark, d, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"), F.when(c("item_id") % 2 == 0, "soft").alias("style"))
 
 
 QUERIES["q_idf"] = lambda spark, d: D.idf(_pool(spark, d)).select("gram", F.round("idf", 6).alias("idf"))
 G = r"regexp_replace({0}, '[\s，。！？、；：,.!?;:\"''“”‘’（）()\[\]【】—…·~～\-]+', '', 'g')"
 POOL_SQL = """WITH t AS (SELECT *, lag(role) OVER w AS pr, lag(text) OVER w AS pt FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-pool AS (SELECT conv_id * 100 + turn AS pos, substr(pt, 1, 120) AS u, substr(text, 1, 120) AS ch, CASE WHEN turn % 2 = 0 THEN 'soft' ELSE 'plain' END AS style FROM t WHERE role = 'assistant' AND pr = 'user'),
+pool AS (SELECT conv_id * 100 + turn AS pos, pt AS u, text AS ch, CASE WHEN turn % 2 = 0 THEN 'soft' ELSE 'plain' END AS style FROM t WHERE role = 'assistant' AND pr = 'user'),
 g AS (SELECT pos, style, 1.0 AS side, {0} AS s FROM pool UNION ALL SELECT pos, style, 0.35, {1} FROM pool),
 grams AS (SELECT DISTINCT pos, style, side, substr(s, i, 2) AS gram FROM g, unnest(range(1, greatest(length(s), 2))) x(i) WHERE length(s) > 0),
 idf AS (SELECT gram, ln(1 + (SELECT count(*) FROM pool) / (1 + count(DISTINCT pos))::DOUBLE) AS idf FROM grams GROUP BY gram)""".format(G.format("u"), G.format("ch"))
@@ -157,7 +157,7 @@ ORACLE["q_idf"] = POOL_SQL + " SELECT gram, round(idf, 6) AS idf FROM idf"
 
 QUERIES["q_example_scores"] = lambda spark, d: D.scores(_queries(spark, d), _pool(spark, d)).select("query_id", "pos", F.round("score", 6).alias("score"))
 ORACLE["q_example_scores"] = POOL_SQL + f""",
-b AS (SELECT item_id, {G.format("substr(text, 1, 80)")} AS s FROM benchmark),
+b AS (SELECT item_id, {G.format("text")} AS s FROM benchmark),
 q AS (SELECT DISTINCT item_id, substr(s, i, 2) AS gram FROM b, unnest(range(1, greatest(length(s), 2))) x(i) WHERE length(s) > 0),
 qw AS (SELECT item_id, q.gram, coalesce(idf, 1.0) AS w FROM q LEFT JOIN idf ON q.gram = idf.gram), ceil_ AS (SELECT item_id, sum(w) AS c FROM qw GROUP BY item_id),
 h AS (SELECT item_id, pos, style, sum(w * side) AS s FROM qw JOIN grams ON qw.gram = grams.gram GROUP BY ALL)
@@ -174,7 +174,7 @@ QUERIES["q_turn_context"] = lambda spark, d: (
 
 QUERIES["q_jaccard"] = lambda spark, d: _queries(spark, d).alias("a").join(_queries(spark, d).alias("b"), c("a.query_id") + 1 == c("b.query_id")).select(c("a.query_id").alias("query_id"), F.round(T.jaccard(T.bigrams(c("a.query")), T.bigrams(c("b.query"))), 6).alias("jaccard"))
 ORACLE["q_jaccard"] = f"""
-WITH b AS (SELECT item_id, {G.format("substr(text, 1, 80)")} AS s FROM benchmark), q AS (SELECT item_id, list(DISTINCT substr(s, i, 2)) AS g FROM b, unnest(range(1, length(s))) x(i) GROUP BY item_id)
+WITH b AS (SELECT item_id, {G.format("text")} AS s FROM benchmark), q AS (SELECT item_id, list(DISTINCT substr(s, i, 2)) AS g FROM b, unnest(range(1, length(s))) x(i) GROUP BY item_id)
 SELECT a.item_id AS query_id, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS jaccard FROM q a JOIN q b ON a.item_id + 1 = b.item_id"""
 
 QUERIES["q_anchor_set"] = lambda spark, d: table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.when(c("event_id") % 3 == 0, c("event_type"))).alias("a"), F.collect_set(F.when(c("event_id") % 11 == 0, c("event_type"))).alias("r")).select("user_id", F.array_join(F.array_sort(F.array_except(F.array_union("a", F.array(F.lit("anchor"))), "r")), ",").alias("anchors"))
@@ -183,8 +183,8 @@ WITH e AS (SELECT user_id, list(DISTINCT event_type) FILTER (WHERE event_id % 3
 SELECT user_id, array_to_string(list_sort(list_filter(list_concat(coalesce(a, []), ['anchor']), lambda x: NOT list_contains(r, x))), ',') AS anchors FROM e"""
 
 QUERIES["q_cer_micro"] = lambda spark, d: table(spark, d, "benchmark").alias("x").join(table(spark, d, "benchmark").alias("y"), c("x.item_id") + 1 == c("y.item_id")).select(
-    F.regexp_replace(F.substring("x.text", 1, 60), "[^A-Za-z0-9]", "").alias("r"), F.regexp_replace(F.substring("y.text", 1, 60), "[^A-Za-z0-9]", "").alias("h")
+    F.regexp_replace("x.text", "[^A-Za-z0-9]", "").alias("r"), F.regexp_replace("y.text", "[^A-Za-z0-9]", "").alias("h")
 ).agg(F.round(F.sum(F.levenshtein("r", "h")) / F.sum(F.char_length("r")), 6).alias("cer"), F.count_if(F.levenshtein("r", "h") <= 0.05 * F.char_length("r")).alias("n_close"), F.count(F.lit(1)).alias("n"))
 ORACLE["q_cer_micro"] = """
-WITH p AS (SELECT regexp_replace(substr(x.text, 1, 60), '[^A-Za-z0-9]', '', 'g') AS r, regexp_replace(substr(y.text, 1, 60), '[^A-Za-z0-9]', '', 'g') AS h FROM benchmark x JOIN benchmark y ON x.item_id + 1 = y.item_id)
+WITH p AS (SELECT regexp_replace(x.text, '[^A-Za-z0-9]', '', 'g') AS r, regexp_replace(y.text, '[^A-Za-z0-9]', '', 'g') AS h FROM benchmark x JOIN benchmark y ON x.item_id + 1 = y.item_id)
 SELECT round(sum(levenshtein(r, h)) / sum(length(r)), 6) AS cer, count(*) FILTER (WHERE levenshtein(r, h) <= 0.05 * length(r)) AS n_close, count(*) AS n FROM p"""
