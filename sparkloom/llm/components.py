@@ -17,16 +17,16 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round first links the larger neighbours of every node to its smallest neighbour, then the smaller ones, until
     nothing changes; the number of rounds grows with the logarithm of the longest path. Only counts come to the driver. A node with very many
-    neighbours is an aggregate (summed before the shuffle) joined back to its edges, which Spark splits when skewed. Rounds are
-    written to the shared folder. Self-links and null ends are ignored; no edges give no rows.
+    neighbours is an aggregate (summed before the shuffle) joined back to its edges; the aggregate is dealt anew before that join (the
+    rebalance hint), so that both sides come from a shuffle of the join's own and Spark can split a skewed one. Rounds are written to the shared folder. Self-links and null ends are ignored; no edges give no rows.
     """
     now = store(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mass = _mass(now)
     while mass[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         then = store(small, "edges")
         new = _mass(then)

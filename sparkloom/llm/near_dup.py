@@ -126,7 +126,7 @@ def _across(open_: DataFrame, near: DataFrame, least: float, percent: int, block
     of different components whose first common band is the bucket's. Only joins of components are returned, no pairs.
     """
     parts = F.ceil(F.col("n") / block).cast("int")
-    counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).hint("rebalance")
     met = (
         open_.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("rep", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("key", "rep", "component", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if reps.count() > reps.select("rep").distinct().count():  # repeated rows
         reps = hold(reps.dropDuplicates(["rep"]))
     banded = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").hint("rebalance")  # else the join below could not split a hot key
     shared = hold(banded.join(buckets, "key"))
     wanted = hold(shared.select(F.col("rep").alias("doc_id")).distinct())
     few = _checked(wanted)
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     likely = hold(star.join(a, "a").join(b, "b").filter(estimate(F.col("s"), F.col("t")) >= least).select("a", "b"))
     first = connected(_exact(likely, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = shared.filter("members > 2").join(first, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key").hint("rebalance")
     open_ = hold(placed.join(mixed, "key").distinct())
     second = connected(_across(open_, near, least, percent))
     found = first.select("id", F.col("component").alias("c")).unionByName(near.select(F.col("rep").alias("id"), F.col("rep").alias("c")).join(first, "id", "left_anti"))
