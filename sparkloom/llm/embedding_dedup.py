@@ -72,7 +72,7 @@ def linked(vectors: DataFrame, least: float = 0.93, bits: int = 16, tables: int
 
     placed = classes.select("cid", F.col("label").cast("string").alias("label"), "embedding").mapInPandas(codes, "cid long, label string, dim int, tab int, code long")
     keyed = hold(placed.select("cid", "tab", F.xxhash64("label", "dim", "tab", "code").alias("key")))
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").hint("rebalance")  # else the join below could not split a hot key
     shared = hold(keyed.join(full, "key"))
     packs = max(1, shared.filter(F.col("members") <= SMALL).count() // PACK)
     large = F.col("members") > SMALL
