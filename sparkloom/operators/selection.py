@@ -19,9 +19,26 @@ def retrieval_fit(d: Column, low: float, high: float) -> Column:
     return F.when((d >= low) & (d <= high), F.lit(1.0)).when(d < low, F.greatest(F.lit(0.0), d / low)).otherwise(F.greatest(F.lit(0.0), 1 - (d - high) / (high * 2)))
 
 
+def first_rows(rows: DataFrame, n: DataFrame, pos: str, key: str, slices: int = 1024) -> DataFrame:
+    """The first rows of ``rows`` in the order of the numeric ``pos``, then ``key``; ``n`` is one row with their number, _n.
+
+    ``pos`` is cut into ``slices`` of equal width. The rows before a slice come from the slices' counts (so many rows at most), and only slices that
+    begin within the first n rows are ordered, each in a task of its own; no task sees all rows. A null ``pos`` is last.
+    """
+    ends = rows.agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))  # one row, as n is: aggregates without keys
+    at = F.coalesce(F.col(pos), F.col("_hi") + 1)
+    cut = F.floor((at - F.col("_lo")) * F.lit(float(slices)) / (F.col("_hi") - F.col("_lo") + 2)).cast("int")
+    x = rows.crossJoin(F.broadcast(ends)).withColumn("_s", F.coalesce(cut, F.lit(0))).drop("_lo", "_hi")
+    counts = x.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_s", F.coalesce(F.sum("_c").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    near = x.join(F.broadcast(before), "_s").crossJoin(F.broadcast(n)).filter("_b < _n")
+    rank = F.col("_b") + F.row_number().over(W.partitionBy("_s").orderBy(F.col(pos).asc_nulls_last(), key))
+    return near.withColumn("_i", rank).filter("_i <= _n").select(*rows.columns)
+
+
 def assign_splits(samples: DataFrame, style: str, quality: str, key: str, pos: str, heldout: int, val_fraction: float) -> DataFrame:
     """``samples`` with split: per style, ``heldout`` samples from the middle of the quality order (two always stay), then the
-    first share of the rest, in input order ``pos``, as val. The global order is cut by rank, which Spark sorts by range."""
+    first share of the rest, in input order ``pos`` (numeric), as val."""
     w = W.partitionBy(style)
     n = F.count(F.lit(1)).over(w)
     place = F.row_number().over(w.orderBy(F.desc(quality), key)) - 1
@@ -30,8 +47,7 @@ def assign_splits(samples: DataFrame, style: str, quality: str, key: str, pos: s
     marked = samples.withColumn("_h", (place >= middle) & (place < middle + take))
     rest = marked.filter("not _h")
     cut = rest.agg(F.floor(F.count(F.lit(1)) * F.lit(val_fraction)).alias("_n"))
-    firsts = rest.select(key, pos).orderBy(pos, key).withColumn("_i", F.row_number().over(W.orderBy(pos, key)))
-    val = firsts.crossJoin(F.broadcast(cut)).filter("_i <= _n").select(key, F.lit(True).alias("_v"))  # one row: an aggregate without keys
+    val = first_rows(rest.select(key, pos), cut, pos, key).select(key, F.lit(True).alias("_v"))
     return marked.join(val, key, "left").withColumn("split", F.when(F.col("_h"), "heldout").when(F.col("_v"), "val").otherwise("train")).drop("_h", "_v")
 
 

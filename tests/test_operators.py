@@ -49,6 +49,15 @@ def test_control_set_empty_when_small(spark):
     assert [r.id for r in S.control_set(spark.range(10), "id", 3).orderBy("id").collect()] == [0, 3, 6]
 
 
+def test_first_rows(spark):
+    rows = spark.createDataFrame([(i * i, f"k{i:03d}") for i in range(100)] + [(None, "z"), (81, "a")], "pos long, key string")
+    n = lambda k: spark.createDataFrame([(k,)], "_n long")
+    want = [r.key for r in rows.orderBy(F.col("pos").asc_nulls_last(), "key").collect()]
+    for k in (0, 1, 10, 11, 100, 102, 500):
+        assert sorted(r.key for r in S.first_rows(rows, n(k), "pos", "key", 16).collect()) == sorted(want[:k])
+    assert S.first_rows(rows.limit(0), n(3), "pos", "key").count() == 0
+
+
 def test_curation_nulls(spark):
     df = spark.createDataFrame([(2.0, None, None, None)], "d double, clip double, t string, sim double")
     r = df.select(C.auto_rejection(F.col("d"), F.col("clip"), F.col("t"), F.col("sim")).alias("r"), C.issues(F.lit(None), F.col("clip"), F.lit(None), F.col("d"), F.col("t"), F.col("sim")).alias("i"), C.quality_score(F.col("clip"), F.lit(None), F.lit(None), F.col("t"), F.col("d")).alias("q"), C.guess_style(F.lit("走开！ ")).alias("s")).first()
