@@ -185,18 +185,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = p - 5 * (agree * (1 - agree) / MINIMA) ** 0.5 / 0.75
     drawn = store(sketch(docs, k), "sketch")
     classes = store(drawn.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = hold(drawn.join(classes, ["d1", "d2", "n"]).filter("doc_id = rep").select("rep", "bands", "sig"))
-    if reps.count() > reps.select("rep").distinct().count():  # repeated rows
-        reps = hold(reps.dropDuplicates(["rep"]))
+    held = hold(drawn.join(classes, ["d1", "d2", "n"]).filter("doc_id = rep").select("rep", "bands", "sig"))
+    repeats = held.count() > held.select("rep").distinct().count()  # of rows
+    reps = held.dropDuplicates(["rep"]) if repeats else held
     banded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").hint("rebalance")  # else the join below could not split a hot key
     shared = hold(banded.join(buckets, "key"))
     wanted = hold(shared.select(F.col("rep").alias("doc_id")).distinct())
     few = _checked(wanted)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
-    near = hold(reps.join(shingle_sets(whole, k).select(F.col("doc_id").alias("rep"), "members"), "rep"))
-    if near.count() > wanted.count():  # repeated rows
-        near = hold(near.dropDuplicates(["rep"]))
+    near = reps.join(shingle_sets(whole, k).select(F.col("doc_id").alias("rep"), "members"), "rep")
+    near = hold(near.dropDuplicates(["rep"]) if repeats else near)
+    near.count()
+    release(held, wanted)
     sets = near.select(F.col("rep").alias("doc_id"), "members")
     a, b = near.select(F.col("rep").alias("a"), F.col("sig").alias("s")), near.select(F.col("rep").alias("b"), F.col("sig").alias("t"))
     star = shared.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     second = connected(_across(open_, near, least, percent))
     found = first.select("id", F.col("component").alias("c")).unionByName(near.select(F.col("rep").alias("id"), F.col("rep").alias("c")).join(first, "id", "left_anti"))
     found = store(found.join(second.select(F.col("id").alias("c"), "component"), "c", "left").select("id", F.coalesce("component", "c").alias("component")), "components")
-    release(reps, shared, wanted, near, likely, open_)
+    release(shared, near, likely, open_)
     ids = drawn.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     return ids.join(found, ids.rep == found.id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
