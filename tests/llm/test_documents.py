@@ -264,6 +264,19 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [20, 200])
+def test_html_copies_of_an_article_stay(spark, n):
+    body = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4)]
+    near = [(i, "http://mirror.example/%d" % i, f"<nav>Home</nav><article><h1>Copy {i}</h1>" + "".join(f"<p>{b}</p>" for b in body) + "</article>") for i in range(n)]
+    same = [(1000 + i, "http://mirror.example/%d" % i, "<article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>") for i in range(n)]
+    lead = [(2000 + i, "http://lead.example/%d" % i, f"<main><p>{body[0]}</p><p>{'own ' * 20}{i}</p></main>") for i in range(n)]
+    bare = [(3000 + i, "http://bare.example/%d" % i, "".join(f"<p>{b}</p>" for b in body)) for i in range(n)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(near + same + lead + bare, "page_id long, url string, html string")).collect()}
+    for i in range(n):
+        assert got[i] == "\n\n".join([f"Copy {i}", *body]) and got[1000 + i] == got[3000 + i] == "\n\n".join(body)
+        assert got[2000 + i] == f"{body[0]}\n\n{'own ' * 20}{i}"
+
+
 def test_repeated_runs():
     a, b = "x y z one two three four".split(), "one two three four five".split()
     got = html_text.repeated([1, 2], [a, b], 4)
