@@ -214,10 +214,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return ids.join(found, ids.rep == found.id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its distinct (doc_id, text) apart: doc_id, where it does so, else a new one.
+
+    The smallest text digest of an id keeps the id; further texts of it, and all texts without an id, get numbers above every id, stored once so that they don't change.
+    """
+    digest = F.coalesce(F.md5("text"), F.lit("")).alias("_digest")
+    keys = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest).distinct(), "keys")
+    own = keys.groupBy("doc_id").agg(F.min("_digest").alias("own"), F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL OR n > 1")
+    odd = store(own.withColumn("own", F.when(F.col("doc_id").isNotNull(), F.col("own"))), "odd")
+    if odd.isEmpty():
+        return docs, "doc_id"
+    top = keys.agg(F.max("doc_id")).first()[0] or 0
+    # Ids are null-safe keys in both joins: null is one more key, dealt by digest in the second.
+    more = keys.join(odd.select(F.col("doc_id").alias("_of"), "own"), F.col("doc_id").eqNullSafe(F.col("_of"))).filter("own IS NULL OR _digest <> own")
+    more = store(more.select("_of", F.col("_digest").alias("_with"), (F.monotonically_increasing_id() + (max(top, 0) + 1)).alias("_new")), "numbers")
+    placed = docs.select("*", digest).join(_checked(more), F.col("_digest").eqNullSafe(F.col("_with")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
+    return store(placed.select(*docs.columns, F.coalesce("_new", F.col("doc_id").cast("long")).alias("_number")), "numbered"), "_number"
+
+
 def without_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, and one row of each doc_id where rows repeat."""
-    found = store(near_duplicates(docs, k, percent).select("doc_id", "kept"), "kept")
-    gone = store(found.filter("not kept").select("doc_id").distinct(), "gone")
-    rest = docs.join(_checked(gone), docs.doc_id == gone.doc_id, "left_anti")
+    """The rows of ``docs`` that stay: one document of each group, and one row of each (doc_id, text) where rows repeat.
+
+    A document is a distinct pair of doc_id and text: texts that share an id are compared like any others and don't go with it, and
+    texts without an id, or beyond the first of an id, give way to those with an id that are near to them. Blank texts link with nothing.
+    """
+    rows, key = _numbered(docs)
+    found = store(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), k, percent).select("doc_id", "kept"), "kept")
+    gone = store(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    rest = rows.join(_checked(gone), F.col(key) == F.col("_gone"), "left_anti")
     stay = found.filter("kept")
-    return rest.dropDuplicates(["doc_id"]) if stay.count() > stay.distinct().count() else rest
+    return (rest.dropDuplicates([key]) if stay.count() > stay.distinct().count() else rest).select(docs.columns)

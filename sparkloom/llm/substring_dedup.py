@@ -48,31 +48,31 @@ def units(text: str) -> list[tuple[int, int, bytes, int]]:
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, until, digest, words) of all units of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, start, until, digest, words) of all units of ``docs`` (doc_id, text); text_hash tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                found = [(i, *u) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for u in units(t or "")]
-                i, a, b, d, n = zip(*found, strict=True) if found else ((),) * 5
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(d, pa.binary()), pa.array(n, pa.int32())], names=["doc_id", "start", "until", "digest", "words"])
+                found = [(i, h, *u) for i, t, h in zip(*(c.to_pylist() for c in part.columns), strict=True) for u in units(t or "")]
+                i, h, a, b, d, n = zip(*found, strict=True) if found else ((),) * 6
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(d, pa.binary()), pa.array(n, pa.int32())], names=["doc_id", "text_hash", "start", "until", "digest", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, until int, digest binary, words int")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, start int, until int, digest binary, words int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed array<struct<start, until>>) of the documents that lose something.
+    """(doc_id, text_hash, removed array<struct<start, until>>) of the documents that lose something.
 
-    A digest's occurrences are ranked by doc_id, then offset; the first stays and the others go. Counting is a map-side aggregate, and
+    A digest's occurrences are ranked by doc_id (null first), then text_hash, then offset; the first stays and the others go. Counting is a map-side aggregate, and
     only digests that occur again are joined back, dealt anew (the rebalance hint) so that both sides of the join come from shuffles of its own:
     a line that a third of all rows hold costs a partial sum a task and a join that Spark can split. A unit whose every rank is earliest stays even where a line around it goes elsewhere.
     """
     all_units = unit_table(docs)
-    first = F.struct("doc_id", "start", "until")
+    first = F.struct("doc_id", "text_hash", "start", "until")
     again = all_units.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n").hint("rebalance")
-    later = all_units.drop("words").join(again, "digest").filter(F.struct("doc_id", "start", "until") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "until"))).alias("removed"))
+    later = all_units.drop("words").join(again, "digest").filter(F.struct("doc_id", "text_hash", "start", "until") != F.col("first"))
+    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "until"))).alias("removed"))
 
 
 def _cut(text: str, spans: list[dict]) -> tuple[str, list[dict], int]:
@@ -97,13 +97,13 @@ def _cut(text: str, spans: list[dict]) -> tuple[str, list[dict], int]:
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``text`` cut, and removed (spans of the original text in code points) and n_removed_chars.
 
-    Null texts stay null and empty ones empty, with no spans. Rows that share a doc_id are taken as repeats of one document: each loses the
-    spans found for that id, so repeated rows stay equal to one another. Nothing is capped; an empty table gives none. Columns of ``docs``
+    Null texts stay null and empty ones empty, with no spans. Rows that share doc_id (or its lack) and text are taken as repeats of one document: each loses the
+    spans found for it, so repeated rows stay equal to one another. Nothing is capped; an empty table gives none. Columns of ``docs``
     named like a result column are replaced.
     """
     names = [c for c in docs.columns if c not in ("removed", "n_removed_chars")]
-    spans = repeated_spans(docs).withColumnRenamed("doc_id", "_id")
-    joined = docs.select(*names).join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    spans = repeated_spans(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    joined = docs.select(*names).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,3 +46,23 @@ def test_one_row(spark, tmp_path, name):
     for n, query in queries.queries().items():
         if n.split("_")[0] in want:
             assert query(spark, place).count() == 1, n
+
+
+def test_texts_without_an_id_or_with_a_shared_one_stay(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(20)) + "." for w in ("alpha", "beta", "gamma", "delta"))
+    near = four.replace("delta19.", "delta19 more.")
+    rows = [(None, one), (None, one), (None, two), (None, three), (5, three), (5, four), (5, four), (5, f"{two} tail of its own"), (9, near), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, 1) for i, t in rows], DOCS)
+    stay = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
+    got = [(r.doc_id, r.text) for r in stay.collect()]
+    assert stay.columns == docs.columns and len(got) == len(set(got)) == 6
+    assert {(None, one), (None, None), (7, "")} <= set(got) and sum(t == three for _, t in got) == 1
+    assert sum(t == four or t == near for _, t in got) == 1 and sum((t or "").startswith(two[:-1]) for _, t in got) == 1
+
+
+def test_spans_of_texts_that_share_an_id(spark):
+    line, other = "a line that stands in two of the texts", "words that only one of the texts has in it"
+    rows = [(None, f"{other} 1\n{line}"), (None, f"x\n{line}\n{other} 2"), (5, f"{other} 3\n{line}"), (5, f"{other} 4 of the same id")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, 1) for i, t in rows], DOCS)
+    got = [r.text for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()]
+    assert sum(line in t for t in got) == 1 and all(sum(f"{other} {i}" in t for t in got) == 1 for i in (1, 2, 3, 4))
