@@ -281,21 +281,8 @@ def test_html_counts_are_of_the_whole_host(spark):
     line = "this line of the site stands on five of its many pages"
     rows = [(i, "http://hot.example/%d" % i, f"<p>{'' if i % 40 else line}</p><p>own words of page number {i} and nothing that any other page says</p>".replace("own", f"own{i}").replace("nothing", f"nothing{i}")) for i in range(200)]
     pages = spark.createDataFrame([*rows, *rows[:50]], "page_id long, url string, html string")
-    for group in (8, 64, 1000):
-        got = html_text.extract(pages, group=group).collect()
+    for group in (1000, 8000, 600_000):
+        got = html_text.extract(pages, group_chars=group).collect()
         assert len(got) == 250 and all(r.text == f"own{r.page_id} words of page number {r.page_id} and nothing{r.page_id} that any other page says" for r in got), group
-    four = html_text.extract(pages.filter("page_id IN (0, 40, 1)"), group=1).collect()  # two texts have the line, on four rows
+    four = html_text.extract(pages.filter("page_id IN (0, 40, 1)"), group_chars=1).collect()  # two texts have the line, on four rows
     assert sum(line in r.text for r in four) == 4
-
-
-def test_repeated_runs():
-    a, b = "x y z one two three four".split(), "one two three four five".split()
-    got = html_text.repeated([1, 2], [a, b], 4)
-    assert got[0].tolist() == [1, 1, 1, 2, 2, 2, 2] and got[1].tolist() == [2, 2, 2, 2, 1]
-    assert html_text.repeated([1, 1], [a, a], 4)[0].max() == 1  # one page twice is one page
-
-
-def test_repeated_runs_of_few_tokens():
-    assert [x.tolist() for x in html_text.repeated([1, 2], [["a"], []], 8)] == [[1], []]
-    assert [x.tolist() for x in html_text.repeated([1, 2, 3], [["a", "b"], ["a", "b"], ["c"]], 8)] == [[1, 1], [1, 1], [1]]
-    assert html_text.repeated([], [], 8) == []
