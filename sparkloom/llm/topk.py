@@ -6,12 +6,14 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 64
+from sparkloom.llm._store import store
+
+LEAF = 256
+NO_FLOOR = -(2**62)
 
 
 def usable(vector: Column) -> Column:
@@ -49,7 +51,7 @@ class Tree:
         """For each query the best (score, -id) here, at most ``k``, that reach its ``floor`` score. No box's product with a query exceeds the sum of the larger
         of its ends' products by component; the box with the largest bound is opened next, and a bound below the kth score so far ends the walk (equal
         bounds are opened, as a smaller id wins a tie)."""
-        for q, (query, me) in enumerate(zip(queries, own, strict=True)):
+        for q, (query, me) in enumerate(zip(queries.astype(np.int64), own, strict=True)):
             bound = np.maximum(self.low * query, self.high * query).sum(axis=1)
             best: list[tuple[int, int]] = []
             least = int(floor[q])
@@ -76,68 +78,160 @@ class Tree:
             yield q, best
 
 
-def _packed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64)
+def _top(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
+    """Axis and value of the median splits of the first ``depth`` levels of a KD-tree over ``sample``, in heap order."""
+    splits = [(0, 0)] * (2**depth - 1)
+    held = {0: sample}
+    for node in range(2**depth - 1):
+        x = held.pop(node)
+        axis = int((x.max(axis=0) - x.min(axis=0)).argmax()) if len(x) else 0
+        value = int(np.median(x[:, axis])) if len(x) else 0
+        splits[node] = (axis, value)
+        left = x[:, axis] <= value if len(x) else np.zeros(0, bool)
+        held |= {2 * node + 1: x[left], 2 * node + 2: x[~left]}
+    return splits
 
 
-def _searched(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best ``k`` of each query in each shard it meets. Both sides have block and shard columns."""
+def _leaves(x: np.ndarray, splits: list[tuple[int, int]], depth: int) -> np.ndarray:
+    """The leaf, numbered from the left, that each row of ``x`` falls into."""
+    axes, values = (np.array(z, np.int64) for z in zip(*splits, strict=True)) if splits else (np.zeros(1, np.int64),) * 2
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(depth):
+        node = 2 * node + 1 + (x[rows, axes[node]] > values[node])
+    return node - (2**depth - 1)
 
-    def run(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(asked):
-            tree = Tree(*_packed(rows))
-            own, vectors = _packed(asked)
-            for q, best in tree.search(vectors, own, k, asked["floor"].to_numpy(np.int64)):
-                out += [(int(own[q]), -i, s) for s, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    return shards.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy().reshape(len(values), -1).astype(np.int32)
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` by score, ties to the smaller id. What meets is at most ``k`` a shard, in practice the few that reach the floor."""
-    kept = F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("vec_id")).alias("minus"))), asc=False), 1, k)
-    return found.groupBy("query_id").agg(kept.alias("best"))
+def _placed(rows: DataFrame, splits: dict[int, list[tuple[int, int]]], depth: int) -> DataFrame:
+    """(vec_id, dim, leaf, v): the leaf of each row in the tree of its length; lengths that the sample lacks have one leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, leaf = batch.column(1).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for dim in np.unique(dims):
+                if dim in splits:
+                    at = np.flatnonzero(dims == dim)
+                    leaf[at] = _leaves(_matrix(pa.chunked_array([batch.column(2).take(pa.array(at))])), splits[dim], depth)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int32()), batch.column(2)], names=["vec_id", "dim", "leaf", "v"])
+
+    return rows.select("vec_id", "dim", "v").mapInArrow(run, "vec_id long, dim int, leaf int, v array<int>")
+
+
+def _gathered(placed: DataFrame, shift: int, most: int, name: str) -> DataFrame:
+    """Rows in packs of about ``most``, one row a pack: dim, ``name`` (a number), the leaf it begins with, ids, vectors and the tight box as bytes.
+
+    A pack holds the rows of 2 ** ``shift`` neighbouring leaves; those of more than ``most`` rows, such as a leaf of very many equal vectors, are dealt to several.
+    """
+    place = placed.withColumn("leaf", F.shiftright("leaf", shift)).withColumn("_row", F.monotonically_increasing_id())  # tells repeated rows apart
+    sizes = place.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).hint("rebalance")
+    dealt = place.join(sizes, ["dim", "leaf"]).withColumn("sub", F.pmod(F.xxhash64("_row"), "parts").cast("int"))
 
+    def pack(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("v"))
+        first = lambda c: t.column(c)[:1]
+        raw = lambda a: pa.array([a.tobytes()], pa.binary())
+        return pa.table({"dim": first("dim"), "leaf": first("leaf"), "sub": first("sub"), "ids": raw(t.column("vec_id").to_numpy()), "rows": raw(x), "low": raw(x.min(axis=0)), "high": raw(x.max(axis=0))})
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of ``queries`` its ``k`` rows of ``vectors`` (both vec_id, embedding) of highest inner product, other than itself.
+    shape = "dim int, leaf int, sub int, ids binary, rows binary, low binary, high binary"
+    packs = dealt.select("dim", "leaf", "sub", "vec_id", "v").groupBy("dim", "leaf", "sub").applyInArrow(pack, shape)
+    return store(packs.withColumn(name, F.concat_ws("/", "dim", "leaf", "sub")), name)
 
-    Components become floor(``scale`` * x). Rows are dealt by a hash of vec_id to shards of about ``shard_rows`` and queries to blocks of about
-    ``block_rows``; every block meets every shard, in two passes: first each block meets one shard, whose kth score is a floor for
-    the query everywhere else (a score below it cannot be among the first k), then the other shards. A task holds one shard and one block. What is shuffled grows with rows times blocks, as the
-    scores do; nothing is broadcast or collected but two counts.
+
+def _ints(x: pa.Scalar, dim: int) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.int32).reshape(-1, dim)
+
+
+def _searched(pairs: DataFrame, shards: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_id, q, vec_id, score): the best ``k`` of each query in each shard of ``pairs`` (block, shard). ``q`` is the query's place in its block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        dim, block = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
+        ids = lambda name: np.frombuffer(t.column(name)[0].as_buffer(), np.int64)
+        tree, own = Tree(ids("shard_ids"), _ints(t.column("shard_rows")[0], dim)), ids("ids")
+        floor = t.column("floors").combine_chunks().flatten().to_numpy()
+        found = tree.search(_ints(t.column("rows")[0], dim), own, k, floor)
+        out = [(block, q, int(own[q]), -i, s) for q, best in found for s, i in best]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["block", "q", "query_id", "vec_id", "score"])
+
+    packs = pairs.join(shards.select("shard", F.col("ids").alias("shard_ids"), F.col("rows").alias("shard_rows")), "shard")
+    met = packs.join(blocks.select("block", "dim", "ids", "rows", "floors"), "block")
+    return met.groupBy("block", "shard").applyInArrow(run, "block string, q int, query_id long, vec_id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` by score, ties to the smaller id. What meets is at most ``k`` a shard, in practice the few that reach the floor."""
+    kept = F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("vec_id")).alias("minus"))), asc=False), 1, k)
+    return found.groupBy("block", "q", "query_id").agg(kept.alias("best"))
+
+
+def _reached(shards: DataFrame, blocks: DataFrame, chunk_rows: int = 1024) -> DataFrame:
+    """The pairs (block, shard) in which the bound of the shard's box reaches the floor of a query of the block. Boxes, no rows, meet the blocks, in chunks."""
+    chunks = max(1, -(-shards.count() // chunk_rows))
+    numbered = F.pmod(F.xxhash64("block"), F.lit(max(1, blocks.count()))).cast("int").alias("nth")
+
+    def run(asked: pa.Table, boxes: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and boxes.num_rows:
+            dim = asked.column("dim")[0].as_py()
+            low, high = (np.concatenate([_ints(b, dim) for b in boxes.column(c)]).astype(np.float64) for c in ("low", "high"))
+            for row in range(asked.num_rows):
+                x = _ints(asked.column("rows")[row], dim).astype(np.float64)  # exact: products below 2 ** 44, sums below 2 ** 53 up to 512 components
+                floor = asked.column("floors")[row].values.to_numpy()
+                slack = 0 if dim <= 512 else dim  # beyond that sums can be rounded
+                hit = (np.maximum(x, 0) @ high.T + np.minimum(x, 0) @ low.T + slack >= floor[:, None]).any(axis=0)
+                block = asked.column("block")[row].as_py()
+                out += [(block, s) for s, h in zip(boxes.column("shard").to_pylist(), hit, strict=True) if h]
+        b, s = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"block": pa.array(b, pa.string()), "shard": pa.array(s, pa.string())})
+
+    asked = blocks.select("dim", "block", "rows", "floors", numbered).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    boxes = shards.select("dim", "shard", "low", "high", F.pmod(F.xxhash64("shard"), F.lit(chunks)).cast("int").alias("chunk"))
+    boxes = boxes.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks.count()) - 1))))
+    met = asked.groupBy("dim", "nth", "chunk").cogroup(boxes.groupBy("dim", "nth", "chunk"))
+    return met.applyInArrow(run, "block string, shard string")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, shard_rows: int = 4096, block_rows: int = 4096, sample: int = 20_000) -> DataFrame:
+    """query_id, rank, vec_id, score: for each distinct row of ``queries`` its ``k`` rows of ``vectors`` (both vec_id, embedding) of highest inner product, other than itself.
+
+    Components become floor(``scale`` * x). Rows are dealt by space: the first levels of a KD-tree, split at the medians of at most ``sample`` rows (about 4 MB on the driver),
+    give leaves of about ``shard_rows`` rows, and every row goes to the shard of its leaf; queries go to blocks of neighbouring leaves in the same way. First each block meets the
+    shard at its own place, whose kth score is a floor for the query everywhere (a score below it cannot be among the first k). Then the boxes of all shards meet the blocks, and a
+    block meets the shards whose box bound reaches a floor of its queries: inside, a KD-tree is walked best first. The sample decides places only; every row is in a shard and
+    the result is exact. A task holds one shard and one block, packed as bytes; what is shuffled is a shard a pair that the bounds leave, at worst rows times blocks.
 
     Vectors that are null, empty or hold null or non-finite components, and rows without a vec_id, take no part, as row or query; vectors of another length
     than a query are no candidates of it. Components beyond 2 ** 22 in size could overflow 64 bits and make the query fail. Fewer than ``k`` candidates give fewer rows.
-    Repeated rows are candidates each, except for a query of the same vec_id. Other columns are ignored; an empty table gives none.
+    Repeated query rows are one query; two vectors of one vec_id are two. Repeated rows are candidates each, except for a query of the same vec_id. Other columns are ignored; an empty table gives none.
     """
     ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     kept = lambda t: t.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), ints.alias("v"), F.size("embedding").alias("dim"))
     fits = F.assert_true(F.forall("v", lambda x: F.abs(x) < 2**22), F.lit("components are too large"))
-    rows, asked = (kept(t).filter(fits.isNull()) for t in (vectors, queries))
-    n, m = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    deal = lambda parts, *salt: F.pmod(F.xxhash64("vec_id", *salt), F.lit(parts)).cast("int")
-    numbers = lambda parts: F.sequence(F.lit(0), F.lit(parts - 1))
-    rows = rows.withColumn("part", deal(shards))
-    asked = asked.withColumn("b", deal(blocks, F.lit(1)))  # of one type on both sides of a cogroup, or equal keys would be dealt apart
-    name = lambda part: F.concat_ws("/", F.col("dim"), part)
-    first = _best(
-        _searched(
-            rows.join(asked.select("b", (F.col("b") % shards).alias("part")).distinct(), "part").select("vec_id", "v", name(F.col("part")).alias("shard"), F.col("b").alias("block")),
-            asked.select("vec_id", "v", name(F.col("b") % shards).alias("shard"), F.col("b").alias("block"), F.lit(-(2**62)).alias("floor")),
-            k,
-        ),
-        k,
-    )
-    floor = F.when(F.size("best") == k, F.element_at("best", k)["score"]).otherwise(F.lit(-(2**62)))
-    known = asked.join(first.select(F.col("query_id").alias("vec_id"), floor.alias("floor")), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(2**62))))
-    rest = _searched(
-        rows.withColumn("block", F.explode(numbers(blocks))).select("vec_id", "v", name(F.col("part")).alias("shard"), "block"),
-        known.withColumn("part", F.explode(numbers(shards))).select("vec_id", "v", name(F.col("part")).alias("shard"), F.col("b").alias("block"), "floor"),
-        k,
-    )
-    ranked = _best(rest, k).select("query_id", F.posexplode("best").alias("pos", "hit"))
+    narrow = lambda t: t.filter(fits.isNull()).withColumn("v", F.transform("v", lambda x: x.cast("int")))
+    rows, asked = narrow(kept(vectors)), narrow(kept(queries)).distinct()
+    n = rows.count()
+    depth = min(max(0, (n - 1) // shard_rows).bit_length(), 12)
+    drawn = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, n // sample))) == 0).limit(sample).select("dim", "v").collect() if depth else []
+    by_dim: dict[int, list] = {}
+    for r in drawn:
+        by_dim.setdefault(r.dim, []).append(r.v)
+    splits = {dim: _top(np.array(x), depth) for dim, x in by_dim.items()}
+    wide = min(depth, max(0, (asked.count() - 1) // block_rows).bit_length())
+    shards = _gathered(_placed(rows, splits, depth), 0, shard_rows, "shard")
+    blocks = _gathered(_placed(asked, splits, depth), depth - wide, block_rows, "block")
+    size = (F.octet_length("ids") / 8).cast("int")
+    open_ = blocks.withColumn("floors", F.array_repeat(F.lit(NO_FLOOR), size))
+    home = shards.groupBy("dim", F.shiftright("leaf", depth - wide).alias("leaf")).agg(F.min("shard").alias("shard"))
+    first = _best(_searched(blocks.join(home, ["dim", "leaf"]).select("block", "shard"), shards, open_, k), k)
+    floor = F.when(F.size("best") == k, F.element_at("best", k)["score"]).otherwise(F.lit(NO_FLOOR))
+    floors = first.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("q", floor))).alias("found"))
+    every = F.transform(F.sequence(F.lit(0), size - 1), lambda q: F.coalesce(F.element_at("found", q), F.lit(NO_FLOOR)))
+    known = store(blocks.join(floors, "block", "left").withColumn("floors", every).drop("found"), "blocks")
+    ranked = _best(_searched(_reached(shards, known), shards, known, k), k).select("query_id", F.posexplode("best").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), (-F.col("hit.minus")).alias("vec_id"), F.col("hit.score").alias("score"))

@@ -27,6 +27,15 @@ def test_top_k(spark):
         best = sorted(((-int(ints[q] @ v), i) for i, v in ints.items() if i != q))[:5]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert got == want
+    twice = table.unionByName(table.filter("vec_id IN (50, 100, 150)"))  # repeated queries are one query, and candidates each
+    more = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(twice, twice.filter("vec_id % 50 = 0"), shard_rows=60, block_rows=3).collect())
+    again = []
+    for q in sorted(i for i in ints if i % 50 == 0):
+        best = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q for _ in range(2 if i in (50, 100, 150) else 1))[:5]
+        again += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert more == again
+    two = table.filter("vec_id < 20").unionByName(spark.createDataFrame([(50, [1.0] * 8, 0, "x"), (50, [-1.0] * 8, 0, "x")], table.schema))
+    assert topk.top_k(two, two.filter("vec_id = 50")).count() == 10  # two vectors of one id are two queries
     few = table.filter("vec_id IN (50, 51)")
     assert [tuple(r)[:3] for r in topk.top_k(few, few.filter("vec_id = 50")).collect()] == [(50, 1, 51)]
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
@@ -59,3 +68,20 @@ def test_embedding_links(spark):
 def test_repeated_vectors_link(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1)], SCHEMA)
     assert sorted((r.vec_id, r.n_links) for r in embedding_dedup.linked(table).collect()) == [(1, 1), (1, 1), (2, 0)]
+
+
+def test_top_k_of_separate_clusters_meets_few_shards(spark):
+    rng = np.random.default_rng(3)
+    centre = 4 * rng.standard_normal((16, 8))
+    rows = [(i, [float(v) for v in centre[i % 16] + 0.05 * rng.standard_normal(8)], 0) for i in range(3200)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in topk.top_k(table, table.filter("vec_id % 50 = 0"), shard_rows=200, block_rows=10).collect())
+    x = np.floor(256 * np.array([r[1] for r in rows])).astype(np.int64)
+    want = []
+    for q in range(0, 3200, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:5]
+        want += [(q, k, i) for k, (_, i) in enumerate(best, 1)]
+    assert got == want
+    same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(500)], SCHEMA)  # one leaf of equal vectors is dealt to several shards
+    got = topk.top_k(same, same.filter("vec_id % 50 = 0"), shard_rows=50, block_rows=3).collect()
+    assert len(got) == 50 and all(r.vec_id == r["rank"] - 1 + (r["rank"] > r.query_id) for r in got if r.query_id in (0, 50))
