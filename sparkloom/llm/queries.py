@@ -86,7 +86,7 @@ FROM embeddings m LEFT JOIN low l ON m.vec_id = l.a LEFT JOIN deg d ON m.vec_id
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS r FROM documents),
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h, md5(coalesce(text, '')) AS t FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(source_size * 3) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)::DOUBLE
@@ -95,7 +95,7 @@ l AS (SELECT *, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(source_size *
 c AS (SELECT *, source_size * 3 < weight * level AS clamped FROM l),
 t AS (SELECT source, source_size, CASE WHEN clamped THEN (source_size * 3)::DOUBLE ELSE weight * max(level) FILTER (WHERE NOT clamped) OVER () END AS target FROM c),
 e AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 1 END AS whole,
-    sum(size) OVER (PARTITION BY d.source ORDER BY r % 256, r, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle
+    sum(size) OVER (PARTITION BY d.source ORDER BY substr(h, 12, 2), h, t ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (whole + (middle < target - whole * source_size AND whole < 3)::BIGINT))::BIGINT AS taken FROM e"""
 

@@ -87,9 +87,9 @@ def mixed(docs):
         active = active - over if over else set()
     out = []
     for s in names:
-        rank = lambda d: int(hashlib.md5(f"mix-1:{d['doc_id']}".encode()).hexdigest()[:13], 16)
+        rank = lambda d: hashlib.md5(f"mix-1:{d['doc_id']}".encode()).hexdigest()
         whole, at = int(target[s] // total[s]), 0
-        for d in sorted((d for d in docs if d["source"] == s), key=lambda d: (rank(d) % 256, rank(d), d["doc_id"])):
+        for d in sorted((d for d in docs if d["source"] == s), key=lambda d: (rank(d)[11:13], rank(d), d["doc_id"])):
             at += size(d)
             more = at - size(d) / 2 < target[s] - whole * total[s] and whole < 3
             out += [d] * (whole + more)
