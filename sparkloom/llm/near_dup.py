@@ -44,6 +44,21 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return mix((rows * _BAND).sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def digests(x: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two digests of a set of shingle hashes; with its size they tell sets apart."""
+    return mix(x ^ U(0xA5A5A5A5A5A5A5A5)).sum(), mix(x + U(0x1234567812345677)).sum()
+
+
+def _longs(values: list) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of one length as a list column."""
+    ends = np.arange(0, sum(map(len, arrays)) + 1, len(arrays[0]), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
 def sketch(docs: DataFrame, k: int, bits: int = 2) -> DataFrame:
     """(doc_id, n shingles, two digests of the set, band keys, signature) of each document."""
 
@@ -51,30 +66,31 @@ def sketch(docs: DataFrame, k: int, bits: int = 2) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for first, part in chunks(batch.column(1).to_pylist()):
-                n, d1, d2, bands, sig = [], [], [], [], []
+                n, both, bands, sig = [], [], [], []
                 for x in shingles(part, k):
                     low = minima(x)
                     n.append(len(x))
-                    d1.append(mix(x ^ U(0xA5A5A5A5A5A5A5A5)).sum())
-                    d2.append(mix(x + U(0x1234567812345677)).sum())
+                    both.append(digests(x))
                     bands.append(band_keys(low))
                     sig.append(packed(low, bits))
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, sum(map(len, x)) + 1, len(x[0]), dtype=np.int32)), pa.array(np.concatenate(x)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(part)), pa.array(n, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), lists(bands), lists(sig)], names=["doc_id", "n", "d1", "d2", "bands", "sig"])
+                columns = [ids.slice(first, len(part)), pa.array(n, pa.int64()), _longs([d for d, _ in both]), _longs([d for _, d in both]), _lists(bands), _lists(sig)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "bands", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, the whole sorted set as 8-byte integers)."""
+    """(n, d1, d2, members): the size and digests of each set, and the whole sorted set as 8-byte integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, part in chunks(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(part)), pa.array([x.tobytes() for x in shingles(part, k)], pa.binary())], names=["doc_id", "members"])
+            for _, part in chunks(batch.column(0).to_pylist()):
+                sets = list(shingles(part, k))
+                both = [digests(x) for x in sets]
+                columns = [pa.array([len(x) for x in sets], pa.int64()), _longs([d for d, _ in both]), _longs([d for _, d in both]), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["n", "d1", "d2", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members binary")
+    return docs.select("text").mapInArrow(run, "n long, d1 long, d2 long, members binary")
 
 
 def estimate(a: Column, b: Column, bits: int = 2) -> Column:
@@ -109,37 +125,65 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            sets_ = ((np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(batch.column(2), batch.column(3), strict=True))
+            keep = [_linked(x, y, percent) for x, y in sets_]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
     small = pairs.count() <= SMALL
     mark = F.broadcast if small else lambda t: t
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")).join(mark(pairs), "b")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")).join(mark(pairs.select("a").distinct()), "a", "left_semi")
+    right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y")).join(mark(pairs), "b")
+    left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")).join(mark(pairs.select("a").distinct()), "a", "left_semi")
     return right.join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").filter("linked").select("a", "b").distinct()
 
 
+def _agree(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of one signature with others, as in ``estimate``."""
+    half = MINIMA // 64
+    x = others ^ sig
+    equal = 1 - np.bitwise_count((x[:, :half] | x[:, half:]).view(np.uint64)).sum(axis=1) / MINIMA
+    return (equal - 0.25) / 0.75
+
+
+def _matrix(t: pa.Table, name: str, width: int) -> np.ndarray:
+    return t.column(name).combine_chunks().flatten().to_numpy().reshape(-1, width)
+
+
+def _likely(t: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """In one pair of blocks: each member of the lower block and those after it, of other components, that it is likely near to."""
+    sig, component, side = _matrix(t, "sig", 2 * MINIMA // 64), t.column("component").to_numpy(), t.column("mine").to_numpy()
+    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    right = np.flatnonzero(side == hi)
+    for i in np.flatnonzero(side == lo):
+        others = right[right > i] if lo == hi else right
+        others = others[component[others] != component[i]]
+        others = others[_agree(sig[i], sig[others]) >= least]
+        if len(others):
+            yield int(i), others
+
+
 def _across(open_: DataFrame, near: DataFrame, least: float, percent: int, block: int = 1024) -> DataFrame:
-    """(u, v): components of ``open_`` (key, rep, component) that a linked pair in one bucket joins, all such pairs tested. ``near`` has rep, bands, sig, members.
+    """(u, v): components of ``open_`` (key, cls, component) that a linked pair in one bucket joins, all such pairs tested. ``near`` has cls, bands, sig, members.
 
-    A bucket's members are dealt to blocks, and a task compares two blocks: signatures as bit matrices, then the full sets of the likely pairs
-    of different components whose first common band is the bucket's. Only joins of components are returned, no pairs.
+    A bucket's members are dealt to blocks, and a task compares two blocks. First signatures alone, as bit matrices, tell which members have a likely partner of another component in
+    a pair of blocks; only these members' sets go to that pair of blocks, where the full sets decide, each pair in the first band that it shares. Only joins of components are returned, no pairs.
     """
     parts = F.ceil(F.col("n") / block).cast("int")
     counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).hint("rebalance")
-    met = (
-        open_.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("rep", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", "rep", "component", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-        .join(near, "rep")
-    )
+    dealt = open_.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("cls", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = dealt.select("key", "cls", "component", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    names = ["key", "cls", "component", "mine", "lo", "hi"]
+
+    def flag(t: pa.Table) -> pa.Table:
+        hit = np.zeros(t.num_rows, bool)
+        for i, others in _likely(t, least):
+            hit[i] = True
+            hit[others] = True
+        return t.select(names).filter(pa.array(hit))
 
     def compare(t: pa.Table) -> pa.Table:
-        lists = lambda name, n: t.column(name).combine_chunks().flatten().to_numpy().reshape(-1, n)
-        sig, bands, component, side = lists("sig", 2 * MINIMA // 64), lists("bands", BANDS), t.column("component").to_numpy(), t.column("mine").to_numpy()
+        bands, cls, component = _matrix(t, "bands", BANDS), t.column("cls").to_numpy(), t.column("component").to_numpy()
         sets_ = [np.frombuffer(x.as_buffer(), U) for x in t.column("members")]
-        lo, hi, key = (t.column(c)[0].as_py() for c in ("lo", "hi", "key"))
-        band = int((bands[0] == key).argmax())
-        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        band = int((bands[0] == t.column("key")[0].as_py()).argmax())
         joined: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -148,23 +192,18 @@ def _across(open_: DataFrame, near: DataFrame, least: float, percent: int, block
             return c
 
         out = []
-        half = MINIMA // 64
-        for i in left:
-            others = right[(right > i) if lo == hi else slice(None)]
-            others = others[component[others] != component[i]]
-            x = sig[others] ^ sig[i]
-            equal = 1 - np.bitwise_count((x[:, :half] | x[:, half:]).view(np.uint64)).sum(axis=1) / MINIMA
-            others = others[(equal - 0.25) / 0.75 >= least]
-            others = others[(bands[others] == bands[i]).argmax(axis=1) == band]
-            for j in others:
+        for i, others in _likely(t, least):
+            for j in others[(bands[others] == bands[i]).argmax(axis=1) == band]:
                 a, b = root(int(component[i])), root(int(component[j]))
-                if a != b and _linked(sets_[i], sets_[j], percent):
+                if a != b and cls[i] != cls[j] and _linked(sets_[i], sets_[j], percent):
                     joined[max(a, b)] = min(a, b)
                     out.append((max(a, b), min(a, b)))
         u, v = zip(*out, strict=True) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return met.groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
+    shape = "key long, cls long, component long, mine int, lo int, hi int"
+    some = met.join(near.select("cls", "sig"), "cls").groupBy("key", "lo", "hi").applyInArrow(flag, shape)
+    return some.join(near, "cls").groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -178,40 +217,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     document itself.
 
     Null, empty and blank texts have no shingles and link with nothing. Repeated rows (same doc_id and text) share one class and
-    all get its component. An empty table gives no rows; other columns are ignored.
+    all get its component. Texts that share a doc_id are classes of their own: each row gets the component of its text, and no link of any of them is lost; a class of rows without
+    a doc_id has the null id where it reaches no other. An empty table gives no rows; other columns are ignored.
     """
     p = percent / 100
     agree = p + (1 - p) / 4
     least = p - 5 * (agree * (1 - agree) / MINIMA) ** 0.5 / 0.75
     drawn = store(sketch(docs, k), "sketch")
-    classes = store(drawn.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    held = hold(drawn.join(classes, ["d1", "d2", "n"]).filter("doc_id = rep").select("rep", "bands", "sig"))
-    repeats = held.count() > held.select("rep").distinct().count()  # of rows
-    reps = held.dropDuplicates(["rep"]) if repeats else held
-    banded = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").hint("rebalance")  # else the join below could not split a hot key
+    same = ["d1", "d2", "n"]
+    classes = store(drawn.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    odd = not classes.groupBy("rep").count().filter("rep IS NULL OR count > 1").isEmpty()  # ids don't name classes
+    classes = store(classes.withColumn("cls", F.monotonically_increasing_id()), "numbers") if odd else classes.withColumn("cls", F.col("rep"))
+    of_rep = drawn.join(classes, same).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    held = hold(of_rep.select("cls", "rep", *same, "bands", "sig"))
+    repeats = odd or held.count() > held.select("cls").distinct().count()  # of rows
+    reps = held.dropDuplicates(["cls"]) if repeats else held
+    banded = reps.select("cls", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").hint("rebalance")  # else the join below could not split a hot key
     shared = hold(banded.join(buckets, "key"))
-    wanted = hold(shared.select(F.col("rep").alias("doc_id")).distinct())
+    wanted = hold(shared.select("cls").distinct())
     few = _checked(wanted)
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi")
-    near = reps.join(shingle_sets(whole, k).select(F.col("doc_id").alias("rep"), "members"), "rep")
-    near = hold(near.dropDuplicates(["rep"]) if repeats else near)
+    asked = reps.join(few, "cls", "left_semi")
+    ids = _checked(hold(asked.select(F.col("rep").alias("doc_id")).distinct())) if odd else few.withColumnRenamed("cls", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(ids, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    near = asked.drop("rep").join(shingle_sets(texts, k), same).select("cls", "bands", "sig", "members")
+    near = hold(near.dropDuplicates(["cls"]) if repeats else near)
     near.count()
     release(held, wanted)
-    sets = near.select(F.col("rep").alias("doc_id"), "members")
-    a, b = near.select(F.col("rep").alias("a"), F.col("sig").alias("s")), near.select(F.col("rep").alias("b"), F.col("sig").alias("t"))
-    star = shared.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    a, b = near.select(F.col("cls").alias("a"), F.col("sig").alias("s")), near.select(F.col("cls").alias("b"), F.col("sig").alias("t"))
+    star = shared.filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
     likely = hold(star.join(a, "a").join(b, "b").filter(estimate(F.col("s"), F.col("t")) >= least).select("a", "b"))
-    first = connected(_exact(likely, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = shared.filter("members > 2").join(first, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    first = connected(_exact(likely, near.select("cls", "members"), percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = shared.filter("members > 2").join(first, F.col("cls") == F.col("id"), "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key").hint("rebalance")
     open_ = hold(placed.join(mixed, "key").distinct())
-    second = connected(_across(open_, near, least, percent))
-    found = first.select("id", F.col("component").alias("c")).unionByName(near.select(F.col("rep").alias("id"), F.col("rep").alias("c")).join(first, "id", "left_anti"))
-    found = store(found.join(second.select(F.col("id").alias("c"), "component"), "c", "left").select("id", F.coalesce("component", "c").alias("component")), "components")
+    found = first.select("id", F.col("component").alias("c")).unionByName(near.select(F.col("cls").alias("id"), F.col("cls").alias("c")).join(first, "id", "left_anti"))
+    if open_.isEmpty():
+        found = found.withColumnRenamed("c", "component")
+    else:
+        second = connected(_across(open_, near, least, percent))
+        found = found.join(second.select(F.col("id").alias("c"), "component"), "c", "left").select("id", F.coalesce("component", "c").alias("component"))
+    if odd:  # components go by class numbers: back to the smallest doc_id of each
+        members = classes.select("cls", "rep").join(found, F.col("cls") == F.col("id"))
+        found = members.join(members.groupBy("component").agg(F.min("rep").alias("low")).hint("rebalance"), "component").select("id", F.col("low").alias("component"))
+    found = store(found, "components")
     release(shared, near, likely, open_)
-    ids = drawn.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    return ids.join(found, ids.rep == found.id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    known = drawn.select("doc_id", *same).join(classes, same, "left")
+    component = F.coalesce("component", "rep", "doc_id").alias("component_id")
+    return known.join(found, F.col("cls") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:

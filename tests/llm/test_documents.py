@@ -84,6 +84,25 @@ def test_repeated_rows_are_one_document(spark):
     assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == [0, 1]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_texts_that_share_an_id_keep_their_links(spark, parts):
+    """Brute force over rows: links by text, components by row, named by the smallest doc_id in them."""
+    texts = copies(40, seed=11)
+    rows = [((2 if i % 4 == 0 else None if i % 4 == 1 else 10 + i), t) for i, t in enumerate(texts)] + [(2, texts[0]), (None, None), (2, "")]
+    sets = [shingle_set(t, 5) for _, t in rows]
+    of = roots([(i, j) for i in range(len(rows)) for j in range(i) if linked(sets[i], sets[j])], range(len(rows)))
+    low = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        low[of[i]].append(d)
+    want = Counter()
+    for i, (d, _) in enumerate(rows):
+        ids = [x for x in low[of[i]] if x is not None]
+        c = min(ids) if ids else None
+        want[d, len(sets[i]), c, d == c] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert Counter(tuple(r) for r in near_dup.near_duplicates(docs).collect()) == want
+
+
 def test_signature_estimate(spark):
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.8, 0.95):
@@ -129,6 +148,19 @@ def test_mixing(spark):
     again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(7)).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
     assert mixing.mix(docs.limit(0)).count() == 0
+    shared = documents(spark, []).unionByName(spark.createDataFrame([(i % 3, "w " * (1 + i * 7 % 50), "en", "ab"[i % 2], 1) for i in range(90)], DOCS))
+    counts = [Counter((r.doc_id, r.text, r.taken) for r in mixing.mix(shared.repartition(n)).collect()) for n in (1, 3, 8)]
+    assert counts[0] == counts[1] == counts[2]  # ids with several texts
+
+
+def test_mixing_takes_some_of_equal_rows(spark):
+    rows = [(1, "w w w", "en", "a", 1)] * 300 + [(2, "w " * 40, "en", "b", 1), (3, "w", "en", "b", 1)]
+    for n in (1, 5):
+        got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(n)).collect()
+        source = {r.source: (r.source_size, r.target) for r in got}
+        assert len(got) == 302 and source["a"][0] == 900 and source["b"] == (41, 123.0)
+        taken = sum(r.taken for r in got if r.source == "a")
+        assert abs(taken - source["a"][1]) <= 3 and all(r.taken in (0, 3) for r in got if r.source == "a")
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 24, 25, 1000, 4097])
