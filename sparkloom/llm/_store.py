@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,14 @@ _left: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests, local mode) a temporary folder is set."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset and the master is local (tests) a temporary folder is set.
+
+    On a cluster without the setting this fails: a folder of one machine would lose what other executors write.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found

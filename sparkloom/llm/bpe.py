@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = 1 << 60
 SHORT = 48
-CACHED = 300_000
+#: The cache holds so many pieces at most, each of at most KEPT characters, so some 100 MB at worst.
+CACHED, KEPT = 300_000, 64
 
 
 def byte_chars() -> dict[str, int]:
@@ -56,7 +57,9 @@ class Codec:
                 if len(self) >= CACHED:
                     self.clear()
                 ids = codec.piece(piece.encode())
-                self[piece] = out = np.array(ids, "<u4").tobytes()
+                out = np.array(ids, "<u4").tobytes()
+                if len(piece) <= KEPT:
+                    self[piece] = out
                 return out
 
         self.cache = Cache()

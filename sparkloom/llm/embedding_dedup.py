@@ -47,7 +47,7 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def linked(vectors: DataFrame, least: float = 0.93, bits: int = 16, tables: int = 64, block: int = 512) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label).
 
-    Rows are compared only with rows of an equal label that isn't null. Equal vectors of a label are one class with a
+    Rows are compared only with rows of an equal label that isn't null. Equal vectors of a label (by two 64-bit digests) are one class with a
     weight, so copies are counted, not paired. Classes that share a code of any table meet in that bucket, where their cosine is computed in double precision;
     a pair at ``least`` or above is a link, counted only in the first table that both codes agree in. A bucket gives link counts and a spanning forest,
     not its pairs; buckets above ``block`` members are dealt to tasks as pairs of blocks, nothing is capped. A pair at a cosine of
@@ -58,11 +58,12 @@ def linked(vectors: DataFrame, least: float = 0.93, bits: int = 16, tables: int
     table gives none; other columns are ignored.
     """
     ok = usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull()
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(ok, F.xxhash64(F.col("label").cast("string"), "embedding")).alias("cid"), "label", "embedding")
-    classes = store(
-        rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.first("embedding").alias("embedding")),
-        "classes",
+    two = [F.when(ok, F.xxhash64(*salt, F.col("label").cast("string"), "embedding")).alias(name) for name, salt in (("h1", ()), ("h2", (F.lit(29),)))]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), *two, "label", "embedding")
+    whole = rows.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(
+        F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
+    classes = store(whole.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def codes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -118,11 +119,11 @@ def linked(vectors: DataFrame, least: float = 0.93, bits: int = 16, tables: int
     found = hold(met.groupBy("large", "pack", "dim", "lo", "hi").applyInPandas(compare, "cid long, other long, links long"))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected(found.filter("cid <> other").select(F.col("cid").alias("u"), F.col("other").alias("v")))
-    member = classes.select("cid", "weight", "rep").join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    member = classes.select("cid", "h1", "h2", "weight", "rep").join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     lowest = member.groupBy("component").agg(F.min("rep").alias("lowest"))
-    by_class = store(member.join(lowest, "component").join(counts, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "lowest"), "classes")
+    by_class = store(member.join(lowest, "component").join(counts, "cid", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "lowest"), "classes")
     release(keyed, shared, found)
     drop(classes)
-    return rows.select("vec_id", "cid").join(by_class, "cid", "left").select(
+    return rows.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("lowest", "vec_id").alias("component_id"), F.col("vec_id").eqNullSafe(F.coalesce("lowest", "vec_id")).alias("kept")
     )

@@ -62,12 +62,14 @@ def _parts(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def train(labelled: DataFrame, alpha: float = 0.5) -> Model:
+def train(labelled: DataFrame, alpha: float = 0.5, max_labels: int = 500) -> Model:
     """A model of all rows of ``labelled`` (text, lang) whose lang is not null.
 
-    Every task counts its own n-grams by label; the counts, packed by label and range of buckets, are summed in Spark. To the
+    More than ``max_labels`` labels fail, as the model (262 kB a label) is broadcast whole: no label is dropped. Every task counts its own n-grams by label; the counts, packed by label and range of buckets, are summed in Spark. To the
     driver go one BUCKETS-long row of counts a label. Null and letterless texts add only to the label's prior.
     """
+    if labelled.select("lang").filter("lang IS NOT NULL").distinct().limit(max_labels + 1).count() > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}

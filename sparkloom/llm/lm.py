@@ -177,11 +177,11 @@ def _low_counts(docs: DataFrame) -> Counts:
     return join([r.keys for r in rows], np.uint64), join([r.counts for r in rows], np.int64)
 
 
-def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, buckets: int = 512) -> DataFrame:
+def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, least_buckets: int = 512) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text); documents outside fold 0 train.
 
     Documents are dealt by hash to blocks of about ``block_bytes``. Each block sends its distinct six-byte keys and word hashes, with its training counts,
-    to ``buckets`` (keys by their three nearest context bytes, which keeps a context's keys together); a bucket sums the counts of all
+    to buckets, ``least_buckets`` or as many as there are blocks, so that a bucket's share doesn't grow (keys by their three nearest context bytes, which keeps a context's keys together); a bucket sums the counts of all
     blocks, computes the probabilities of its keys and the totals of its words, and answers every block; a block then adds up its documents.
     So all counts are whole, a frequent word or context is one entry a block, and nothing but the bounded two-byte counts is broadcast.
 
@@ -193,7 +193,8 @@ def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, buckets
     low = spark.sparkContext.broadcast(_low_counts(rows.filter("not held_out")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    buckets = max(least_buckets, blocks)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def ask(t: pa.Table) -> pa.Table:
         (gk, gc), (wk, wc) = _distinct(_raw(t.column("text")), ~np.array(t.column("held_out").to_pylist(), bool))
@@ -213,7 +214,7 @@ def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, buckets
 
         back = lambda x, e: pa.array([x[a:b].tobytes() for a, b in zip(np.append(0, e), e, strict=False)], pa.binary())
         u, s, at, edge = summed("grams", "gram_counts")
-        logs = log_probabilities(u, s, low.value).astype(np.float32)
+        logs = log_probabilities(u, s, low.value)
         w, ws, wat, wedge = summed("words", "word_counts")
         rest = [0] * (t.num_rows - 1)
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "logs": back(logs[at], edge), "known": back(ws[wat], wedge), "n": pa.array([int(ws.sum()), *rest], pa.int64()), "v": pa.array([int((ws > 0).sum()), *rest], pa.int64())})
@@ -227,7 +228,7 @@ def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, buckets
         (gk, _), (wk, _) = _distinct(docs_, nothing)
         right = right.sort_by("bucket")
         logs, known = np.zeros(len(gk)), np.zeros(len(wk), np.int64)
-        logs[_dealt(gk, gk >> U(24), buckets)[0]] = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in right.column("logs")])
+        logs[_dealt(gk, gk >> U(24), buckets)[0]] = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in right.column("logs")])
         known[_dealt(wk, wk, buckets)[0]] = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in right.column("known")])
         end = known[np.searchsorted(wk, END)]
         base = np.log10(known + 0.1)

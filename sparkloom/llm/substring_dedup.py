@@ -10,9 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm._store import hold, release, store
+
 LINE = re.compile(r"[^\n\r]+")
-#: A sentence end: closing marks after . ! ? and before white space.
-END = re.compile(r"[.!?]+[\"')\]»”]*(?=\s)")
+#: A sentence end: closing marks after . ! ? and before white space, or the full stops of scripts without spaces.
+END = re.compile(r"[.!?]+[\"')\]»”]*(?=\s)|[。！？｡]+[”’」』）]*")
+#: Characters of scripts without spaces between words; two of them count as a word.
+SOLID = re.compile("[\u0e00-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 UNIT_WORDS, LINE_WORDS = 5, 3
 
 
@@ -21,21 +25,29 @@ def units(text: str) -> list[tuple[int, int, bytes, int]]:
     ends at the first sentence end with UNIT_WORDS words or more in it, so that a passage moved into another line falls
     into the same units again after its first long sentence.
 
-    Units are normalised by lower case and one space between words. Lines below LINE_WORDS words and runs below UNIT_WORDS aren't units.
+    Units are normalised by lower case and one space between words. Lines below LINE_WORDS words and runs below UNIT_WORDS aren't units; a word is what
+    stands between white space, and of scripts without spaces two characters (SOLID).
     """
     out = []
+    solid = not text.isascii() and SOLID.search(text) is not None
+
+    def size(part: str, words: list[str]) -> int:
+        return len(words) + len(SOLID.findall(part)) // 2 if solid else len(words)
 
     def add(a: int, b: int, least: int) -> None:
-        words = text[a:b].lower().split()
-        if len(words) >= least:
-            out.append((a, b, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), len(words)))
+        part = text[a:b]
+        words = part.lower().split()
+        n = size(part, words)
+        if n >= least:
+            out.append((a, b, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), n))
 
     for line in LINE.finditer(text):
         a, b = line.span()
         add(a, b, LINE_WORDS)
         cuts, at = [], a
         for end in END.finditer(text, a, b):
-            if len(text[at : end.end()].split(None, UNIT_WORDS - 1)) >= UNIT_WORDS:
+            part = text[at : end.end()]
+            if size(part, part.split(None, UNIT_WORDS - 1)) >= UNIT_WORDS:
                 cuts.append((at, end.end()))
                 at = end.end()
         if cuts:
@@ -56,7 +68,9 @@ def unit_table(docs: DataFrame) -> DataFrame:
                 part = batch.slice(first, 500)
                 found = [(i, h, *u) for i, t, h in zip(*(c.to_pylist() for c in part.columns), strict=True) for u in units(t or "")]
                 i, h, a, b, d, n = zip(*found, strict=True) if found else ((),) * 6
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(d, pa.binary()), pa.array(n, pa.int32())], names=["doc_id", "text_hash", "start", "until", "digest", "words"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+                columns = [pa.array(c, kind) for c, kind in zip((i, h, a, b, d, n), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "start", "until", "digest", "words"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, start int, until int, digest binary, words int")
 
@@ -67,12 +81,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     A digest's occurrences are ranked by doc_id (null first), then text_hash, then offset; the first stays and the others go. Counting is a map-side aggregate, and
     only digests that occur again are joined back, dealt anew (the rebalance hint) so that both sides of the join come from shuffles of its own:
     a line that a third of all rows hold costs a partial sum a task and a join that Spark can split. A unit whose every rank is earliest stays even where a line around it goes elsewhere.
+    The units are computed once and held on the executors' disks until the spans are stored.
     """
-    all_units = unit_table(docs)
+    all_units = hold(unit_table(docs).drop("words"))
     first = F.struct("doc_id", "text_hash", "start", "until")
     again = all_units.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n").hint("rebalance")
-    later = all_units.drop("words").join(again, "digest").filter(F.struct("doc_id", "text_hash", "start", "until") != F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "until"))).alias("removed"))
+    later = all_units.join(again, "digest").filter(F.struct("doc_id", "text_hash", "start", "until") != F.col("first"))
+    spans = store(later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "until"))).alias("removed")), "spans")
+    release(all_units)
+    return spans
 
 
 def _cut(text: str, spans: list[dict]) -> tuple[str, list[dict], int]:

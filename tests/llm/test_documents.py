@@ -201,6 +201,9 @@ def test_substring_dedup(spark):
         assert r.n_removed_chars == sum(b - a for a, b in spans) and all(a < b <= len(t) for a, b in spans)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "removed", "n_removed_chars"]
     assert substring_dedup.dedup(documents(spark, ["a"]).limit(0)).count() == 0
+    line = "今天天气很好我们一起去公园散步吧"
+    solid = {r.doc_id: r.text for r in substring_dedup.dedup(documents(spark, [f"昨天下了一整天的大雨路上很滑。{line}。", f"{line}。乙说了些别的事情。", "короткая", "短句", "短句"])).collect()}
+    assert solid[0].count(line) + solid[1].count(line) == 1 and "乙说了些别的事情" in solid[1] and solid[3] == solid[4] == "短句"
 
 
 def test_language(spark, sf):
@@ -273,10 +276,10 @@ def test_lm_scores(spark):
     words = Counter(w for t in train for w in [*t.lower().split(), None])
     n, v = sum(words.values()), len(words)
     for block, buckets in ((1000, 5), (16_000_000, 512)):
-        got = {r.doc_id: r for r in lm.scores(documents(spark, texts).withColumn("block", F.lit("clash")), block_bytes=block, buckets=buckets).collect()}
+        got = {r.doc_id: r for r in lm.scores(documents(spark, texts).withColumn("block", F.lit("clash")), block_bytes=block, least_buckets=buckets).collect()}
         for i, t in enumerate(raw):
             tokens = [*t.lower().split(), None]
-            assert math.isclose(got[i].score, want[i], rel_tol=1e-5) and got[i].n_tokens == len(tokens) and got[i].n_known == sum(words[w] > 0 for w in tokens)
+            assert math.isclose(got[i].score, want[i], rel_tol=1e-9) and got[i].n_tokens == len(tokens) and got[i].n_known == sum(words[w] > 0 for w in tokens)
             assert math.isclose(got[i].base_score, sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel_tol=1e-9) and got[i].train_tokens == n
     assert lm.scores(documents(spark, ["a"]).limit(0)).count() == 0
 

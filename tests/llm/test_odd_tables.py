@@ -66,3 +66,34 @@ def test_spans_of_texts_that_share_an_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1, 1) for i, t in rows], DOCS)
     got = [r.text for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()]
     assert sum(line in t for t in got) == 1 and all(sum(f"{other} {i}" in t for t in got) == 1 for i in (1, 2, 3, 4))
+
+
+def test_stages_leave_other_columns_alone(spark):
+    names = ["size", "source_size", "target", "copies", "taken", "score", "lang_pred", "removed", "n_removed_chars"]
+    text = "the quick brown fox jumps over the lazy dog and runs away from all of them again"
+    rows = [(i, f"{text} {i * 7919} {'xyz'[i % 3]} number {i}", "en", "ab"[i % 2], 1, *(f"{n}{i}" for n in names)) for i in range(1, 12)]
+    docs = spark.createDataFrame(rows, DOCS.replace("extra int", ", ".join(f"{n} string" for n in names)))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names), name
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sparkloom.llm import _store
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        _store.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_too_many_labels_fail(spark):
+    from sparkloom.llm import language
+
+    rows = spark.createDataFrame([("a text", str(i)) for i in range(6)], "text string, lang string")
+    with pytest.raises(ValueError):
+        language.train(rows, max_labels=5)
+    assert language.train(rows, max_labels=6).labels == list("012345")
