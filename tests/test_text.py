@@ -42,8 +42,28 @@ def test_normalize(text, said):
     assert Z.normalize(text)[0] == said
 
 
+def test_normalize_reads_spans_by_what_stands_beside_them():
+    said = {
+        "会议定在2026年3月17日下午，3月4日和2025年不算": "会议定在二零二六年三月十七日下午，三月四日和二零二五年不算",
+        "用了CUDA 12.8和v1.2": "用了 CUDA 十二点八和 v 一点二",
+        "编号A7-3B 型号IPv6": "编号 A 七杠三 B 型号 I P V 六",
+        "气温-5°C到77°F": "气温负五摄氏度到七十七华氏度",
+        "占3‰，降了-0.5%": "占千分之三，降了百分之负零点五",
+        "$3.5和€20": "三点五美元和二十欧元",
+        "于 14:30 开会,到 10:00:05 结束": "于十四点半开会，到十点整五秒结束",
+        "第 2 个要2天": "第二个要两天",
+        "共1,250.5元": "共一千二百五十点五元",
+        "我...不知道。。。算了！": "我……不知道……算了！",
+        "A&B 说:好的": "A 和 B 说：好的",
+        "  多  余 的\t空格 and words ": "多余的空格 and words",
+    }
+    assert {t: Z.normalize(t)[0] for t in said} == said
+    assert Z.normalize("2026年3月17日，GPT-5.6用了20%和30%")[1] == ["date:1", "percent:2", "version:1"]
+
+
 def test_normalize_warns_and_keeps_policy():
     assert Z.normalize("")[2] == ["empty"]
+    assert Z.normalize("剩5.和#%")[2] == ["digits:5", "unusual:%."]
     assert Z.latin("好NASA好", "drop") == "好好"
     assert Z.latin("好NASA好") == "好 N A S A 好"
     assert Z.edit_distance(list("摘桂花"), list("斋桂")) == (2, ["花"])
