@@ -148,42 +148,42 @@ def _matrix(t: pa.Table, name: str, width: int) -> np.ndarray:
     return t.column(name).combine_chunks().flatten().to_numpy().reshape(-1, width)
 
 
-def _likely(t: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """In one pair of blocks: each member of the lower block and those after it, of other components, that it is likely near to."""
-    sig, component, side = _matrix(t, "sig", 2 * MINIMA // 64), t.column("component").to_numpy(), t.column("mine").to_numpy()
-    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-    right = np.flatnonzero(side == hi)
-    for i in np.flatnonzero(side == lo):
-        others = right[right > i] if lo == hi else right
-        others = others[component[others] != component[i]]
-        others = others[_agree(sig[i], sig[others]) >= least]
-        if len(others):
-            yield int(i), others
+def _blocks(open_: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The members of open buckets in blocks, and the pairs of blocks to compare.
+
+    A component with a quarter of ``block`` members or more has blocks of its own, smaller ones share packs. Blocks of one component aren't compared with each other, so the
+    members of a bucket's main component meet only those of the others.
+    """
+    sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") >= block // 4)
+    packs = sizes.groupBy("key").agg(F.ceil(F.sum(F.when(~F.col("large"), F.col("n"))) / block).cast("int").alias("packs"))
+    sizes = sizes.join(packs, "key").hint("rebalance")
+    own = F.when(F.col("large"), F.col("component"))  # null: a pack
+    part = F.when(F.col("large"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / block))).otherwise(F.pmod(F.xxhash64("component"), "packs")).cast("int").alias("part")
+    dealt = hold(open_.join(sizes, ["key", "component"]).select("key", "cls", "component", F.struct(F.col("large").alias("whole"), F.coalesce(own, F.lit(0)).alias("own"), part).alias("b")))
+    blocks = dealt.select("key", "b").distinct()
+    met = blocks.withColumnRenamed("b", "lo").join(blocks.withColumnRenamed("b", "hi"), "key")
+    same = F.col("lo.whole") & F.col("hi.whole") & (F.col("lo.own") == F.col("hi.own"))
+    return dealt, met.filter((F.col("lo") <= F.col("hi")) & ~same)
 
 
 def _across(open_: DataFrame, near: DataFrame, least: float, percent: int, block: int = 1024) -> DataFrame:
     """(u, v): components of ``open_`` (key, cls, component) that a linked pair in one bucket joins, all such pairs tested. ``near`` has cls, bands, sig, members.
 
-    A bucket's members are dealt to blocks, and a task compares two blocks. First signatures alone, as bit matrices, tell which members have a likely partner of another component in
-    a pair of blocks; only these members' sets go to that pair of blocks, where the full sets decide, each pair in the first band that it shares. Only joins of components are returned, no pairs.
+    A task compares two blocks of members (see ``_blocks``): signatures as bit matrices, then the full sets of the likely pairs
+    of different components whose first common band is the bucket's. Only joins of components are returned, no pairs.
     """
-    parts = F.ceil(F.col("n") / block).cast("int")
-    counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).hint("rebalance")
-    dealt = open_.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("cls", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    met = dealt.select("key", "cls", "component", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    names = ["key", "cls", "component", "mine", "lo", "hi"]
-
-    def flag(t: pa.Table) -> pa.Table:
-        hit = np.zeros(t.num_rows, bool)
-        for i, others in _likely(t, least):
-            hit[i] = True
-            hit[others] = True
-        return t.select(names).filter(pa.array(hit))
+    dealt, pairs = _blocks(open_, block)
+    side = lambda t, b, n: t.select("key", "lo", "hi", F.col(b).alias("b"), F.lit(n).alias("mine"))
+    asked = side(pairs, "lo", 0).unionByName(side(pairs.filter("lo <> hi"), "hi", 1))
+    met = dealt.join(asked, ["key", "b"]).drop("b").join(near, "cls").withColumn("self", F.col("lo") == F.col("hi"))
 
     def compare(t: pa.Table) -> pa.Table:
-        bands, cls, component = _matrix(t, "bands", BANDS), t.column("cls").to_numpy(), t.column("component").to_numpy()
+        sig, bands = _matrix(t, "sig", 2 * MINIMA // 64), _matrix(t, "bands", BANDS)
+        cls, component, mine = (t.column(c).to_numpy() for c in ("cls", "component", "mine"))
         sets_ = [np.frombuffer(x.as_buffer(), U) for x in t.column("members")]
         band = int((bands[0] == t.column("key")[0].as_py()).argmax())
+        alone = t.column("self")[0].as_py()
+        left, right = np.flatnonzero(mine == 0), np.flatnonzero(mine == (0 if alone else 1))
         joined: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -192,7 +192,10 @@ def _across(open_: DataFrame, near: DataFrame, least: float, percent: int, block
             return c
 
         out = []
-        for i, others in _likely(t, least):
+        for i in left:
+            others = right[right > i] if alone else right
+            others = others[component[others] != component[i]]
+            others = others[_agree(sig[i], sig[others]) >= least]
             for j in others[(bands[others] == bands[i]).argmax(axis=1) == band]:
                 a, b = root(int(component[i])), root(int(component[j]))
                 if a != b and cls[i] != cls[j] and _linked(sets_[i], sets_[j], percent):
@@ -201,9 +204,7 @@ def _across(open_: DataFrame, near: DataFrame, least: float, percent: int, block
         u, v = zip(*out, strict=True) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    shape = "key long, cls long, component long, mine int, lo int, hi int"
-    some = met.join(near.select("cls", "sig"), "cls").groupBy("key", "lo", "hi").applyInArrow(flag, shape)
-    return some.join(near, "cls").groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
+    return met.groupBy("key", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

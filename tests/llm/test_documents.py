@@ -84,6 +84,18 @@ def test_repeated_rows_are_one_document(spark):
     assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == [0, 1]
 
 
+def test_open_buckets_in_small_blocks_lose_no_link(spark, monkeypatch):
+    """Copies at about the threshold: buckets hold several components, some of which a pair of their members joins."""
+    texts = copies(150, seed=8)
+    sets = [shingle_set(t, 5) for t in texts]
+    want = roots([(i, j) for i in range(len(texts)) for j in range(i) if linked(sets[i], sets[j])], range(len(texts)))
+    across = near_dup._across
+    calls = []
+    monkeypatch.setattr(near_dup, "_across", lambda *a: calls.append(1) or across(*a, block=4))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, texts), 5).collect()}
+    assert got == want and calls
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_texts_that_share_an_id_keep_their_links(spark, parts):
     """Brute force over rows: links by text, components by row, named by the smallest doc_id in them."""
