@@ -43,10 +43,22 @@ def transcript(turns: DataFrame, conv: str, turn: str, text: str, who: Column) -
     return turns.select(conv, turn, line.alias("_l")).groupBy(conv).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, "_l"))), lambda s: s["_l"]), "\n").alias("transcript"))
 
 
+def _moves(rows: DataFrame, by: str, order: list[str], state: str) -> DataFrame:
+    moved = rows.withColumn("from_state", F.lag(state).over(W.partitionBy(by).orderBy(*order)))
+    return moved.filter(F.col("from_state").isNotNull() & (F.col("from_state") != F.col(state))).withColumn("to_state", F.col(state))
+
+
 def illegal_transitions(rows: DataFrame, by: str, order: list[str], state: str, legal: DataFrame) -> DataFrame:
     """Rows whose state may not follow the one before; ``legal`` has from_state, to_state."""
-    moved = rows.withColumn("from_state", F.lag(state).over(W.partitionBy(by).orderBy(*order))).filter(F.col("from_state").isNotNull() & (F.col("from_state") != F.col(state)))
-    return moved.withColumn("to_state", F.col(state)).join(legal, ["from_state", "to_state"], "left_anti")
+    return _moves(rows, by, order, state).join(legal, ["from_state", "to_state"], "left_anti")
+
+
+def transitions(rows: DataFrame, by: str, order: list[str], state: str, legal: DataFrame, forced: Column) -> DataFrame:
+    """Every change of state with its verdict: legal, forced (not legal, but ``forced``), or illegal."""
+    known = legal.select("from_state", "to_state").distinct().withColumn("_ok", F.lit(True))
+    checked = _moves(rows.withColumn("_forced", forced), by, order, state).join(known, ["from_state", "to_state"], "left")
+    verdict = F.when(F.col("_ok"), "legal").when(F.coalesce("_forced", F.lit(False)), "forced").otherwise("illegal")
+    return checked.withColumn("verdict", verdict).drop("_ok", "_forced")
 
 
 def emit_on_change(rows: DataFrame, by: str, order: list[str], value: str, keep_alive_s: float | None = None, at: str | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.dialogue import distinct_lines
+
 ISSUES = "severity string, code string, subject string"
 
 
@@ -26,6 +28,22 @@ def passed(issues: DataFrame) -> DataFrame:
     return issues.agg(n("error"), n("warning"), n("info")).withColumn("ok", F.col("n_error") == 0)
 
 
+def bank_issues(pack: DataFrame, bank: DataFrame, required: bool = True) -> DataFrame:
+    """``pack`` and ``bank`` (both id, version; one row, or none of the bank) against each other: a missing bank, one of another pack, one of another version."""
+    met = pack.select(F.col("id").alias("_id"), F.col("version").alias("_version")).join(bank.select("id", "version", F.lit(True).alias("_found")), F.lit(True), "left")  # one row each
+    return findings(
+        rule(met, "error" if required else "info", "references.missing", F.col("_found").isNull(), F.col("_id")),
+        rule(met, "error", "references.id_mismatch", F.col("_found") & ~F.col("id").eqNullSafe(F.col("_id")), F.col("id")),
+        rule(met, "warning", "references.version_drift", F.col("_found") & ~F.col("version").eqNullSafe(F.col("_version")), F.col("version")),
+    )
+
+
+def capped(values: Column, most: int) -> Column:
+    """The first ``most`` of the values in order, and how many there are, as one text: a, b (5 in all)."""
+    shown = F.array_join(F.slice(F.array_sort(values), 1, most), ", ")
+    return F.when(F.size(values) > most, F.concat(shown, F.lit(" ("), F.size(values), F.lit(" in all)"))).otherwise(shown)
+
+
 def reference_issues(styles: DataFrame, bank: DataFrame, least: int = 2) -> DataFrame:
     """``styles`` (style) against ``bank`` (reference_id, style, transcript, has_audio): unknown styles, missing audio and transcripts, empty and thin styles."""
     unknown = bank.join(styles, "style", "left_anti")
@@ -65,8 +83,12 @@ def profile_issues(profile: DataFrame, wanted: DataFrame, styles: DataFrame, pac
     )
 
 
-def lint(examples: DataFrame, styles: DataFrame, distinct: DataFrame, readings: DataFrame, least: int = 12, per_style: int = 2) -> DataFrame:
-    """Findings by profile. ``examples`` has profile, style, character, source; ``styles`` profile, style; ``distinct`` profile, n_distinct; ``readings`` profile, word, reading."""
+def lint(examples: DataFrame, styles: DataFrame, readings: DataFrame, least: int = 12, per_style: int = 2) -> DataFrame:
+    """Findings by profile. ``examples`` has profile, pos, style, character, source; ``styles`` profile, style; ``readings`` profile, word, reading.
+
+    Examples are doubled if they are near-duplicates of an earlier one of their profile, by bigrams.
+    """
+    distinct = distinct_lines(examples, "profile", "pos", "character").groupBy("profile").agg(F.count(F.lit(1)).alias("n_distinct"))
     per = examples.groupBy("profile").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.trim(F.coalesce("source", F.lit(""))) == "").alias("unsourced"), F.count_if(F.col("character").rlike("[A-Za-z]")).alias("latin")
     )

@@ -33,6 +33,21 @@ def fold(ratings: DataFrame, key: DataFrame, item: str, candidate: str, high: li
     return per.withColumn("composite", F.round(total / len(parts), 6))
 
 
+def aggregate(ratings: DataFrame, key: DataFrame, item: str, candidate: str, high: list[str], low: list[str], top: float, believed: str, anchor: str, truth: str, labels: DataFrame | None = None) -> DataFrame:
+    """``fold`` with believed_real_rate, is_ground_truth and label.
+
+    The rate is the share of true ``believed`` values among those given, null where none is. A candidate is the ground truth if its id is ``anchor`` or all its rated items
+    are marked so in the key (``truth``). ``labels`` has the candidate and a label; a candidate without one is named by its id.
+    """
+    known = ratings.join(key.select(item, candidate, truth), item)
+    said = known.groupBy(candidate).agg(
+        F.round(F.avg(F.col(believed).cast("int")), 4).alias("believed_real_rate"), (F.bool_and(truth) | (F.first(candidate) == anchor)).alias("is_ground_truth")
+    )
+    out = fold(ratings, key, item, candidate, high, low, top).join(said, candidate)
+    named = out.withColumn("label", F.lit(None).cast("string")) if labels is None else out.join(labels.select(candidate, "label"), candidate, "left")
+    return named.withColumn("label", F.coalesce("label", F.col(candidate).cast("string")))
+
+
 def ranked(folded: DataFrame, candidate: str) -> DataFrame:
     """Best composite first, missing last, ties by candidate. The rank runs over one row per candidate, not over ratings."""
     return folded.withColumn("rank", F.row_number().over(W.orderBy(F.col("composite").desc_nulls_last(), F.col(candidate))))

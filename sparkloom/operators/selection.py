@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,13 +73,18 @@ def style_chain(requested: Column, core: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(F.nullif(requested, F.lit("")), core, F.lit("neutral"))))
 
 
-def select_references(requests: DataFrame, styles: DataFrame, bank: DataFrame, request: str, window: tuple[float, float], pool: int = 3) -> DataFrame:
+def select_references(requests: DataFrame, styles: DataFrame, bank: DataFrame, request: str, window: tuple[float, float], pool: int = 3, exclude: list | None = None) -> DataFrame:
     """For each request (``request``, style, variation_key) the reference of the first style of its chain that the bank has, else any.
 
     ``bank`` has reference_id, style, duration, quality; ``styles`` name, core_style. Within the matched style references are ranked by
     0.65 quality + 0.35 fit, and a variation key picks one of the first ``pool``. The ``pool`` best of each style are all that can be chosen, so the bank is cut to them
-    before the join; an empty bank gives null references.
+    before the join; an empty bank gives null references. The ids of ``exclude`` can't be chosen; if the bank has references but all are excluded, this fails.
     """
+    if exclude:
+        left = bank.filter(~F.col("reference_id").isin(exclude))
+        if left.isEmpty() and not bank.isEmpty():
+            raise ValueError(f"no reference is left: all are among the {len(exclude)} excluded ids")
+        bank = left
     total = F.round(0.65 * F.col("quality") + 0.35 * retrieval_fit(F.col("duration"), *window), 6)
     scored = bank.withColumn("total", total)
     best = lambda d, *by: d.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("total"), "reference_id"))).filter(F.col("_r") <= pool)
@@ -96,12 +102,52 @@ def select_references(requests: DataFrame, styles: DataFrame, bank: DataFrame, r
     )
 
 
+def numbered(rows: DataFrame, key: str, slices: int = 256) -> DataFrame:
+    """``rows`` with _i, their place from 0 in the order of ``key``, and _n, their number; null keys are first.
+
+    The keys are sorted into ``slices`` ranges; a row's place is the rows of the ranges before, known from so many counts, plus its place in its own range. No task sees all rows.
+    """
+    ranged = rows.repartitionByRange(slices, F.col(key).asc_nulls_first()).withColumn("_s", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    counts = ranged.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select("_s", (F.sum("_c").over(W.orderBy("_s")) - F.col("_c")).alias("_b"), F.sum("_c").over(W.partitionBy()).alias("_n"))
+    inside = F.row_number().over(W.partitionBy("_s").orderBy(F.col(key).asc_nulls_first()))
+    return ranged.join(F.broadcast(starts), "_s").withColumn("_i", F.col("_b") + inside - 1).drop("_s", "_b")
+
+
 def control_set(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Every n // size-th key in order, ``size`` at most; none where size is not positive or not below n."""
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    placed = rows.select(key).withColumns({"_i": F.row_number().over(W.orderBy(key)) - 1, "_n": n})
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / max(size, 1)))
-    return placed.filter((F.lit(size) > 0) & (F.col("_n") > size) & (F.col("_i") % stride == 0) & (F.col("_i") / stride < size)).select(key)
+    if size <= 0:
+        return rows.select(key).limit(0)
+    placed = numbered(rows.select(key), key)
+    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / size))
+    return placed.filter((F.col("_n") > size) & (F.col("_i") % stride == 0) & (F.col("_i") / stride < size)).select(key)
+
+
+def by_style(bank: DataFrame, style: str, quality: str, key: str) -> DataFrame:
+    """``bank`` with place: within each style the best quality first, ties by key."""
+    return bank.withColumn("place", F.row_number().over(W.partitionBy(style).orderBy(F.desc(quality), key)))
+
+
+def resolve(requests: DataFrame, styles: DataFrame, bank: DataFrame, style: str, quality: str, key: str, most: int = 3) -> DataFrame:
+    """(style, place, key): for each requested style the references of the first style of its chain that the bank has, best quality first, else of the whole bank; ``most`` of them."""
+    ranked = by_style(bank, style, quality, key).filter(F.col("place") <= most).select(F.col(style).alias("_s"), "place", key)
+    chains = requests.join(styles, F.col(style) == styles.name, "left").select(style, F.posexplode(style_chain(F.col(style), F.col("core_style"))).alias("_pos", "_s"))
+    known = chains.join(ranked.select("_s").distinct(), "_s").groupBy(style).agg(F.min_by("_s", "_pos").alias("_s"))
+    own = known.join(ranked, "_s").select(style, "place", key)
+    first = bank.orderBy(F.desc(quality), key).limit(most).select(quality, key).withColumn("place", F.row_number().over(W.orderBy(F.desc(quality), key)))  # ``most`` rows
+    rest = requests.select(style).join(known, style, "left_anti").crossJoin(F.broadcast(first.select("place", key)))
+    return own.unionByName(rest.select(style, "place", key))
+
+
+def active_sources(sources: DataFrame, order: str, error: str, path: str, limit: int | None = None) -> DataFrame:
+    """The first ``limit`` sources in order; of these, the ones without an error or with a working file."""
+    first = sources.orderBy(order).limit(limit) if limit else sources
+    return first.filter(F.col(error).isNull() | F.col(path).isNotNull())
+
+
+def enabled(candidates: DataFrame, flag: str = "enabled") -> DataFrame:
+    """Candidates that aren't switched off; a missing flag counts as on."""
+    return candidates.filter(F.coalesce(F.col(flag), F.lit(True)))
 
 
 def best_reference(samples: DataFrame, by: str, style: str, preferred: str, duration: str, quality: str, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from sparkloom.functions import chinese as Z
 from sparkloom.operators import chunks as K
 from sparkloom.operators import quality as Q
 from sparkloom.operators import selection as S
+from sparkloom.plans.text_queries import DISTINCT_SQL
 from sparkloom.session import table
 from sparkloom.sources import exports as X
 from sparkloom.sources import files as R
@@ -55,7 +56,13 @@ def _kaldi(spark, d):
 QUERIES["q_export_kaldi"] = _kaldi
 ORACLE["q_export_kaldi"] = f"""
 WITH r AS ({ROUTED_SQL}) SELECT 'wav.scp' AS file, split, sample_id || ' ' || path AS line FROM r UNION ALL SELECT 'text', split, sample_id || ' ' || t FROM r
-UNION ALL SELECT 'utt2spk', split, sample_id || ' spk' FROM r UNION ALL SELECT 'spk2utt', split, 'spk ' || string_agg(sample_id, ' ' ORDER BY sample_id) FROM r GROUP BY split"""
+UNION ALL SELECT 'utt2spk', split, sample_id || ' spk' FROM r UNION ALL SELECT 'spk2utt', split, sample_id FROM r"""
+QUERIES["q_export_reference"] = lambda spark, d: X.best_reference(_routed(spark, d), "split", "Brand#7").select("split", "sample_id", "line")
+ORACLE["q_export_reference"] = f"""
+WITH r AS (SELECT r.*, p_size::DOUBLE / 4 AS d, p_retailprice / 2500 AS q FROM ({ROUTED_SQL}) r JOIN part ON sample_id = 's' || p_partkey),
+l AS (SELECT * FROM (SELECT *, max(style = 'Brand#7') OVER (PARTITION BY split) AS a FROM r) WHERE style = 'Brand#7' OR NOT a),
+f AS (SELECT * FROM (SELECT *, max(d BETWEEN 3 AND 10) OVER (PARTITION BY split) AS a2 FROM l) WHERE d BETWEEN 3 AND 10 OR NOT a2)
+SELECT split, sample_id, t AS line FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY q DESC, sample_id DESC) AS r FROM f) WHERE r = 1"""
 
 
 def _build(spark, d):
@@ -81,23 +88,25 @@ def _styles(spark, d):
 
 
 def _validate(spark, d):
-    bank = _samples(spark, d).filter("duration_s BETWEEN 3.5 AND 3.6").select(c("sample_id").alias("reference_id"), "style", F.when(c("altered"), c("text")).otherwise("").alias("transcript"), "has_audio")
+    bank = _samples(spark, d).filter("duration_s BETWEEN 3.5 AND 9.5").select(c("sample_id").alias("reference_id"), "style", F.when(c("altered"), c("text")).otherwise("").alias("transcript"), "has_audio")
     extra = _splits(spark, d).unionByName(spark.createDataFrame([("s-1", "train")], "sample_id string, split string"))
     profile = spark.createDataFrame([("hero", "other_pack", "Brand#99")], "id string, pack string, default_style string")
     wanted = spark.createDataFrame([("Brand#1",), ("Brand#77",)], "style string")
-    return Q.findings(Q.reference_issues(_styles(spark, d), bank), Q.dataset_issues(_styles(spark, d), _samples(spark, d), extra, 2e5), Q.profile_issues(profile, wanted, _styles(spark, d), "pack"))
+    pack, built = (spark.createDataFrame([row], "id string, version string") for row in (("pack", "1.1.0"), ("other_pack", "1.0.0")))
+    return Q.findings(Q.bank_issues(pack, built), Q.bank_issues(pack, built.limit(0), required=False), Q.reference_issues(_styles(spark, d), bank), Q.dataset_issues(_styles(spark, d), _samples(spark, d), extra, 2e5), Q.profile_issues(profile, wanted, _styles(spark, d), "pack"))
 
 
 QUERIES["q_validate"] = _validate
 VALIDATE_SQL = """
 WITH st AS (SELECT 'Brand#' || n_nationkey AS style FROM nation), s AS (SELECT 's' || p_partkey AS id, p_partkey AS i, p_brand AS style, p_size::DOUBLE / 4 AS d FROM part),
-b AS (SELECT * FROM s WHERE d BETWEEN 3.5 AND 3.6), n AS (SELECT st.style, count(b.id) AS n FROM st LEFT JOIN b ON st.style = b.style GROUP BY 1), u AS (SELECT * FROM s WHERE i % 5 <> 0)
+b AS (SELECT * FROM s WHERE d BETWEEN 3.5 AND 9.5), n AS (SELECT st.style, count(b.id) AS n FROM st LEFT JOIN b ON st.style = b.style GROUP BY 1), u AS (SELECT * FROM s WHERE i % 5 <> 0)
 SELECT 'error' AS severity, 'references.unknown_style' AS code, id AS subject FROM b WHERE style NOT IN (SELECT style FROM st)
 UNION ALL SELECT 'error', 'references.missing_audio', id FROM b WHERE i % 401 = 0 UNION ALL SELECT 'error', 'references.no_transcript', id FROM b WHERE i % 3 <> 0
 UNION ALL SELECT 'error', 'references.style_empty', style FROM n WHERE n = 0 UNION ALL SELECT 'warning', 'references.style_thin', style FROM n WHERE n = 1
 UNION ALL SELECT 'warning', 'dataset.too_small', round(sum(d) / 60, 2)::VARCHAR FROM u HAVING sum(d) < 2e5 * 60 UNION ALL SELECT DISTINCT 'error', 'dataset.unknown_styles', style FROM u WHERE style NOT IN (SELECT style FROM st)
 UNION ALL SELECT 'error', 'dataset.missing_audio', count(*)::VARCHAR FROM u WHERE i % 401 = 0 HAVING count(*) > 0 UNION ALL SELECT 'warning', 'dataset.unreviewed', count(*)::VARCHAR FROM s WHERE i % 5 = 0 HAVING count(*) > 0
 UNION ALL SELECT 'info', 'dataset.destructive_processing', count(*)::VARCHAR FROM u WHERE i % 3 = 0 HAVING count(*) > 0 UNION ALL SELECT 'error', 'dataset.unknown_sample', 's-1'
+UNION ALL SELECT 'error', 'references.id_mismatch', 'other_pack' UNION ALL SELECT 'warning', 'references.version_drift', '1.0.0' UNION ALL SELECT 'info', 'references.missing', 'pack'
 UNION ALL SELECT 'error', 'profile.pack_mismatch', 'hero' UNION ALL SELECT 'error', 'profile.unsupported_styles', 'Brand#77' UNION ALL SELECT 'error', 'profile.bad_default_style', 'hero'"""
 ORACLE["q_validate"] = VALIDATE_SQL
 QUERIES["q_validation_summary"] = lambda spark, d: Q.passed(_validate(spark, d))
@@ -105,29 +114,31 @@ ORACLE["q_validation_summary"] = f"SELECT count(*) FILTER (WHERE severity = 'err
 
 
 def _lint(spark, d):
-    examples = table(spark, d, "documents").select(c("source").alias("profile"), c("lang").alias("style"), c("text").alias("character"), F.when(c("lang") != "de", "file").alias("source"))
+    spoken = table(spark, d, "conversations").filter("role <> 'system'")
+    examples = spoken.select(c("conv_id").cast("string").alias("profile"), c("turn").alias("pos"), c("role").alias("style"), c("text").alias("character"), F.when(c("turn") % 3 != 0, "file").alias("source"))
     profiles = examples.select("profile").distinct().unionByName(spark.createDataFrame([("nobody",)], "profile string"))
-    styles = profiles.select("profile", F.explode(F.array(F.lit("en"), F.lit("fr"), F.lit("zh"))).alias("style"))
-    distinct = examples.groupBy("profile").agg(F.countDistinct("character").alias("n_distinct"))
-    readings = spark.createDataFrame([("src1", "重", "chong2"), ("src2", "重重", "9x")], "profile string, word string, reading string")
-    return Q.lint(examples, styles, distinct, readings)
+    styles = profiles.select("profile", F.explode(F.array(F.lit("user"), F.lit("zh"))).alias("style"))
+    readings = spark.createDataFrame([("1", "重", "chong2"), ("2", "重重", "9x")], "profile string, word string, reading string")
+    return Q.lint(examples, styles, readings, least=4)
 
 
 QUERIES["q_lint"] = _lint
-LINT_SQL = r"""
-WITH e AS (SELECT source AS profile, lang AS style, text AS ch, CASE WHEN lang <> 'de' THEN 'file' END AS source FROM documents),
-st AS (SELECT profile, s AS style FROM (SELECT DISTINCT profile FROM e UNION ALL SELECT 'nobody'), (VALUES ('en'), ('fr'), ('zh')) v(s)),
-a AS (SELECT p.profile, count(e.ch) AS n, count(DISTINCT ch) AS nd, count(*) FILTER (WHERE e.ch IS NOT NULL AND trim(coalesce(source, '')) = '') AS us, count(*) FILTER (WHERE regexp_matches(ch, '[A-Za-z]')) AS la FROM (SELECT DISTINCT profile FROM st) p LEFT JOIN e ON p.profile = e.profile GROUP BY 1),
+LINT_SQL = DISTINCT_SQL + r""",
+e AS (SELECT conv_id::VARCHAR AS profile, role AS style, text AS ch, CASE WHEN turn % 3 <> 0 THEN 'file' END AS source FROM conversations WHERE role <> 'system'),
+st AS (SELECT profile, s AS style FROM (SELECT DISTINCT profile FROM e UNION ALL SELECT 'nobody'), (VALUES ('user'), ('zh')) v(s)),
+dn AS (SELECT conv_id::VARCHAR AS profile, count(*) AS nd FROM kept_lines GROUP BY 1),
+a AS (SELECT p.profile, count(e.ch) AS n, coalesce(any_value(nd), 0) AS nd, count(*) FILTER (WHERE e.ch IS NOT NULL AND trim(coalesce(source, '')) = '') AS us, count(*) FILTER (WHERE regexp_matches(ch, '[A-Za-z]')) AS la
+  FROM (SELECT DISTINCT profile FROM st) p LEFT JOIN e ON p.profile = e.profile LEFT JOIN dn ON p.profile = dn.profile GROUP BY 1),
 k AS (SELECT profile, style, count(*) AS k FROM e GROUP BY ALL), dc AS (SELECT st.profile, st.style, coalesce(k, 0) AS k FROM st LEFT JOIN k ON st.profile = k.profile AND st.style = k.style JOIN a ON st.profile = a.profile WHERE a.n > 0)
-SELECT 'error' AS severity, 'profile.no_examples' AS code, profile AS subject FROM a WHERE n = 0 UNION ALL SELECT 'warning', 'profile.few_examples', profile FROM a WHERE n BETWEEN 1 AND 11
+SELECT 'error' AS severity, 'profile.no_examples' AS code, profile AS subject FROM a WHERE n = 0 UNION ALL SELECT 'warning', 'profile.few_examples', profile FROM a WHERE n BETWEEN 1 AND 3
 UNION ALL SELECT 'warning', 'profile.duplicate_examples', profile FROM a WHERE nd < n UNION ALL SELECT 'warning', 'profile.unsourced_examples', profile FROM a WHERE us > 0.5 * n UNION ALL SELECT 'info', 'profile.latin_in_examples', profile FROM a WHERE la > 0
 UNION ALL SELECT 'error', 'profile.style_without_examples', profile || '/' || style FROM dc WHERE k = 0 UNION ALL SELECT 'warning', 'profile.thin_style', profile || '/' || style FROM dc WHERE k = 1
-UNION ALL SELECT 'warning', 'profile.examples_in_undeclared_styles', profile || '/' || style FROM k WHERE style NOT IN ('en', 'fr', 'zh') UNION ALL SELECT 'error', 'profile.bad_pronunciation', 'src2/重重' UNION ALL SELECT 'warning', 'profile.multi_char_pronunciation', 'src2/重重'"""
+UNION ALL SELECT 'warning', 'profile.examples_in_undeclared_styles', profile || '/' || style FROM k WHERE style NOT IN ('user', 'zh') UNION ALL SELECT 'error', 'profile.bad_pronunciation', '2/重重' UNION ALL SELECT 'warning', 'profile.multi_char_pronunciation', '2/重重'"""
 ORACLE["q_lint"] = LINT_SQL
-QUERIES["q_lint_summary"] = lambda spark, d: Q.lint_summary(_lint(spark, d), table(spark, d, "documents").select(c("source").alias("profile")))
+QUERIES["q_lint_summary"] = lambda spark, d: Q.lint_summary(_lint(spark, d), table(spark, d, "conversations").select(c("conv_id").alias("profile")))
 ORACLE["q_lint_summary"] = f"""
-SELECT p.source AS profile, count(*) FILTER (WHERE severity = 'error') AS n_error, count(*) FILTER (WHERE severity = 'warning') AS n_warning, count(*) FILTER (WHERE severity = 'info') AS n_info, count(*) FILTER (WHERE severity = 'error') = 0 AS ok
-FROM (SELECT DISTINCT source FROM documents) p LEFT JOIN ({LINT_SQL}) l ON string_split(subject, '/')[1] = p.source GROUP BY 1"""
+SELECT p.profile, count(*) FILTER (WHERE severity = 'error') AS n_error, count(*) FILTER (WHERE severity = 'warning') AS n_warning, count(*) FILTER (WHERE severity = 'info') AS n_info, count(*) FILTER (WHERE severity = 'error') = 0 AS ok
+FROM (SELECT DISTINCT conv_id::VARCHAR AS profile FROM conversations) p LEFT JOIN ({LINT_SQL}) l ON string_split(subject, '/')[1] = p.profile GROUP BY 1"""
 
 QUERIES["q_duplicate_ids"] = lambda spark, d: table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 ORACLE["q_duplicate_ids"] = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"
@@ -142,7 +153,16 @@ ORACLE["q_pipeline_summary"] = """
 SELECT coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_brand END, CASE WHEN p_partkey % 401 <> 0 THEN 'auto' END, 'unassigned') AS key, count(*) AS n, count(*) FILTER (WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0) AS n_approved,
   round(sum(p_size::DOUBLE / 4) FILTER (WHERE p_partkey % 5 <> 0), 3) AS usable_s FROM part GROUP BY 1"""
 
-QUERIES["q_ratings_union"] = lambda spark, d: R.unnested(table(spark, d, "labels").filter("quality = 1").groupBy("toxic").agg(F.collect_list(F.struct("doc_id", "quality", "toxic")).alias("ratings")), "ratings").unionByName(table(spark, d, "labels").filter("quality <> 1 OR quality IS NULL"))
+
+
+def _ratings_union(spark, d):
+    """Half of the ratings as a record a line, the others nested in documents of at most 100; all are read back as one table."""
+    labels = table(spark, d, "labels")
+    nested = labels.filter("toxic = 0").groupBy(F.floor(c("doc_id") / 100).alias("file")).agg(F.collect_list(F.struct("doc_id", "quality", "toxic")).alias("ratings"))
+    return R.unnested(nested, "ratings").unionByName(labels.filter("toxic <> 0 OR toxic IS NULL"))
+
+
+QUERIES["q_ratings_union"] = _ratings_union
 ORACLE["q_ratings_union"] = "SELECT doc_id, quality, toxic FROM labels"
 
 QUERIES["q_incremental_ingest"] = lambda spark, d: R.ingest(table(spark, d, "pages").filter("url LIKE 'https%'").select("page_id"), table(spark, d, "pages"), "page_id", F.encode("html", "UTF-8"))
@@ -167,6 +187,15 @@ ORACLE["q_build_gate"] = "SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey
 
 QUERIES["q_normalize_text"] = lambda spark, d: Z.normalized(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "spoken", "rules", "warnings")
 QUERIES["q_numbers_zh"] = lambda spark, d: table(spark, d, "orders").select("o_orderkey", Z.read_numbers(c("o_totalprice").cast("long")).alias("spoken"))
+D, U = "['零', '一', '二', '三', '四', '五', '六', '七', '八', '九']", "['', '十', '百', '千']"
+ORACLE["q_numbers_zh"] = f"""
+WITH n AS (SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS n FROM orders),
+g AS (SELECT o_orderkey, n, i, (n // CAST(10 ** (4 * i) AS BIGINT)) % 10000 AS v FROM n, range(0, 4) t(i)),
+d AS (SELECT o_orderkey, i, v, string_agg(CASE WHEN (v // CAST(10 ** j AS BIGINT)) % 10 = 0 THEN '零' ELSE {D}[(v // CAST(10 ** j AS BIGINT)) % 10 + 1] || {U}[j + 1] END, '' ORDER BY j DESC) AS raw FROM g, range(0, 4) t(j) GROUP BY ALL),
+f AS (SELECT o_orderkey, i, v, regexp_replace(regexp_replace(raw, '零+', '零', 'g'), '^零|零$', '', 'g') AS said, max(i) FILTER (WHERE v > 0) OVER (PARTITION BY o_orderkey) AS top,
+  lead(v) OVER (PARTITION BY o_orderkey ORDER BY i) AS higher FROM d),
+s AS (SELECT o_orderkey, string_agg(CASE WHEN v = 0 THEN '' ELSE CASE WHEN i < top AND (higher = 0 OR v < 1000) THEN '零' ELSE '' END || said || ['', '万', '亿', '万亿'][i + 1] END, '' ORDER BY i DESC) AS t FROM f GROUP BY 1)
+SELECT o_orderkey, CASE WHEN t = '' THEN '零' WHEN t LIKE '一十%' THEN substr(t, 2) ELSE t END AS spoken FROM s"""
 QUERIES["q_chunks"] = lambda spark, d: K.chunked(table(spark, d, "documents"), "doc_id", "text")
 
 

@@ -48,3 +48,19 @@ p AS (SELECT a.user_id AS l, b.user_id AS r, count(*) AS n, sum(a.v) AS sx, sum(
   FROM last a JOIN last b ON a.event_type = b.event_type AND a.user_id < b.user_id GROUP BY ALL),
 c AS (SELECT (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r FROM p WHERE n >= 3 AND n * sxx - sx * sx > 1e-9 AND n * syy - sy * sy > 1e-9)
 SELECT count(*) AS n_pairs, round(avg(r), 6) AS agreement FROM c"""
+
+
+def _aggregated(spark, d):
+    believed = F.when(F.col("doc_id") % 3 != 0, F.col("quality") > F.col("toxic"))
+    rated = table(spark, d, "labels").withColumn("believed", believed)
+    key = table(spark, d, "documents").select("doc_id", "source", (F.col("lang") == "en").alias("truth"))
+    names = key.select("source").distinct().filter("source <> 'src2'").withColumn("label", F.concat(F.lit("Source "), "source"))
+    return R.aggregate(rated, key, "doc_id", "source", HIGH, LOW, 1.0, "believed", "src1", "truth", names)
+
+
+QUERIES["q_rating_aggregate"] = lambda spark, d: _aggregated(spark, d).select("source", "label", "n_ratings", "n_items", "quality_mean", "toxic_mean", "believed_real_rate", "is_ground_truth")
+ORACLE["q_rating_aggregate"] = f"""
+WITH f AS ({FOLD_SQL}), b AS (SELECT source, round(avg((quality > toxic)::INT) FILTER (WHERE l.doc_id % 3 <> 0), 4) AS believed_real_rate, bool_and(coalesce(lang = 'en', NULL)) OR source = 'src1' AS is_ground_truth
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY source)
+SELECT f.source, CASE WHEN f.source <> 'src2' THEN 'Source ' || f.source ELSE f.source END AS label, n_ratings, n_items, quality_mean, toxic_mean, believed_real_rate, is_ground_truth
+FROM f JOIN b ON f.source = b.source"""

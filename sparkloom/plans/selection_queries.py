@@ -112,3 +112,26 @@ QUERIES["q_split_list"] = lambda spark, d: (
     _parts(spark, d).filter(F.col("duration").between(0.8, 15)).withColumn("o", F.sha2(F.concat(F.lit("0:"), F.col("p_partkey")), 256)).orderBy("o").limit(64).select("p_partkey", F.lit("heldout").alias("split"))
 )
 ORACLE["q_split_list"] = f"SELECT p_partkey, 'heldout' AS split FROM ({PARTS_SQL}) WHERE duration BETWEEN 0.8 AND 15 ORDER BY sha256('0:' || p_partkey) LIMIT 64"
+
+REF_STYLES = lambda spark, d: table(spark, d, "nation").select(F.concat(F.lit("Brand#"), F.col("n_nationkey") + 15).alias("name"), F.concat(F.lit("Brand#"), F.col("n_regionkey") * 8).alias("core_style"))
+REF_BANK = lambda spark, d: _parts(spark, d).select(F.col("p_partkey").alias("reference_id"), F.col("p_brand").alias("style"), "duration", "quality")
+EXCLUDED = list(range(1, 60))
+QUERIES["q_ref_exclude"] = lambda spark, d: S.select_references(_requests(spark, d), REF_STYLES(spark, d), REF_BANK(spark, d), "c_custkey", (3.5, 9.5), exclude=EXCLUDED)
+ORACLE["q_ref_exclude"] = ORACLE["q_ref_select"].replace("FROM (" + PARTS_SQL + "))", "FROM (" + PARTS_SQL + " WHERE p_partkey >= 60))")
+QUERIES["q_bank_order"] = lambda spark, d: S.by_style(_parts(spark, d), "p_brand", "quality", "p_partkey").select("p_brand", "place", "p_partkey")
+ORACLE["q_bank_order"] = f"SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY quality DESC, p_partkey) AS INTEGER) AS place, p_partkey FROM ({PARTS_SQL})"
+QUERIES["q_bank_resolve"] = lambda spark, d: S.resolve(
+    spark.range(0, 60).select(F.concat(F.lit("Brand#"), F.col("id")).alias("p_brand")), REF_STYLES(spark, d), _parts(spark, d).filter("p_brand <> 'Brand#16'"), "p_brand", "quality", "p_partkey"
+)
+ORACLE["q_bank_resolve"] = f"""
+WITH b AS (SELECT * FROM ({PARTS_SQL}) WHERE p_brand <> 'Brand#16'), q AS (SELECT 'Brand#' || i AS p_brand FROM range(0, 60) t(i)),
+s AS (SELECT 'Brand#' || (n_nationkey + 15) AS name, 'Brand#' || (n_regionkey * 8) AS core FROM nation),
+c AS (SELECT p_brand, 1 AS p, p_brand AS s FROM q UNION ALL SELECT p_brand, 2, core FROM q JOIN s ON q.p_brand = s.name),
+m AS (SELECT p_brand, arg_min(s, p) AS s FROM c WHERE s IN (SELECT p_brand FROM b) GROUP BY p_brand),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY quality DESC, p_partkey) AS r, row_number() OVER (ORDER BY quality DESC, p_partkey) AS g FROM b)
+SELECT m.p_brand, CAST(r AS INTEGER) AS place, p_partkey FROM m JOIN r ON m.s = r.p_brand WHERE r <= 3
+UNION ALL SELECT q.p_brand, CAST(g AS INTEGER), p_partkey FROM q, r WHERE g <= 3 AND q.p_brand NOT IN (SELECT p_brand FROM m)"""
+QUERIES["q_active_sources"] = lambda spark, d: S.active_sources(
+    table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "bad").alias("error"), F.when(F.col("s_suppkey") % 2 == 0, "a.wav").alias("path")), "s_suppkey", "error", "path", 60
+).select("s_suppkey")
+ORACLE["q_active_sources"] = "SELECT s_suppkey FROM (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 60) WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0"

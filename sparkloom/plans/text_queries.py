@@ -74,6 +74,14 @@ ORACLE["q_state_transitions"] = f"""
 WITH m AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events)
 SELECT * FROM m WHERE from_state IS NOT NULL AND from_state <> to_state AND (from_state, to_state) NOT IN ({", ".join(f"('{a}', '{b}')" for a, b in EDGES)})"""
 
+QUERIES["q_forced_transitions"] = lambda spark, d: V.transitions(
+    table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", spark.createDataFrame(EDGES, "from_state string, to_state string"), c("event_id") % 5 == 0
+).select("user_id", "event_id", "from_state", "to_state", "verdict")
+ORACLE["q_forced_transitions"] = f"""
+WITH m AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events)
+SELECT *, CASE WHEN (from_state, to_state) IN ({", ".join(f"('{a}', '{b}')" for a, b in EDGES)}) THEN 'legal' WHEN event_id % 5 = 0 THEN 'forced' ELSE 'illegal' END AS verdict
+FROM m WHERE from_state IS NOT NULL AND from_state <> to_state"""
+
 QUERIES["q_emit_on_change"] = lambda spark, d: V.emit_on_change(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 40000.0, "ts").select("user_id", "event_id", "event_type")
 ORACLE["q_emit_on_change"] = """
 SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS p, lag(ts) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE p IS NULL OR p <> event_type OR ts - t >= INTERVAL 40000 SECOND"""
@@ -165,6 +173,14 @@ SELECT h.item_id AS query_id, h.pos, round(s / c * CASE WHEN {G.format("p.u")} =
 FROM h JOIN ceil_ ON h.item_id = ceil_.item_id JOIN pool p ON h.pos = p.pos"""
 
 QUERIES["q_example_select"] = lambda spark, d: D.select(_queries(spark, d), _pool(spark, d), 6)
+DISTINCT_SQL = f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, {G.format("text")} AS s FROM conversations WHERE role <> 'system'),
+lines AS (SELECT conv_id, turn, i, list_distinct(list_transform(range(1, greatest(length(s), 2)), lambda k: substr(s, k, 2))) AS grams FROM turns),
+walk AS (SELECT conv_id, i, turn, true AS kept, [{{'g': grams}}] AS seen FROM lines WHERE i = 1
+  UNION ALL SELECT l.conv_id, l.i, l.turn, x.new, CASE WHEN x.new THEN list_append(w.seen, {{'g': l.grams}}) ELSE w.seen END
+  FROM walk w JOIN lines l ON w.conv_id = l.conv_id AND l.i = w.i + 1,
+    LATERAL (SELECT count(*) = 0 AS new FROM unnest(w.seen) u(k) WHERE len(list_intersect(k.g, l.grams)) >= 0.85 * len(list_distinct(list_concat(k.g, l.grams)))) x),
+kept_lines AS (SELECT conv_id, turn FROM walk WHERE kept)"""
+ORACLE["q_near_dup_distinct"] = DISTINCT_SQL + " SELECT * FROM kept_lines"
 QUERIES["q_near_dup_distinct"] = lambda spark, d: D.distinct_lines(table(spark, d, "conversations").filter("role <> 'system'"), "conv_id", "turn", "text")
 QUERIES["q_turn_context"] = lambda spark, d: (
     D.select(_queries(spark, d), _pool(spark, d), 3).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), ",").alias("examples"))

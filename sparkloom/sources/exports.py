@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import one_line
+from sparkloom.operators import selection
 
 Export = Callable[[DataFrame], DataFrame]
 
@@ -48,10 +49,25 @@ def with_prompt(rows: DataFrame, prompt: DataFrame) -> DataFrame:
 
 
 def kaldi(rows: DataFrame, speaker: str) -> dict[str, DataFrame]:
-    """wav.scp, text and utt2spk lines a sample, and the spk2utt line of the speaker, each as (split, line)."""
+    """wav.scp, text and utt2spk lines a sample, each as (split, line), and the samples of spk2utt, which ``write_speaker_lines`` puts on lines."""
     line = lambda *c: rows.select("sample_id", "split", F.concat_ws(" ", *c).alias("line"))
-    utterances = rows.groupBy("split").agg(F.concat_ws(" ", F.lit(speaker), F.array_join(F.array_sort(F.collect_list("sample_id")), " ")).alias("line"))
-    return {"wav.scp": line("sample_id", "path"), "text": line("sample_id", one_line(F.col("text"))), "utt2spk": line("sample_id", F.lit(speaker)), "spk2utt": utterances}
+    return {"wav.scp": line("sample_id", "path"), "text": line("sample_id", one_line(F.col("text"))), "utt2spk": line("sample_id", F.lit(speaker)), "spk2utt": line("sample_id")}
+
+
+def write_speaker_lines(entries: DataFrame, speaker: str, folder: str, width: int = 1000) -> None:
+    """spk2utt lines of each split: the speaker and at most ``width`` of its samples a line, in order.
+
+    Readers of the format join lines of one speaker; so no task holds all samples of a split.
+    """
+    placed = selection.numbered(entries, "sample_id").withColumn("_l", F.floor(F.col("_i") / width))
+    lines = placed.groupBy("split", "_l").agg(F.array_join(F.array_sort(F.collect_list("line")), " ").alias("samples"))
+    lines.select("split", F.concat_ws(" ", F.lit(speaker), "samples").alias("value")).write.partitionBy("split").mode("overwrite").text(folder)
+
+
+def best_reference(rows: DataFrame, by: str, preferred: str) -> DataFrame:
+    """The reference clip of each split with its text as ``line``: of the preferred style if there is one, of 3 to 10 s if there is one, best quality."""
+    best = selection.best_reference(rows, by, "style", preferred, "duration_s", "quality", "sample_id").select(by, "sample_id")
+    return rows.join(best, [by, "sample_id"]).withColumn("line", one_line(F.col("text")))
 
 
 def write_lines(lines: DataFrame, folder: str) -> None:

@@ -1,4 +1,4 @@
-"""Checkpoints of a pipeline's state: staged Parquet that replaces the old one as a whole."""
+"""Checkpoints of a pipeline's state: versions of Parquet, of which the newest complete one counts."""
 
 from __future__ import annotations
 
@@ -8,23 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _fs(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """The complete versions of a state, oldest first."""
+    fs, path = _fs(spark, folder)
+    if not fs.exists(path(".")):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path(".")) if s.getPath().getName().startswith("state-"))
+    return [n for n in names if fs.exists(path(f"{n}/_SUCCESS"))]
+
+
 def save_state(rows: DataFrame, folder: str, pack: str) -> None:
-    """Write the state of ``pack`` to a new folder, then put that in the old one's place, so that a reader never meets half a state."""
+    """Write the state of ``pack`` as a version of its own beside the ones before; readers take the newest complete version.
+
+    A version is complete once its job has committed, so a crash at any time leaves the version before. Older versions than the previous one are then deleted; a reader
+    that has just listed them may still read the previous one.
+    """
     spark = rows.sparkSession
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    staged, place = f"{folder}/.staged-{uuid.uuid4().hex}", f"{folder}/state"
-    rows.withColumn("pack", F.lit(pack)).write.parquet(staged)
-    fs = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(place), True)
-    fs.rename(path(staged), path(place))
+    old = _versions(spark, folder)
+    number = int(old[-1].split("-")[1]) + 1 if old else 1
+    rows.withColumn("pack", F.lit(pack)).write.parquet(f"{folder}/state-{number:012d}-{uuid.uuid4().hex}")
+    fs, path = _fs(spark, folder)
+    for name in old[:-1]:
+        if not fs.delete(path(name), True):
+            raise OSError(f"could not delete {folder}/{name}")
 
 
 def load_state(spark: SparkSession, folder: str, pack: str) -> DataFrame | None:
     """The saved state, or None where there is none; that of another pack is an error."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    versions = _versions(spark, folder)
+    if not versions:
         return None
-    rows = spark.read.parquet(f"{folder}/state")
+    rows = spark.read.parquet(f"{folder}/{versions[-1]}")
     other = rows.filter(F.col("pack") != pack).select("pack").first()
     if other:
         raise ValueError(f"{folder} holds the state of {other[0]!r}, not of {pack!r}")
