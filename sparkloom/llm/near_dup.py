@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._store import hold, release, store
+from sparkloom.llm._store import drop, hold, release, store
 from sparkloom.llm._text import chunks, mix, powers, shingles
 from sparkloom.llm.components import connected
 
@@ -159,7 +159,8 @@ def _blocks(open_: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     sizes = sizes.join(packs, "key").hint("rebalance")
     own = F.when(F.col("large"), F.col("component"))  # null: a pack
     part = F.when(F.col("large"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / block))).otherwise(F.pmod(F.xxhash64("component"), "packs")).cast("int").alias("part")
-    dealt = hold(open_.join(sizes, ["key", "component"]).select("key", "cls", "component", F.struct(F.col("large").alias("whole"), F.coalesce(own, F.lit(0)).alias("own"), part).alias("b")))
+    block_ = F.struct(F.col("large").alias("whole"), F.coalesce(own, F.lit(0)).alias("own"), part)
+    dealt = store(open_.join(sizes, ["key", "component"]).select("key", "cls", "component", block_.alias("b")), "blocks")
     blocks = dealt.select("key", "b").distinct()
     met = blocks.withColumnRenamed("b", "lo").join(blocks.withColumnRenamed("b", "hi"), "key")
     same = F.col("lo.whole") & F.col("hi.whole") & (F.col("lo.own") == F.col("hi.own"))
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = held.dropDuplicates(["cls"]) if repeats else held
     banded = reps.select("cls", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1").hint("rebalance")  # else the join below could not split a hot key
-    shared = hold(banded.join(buckets, "key"))
+    shared = store(banded.join(buckets, "key"), "shared")  # stored, as are other tables of ids: plans over held ones would hold their plans again and again
     wanted = hold(shared.select("cls").distinct())
     few = _checked(wanted)
     asked = reps.join(few, "cls", "left_semi")
@@ -247,11 +248,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     release(held, wanted)
     a, b = near.select(F.col("cls").alias("a"), F.col("sig").alias("s")), near.select(F.col("cls").alias("b"), F.col("sig").alias("t"))
     star = shared.filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    likely = hold(star.join(a, "a").join(b, "b").filter(estimate(F.col("s"), F.col("t")) >= least).select("a", "b"))
+    likely = store(star.join(a, "a").join(b, "b").filter(estimate(F.col("s"), F.col("t")) >= least).select("a", "b"), "likely")
     first = connected(_exact(likely, near.select("cls", "members"), percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = shared.filter("members > 2").join(first, F.col("cls") == F.col("id"), "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other").select("key").hint("rebalance")
-    open_ = hold(placed.join(mixed, "key").distinct())
+    open_ = store(placed.join(mixed, "key").distinct(), "open")
     found = first.select("id", F.col("component").alias("c")).unionByName(near.select(F.col("cls").alias("id"), F.col("cls").alias("c")).join(first, "id", "left_anti"))
     if open_.isEmpty():
         found = found.withColumnRenamed("c", "component")
@@ -262,7 +263,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         members = classes.select("cls", "rep").join(found, F.col("cls") == F.col("id"))
         found = members.join(members.groupBy("component").agg(F.min("rep").alias("low")).hint("rebalance"), "component").select("id", F.col("low").alias("component"))
     found = store(found, "components")
-    release(shared, near, likely, open_)
+    release(near)
+    drop(shared, likely, open_)
     known = drawn.select("doc_id", *same).join(classes, same, "left")
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return known.join(found, F.col("cls") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
