@@ -128,3 +128,20 @@ def pcm_to_float(raw: Column, divisor: float) -> Column:
         return F.when(v >= 32768, v - 65536).otherwise(v) / F.lit(divisor)
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<double>"))
+
+
+def float_to_pcm(x: Column) -> Column:
+    """Samples clamped to [-1, 1] as 16-bit little-endian bytes, full scale 32767."""
+
+    def one(v: Column) -> Column:
+        n = F.rint(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v)) * 32767).cast("int")
+        hexed = F.lpad(F.hex(F.pmod(n, F.lit(65536))), 4, "0")
+        return F.concat(F.substring(hexed, 3, 2), F.substring(hexed, 1, 2))
+
+    return F.unhex(F.array_join(F.transform(x, one), ""))
+
+
+def blocks(x: Column, size: int) -> Column:
+    """Whole blocks of ``size`` samples, in order; what is left of the last one isn't in them."""
+    n = F.floor(F.size(x) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(x, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<double>>"))

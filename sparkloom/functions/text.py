@@ -153,6 +153,27 @@ def digest_mod(key: Column, n: Column) -> Column:
 
 
 def duration_label(seconds: Column) -> Column:
-    """1 h 5 min, 3 min 20 s, 12.5 s."""
-    h, m = F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600.0)) / 60)
-    return F.when(seconds >= 3600, F.concat(h, F.lit(" h "), m, F.lit(" min"))).when(seconds >= 60, F.concat(m, F.lit(" min "), F.floor(F.pmod(seconds, F.lit(60.0))), F.lit(" s"))).otherwise(F.concat(F.format_number(seconds, 1), F.lit(" s")))
+    """0 秒, 42 秒, 3.5 分钟, 42 分钟, 1.2 小时; nothing or less than nothing is 0 秒."""
+    tenths = lambda x: F.format_string("%.1f", F.round(x, 1))
+    minutes = seconds / 60
+    return (
+        F.when(seconds.isNull() | (seconds <= 0), "0 秒").when(seconds < 60, F.concat(F.floor(seconds + 0.5), F.lit(" 秒")))
+        .when(minutes < 10, F.concat(tenths(minutes), F.lit(" 分钟"))).when(minutes < 60, F.concat(F.round(minutes).cast("int"), F.lit(" 分钟")))
+        .otherwise(F.concat(tenths(minutes / 60), F.lit(" 小时")))
+    )
+
+
+def bytes_label(size: Column) -> Column:
+    """900 B, 12 KB, 3.4 MB, 1.25 GB."""
+    at = lambda power, digits: F.format_string(f"%.{digits}f", size / float(1024**power))
+    return (
+        F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, F.concat(at(1, 0), F.lit(" KB")))
+        .when(size < 1024**3, F.concat(at(2, 1), F.lit(" MB"))).otherwise(F.concat(at(3, 2), F.lit(" GB")))
+    )
+
+
+def elapsed_label(start: Column, end: Column) -> Column:
+    """3 分 20 秒, 20 秒, or a dash without a start; never below 0."""
+    s = F.greatest(F.lit(0), F.round((F.unix_micros(end) - F.unix_micros(start)) / 1e6)).cast("long")
+    said = F.when(s >= 60, F.concat(F.floor(s / 60), F.lit(" 分 "), s % 60, F.lit(" 秒"))).otherwise(F.concat(s, F.lit(" 秒")))
+    return F.when(start.isNull(), "—").otherwise(said)

@@ -14,6 +14,8 @@ from sparkloom.session import table
 from sparkloom.sources import exports as X
 from sparkloom.sources import files as R
 from sparkloom.streaming import endpointing as E
+from sparkloom.streaming import replies as L
+from sparkloom.streaming.drain import drained, table_stream
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -165,6 +167,17 @@ def _ratings_union(spark, d):
 QUERIES["q_ratings_union"] = _ratings_union
 ORACLE["q_ratings_union"] = "SELECT doc_id, quality, toxic FROM labels"
 
+QUERIES["q_table_counts"] = lambda spark, d: R.table_counts({n: table(spark, d, n) for n in ("orders", "pages", "documents", "events")})
+ORACLE["q_table_counts"] = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("orders", "pages", "documents", "events"))
+QUERIES["q_next_version"] = lambda spark, d: R.next_version(table(spark, d, "documents"), "source")
+ORACLE["q_next_version"] = "SELECT source, count(*) + 1 AS version FROM documents GROUP BY source"
+QUERIES["q_enabled"] = lambda spark, d: S.enabled(table(spark, d, "supplier").select("s_suppkey", F.when(c("s_suppkey") % 4 != 0, c("s_suppkey") % 3 != 0).alias("enabled"))).select("s_suppkey")
+ORACLE["q_enabled"] = "SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 <> 0"
+QUERIES["q_capped_list"] = lambda spark, d: table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(Q.capped(F.collect_list("o_orderkey"), 5).alias("shown"))
+ORACLE["q_capped_list"] = """
+WITH l AS (SELECT o_custkey, list_sort(list(o_orderkey)) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_custkey, array_to_string(k[1:5], ', ') || CASE WHEN len(k) > 5 THEN ' (' || len(k) || ' in all)' ELSE '' END AS shown FROM l"""
+
 QUERIES["q_incremental_ingest"] = lambda spark, d: R.ingest(table(spark, d, "pages").filter("url LIKE 'https%'").select("page_id"), table(spark, d, "pages"), "page_id", F.encode("html", "UTF-8"))
 ORACLE["q_incremental_ingest"] = "SELECT page_id, sha256(html) AS sha256, CASE WHEN html IS NULL OR html = '' THEN 'empty' END AS error FROM pages WHERE url NOT LIKE 'https%'"
 
@@ -207,3 +220,53 @@ def _frames(spark, d):
 
 
 QUERIES["q_endpointing_batch"] = lambda spark, d: E.endpoints(_frames(spark, d), E.Rules(silence_ms=200, least_ms=100))
+#: One turn of the recursion is ``step`` of the endpointing module, then the flush at a session's end.
+ENDPOINT_SQL = """
+WITH RECURSIVE f AS (SELECT user_id::VARCHAR AS session, seq, CASE WHEN (seq // 25) % 2 = 0 THEN -20 - value / 60 ELSE -60 + value / 200 END AS level, event_type = 'purchase' AS busy
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)),
+w AS (SELECT session, 0::BIGINT AS seq, NULL::DOUBLE AS fl, 0 AS voiced, 0 AS silent, 0 AS over_, false AS speaking, 0 AS ring, 0 AS kept, NULL::VARCHAR AS event, 0 AS frames FROM f WHERE seq = 1
+  UNION ALL
+  SELECT f.session, f.seq, b.fl, CASE WHEN c.began THEN 3 WHEN f.busy THEN w.voiced ELSE b.voiced END, CASE WHEN c.began THEN 0 WHEN f.busy THEN w.silent ELSE b.silent END,
+    CASE WHEN f.busy AND NOT c.began THEN b.over_ ELSE 0 END, CASE WHEN c.began THEN true WHEN c.ended THEN false ELSE w.speaking END, CASE WHEN c.began THEN 0 ELSE b.ring END,
+    CASE WHEN c.began THEN b.kept + b.ring WHEN c.ended THEN 0 ELSE b.kept END,
+    CASE WHEN c.began AND f.busy THEN 'barge_in' WHEN c.began THEN 'speech_start' WHEN c.ended AND (c.long_ OR greatest(0, b.kept * 20 - 200) >= 100) THEN 'speech_end' END,
+    CASE WHEN c.began THEN b.kept + b.ring ELSE b.kept END
+  FROM w JOIN f ON f.session = w.session AND f.seq = w.seq + 1,
+    LATERAL (SELECT w.fl IS NOT NULL AND f.level > -45 AND f.level >= w.fl + 10 AS v) a,
+    LATERAL (SELECT coalesce(w.fl, f.level) + CASE WHEN w.fl IS NOT NULL AND NOT a.v THEN (f.level - w.fl) * CASE WHEN f.level < w.fl THEN 0.35::DOUBLE ELSE 0.02::DOUBLE END ELSE 0 END AS fl,
+      CASE WHEN a.v THEN w.voiced + 1 ELSE 0 END AS voiced, CASE WHEN a.v THEN 0 ELSE w.silent + 1 END AS silent, CASE WHEN a.v THEN w.over_ + 1 ELSE 0 END AS over_,
+      CASE WHEN w.speaking THEN w.ring ELSE least(6, w.ring + 1) END AS ring, CASE WHEN w.speaking THEN w.kept + 1 ELSE w.kept END AS kept) b,
+    LATERAL (SELECT CASE WHEN f.busy THEN b.over_ >= 5 ELSE NOT w.speaking AND b.voiced >= 3 END AS began, NOT f.busy AND w.speaking AND b.kept * 20 >= 20000 AS long_,
+      NOT f.busy AND w.speaking AND (b.kept * 20 >= 20000 OR b.silent * 20 >= 200) AS ended) c),
+z AS (SELECT *, max(seq) OVER (PARTITION BY session) AS last FROM w)
+SELECT session, seq, event, CAST(frames AS INTEGER) AS frames FROM w WHERE event IS NOT NULL"""
+FLUSHED = "UNION ALL SELECT session, seq, 'speech_end', CAST(kept AS INTEGER) FROM z WHERE seq = last AND speaking AND kept * 20 >= 100"
+ORACLE["q_endpointing_batch"] = f"{ENDPOINT_SQL} {FLUSHED}"
+
+
+def _spoken(spark, d):
+    """The conversations as a stream of turns."""
+    return table_stream(spark, d, "conversations")
+
+
+MARKS = r"[\s，、；：,;:。！？!?…]"  # chunks begin with none of these; all else stays
+QUERIES["q_stream_chunks"] = lambda spark, d: (
+    drained(
+        L.stream_chunks(
+            _spoken(spark, d).filter("trim(text) <> ''").select(F.concat_ws("/", "conv_id", "turn").alias("reply"), F.posexplode(F.array(F.left("text", F.floor(F.char_length("text") / 2).cast("int")), F.substring("text", F.floor(F.char_length("text") / 2).cast("int") + 1, F.lit(1 << 30)))).alias("seq", "delta"))
+            .withColumn("last", c("seq") == 1), idle_ms=None,
+        )
+    ).groupBy("reply").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda x: x["chunk"]), "").alias("text"), F.count_if("is_final").alias("n_final"))
+    .select("reply", F.regexp_replace("text", MARKS, "").alias("text"), "n_final")
+)
+ORACLE["q_stream_chunks"] = f"SELECT conv_id || '/' || turn AS reply, regexp_replace(text, '{MARKS}', '', 'g') AS text, 1 AS n_final FROM conversations WHERE trim(text) <> ''"
+QUERIES["q_stream_equals_batch"] = lambda spark, d: drained(
+    L.stream_memory(_spoken(spark, d).select(c("conv_id").cast("string").alias("conv"), "turn", "role", "text"), max_turns=1, after_turns=1, most=90, idle_ms=None)
+).groupBy("conv").agg(F.max_by(F.struct("folded", "summary"), "turn").alias("x")).select("conv", "x.folded", "x.summary")
+ORACLE["q_stream_equals_batch"] = r"""
+WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE trim(text) <> ''),
+n AS (SELECT *, 2 * greatest(0, (count(*) OVER (PARTITION BY conv_id) - 2) // 2) AS folded FROM t),
+l AS (SELECT conv_id, i, '- ' || CASE WHEN length(t) > 60 THEN substr(t, 1, 59) || '…' ELSE t END AS line FROM n WHERE i <= folded AND role = 'user'),
+k AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY i DESC) - 1 AS size FROM l),
+s AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS summary FROM k WHERE size <= 90 GROUP BY 1)
+SELECT n.conv_id::VARCHAR AS conv, CAST(max(folded) AS INTEGER) AS folded, coalesce(max(summary), '') AS summary FROM n LEFT JOIN s ON n.conv_id = s.conv_id GROUP BY n.conv_id"""

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import json
+import uuid
 import wave
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,6 +53,39 @@ def yaml_document(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.createDataFrame([tuple(data.get(n) for n in schema.names)], schema)
 
 
+def save_document(document: dict, path: str, spark: SparkSession) -> None:
+    """One document as indented JSON in UTF-8, or as YAML by its suffix, put in place by a rename, so that readers meet the old or the new one."""
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        text = yaml.safe_dump(document, allow_unicode=True, sort_keys=False)
+    else:
+        text = json.dumps(document, ensure_ascii=False, indent=2) + "\n"
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    staged = f"{path}.{uuid.uuid4().hex}"
+    out = fs.create(hadoop(staged), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    aside = f"{path}.old-{uuid.uuid4().hex}"
+    kept = fs.exists(hadoop(path)) and fs.rename(hadoop(path), hadoop(aside))
+    if not fs.rename(hadoop(staged), hadoop(path)):
+        raise OSError(f"could not put {path} in place" + (f"; the old one is {aside}" if kept else ""))
+    if kept:
+        fs.delete(hadoop(aside), False)
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table, in one plan."""
+    parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def next_version(existing: DataFrame, by: str) -> DataFrame:
+    """(by, version): one more than the rows that each key has."""
+    return existing.groupBy(by).agg((F.count(F.lit(1)) + 1).alias("version"))
+
+
 def if_present(spark: SparkSession, path: str, read) -> DataFrame | None:
     """``read(path)``, or None where nothing is there; what is there but invalid still fails."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

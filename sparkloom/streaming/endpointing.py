@@ -105,20 +105,43 @@ def endpoints(frames: DataFrame, rules: Rules = Rules(), end: bool = True) -> Da
     return frames.select("session", "seq", "level", "speaking").groupBy("session").applyInPandas(run, EVENTS)
 
 
-def stream_endpoints(frames: DataFrame, rules: Rules = Rules(), idle_ms: int | None = None) -> DataFrame:
-    """The same over a stream: frames of a micro-batch are put in order, late ones dropped. With ``idle_ms`` a session without frames for so long is flushed and its state goes."""
+def _in_order(waiting: dict[int, tuple], next_seq: int, late: int) -> pd.DataFrame:
+    """Takes from ``waiting`` the frames that can be walked: the next one by seq, or one whose gap before it is ``late`` frames old."""
+    ready = []
+    newest = max(waiting, default=0)
+    for seq in sorted(waiting):
+        if seq > next_seq and newest - seq < late:
+            break
+        ready.append((seq, *waiting.pop(seq)))
+        next_seq = max(next_seq, seq + 1)
+    return pd.DataFrame(ready, columns=["seq", "level", "speaking"])
+
+
+def stream_endpoints(frames: DataFrame, rules: Rules = Rules(), late: int = 10, idle_ms: int | None = 60_000) -> DataFrame:
+    """The same over a stream, whatever the micro-batches: frames wait for those before them.
+
+    A gap is waited for until a frame ``late`` places after it has come; a frame that comes even later is dropped, as is a second one of the same seq. The first frames of a session wait likewise, as its first seq isn't
+    known. A session without frames for ``idle_ms`` walks what waits, is flushed, and its state goes; so the state is bounded by the sessions of that time, each with at most about ``late`` frames. None, for runs that end by themselves, keeps all.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = State(*held.get) if held.exists else State()
+        state, waiting = State(), {}
+        if held.exists:
+            *plain, seqs, levels, speaks = held.get
+            state, waiting = State(*plain), dict(zip(seqs, zip(levels, speaks, strict=True), strict=True))
         if held.hasTimedOut:
-            out = [(state.next_seq - 1, e, n) for e, n in flush(state, rules)[1]]
+            state, out = _walk(state, _in_order(waiting, state.next_seq, 0), rules)
+            out += [(state.next_seq - 1, e, n) for e, n in flush(state, rules)[1]]
             held.remove()
         else:
-            state, out = _walk(state, pd.concat(list(parts)), rules)
-            held.update(astuple(state))
+            for seq, level, speaks in pd.concat(list(parts))[["seq", "level", "speaking"]].itertuples(index=False):
+                waiting.setdefault(int(seq), (float(level), bool(speaks)))
+            state, out = _walk(state, _in_order(waiting, state.next_seq, late), rules)
+            held.update((*astuple(state), list(waiting), [x for x, _ in waiting.values()], [x for _, x in waiting.values()]))
             if idle_ms:
                 held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["session", "seq", "event", "frames"])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return frames.select("session", "seq", "level", "speaking").groupBy("session").applyInPandasWithState(run, EVENTS, SCHEMA, "append", timeout)
+    shape = f"{SCHEMA}, seqs array<long>, levels array<double>, speaks array<boolean>"
+    return frames.select("session", "seq", "level", "speaking").groupBy("session").applyInPandasWithState(run, EVENTS, shape, "append", timeout)

@@ -182,7 +182,7 @@ def stream(spark, tmp_path, name, schema, parts, build):
 def test_streamed_endpoints_equal_batch(spark, tmp_path):
     names = ("session", "seq", "level", "speaking")
     rows = [dict(zip(names, f, strict=True)) for f in frames()]
-    got = stream(spark, tmp_path, "endpoints", "session string, seq long, level double, speaking boolean", [rows[:37], rows[37:20:-1] + rows[38:90], rows[90:]], E.stream_endpoints)
+    got = stream(spark, tmp_path, "endpoints", "session string, seq long, level double, speaking boolean", [rows[:37], rows[37:20:-1] + rows[38:90], rows[90:]], lambda d: E.stream_endpoints(d, idle_ms=None))
     df = spark.createDataFrame(frames(), "session string, seq long, level double, speaking boolean")
     assert sorted((r.seq, r.event) for r in got) == sorted((r.seq, r.event) for r in E.endpoints(df, end=False).collect())
 
@@ -191,10 +191,10 @@ def test_streamed_chunks_and_memory(spark, tmp_path):
     text = "好的。我们现在就出发吧。路上小心一点。"
     deltas = [[{"reply": "r", "seq": i, "delta": ch, "last": i == len(text) - 1}] for i, ch in enumerate(text)]
     parts = [sum(deltas[:7], []), sum(deltas[7:], [])]
-    got = sorted(stream(spark, tmp_path, "chunks", "reply string, seq long, delta string, last boolean", parts, P.stream_chunks))
+    got = sorted(stream(spark, tmp_path, "chunks", "reply string, seq long, delta string, last boolean", parts, lambda d: P.stream_chunks(d, idle_ms=None)))
     assert "".join(r.chunk for r in got) == text and [r.is_final for r in got] == [False] * (len(got) - 1) + [True]
     turns = [{"conv": "c", "turn": i, "role": "user" if i % 2 == 0 else "assistant", "text": f"句子{i}"} for i in range(8)]
-    rows = stream(spark, tmp_path, "memory_fold", "conv string, turn long, role string, text string", [turns[:5], turns[5:]], lambda d: P.stream_memory(d, 1, 1))
+    rows = stream(spark, tmp_path, "memory_fold", "conv string, turn long, role string, text string", [turns[:5], turns[5:]], lambda d: P.stream_memory(d, 1, 1, idle_ms=None))
     assert max(rows, key=lambda r: r.turn).summary.split("\n") == ["- 句子0", "- 句子2", "- 句子4"]
 
 
