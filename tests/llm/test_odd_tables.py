@@ -33,6 +33,14 @@ def test_nulls_and_repeats(spark, tmp_path):
     documents, vectors, pages = (len(ROWS[t]) for t in ("documents", "embeddings", "pages"))
     assert {n: c for n, c in counts.items() if n not in ("op2_exact_top_k", "op4_embedding_near_dup", "op5_html_text")} == dict.fromkeys(set(counts) - {"op2_exact_top_k", "op4_embedding_near_dup", "op5_html_text"}, documents)
     assert counts["op4_embedding_near_dup"] == vectors and counts["op5_html_text"] == pages and counts["op2_exact_top_k"] > 0
+    best = [tuple(r) for r in queries.op2_exact_top_k(spark, place).orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "score").collect()]
+    assert best == [(50, 1, 51, 32768), (50, 2, 100, 0), (100, 1, 50, 0), (100, 2, 50, 0), (100, 3, 51, 0)]
+    links = sorted(map(str, (tuple(r) for r in queries.op4_embedding_near_dup(spark, place).select("vec_id", "n_links", "component_id", "kept").collect())))
+    assert links == sorted(map(str, [(None, 0, None, True), (None, 2, 50, False), (50, 2, 50, True), (50, 2, 50, True), (51, 0, 51, True), (100, 0, 100, True), (101, 0, 101, True)]))
+    texts = sorted((str(r.page_id), r.text, r.n_chars) for r in queries.op5_html_text(spark, place).collect())
+    assert texts == [("1", "y", 1), ("1", "y", 1), ("2", "", 0), ("None", "", 0), ("None", "x", 1)]
+    sizes = sorted((str(r.doc_id), r.size, r.source_size) for r in queries.op3_mix_sources(spark, place).collect())
+    assert sizes == [("1", 5, 10), ("1", 5, 10), ("2", 0, 10), ("3", 4, 9), ("4", 5, 9), ("None", 0, 5), ("None", 5, 5)]
     first = queries.op1_minhash_near_dup(spark, place).filter("n_shingles = 0").collect()
     assert all(r.component_id == r.doc_id and r.kept for r in first)
     assert corpus_pipeline.run(spark, place).count() > 0
