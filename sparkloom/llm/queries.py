@@ -100,6 +100,16 @@ e AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floo
 SELECT doc_id, size, source_size, target, (size * (whole + (middle < target - whole * source_size AND whole < 3)::BIGINT))::BIGINT AS taken FROM e"""
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM w, unnest(range(1, greatest(len(w), 2))) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), s AS (SELECT g.doc_id, s, n FROM g JOIN n ON g.doc_id = n.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, least(d.doc_id, coalesce(l.b, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN low l ON d.doc_id = l.a"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_minhash_near_dup, op2_exact_top_k, op3_mix_sources, op4_embedding_near_dup, op5_html_text,
@@ -109,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_embedding_near_dup": OP4_SQL}
+    return {"op1_minhash_near_dup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_embedding_near_dup": OP4_SQL}
