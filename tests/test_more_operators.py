@@ -166,7 +166,7 @@ def plain_select(query, style, rows, limit):
     scored = []
     for pos, user, said, own in rows:
         s = sum(idf[g] for g in q & grams(user)) + 0.35 * sum(idf[g] for g in q & grams(said))
-        scored.append((pos, s / ceiling * (0.8 if not user else 1.0) * (1.6 if own == style else 1.0), grams(said)))
+        scored.append((pos, round(s / ceiling * (0.8 if not user else 1.0) * (1.6 if own == style else 1.0), 9), grams(said)))
     like = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
     chosen = []
     if len(rows) <= limit or all(s <= 0 for _, s, _ in scored):
