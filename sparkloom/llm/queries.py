@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, embedding_dedup, html_text, language, lm, mixing, near_dup, periodic, sharding, substring_dedup, topk, turn_repair, url_filter
+from sparkloom.llm import bpe, embedding_dedup, html_text, language, lm, mixing, more_sql, near_dup, periodic, sharding, substring_dedup, topk, turn_repair, url_filter
 
 CONTRACT = {"op3": ["doc_id", "size", "source_size", "target", "taken"]}
 
@@ -140,4 +140,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_embedding_near_dup": OP4_SQL}
+    return {"op1_minhash_near_dup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_mix_sources": OP3_SQL, "op4_embedding_near_dup": OP4_SQL,
+            "op11_url_filter": more_sql.OP11_SQL, "op13_turn_repair": more_sql.OP13_SQL}

@@ -97,14 +97,22 @@ def scores(texts: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """(least): one row, the bin from which ``scored`` (score, accepted) is accepted with the least balanced error, on ties that nearest to 0, then the smaller; 0 if one kind is missing."""
-    bins = scored.groupBy(F.floor(F.col("score") / BIN).alias("least")).agg(*[F.count_if(F.col("accepted") == s).alias(f"n{s}") for s in (True, False)])
-    whole, below = W.partitionBy(F.lit(1)), W.partitionBy(F.lit(1)).orderBy("least").rowsBetween(W.unboundedPreceding, -1)  # scores are bounded, so bins are some thousands
+    """(least): one row, the bin from which ``scored`` (score, accepted) is accepted.
+
+    Bins between two occupied ones have equal errors, so the nearest to 0 stands for them; of these the one with the least balanced
+    error is taken, on ties that nearest to 0, then the smaller. 0 if one kind is missing.
+    """
+    counts = [F.count_if(F.col("accepted") == s).alias(f"n{s}") for s in (True, False)]
+    bins = scored.groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(*counts)
+    # one group, but of bins: scores are bounded by the smoothing, so there are some thousands
+    whole = W.partitionBy(F.lit(1))
+    below = whole.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     share = lambda s: F.coalesce(F.sum(f"n{s}").over(below), F.lit(0)) / F.sum(f"n{s}").over(whole)
-    errors = bins.filter((F.col("nTrue") + F.col("nFalse")) > 0).select("least", F.round(F.try_add(share(True), 1 - share(False)), 12).alias("error"))
-    return errors.agg(F.min(F.struct("error", F.abs("least").alias("far"), "least")).alias("best")).select(
-        F.when(F.col("best.error").isNull(), F.lit(0)).otherwise(F.col("best.least")).cast("long").alias("least")
-    )
+    nearest = F.greatest(F.least(F.lit(0), "bin"), F.max("bin").over(below) + 1)
+    both = F.least(F.sum("nTrue").over(whole), F.sum("nFalse").over(whole))
+    edges = bins.select("nTrue", "nFalse", "bin", nearest.alias("least"), both.alias("both"), F.when(both > 0, F.round(share(True) + 1 - share(False), 12)).alias("error"))
+    best = edges.filter("both > 0").agg(F.min(F.struct("error", F.abs("least").alias("far"), "least")).alias("best"))
+    return best.select(F.coalesce("best.least", F.lit(0)).cast("long").alias("least"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, folds: int = 5) -> DataFrame:

@@ -13,6 +13,7 @@ COLUMNS = {
     "op1_minhash_near_dup": {"doc_id", "n_shingles", "component_id", "kept"}, "op5_html_text": {"page_id", "url", "text", "n_chars"}, "op7_substring_dedup": {"doc_id", "text"},
     "op6_shard": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}, "op8_language_id": {"doc_id", "held_out", "lang_pred", "score"},
     "op9_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}, "op10_lm_score": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
+    "op12_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 
 

@@ -6,11 +6,12 @@ import corpus_pipeline
 from sparkloom.llm import queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int"
-TABLES = {"documents": DOCS, "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string"}
+TABLES = {"documents": DOCS, "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string, part int, edge string"}
 ROWS = {
     "documents": [(None, None, None, None, None, None), (None, "some text without an id", "en", None, 5, 1), (1, "some text without an id", None, "a", 5, 1), (1, "some text without an id", None, "a", 5, 1), (2, "", "fr", "a", 0, 1), (3, "le texte est là", "fr", "b", 9, 1), (4, "other words of another text", "en", "b", 9, 1)],
     "embeddings": [(None, None, None), (None, [1.0, 0.0], 1), (50, [1.0, 0.0], 1), (50, [1.0, 0.0], 1), (51, [0.5, 0.0], None), (100, [0.0, 2.0], 1), (101, [], 1)],
     "pages": [(None, None, None), (None, "http://a.b/c", "<p>x"), (1, "http://a.b/c", "<article><p>y"), (1, "http://a.b/c", "<article><p>y"), (2, "::", "")],
+    "conversations": [(None, None, None, None, None, None), (None, 1, "user", "Hi.", 1, ""), (1, 1, "user", "Hi.", 1, ""), (1, 1, "user", "Hi.", 1, ""), (1, None, "", "x", 1, ""), (2, 0, "other", "", 1, None)],
 }
 
 
@@ -31,8 +32,10 @@ def test_nulls_and_repeats(spark, tmp_path):
     place = folder(spark, tmp_path, ROWS)
     counts = {name: query(spark, place).count() for name, query in queries.queries().items()}
     documents, vectors, pages = (len(ROWS[t]) for t in ("documents", "embeddings", "pages"))
-    assert {n: c for n, c in counts.items() if n not in ("op2_exact_top_k", "op4_embedding_near_dup", "op5_html_text")} == dict.fromkeys(set(counts) - {"op2_exact_top_k", "op4_embedding_near_dup", "op5_html_text"}, documents)
-    assert counts["op4_embedding_near_dup"] == vectors and counts["op5_html_text"] == pages and counts["op2_exact_top_k"] > 0
+    others = {"op2_exact_top_k", "op4_embedding_near_dup", "op5_html_text", "op11_url_filter", "op13_turn_repair"}
+    assert {n: c for n, c in counts.items() if n not in others} == dict.fromkeys(set(counts) - others, documents)
+    assert counts["op4_embedding_near_dup"] == vectors and counts["op5_html_text"] == pages == counts["op11_url_filter"] and counts["op2_exact_top_k"] > 0
+    assert counts["op13_turn_repair"] == len({r[0] for r in ROWS["conversations"]})
     best = [tuple(r) for r in queries.op2_exact_top_k(spark, place).orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "score").collect()]
     assert best == [(50, 1, 51, 32768), (50, 2, 100, 0), (100, 1, 50, 0), (100, 2, 50, 0), (100, 3, 51, 0)]
     links = sorted(map(str, (tuple(r) for r in queries.op4_embedding_near_dup(spark, place).select("vec_id", "n_links", "component_id", "kept").collect())))
