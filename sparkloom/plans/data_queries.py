@@ -9,13 +9,15 @@ from sparkloom.functions import chinese as Z
 from sparkloom.operators import chunks as K
 from sparkloom.operators import quality as Q
 from sparkloom.operators import selection as S
+from sparkloom.plans.chunk_sql import CHUNKS_SQL, STREAM_CHUNKS_SQL
 from sparkloom.plans.text_queries import DISTINCT_SQL
 from sparkloom.session import table
 from sparkloom.sources import exports as X
 from sparkloom.sources import files as R
+from sparkloom.streaming import blocks as B
 from sparkloom.streaming import endpointing as E
 from sparkloom.streaming import replies as L
-from sparkloom.streaming.drain import drained, table_stream
+from sparkloom.streaming.drain import delivered
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -210,13 +212,14 @@ f AS (SELECT o_orderkey, i, v, regexp_replace(regexp_replace(raw, '零+', '零',
 s AS (SELECT o_orderkey, string_agg(CASE WHEN v = 0 THEN '' ELSE CASE WHEN i < top AND (higher = 0 OR v < 1000) THEN '零' ELSE '' END || said || ['', '万', '亿', '万亿'][i + 1] END, '' ORDER BY i DESC) AS t FROM f GROUP BY 1)
 SELECT o_orderkey, CASE WHEN t = '' THEN '零' WHEN t LIKE '一十%' THEN substr(t, 2) ELSE t END AS spoken FROM s"""
 QUERIES["q_chunks"] = lambda spark, d: K.chunked(table(spark, d, "documents"), "doc_id", "text")
+ORACLE["q_chunks"] = CHUNKS_SQL
 
 
-def _frames(spark, d):
+def _frames(spark, d, *more):
     e = table(spark, d, "events")
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     level = F.when(F.pmod(F.floor(seq / 25), F.lit(2)) == 0, -20 - c("value") / 60).otherwise(-60 + c("value") / 200)
-    return e.select(c("user_id").cast("string").alias("session"), seq.cast("long").alias("seq"), level.alias("level"), (c("event_type") == "purchase").alias("speaking"))
+    return e.select(c("user_id").cast("string").alias("session"), seq.cast("long").alias("seq"), level.alias("level"), (c("event_type") == "purchase").alias("speaking"), *more)
 
 
 QUERIES["q_endpointing_batch"] = lambda spark, d: E.endpoints(_frames(spark, d), E.Rules(silence_ms=200, least_ms=100))
@@ -244,25 +247,72 @@ FLUSHED = "UNION ALL SELECT session, seq, 'speech_end', CAST(kept AS INTEGER) FR
 ORACLE["q_endpointing_batch"] = f"{ENDPOINT_SQL} {FLUSHED}"
 
 
-def _spoken(spark, d):
-    """The conversations as a stream of turns."""
-    return table_stream(spark, d, "conversations")
-
-
-MARKS = r"[\s，、；：,;:。！？!?…]"  # chunks begin with none of these; all else stays
-QUERIES["q_stream_chunks"] = lambda spark, d: (
-    drained(
-        L.stream_chunks(
-            _spoken(spark, d).filter("trim(text) <> ''").select(F.concat_ws("/", "conv_id", "turn").alias("reply"), F.posexplode(F.array(F.left("text", F.floor(F.char_length("text") / 2).cast("int")), F.substring("text", F.floor(F.char_length("text") / 2).cast("int") + 1, F.lit(1 << 30)))).alias("seq", "delta"))
-            .withColumn("last", c("seq") == 1), idle_ms=None,
-        )
-    ).groupBy("reply").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda x: x["chunk"]), "").alias("text"), F.count_if("is_final").alias("n_final"))
-    .select("reply", F.regexp_replace("text", MARKS, "").alias("text"), "n_final")
-)
-ORACLE["q_stream_chunks"] = f"SELECT conv_id || '/' || turn AS reply, regexp_replace(text, '{MARKS}', '', 'g') AS text, 1 AS n_final FROM conversations WHERE trim(text) <> ''"
-QUERIES["q_stream_equals_batch"] = lambda spark, d: drained(
-    L.stream_memory(_spoken(spark, d).select(c("conv_id").cast("string").alias("conv"), "turn", "role", "text"), max_turns=1, after_turns=1, most=90, idle_ms=None)
-).groupBy("conv").agg(F.max_by(F.struct("folded", "summary"), "turn").alias("x")).select("conv", "x.folded", "x.summary")
+def _endpointing_stream(spark, d):
+    """The frames in twenty deliveries, up to 5 hours late, and a last one long after, whose time ends all sessions."""
+    hours = F.unix_timestamp("ts") / 3600
+    frames = _frames(spark, d, "ts")
+    late = F.pmod(F.xxhash64("session", "seq"), F.lit(5))
+    first, last = (table(spark, d, "events").agg(f(hours).alias("h")) for f in (F.min, F.max))
+    span = first.select(c("h").alias("h0")).crossJoin(last.select(c("h").alias("h1")))  # one row: aggregates without keys
+    dealt = frames.crossJoin(F.broadcast(span)).withColumn("delivery", F.least(F.lit(19), F.floor(20 * (hours + late - c("h0")) / (c("h1") - c("h0") + 5))).cast("int")).drop("h0", "h1")
+    after = table(spark, d, "events").agg(F.max("ts").alias("ts")).filter("ts IS NOT NULL").select(
+        F.lit("").alias("session"), F.lit(0).cast("long").alias("seq"), F.lit(-90.0).alias("level"), F.lit(False).alias("speaking"), (c("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(20).alias("delivery")
+    )
+    rules = E.Rules(silence_ms=200, least_ms=100)
+    return delivered(dealt.unionByName(after), "delivery", lambda s: E.stream_endpoints(s, rules, idle_ms=90 * 86_400_000, event_time="ts", delay="6 hours"))
+
+
+QUERIES["q_endpointing_stream"] = _endpointing_stream
+ORACLE["q_endpointing_stream"] = ORACLE["q_endpointing_batch"]
+
+
+def _samples_stream(spark, d):
+    """Vectors as deliveries of samples: fifty ids are a session; deliveries come up to two batches late, a few twice."""
+    x = table(spark, d, "embeddings").filter("vec_id IS NOT NULL").select(F.floor(c("vec_id") / 50).alias("session"), "vec_id", c("embedding").cast("array<double>").alias("samples"))
+    rows = x.withColumn("seq", (F.row_number().over(W.partitionBy("session").orderBy("vec_id")) - 1).cast("long"))
+    batch = (F.floor(c("seq") / 6) + F.pmod(F.xxhash64("vec_id"), F.lit(3))).cast("int")
+    twice = F.when(c("vec_id") % 17 == 0, F.array(batch, batch + 1)).otherwise(F.array(batch))
+    return rows.select(c("session").cast("string").alias("session"), "seq", "samples", F.explode(twice).alias("delivery"))
+
+
+def _reblocked(spark, d):
+    got = delivered(_samples_stream(spark, d), "delivery", lambda s: B.stream_blocks(s, 100, idle_ms=None))
+    marks = F.transform("samples", lambda v: F.floor(256 * v).cast("long").cast("string"))
+    return got.select("session", "block", F.size("samples").cast("long").alias("n"), F.md5(F.array_join(marks, ",")).alias("digest"))
+
+
+QUERIES["q_reblock_stream"] = _reblocked
+ORACLE["q_reblock_stream"] = """
+WITH v AS (SELECT vec_id // 50 AS session, vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL),
+s AS (SELECT session, vec_id, unnest(embedding) AS sample, generate_subscripts(embedding, 1) AS i FROM v),
+n AS (SELECT session, sample, row_number() OVER (PARTITION BY session ORDER BY vec_id, i) - 1 AS n FROM s)
+SELECT session::VARCHAR AS session, n // 100 AS block, count(*) AS n, md5(string_agg(floor(256 * sample::DOUBLE)::BIGINT::VARCHAR, ',' ORDER BY n)) AS digest FROM n GROUP BY session, n // 100 HAVING count(*) = 100"""
+
+
+#: Deltas of a reply are of this length; each comes a batch after the one before, from a batch of the reply's own on.
+DELTA = 150
+
+
+def _deltas(spark, d):
+    """Replies as deltas in some micro-batches: the text goes on where the last delivery ended."""
+    said = table(spark, d, "conversations").filter("trim(text) <> ''").select(F.concat_ws("/", "conv_id", "turn").alias("reply"), "text")
+    n = F.ceil(F.char_length("text") / DELTA).cast("int")
+    cut = said.select("reply", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    batch = F.least(F.lit(11), c("seq")) + F.pmod(F.xxhash64("reply"), F.lit(2))
+    return cut.select("reply", c("seq").cast("long").alias("seq"), F.substring("text", c("seq") * DELTA + 1, F.lit(DELTA)).alias("delta"), (c("seq") == c("n") - 1).alias("last"), batch.cast("int").alias("delivery"))
+
+
+QUERIES["q_stream_chunks"] = lambda spark, d: delivered(_deltas(spark, d), "delivery", lambda s: L.stream_chunks(s, idle_ms=None))
+ORACLE["q_stream_chunks"] = STREAM_CHUNKS_SQL
+
+
+def _turns(spark, d):
+    """Turns as they come: each in a micro-batch after those before it."""
+    t = table(spark, d, "conversations").select(c("conv_id").cast("string").alias("conv"), "turn", "role", "text")
+    return t.withColumn("delivery", F.least(F.lit(9), F.floor(c("turn") / 2) + F.pmod(F.xxhash64("conv"), F.lit(2))).cast("int"))
+
+
+QUERIES["q_stream_equals_batch"] = lambda spark, d: delivered(_turns(spark, d), "delivery", lambda s: L.stream_memory(s, max_turns=1, after_turns=1, most=90, idle_ms=None)).groupBy("conv").agg(F.max_by(F.struct("folded", "summary"), "turn").alias("x")).select("conv", "x.folded", "x.summary")
 ORACLE["q_stream_equals_batch"] = r"""
 WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE trim(text) <> ''),
 n AS (SELECT *, 2 * greatest(0, (count(*) OVER (PARTITION BY conv_id) - 2) // 2) AS folded FROM t),

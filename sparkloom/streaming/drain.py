@@ -1,13 +1,29 @@
-"""Runs a stream over what its source holds now, and reads the result as a table."""
+"""Runs a stream over what its source holds now, at once or delivery by delivery, and reads the result as a table."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started meanwhile keep their state in RocksDB, which list and map state, timers and TTL need; the session's own choice comes back after."""
+    own = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, own) if own else spark.conf.unset(STORE)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, or a temporary one where the master is local and it isn't set."""
@@ -32,6 +48,34 @@ def drained(stream: DataFrame) -> DataFrame:
     """All rows that ``stream`` appends for what its source holds now, written as Parquet with a checkpoint beside it."""
     spark = stream.sparkSession
     folder = shared_folder(spark)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows").outputMode("append").trigger(availableNow=True).start()
+    sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
+    with rocks_state(spark):
+        query = sink.outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def delivered(rows: DataFrame, by: str, through: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream ``through`` appends if ``rows`` come in deliveries, one micro-batch for each value of ``by`` (a small number of whole numbers), in order.
+
+    The rows are written once, a folder for each delivery, and moved one by one to where one running stream finds them, so its state goes from batch to batch. Nothing but
+    folder names comes to the driver.
+    """
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    rows.write.partitionBy(by).parquet(f"{folder}/staged")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(hadoop.Path(f"{folder}/staged")) if x.isDirectory()]
+    fs.mkdirs(hadoop.Path(f"{folder}/source"))
+    stream = through(spark.readStream.schema(rows.drop(by).schema).parquet(f"{folder}/source/*"))
+    sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
+    with rocks_state(spark):
+        query = sink.outputMode("append").start()
+    try:
+        for path in sorted(found, key=lambda p: int(p.getName().split("=")[1])):
+            fs.rename(path, hadoop.Path(f"{folder}/source/{path.getName().split('=')[1]}"))  # a name without "=" isn't a column
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

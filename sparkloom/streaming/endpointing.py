@@ -7,7 +7,9 @@ from dataclasses import astuple, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 EVENTS = "session string, seq long, event string, frames int"
 
@@ -112,36 +114,112 @@ def _in_order(waiting: dict[int, tuple], next_seq: int, late: int) -> pd.DataFra
     for seq in sorted(waiting):
         if seq > next_seq and newest - seq < late:
             break
-        ready.append((seq, *waiting.pop(seq)))
+        ready.append((seq, *waiting.pop(seq)[:2]))
         next_seq = max(next_seq, seq + 1)
     return pd.DataFrame(ready, columns=["seq", "level", "speaking"])
 
 
-def stream_endpoints(frames: DataFrame, rules: Rules = Rules(), late: int = 10, idle_ms: int | None = 60_000) -> DataFrame:
-    """The same over a stream, whatever the micro-batches: frames wait for those before them.
+class Endpointer(StatefulProcessor):
+    """The walk over one session's frames, delivery by delivery.
 
-    A gap is waited for until a frame ``late`` places after it has come; a frame that comes even later is dropped, as is a second one of the same seq. The first frames of a session wait likewise, as its first seq isn't
-    known. A session without frames for ``idle_ms`` walks what waits, is flushed, and its state goes; so the state is bounded by the sessions of that time, each with at most about ``late`` frames. None, for runs that end by themselves, keeps all.
+    State: where the walk stands (one value), and the frames that wait for others (a map by seq). Frames are let go in order of seq. A gap is waited for until a frame ``late``
+    places after it has come, or, in event time, until the watermark has passed the frame behind it. A session that has been idle for ``idle_ms`` walks what waits, is flushed, and its state goes.
     """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, waiting = State(), {}
-        if held.exists:
-            *plain, seqs, levels, speaks = held.get
-            state, waiting = State(*plain), dict(zip(seqs, zip(levels, speaks, strict=True), strict=True))
-        if held.hasTimedOut:
-            state, out = _walk(state, _in_order(waiting, state.next_seq, 0), rules)
-            out += [(state.next_seq - 1, e, n) for e, n in flush(state, rules)[1]]
-            held.remove()
+    def __init__(self, rules: Rules, late: int, idle_ms: int | None, event_time: bool):
+        self.rules, self.late, self.idle_ms, self.event_time = rules, late, idle_ms, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # a timer ends a session; frames that a timer could no longer reach go by themselves
+        live = 4 * self.idle_ms if self.idle_ms and not self.event_time else None
+        self.walked = handle.getValueState("walked", f"{SCHEMA}, last long, timer long")
+        self.waiting = handle.getMapState("waiting", "seq long", "level double, speaking boolean, at long", live)
+
+    def _known(self) -> tuple[State, int, int, dict[int, tuple]]:
+        *plain, last, timer = self.walked.get() if self.walked.exists() else (*astuple(State()), -1, -1)
+        return State(*plain), last, timer, {int(k[0]): tuple(v) for k, v in self.waiting.iterator()}
+
+    def _let_go(self, waiting: dict[int, tuple], next_seq: int, watermark: int) -> pd.DataFrame:
+        """Takes from ``waiting`` what can be walked."""
+        if not self.event_time:
+            return _in_order(waiting, next_seq, self.late)
+        ready, passed = [], max((seq for seq, x in waiting.items() if x[2] <= watermark), default=next_seq - 1)
+        for seq in sorted(waiting):
+            if seq > passed and seq != next_seq:
+                break
+            ready.append((seq, *waiting.pop(seq)[:2]))
+            next_seq = max(next_seq, seq + 1)
+        return pd.DataFrame(ready, columns=["seq", "level", "speaking"])
+
+    def _next_timer(self, old: int, waiting: dict[int, tuple], last: int, now: int) -> int:
+        """The timer in place of ``old``: when the session is idle, or in event time when the first waiting frame is passed."""
+        due = [last + self.idle_ms] if self.idle_ms else []
+        if self.event_time:
+            due += [x[2] for x in waiting.values()]
+        new = max(min(due), now + 1) if due else -1
+        if new != old:
+            if old > now:
+                self.handle.deleteTimer(old)
+            if new >= 0:
+                self.handle.registerTimer(new)
+        return new
+
+    def _keep(self, state: State, last: int, timer: int, before: set[int], waiting: dict[int, tuple]) -> None:
+        for seq in before - set(waiting):
+            self.waiting.removeKey((seq,))
+        for seq in set(waiting) - before:
+            self.waiting.updateValue((seq,), waiting[seq])
+        self.walked.update((*astuple(state), last, timer))
+
+    def _events(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *x) for x in out], columns=["session", "seq", "event", "frames"])
+
+    def _clock(self, times: TimerValues) -> int:
+        return times.getCurrentWatermarkInMs() if self.event_time else times.getCurrentProcessingTimeInMs()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        state, last, timer, waiting = self._known()
+        before, now = set(waiting), self._clock(timerValues) if self.idle_ms or self.event_time else 0
+        for frames in rows:
+            at = (frames["at"].astype("datetime64[ms]").astype("int64") if self.event_time else pd.Series(now, frames.index)).tolist()
+            for seq, level, speaks, t in zip(frames["seq"].tolist(), frames["level"].tolist(), frames["speaking"].tolist(), at, strict=True):
+                last = max(last, t)
+                if seq >= state.next_seq:
+                    waiting.setdefault(seq, (level, bool(speaks), t))
+        state, out = _walk(state, self._let_go(waiting, state.next_seq, now), self.rules)
+        self._keep(state, last, self._next_timer(timer, waiting, last, now), before, waiting)
+        yield self._events(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, last, timer, waiting = self._known()
+        before, now = set(waiting), self._clock(timerValues)
+        idle = self.idle_ms is not None and last + self.idle_ms <= now
+        ready = _in_order(waiting, state.next_seq, 0) if idle else self._let_go(waiting, state.next_seq, now)
+        state, out = _walk(state, ready, self.rules)
+        if idle:
+            out += [(state.next_seq - 1, e, n) for e, n in flush(state, self.rules)[1]]
+            self.waiting.clear()
+            self.walked.clear()
         else:
-            for seq, level, speaks in pd.concat(list(parts))[["seq", "level", "speaking"]].itertuples(index=False):
-                waiting.setdefault(int(seq), (float(level), bool(speaks)))
-            state, out = _walk(state, _in_order(waiting, state.next_seq, late), rules)
-            held.update((*astuple(state), list(waiting), [x for x, _ in waiting.values()], [x for _, x in waiting.values()]))
-            if idle_ms:
-                held.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["session", "seq", "event", "frames"])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    shape = f"{SCHEMA}, seqs array<long>, levels array<double>, speaks array<boolean>"
-    return frames.select("session", "seq", "level", "speaking").groupBy("session").applyInPandasWithState(run, EVENTS, shape, "append", timeout)
+            self._keep(state, last, self._next_timer(timer, waiting, last, now), before, waiting)
+        yield self._events(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_endpoints(frames: DataFrame, rules: Rules = Rules(), late: int = 10, idle_ms: int | None = 60_000, event_time: str | None = None, delay: str = "10 seconds") -> DataFrame:
+    """The same over a stream, whatever the micro-batches: frames wait for those before them.
+
+    A gap is waited for until a frame ``late`` places after it has come; a frame that comes even later is dropped, as is a second one of the same seq. The first frames of a session wait likewise, as its first seq isn't
+    known. A session without frames for ``idle_ms`` walks what waits, is flushed, and its state goes; so the state is bounded by the sessions of that time, each with at most about ``late`` frames. None, for runs that end
+    by themselves, keeps all.
+
+    ``event_time`` names a timestamp column (an extension: the listener itself knows no clock but its frames): gaps are then waited for until the watermark, ``delay`` behind the newest frame, has
+    passed the frame behind them, and ``idle_ms`` counts in that time, so a run over old frames gives what a run in real time gave. The stream needs the RocksDB state store.
+    """
+    columns = ["session", "seq", "level", "speaking"]
+    mode = "EventTime" if event_time else "ProcessingTime" if idle_ms else "None"
+    rows = frames.select(*columns, F.col(event_time).cast("timestamp").alias("at")).withWatermark("at", delay) if event_time else frames.select(*columns)
+    return rows.groupBy("session").transformWithStateInPandas(Endpointer(rules, late, idle_ms, bool(event_time)), EVENTS, "Append", mode)

@@ -18,6 +18,7 @@ from sparkloom.sources import exports as X
 from sparkloom.sources import files as R
 from sparkloom.streaming import endpointing as E
 from sparkloom.streaming import replies as P
+from sparkloom.streaming.drain import rocks_state
 
 
 def test_fold_handles_orphans_and_single_values(spark):
@@ -168,7 +169,9 @@ def test_endpointing(spark):
 def stream(spark, tmp_path, name, schema, parts, build):
     folder = tmp_path / name
     folder.mkdir()
-    query = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-state")).start()
+    sink = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-state"))
+    with rocks_state(spark):
+        query = sink.start()
     try:
         for i, rows in enumerate(parts):
             (folder / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
