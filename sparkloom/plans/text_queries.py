@@ -172,6 +172,11 @@ h AS (SELECT item_id, pos, style, sum(w * side) AS s FROM qw JOIN grams ON qw.gr
 SELECT h.item_id AS query_id, h.pos, round(s / c * CASE WHEN {G.format("p.u")} = '' THEN 0.8 ELSE 1.0 END * CASE WHEN h.item_id % 2 = 0 AND h.style = 'soft' THEN 1.6 ELSE 1.0 END, 6) AS score
 FROM h JOIN ceil_ ON h.item_id = ceil_.item_id JOIN pool p ON h.pos = p.pos"""
 
+QUERIES["q_example_topk"] = lambda spark, d: D.top_k(_queries(spark, d), _pool(spark, d), 5).select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
+ORACLE["q_example_topk"] = f"""
+WITH s AS ({ORACLE["q_example_scores"].replace(", 6) AS score", ", 9) AS score")}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, pos, round(score, 6) AS score FROM r WHERE rank <= 5"""
+
 QUERIES["q_example_select"] = lambda spark, d: D.select(_queries(spark, d), _pool(spark, d), 6)
 DISTINCT_SQL = f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, {G.format("text")} AS s FROM conversations WHERE role <> 'system'),
 lines AS (SELECT conv_id, turn, i, list_distinct(list_transform(range(1, greatest(length(s), 2)), lambda k: substr(s, k, 2))) AS grams FROM turns),
