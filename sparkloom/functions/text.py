@@ -177,3 +177,8 @@ def elapsed_label(start: Column, end: Column) -> Column:
     s = F.greatest(F.lit(0), F.round((F.unix_micros(end) - F.unix_micros(start)) / 1e6)).cast("long")
     said = F.when(s >= 60, F.concat(F.floor(s / 60), F.lit(" 分 "), s % 60, F.lit(" 秒"))).otherwise(F.concat(s, F.lit(" 秒")))
     return F.when(start.isNull(), "—").otherwise(said)
+
+
+def words(text: Column) -> Column:
+    """The words of ``text``: runs of letters and digits of ASCII, in order."""
+    return F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1)

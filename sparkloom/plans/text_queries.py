@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions import alignment as A
 from sparkloom.functions import text as T
 from sparkloom.operators import conversation as V
 from sparkloom.operators import dialogue as D
@@ -209,3 +210,19 @@ QUERIES["q_cer_micro"] = lambda spark, d: table(spark, d, "benchmark").alias("x"
 ORACLE["q_cer_micro"] = """
 WITH p AS (SELECT regexp_replace(x.text, '[^A-Za-z0-9]', '', 'g') AS r, regexp_replace(y.text, '[^A-Za-z0-9]', '', 'g') AS h FROM benchmark x JOIN benchmark y ON x.item_id + 1 = y.item_id)
 SELECT round(sum(levenshtein(r, h)) / sum(length(r)), 6) AS cer, count(*) FILTER (WHERE levenshtein(r, h) <= 0.05 * length(r)) AS n_close, count(*) AS n FROM p"""
+
+QUERIES["q_token_alignment"] = lambda spark, d: table(spark, d, "benchmark").alias("x").join(table(spark, d, "benchmark").alias("y"), c("x.item_id") + 1 == c("y.item_id")).select(
+    c("x.item_id"), A.aligned(T.words(c("x.text")), T.words(c("y.text"))).alias("a")
+).select("item_id", "a.distance", F.array_join("a.lost", " ").alias("lost"))
+#: Rows of the distance table one by one, then the path back.
+ORACLE["q_token_alignment"] = """
+WITH RECURSIVE b AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS t FROM benchmark), p AS (SELECT x.item_id, x.t AS r, y.t AS h FROM b x JOIN b y ON x.item_id + 1 = y.item_id),
+d(item_id, i, line) AS (SELECT item_id, 0::BIGINT, range(0, len(h) + 1) FROM p UNION ALL
+  SELECT item_id, i, list_reduce(list_prepend([i], list_transform(range(1, len(h) + 1), lambda j: [j])), lambda z, j: list_append(z, least(prev[j[1] + 1] + 1, z[-1] + 1, prev[j[1]] + (r[i] <> h[j[1]])::BIGINT)))
+  FROM (SELECT d.item_id, d.i + 1 AS i, d.line AS prev, p.r, p.h FROM d JOIN p ON d.item_id = p.item_id WHERE d.i < len(p.r))),
+w(item_id, step, i, j, lost) AS (SELECT item_id, 0, len(r), len(h), NULL::VARCHAR FROM p UNION ALL
+  SELECT item_id, step + 1, i - (diagonal OR gone)::INTEGER, j - (diagonal OR NOT gone)::INTEGER, CASE WHEN gone AND NOT diagonal THEN token END FROM (
+    SELECT w.item_id, w.step, w.i, w.j, p.r[w.i] AS token, coalesce(w.i > 0 AND w.j > 0 AND a.line[w.j + 1] = u.line[w.j] + (p.r[w.i] <> p.h[w.j])::BIGINT, false) AS diagonal,
+      coalesce(w.i > 0 AND a.line[w.j + 1] = u.line[w.j + 1] + 1, false) AS gone
+    FROM w JOIN p ON p.item_id = w.item_id JOIN d a ON a.item_id = w.item_id AND a.i = w.i LEFT JOIN d u ON u.item_id = w.item_id AND u.i = w.i - 1 WHERE w.i > 0 OR w.j > 0))
+SELECT p.item_id, (SELECT line[-1] FROM d WHERE d.item_id = p.item_id AND d.i = len(p.r)) AS distance, coalesce((SELECT string_agg(lost, ' ' ORDER BY step DESC) FROM w WHERE w.item_id = p.item_id AND lost IS NOT NULL), '') AS lost FROM p"""
