@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -69,23 +72,79 @@ def orphans(ratings: DataFrame, key: DataFrame, item: str, rater: str) -> DataFr
     )
 
 
-def agreement_pairs(ratings: DataFrame, rater: str, item: str, value: str, order: list[str], least: int = 3) -> DataFrame:
+#: A group of the agreement has the ratings of two blocks of about so many raters ...
+RATERS = 512
+#: ... and of a part of the items, so that there are as many parts as a million ratings fit into all of them.
+RATINGS = 1 << 20
+#: So many items are columns of a matrix at once.
+ITEMS = 1024
+
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _moments(left: pd.DataFrame, right: pd.DataFrame, raters: tuple[int, int], items: int) -> list[np.ndarray]:
+    """Counts and sums over shared items for each rater of ``left`` with each of ``right``, by products of matrices over some items at a time."""
+    sums = [np.zeros(raters) for _ in MOMENTS]
+    for first in range(0, items, ITEMS):
+
+        def matrix(rows: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+            rows = rows[(rows["item"] >= first) & (rows["item"] < first + ITEMS)]
+            values, given = np.zeros((n, ITEMS)), np.zeros((n, ITEMS))
+            values[rows["rater"], rows["item"] - first] = rows["v"]
+            given[rows["rater"], rows["item"] - first] = 1
+            return values, given
+
+        (x, a), (y, b) = matrix(left, raters[0]), matrix(right, raters[1])
+        for out, product in zip(sums, (a @ b.T, x @ b.T, a @ y.T, (x * x) @ b.T, a @ (y * y).T, x @ y.T), strict=True):
+            out += product
+    return sums
+
+
+def agreement_pairs(ratings: DataFrame, rater: str, item: str, value: str, order: list[str], least: int = 3, raters: int = RATERS, ratings_a_part: int = RATINGS) -> DataFrame:
     """Pearson correlation of each two raters over the items both rated, from moments.
 
     A rater's last value of an item (by ``order``) counts. Pairs with fewer than ``least`` shared items or no
-    variance are left out. Items with very many raters make the join large: it grows with raters squared per item.
+    variance are left out. Raters are dealt to blocks and items to parts; a group has two blocks and a part, and gives the moments of its pairs by matrix products. So a rating is sent once for each block of
+    raters, never once for each other rater of its item; a hot item is one column, a hot rater's items lie in all parts. The result has a row a pair, which is its definition.
+    Ratings without a rater, item or value don't count.
     """
-    last = ratings.filter(F.col(value).isNotNull()).groupBy(rater, item).agg(F.max_by(value, F.struct(*order)).cast("double").alias("v"))
-    a = last.select(F.col(rater).alias("left_rater"), item, F.col("v").alias("x"))
-    b = last.select(F.col(rater).alias("right_rater"), item, F.col("v").alias("y"))
-    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    given = ratings.filter(F.col(value).isNotNull() & F.col(item).isNotNull() & F.col(rater).isNotNull())
+    last = given.groupBy(F.col(rater).alias("rater"), F.col(item).alias("item")).agg(F.max_by(value, F.struct(*order)).cast("double").alias("v"))
+    last = last.persist(StorageLevel.DISK_ONLY)
+    n_ratings, n_raters = last.agg(F.count(F.lit(1)), F.approx_count_distinct("rater")).first()
+    blocks, parts = -(-n_raters // raters) or 1, -(-n_ratings // ratings_a_part) or 1
+    dealt = last.withColumn("block", F.pmod(F.xxhash64("rater"), F.lit(blocks)).cast("int")).withColumn("part", F.pmod(F.xxhash64("item", F.lit(1)), F.lit(parts)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    sent = dealt.select("rater", "item", "v", "block", "part", other).select("rater", "item", "v", "block", "part", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    kind = dict(last.dtypes)["rater"]
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g["a"].iloc[0], g["b"].iloc[0]
+        g = g.assign(item=pd.factorize(g["item"])[0])
+        sides, names = [], []
+        for block in (a, b):
+            rows = g[g["block"] == block]
+            codes, known = pd.factorize(rows["rater"], sort=True)
+            sides.append(rows.assign(rater=codes))
+            names.append(np.asarray(known))
+        sums = _moments(*sides, (len(names[0]), len(names[1])), int(g["item"].max()) + 1)
+        shared = sums[0] > 0
+        if a == b:
+            shared &= np.triu(np.ones_like(shared), 1)  # names are sorted, so the smaller one is the row
+        i, j = np.nonzero(shared)
+        out = pd.DataFrame({"left_rater": names[0][i], "right_rater": names[1][j], **{m: s[i, j] for m, s in zip(MOMENTS, sums, strict=True)}})
+        turned = out["left_rater"] > out["right_rater"]
+        for one, two in (("left_rater", "right_rater"), ("sx", "sy"), ("sxx", "syy")):
+            out.loc[turned, [one, two]] = out.loc[turned, [two, one]].to_numpy()
+        return out
+
+    shape = f"left_rater {kind}, right_rater {kind}, " + ", ".join(f"{m} double" for m in MOMENTS)
+    found = sent.groupBy("a", "b", "part").applyInPandas(pairs, shape)
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in MOMENTS)
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
     return (
-        a.join(b, item)
-        .filter(F.col("left_rater") < F.col("right_rater"))
-        .groupBy("left_rater", "right_rater")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
-        .filter(n >= least)
-        .filter((vx > 1e-9) & (vy > 1e-9))
-        .select("left_rater", "right_rater", F.col("n").alias("n_shared"), ((n * sxy - sx * sy) / F.sqrt(vx * vy)).alias("r"))
+        found.groupBy("left_rater", "right_rater")
+        .agg(*[F.sum(m).alias(m) for m in MOMENTS])
+        .filter((n >= least) & (vx > 1e-9) & (vy > 1e-9))
+        .select("left_rater", "right_rater", n.cast("long").alias("n_shared"), ((n * sxy - sx * sy) / F.sqrt(vx * vy)).alias("r"))
     )
