@@ -188,6 +188,15 @@ walk AS (SELECT conv_id, i, turn, true AS kept, [{{'g': grams}}] AS seen FROM li
 kept_lines AS (SELECT conv_id, turn FROM walk WHERE kept)"""
 ORACLE["q_near_dup_distinct"] = DISTINCT_SQL + " SELECT * FROM kept_lines"
 QUERIES["q_near_dup_distinct"] = lambda spark, d: D.distinct_lines(table(spark, d, "conversations").filter("role <> 'system'"), "conv_id", "turn", "text")
+QUERIES["q_distinct_documents"] = lambda spark, d: D.distinct_lines(table(spark, d, "documents").withColumn("all", F.lit("all")), "all", "doc_id", "text")
+#: All documents are one group; the walk keeps the sets that stay.
+ORACLE["q_distinct_documents"] = f"""
+WITH RECURSIVE t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, string_split({G.format("text")}, '') AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, i, list_distinct(list_transform(range(1, greatest(len(l), 2)), lambda k: l[k] || coalesce(l[k + 1], ''))) AS grams FROM t),
+walk AS (SELECT i, doc_id, true AS kept, [{{'g': grams}}] AS seen FROM lines WHERE i = 1
+  UNION ALL SELECT l.i, l.doc_id, x.new, CASE WHEN x.new THEN list_append(w.seen, {{'g': l.grams}}) ELSE w.seen END FROM walk w JOIN lines l ON l.i = w.i + 1,
+    LATERAL (SELECT count(*) = 0 AS new FROM unnest(w.seen) u(k) WHERE least(len(k.g), len(l.grams)) >= 0.85 * greatest(len(k.g), len(l.grams)) AND len(list_intersect(k.g, l.grams)) >= 0.85 * len(list_distinct(list_concat(k.g, l.grams)))) x)
+SELECT 'all' AS "all", doc_id FROM walk WHERE kept"""
 QUERIES["q_turn_context"] = lambda spark, d: (
     D.select(_queries(spark, d), _pool(spark, d), 3).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), ",").alias("examples"))
     .join(V.memory_window(table(spark, d, "conversations"), "conv_id", "turn", 2, 1).filter("recent").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_recent")), c("query_id") == c("conv_id"), "left")
