@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparkloom.sources.tables import written
+
 
 def axis_stats(value: Column, name: str, digits: int = 4) -> list[Column]:
     """Mean and population deviation of a rating axis; an axis without values is 0, as one value has deviation 0."""
@@ -110,7 +111,7 @@ def agreement_pairs(ratings: DataFrame, rater: str, item: str, value: str, order
     """
     given = ratings.filter(F.col(value).isNotNull() & F.col(item).isNotNull() & F.col(rater).isNotNull())
     last = given.groupBy(F.col(rater).alias("rater"), F.col(item).alias("item")).agg(F.max_by(value, F.struct(*order)).cast("double").alias("v"))
-    last = last.persist(StorageLevel.DISK_ONLY)
+    last = written(last)
     n_ratings, n_raters = last.agg(F.count(F.lit(1)), F.approx_count_distinct("rater")).first()
     blocks, parts = -(-n_raters // raters) or 1, -(-n_ratings // ratings_a_part) or 1
     dealt = last.withColumn("block", F.pmod(F.xxhash64("rater"), F.lit(blocks)).cast("int")).withColumn("part", F.pmod(F.xxhash64("item", F.lit(1)), F.lit(parts)).cast("int"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators.runs import rotation_index
+from sparkloom.sources.tables import written
 
 
 def bank_fit(d: Column, low: float, high: float) -> Column:
@@ -20,35 +20,41 @@ def retrieval_fit(d: Column, low: float, high: float) -> Column:
     return F.when((d >= low) & (d <= high), F.lit(1.0)).when(d < low, F.greatest(F.lit(0.0), d / low)).otherwise(F.greatest(F.lit(0.0), 1 - (d - high) / (high * 2)))
 
 
-def first_rows(rows: DataFrame, n: DataFrame, pos: str, key: str, slices: int = 1024) -> DataFrame:
-    """The first rows of ``rows`` in the order of the numeric ``pos``, then ``key``; ``n`` is one row with their number, _n.
+def placed(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` with _i, their place from 0 within ``by`` in ``order`` (which should be total), and _n, the number of rows of their group.
 
-    ``pos`` is cut into ``slices`` of equal width. The rows before a slice come from the slices' counts (so many rows at most), and only slices that
-    begin within the first n rows are ordered, each in a task of its own; no task sees all rows. A null ``pos`` is last.
+    Rows are sorted by group and order into ranges, whose bounds come from samples that the partitions merge, so a hot group lies in many ranges. A place is
+    the group's rows in the ranges before, from one count a range and group, plus the place inside the range. No task sees more than a range.
     """
-    ends = rows.agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))  # one row, as n is: aggregates without keys
-    at = F.coalesce(F.col(pos), F.col("_hi") + 1)
-    cut = F.floor((at - F.col("_lo")) * F.lit(float(slices)) / (F.col("_hi") - F.col("_lo") + 2)).cast("int")
-    x = rows.crossJoin(F.broadcast(ends)).withColumn("_s", F.coalesce(cut, F.lit(0))).drop("_lo", "_hi")
-    counts = x.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select("_s", F.coalesce(F.sum("_c").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    near = x.join(F.broadcast(before), "_s").crossJoin(F.broadcast(n)).filter("_b < _n")
-    rank = F.col("_b") + F.row_number().over(W.partitionBy("_s").orderBy(F.col(pos).asc_nulls_last(), key))
-    return near.withColumn("_i", rank).filter("_i <= _n").select(*rows.columns)
+    keys = [F.col(c).asc_nulls_first() for c in by]
+    ranged = written(rows.repartitionByRange(*keys, *order).withColumn("_s", F.spark_partition_id()))
+    counts = ranged.groupBy("_s", *by).agg(F.count(F.lit(1)).alias("_c"))
+    group = W.partitionBy(*by)  # a row a range here
+    before = (F.sum("_c").over(group.orderBy("_s")) - F.col("_c")).alias("_b")
+    starts = counts.select(F.col("_s").alias("_s2"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], before, F.sum("_c").over(group).alias("_n"))
+    same = F.col("_s") == F.col("_s2")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inside = F.row_number().over(W.partitionBy("_s", *by).orderBy(*order))
+    return ranged.withColumn("_r", inside).join(starts, same).withColumn("_i", F.col("_b") + F.col("_r") - 1).select(*rows.columns, "_i", "_n")
+
+
+def first_rows(rows: DataFrame, n: DataFrame, pos: str, key: str) -> DataFrame:
+    """The first rows of ``rows`` in the order of ``pos``, then ``key``; ``n`` is one row with their number, _n. A null ``pos`` is last."""
+    at = placed(rows, [], [F.col(pos).asc_nulls_last(), F.col(key).asc_nulls_last()]).withColumnRenamed("_n", "_all")
+    return at.crossJoin(F.broadcast(n.limit(1))).filter(F.col("_i") < F.col("_n")).select(*rows.columns)
 
 
 def assign_splits(samples: DataFrame, style: str, quality: str, key: str, pos: str, heldout: int, val_fraction: float) -> DataFrame:
     """``samples`` with split: per style, ``heldout`` samples from the middle of the quality order (two always stay), then the
     first share of the rest, in input order ``pos`` (numeric), as val."""
-    w = W.partitionBy(style)
-    n = F.count(F.lit(1)).over(w)
-    place = F.row_number().over(w.orderBy(F.desc(quality), key)) - 1
-    take = F.least(F.lit(heldout), F.greatest(F.lit(0), n - 2))
-    middle = F.floor(n / 2)
-    marked = samples.withColumn("_h", (place >= middle) & (place < middle + take))
+    at = placed(samples, [style], [F.col(quality).desc_nulls_last(), F.col(key).asc_nulls_first()])
+    take = F.least(F.lit(heldout), F.greatest(F.lit(0), F.col("_n") - 2))
+    middle = F.floor(F.col("_n") / 2)
+    marked = at.withColumn("_h", (F.col("_i") >= middle) & (F.col("_i") < middle + take)).drop("_i", "_n")
     rest = marked.filter("not _h")
     cut = rest.agg(F.floor(F.count(F.lit(1)) * F.lit(val_fraction)).alias("_n"))
-    val = first_rows(rest.select(key, pos), cut, pos, key).select(key, F.lit(True).alias("_v"))
+    val = first_rows(rest.select(*dict.fromkeys((key, pos))), cut, pos, key).select(key, F.lit(True).alias("_v"))
     return marked.join(val, key, "left").withColumn("split", F.when(F.col("_h"), "heldout").when(F.col("_v"), "val").otherwise("train")).drop("_h", "_v")
 
 
@@ -63,7 +69,8 @@ def build_bank(samples: DataFrame, style: str, text: str, duration: str, quality
 def bank_with_fallback(samples: DataFrame, style: str, duration: str, quality: str, key: str, window: tuple[float, float], wide: tuple[float, float], ideal: float, per_style: int) -> DataFrame:
     """Per style the ``per_style`` samples nearest the ideal duration inside ``window``, or inside ``wide`` where the style has none there."""
     inside = F.col(duration).between(*window)
-    pool = samples.withColumn("_any", F.max(inside).over(W.partitionBy(style))).filter(F.when(F.col("_any"), inside).otherwise(F.col(duration).between(*wide)))
+    found = samples.groupBy(F.col(style).alias("_style")).agg(F.max(inside).alias("_any"))  # counted before the join, so a hot style is one row of it
+    pool = samples.join(found, F.col(style).eqNullSafe(F.col("_style"))).drop("_style").filter(F.when(F.col("_any"), inside).otherwise(F.col(duration).between(*wide)))
     n = F.row_number().over(W.partitionBy(style).orderBy(F.abs(F.col(duration) - ideal), F.desc(F.coalesce(F.col(quality), F.lit(0.0))), key))
     return pool.withColumn("place", n).filter(F.col("place") <= per_style).drop("_any")
 
@@ -102,16 +109,9 @@ def select_references(requests: DataFrame, styles: DataFrame, bank: DataFrame, r
     )
 
 
-def numbered(rows: DataFrame, key: str, slices: int = 256) -> DataFrame:
-    """``rows`` with _i, their place from 0 in the order of ``key``, and _n, their number; null keys are first.
-
-    The keys are sorted into ``slices`` ranges; a row's place is the rows of the ranges before, known from so many counts, plus its place in its own range. No task sees all rows.
-    """
-    ranged = rows.repartitionByRange(slices, F.col(key).asc_nulls_first()).withColumn("_s", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    counts = ranged.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.select("_s", (F.sum("_c").over(W.orderBy("_s")) - F.col("_c")).alias("_b"), F.sum("_c").over(W.partitionBy()).alias("_n"))
-    inside = F.row_number().over(W.partitionBy("_s").orderBy(F.col(key).asc_nulls_first()))
-    return ranged.join(F.broadcast(starts), "_s").withColumn("_i", F.col("_b") + inside - 1).drop("_s", "_b")
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with _i, their place from 0 in the order of ``key``, and _n, their number; null keys are first. No task sees all rows."""
+    return placed(rows, [], [F.col(key).asc_nulls_first()])
 
 
 def control_set(rows: DataFrame, key: str, size: int) -> DataFrame:
@@ -124,13 +124,20 @@ def control_set(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def by_style(bank: DataFrame, style: str, quality: str, key: str) -> DataFrame:
-    """``bank`` with place: within each style the best quality first, ties by key."""
-    return bank.withColumn("place", F.row_number().over(W.partitionBy(style).orderBy(F.desc(quality), key)))
+    """``bank`` with place: within each style the best quality first, ties by key. A hot style is ranked in ranges."""
+    at = placed(bank, [style], [F.col(quality).desc_nulls_last(), F.col(key).asc_nulls_first()])
+    return at.withColumn("place", (F.col("_i") + 1).cast("int")).drop("_i", "_n")
+
+
+def best_of_style(bank: DataFrame, style: str, quality: str, key: str, most: int) -> DataFrame:
+    """The rows of ``by_style`` with a place up to ``most``: each task gives at most so many rows a style before any are sent."""
+    first = F.row_number().over(W.partitionBy(style).orderBy(F.col(quality).desc_nulls_last(), F.col(key).asc_nulls_first()))
+    return bank.withColumn("place", first).filter(F.col("place") <= most)
 
 
 def resolve(requests: DataFrame, styles: DataFrame, bank: DataFrame, style: str, quality: str, key: str, most: int = 3) -> DataFrame:
     """(style, place, key): for each requested style the references of the first style of its chain that the bank has, best quality first, else of the whole bank; ``most`` of them."""
-    ranked = by_style(bank, style, quality, key).filter(F.col("place") <= most).select(F.col(style).alias("_s"), "place", key)
+    ranked = best_of_style(bank, style, quality, key, most).select(F.col(style).alias("_s"), "place", key)
     chains = requests.join(styles, F.col(style) == styles.name, "left").select(style, F.posexplode(style_chain(F.col(style), F.col("core_style"))).alias("_pos", "_s"))
     known = chains.join(ranked.select("_s").distinct(), "_s").groupBy(style).agg(F.min_by("_s", "_pos").alias("_s"))
     own = known.join(ranked, "_s").select(style, "place", key)
@@ -152,10 +159,8 @@ def enabled(candidates: DataFrame, flag: str = "enabled") -> DataFrame:
 
 def best_reference(samples: DataFrame, by: str, style: str, preferred: str, duration: str, quality: str, key: str) -> DataFrame:
     """Per ``by``: of the preferred style if there is one, else any; of these 3 to 10 s if there is one, else any; then best quality, highest key."""
-    w = W.partitionBy(by)
-    liked = samples.withColumn("_p", F.col(style) == preferred).withColumn("_any", F.max("_p").over(w)).filter("_p or not _any")
-    fits = liked.withColumn("_d", F.col(duration).between(3, 10)).withColumn("_anyd", F.max("_d").over(w)).filter("_d or not _anyd")
-    return fits.groupBy(by).agg(F.max(F.struct(quality, key)).alias("_b")).select(by, f"_b.{key}", f"_b.{quality}")
+    liked, fits = F.coalesce(F.col(style) == preferred, F.lit(False)), F.coalesce(F.col(duration).between(3, 10), F.lit(False))
+    return samples.groupBy(by).agg(F.max(F.struct(liked.alias("liked"), fits.alias("fits"), quality, key)).alias("_b")).select(by, f"_b.{key}", f"_b.{quality}")
 
 
 def reference_for(requests: DataFrame, bank: DataFrame, style: str, quality: str, key: str) -> DataFrame:

@@ -36,7 +36,7 @@ def test_excluded_references(spark):
 
 def test_numbered_keys(spark):
     keys = random.Random(1).sample(range(10_000), 500)
-    got = S.numbered(spark.createDataFrame([(k,) for k in [*keys, 3, 3]], "k long").repartition(7), "k", 16).collect()
+    got = S.numbered(spark.createDataFrame([(k,) for k in [*keys, 3, 3]], "k long").repartition(7), "k").collect()
     assert [r.k for r in sorted(got, key=lambda r: r._i)] == sorted([*keys, 3, 3]) and [r._i for r in sorted(got, key=lambda r: r._i)] == list(range(502)) and {r._n for r in got} == {502}
 
 

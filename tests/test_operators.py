@@ -55,10 +55,32 @@ def test_first_rows(spark):
     n = lambda k: spark.createDataFrame([(k,)], "_n long")
     want = [r.key for r in rows.orderBy(F.col("pos").asc_nulls_last(), "key").collect()]
     for k in (0, 1, 10, 11, 100, 102, 500):
-        assert sorted(r.key for r in S.first_rows(rows, n(k), "pos", "key", 16).collect()) == sorted(want[:k])
+        assert sorted(r.key for r in S.first_rows(rows, n(k), "pos", "key").collect()) == sorted(want[:k])
     assert S.first_rows(rows.limit(0), n(3), "pos", "key").count() == 0
 
 
+def test_places_of_a_hot_group(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([1.0, 2.0, None]), i) for i in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        table = spark.createDataFrame(rows, "style string, quality double, id int")
+        got = S.placed(table, ["style"], [F.col("quality").desc_nulls_last(), F.col("id").asc()]).collect()
+        best = S.best_of_style(table, "style", "quality", "id", 3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for style, quality, i in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2])):
+        want.setdefault(style, []).append(i)
+    assert {r.id: (r._i, r._n) for r in got} == {i: (k, len(ids)) for ids in want.values() for k, i in enumerate(ids)}
+    assert {(r.style, r.place, r.id) for r in best} == {(s, k + 1, i) for s, ids in want.items() for k, i in enumerate(ids[:3])}
+
+
 def test_curation_nulls(spark):
     df = spark.createDataFrame([(2.0, None, None, None)], "d double, clip double, t string, sim double")
     r = df.select(C.auto_rejection(F.col("d"), F.col("clip"), F.col("t"), F.col("sim")).alias("r"), C.issues(F.lit(None), F.col("clip"), F.lit(None), F.col("d"), F.col("t"), F.col("sim")).alias("i"), C.quality_score(F.col("clip"), F.lit(None), F.lit(None), F.col("t"), F.col("d")).alias("q"), C.guess_style(F.lit("走开！ ")).alias("s")).first()
