@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ratings", "runs", "profile", "selection", "curation", "signal", "text", "data")
+MODULES = ("ratings", "runs", "profile", "selection", "curation", "signal", "text", "data", "spoken")
 
 
 def _all(part: str) -> dict:
