@@ -188,6 +188,20 @@ walk AS (SELECT conv_id, i, turn, true AS kept, [{{'g': grams}}] AS seen FROM li
 kept_lines AS (SELECT conv_id, turn FROM walk WHERE kept)"""
 ORACLE["q_near_dup_distinct"] = DISTINCT_SQL + " SELECT * FROM kept_lines"
 QUERIES["q_near_dup_distinct"] = lambda spark, d: D.distinct_lines(table(spark, d, "conversations").filter("role <> 'system'"), "conv_id", "turn", "text")
+SCORED_SQL = ORACLE["q_example_scores"].replace(", 6) AS score", ", 9) AS score")
+#: Turn by turn the row that is worth most: its score less a charge for likeness to the chosen ones. (Where no row of a query scores, other rules hold; no supplied query is such.)
+CHOSEN_SQL = """WITH RECURSIVE sc AS ({0}), side AS (SELECT pos, list(DISTINCT substr(s, i, 2)) AS g FROM (SELECT pos, {1} AS s FROM ({2})), unnest(range(1, greatest(length(s), 2))) x(i) WHERE length(s) > 0 GROUP BY pos),
+sim AS (SELECT a.pos AS a, b.pos AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE AS sim FROM side a, side b WHERE a.pos <> b.pos),
+q AS (SELECT DISTINCT query_id FROM sc), every AS (SELECT q.query_id, p.pos, coalesce(sc.score, 0.0::DOUBLE) AS score FROM q CROSS JOIN ({2}) p LEFT JOIN sc ON sc.query_id = q.query_id AND sc.pos = p.pos),
+walk(query_id, turn, chosen) AS (SELECT query_id, 0, []::BIGINT[] FROM q UNION ALL
+  SELECT query_id, turn + 1, list_append(chosen, pos) FROM (
+    SELECT query_id, turn, chosen, pos, row_number() OVER (PARTITION BY query_id ORDER BY score - 0.55::DOUBLE * r * greatest(score, 0.2::DOUBLE) DESC, pos) AS n FROM (
+      SELECT w.query_id, w.turn, w.chosen, e.pos, e.score, coalesce(max(sim.sim), 0.0::DOUBLE) AS r
+      FROM walk w JOIN every e ON e.query_id = w.query_id LEFT JOIN sim ON sim.a = e.pos AND list_contains(w.chosen, sim.b) WHERE w.turn < {3} AND NOT list_contains(w.chosen, e.pos) GROUP BY w.query_id, w.turn, w.chosen, e.pos, e.score)
+    WHERE r < 0.85) WHERE n = 1),
+chosen AS (SELECT query_id, unnest(arg_max(chosen, turn)) AS pos FROM walk GROUP BY query_id)"""
+SAID_SQL = "SELECT conv_id * 100 + turn AS pos, text AS ch FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS pr FROM conversations WHERE role <> 'system') WHERE role = 'assistant' AND pr = 'user'"
+ORACLE["q_example_select"] = CHOSEN_SQL.format(SCORED_SQL, G.format("ch"), SAID_SQL, 6) + " SELECT query_id, pos FROM chosen"
 QUERIES["q_distinct_documents"] = lambda spark, d: D.distinct_lines(table(spark, d, "documents").withColumn("all", F.lit("all")), "all", "doc_id", "text")
 #: All documents are one group; the walk keeps the sets that stay.
 ORACLE["q_distinct_documents"] = f"""
@@ -203,6 +217,17 @@ QUERIES["q_turn_context"] = lambda spark, d: (
     .join(V.facts(table(spark, d, "conversations"), "conv_id", "turn", "text", c("role") == "user"), "conv_id", "left").select("query_id", "examples", "n_recent", "facts")
 )
 
+ORACLE["q_turn_context"] = (
+    CHOSEN_SQL.format(SCORED_SQL, G.format("ch"), SAID_SQL, 3)
+    + r""",
+x AS (SELECT query_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS examples FROM chosen GROUP BY 1),
+n AS (SELECT conv_id, count(*) AS n_recent FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 4 GROUP BY 1),
+f AS ("""
+    + ORACLE["q_extract_facts"]
+    + """)
+SELECT query_id, examples, n_recent, facts FROM x LEFT JOIN n ON x.query_id = n.conv_id LEFT JOIN f ON n.conv_id = f.conv_id"""
+)
+
 QUERIES["q_jaccard"] = lambda spark, d: _queries(spark, d).alias("a").join(_queries(spark, d).alias("b"), c("a.query_id") + 1 == c("b.query_id")).select(c("a.query_id").alias("query_id"), F.round(T.jaccard(T.bigrams(c("a.query")), T.bigrams(c("b.query"))), 6).alias("jaccard"))
 ORACLE["q_jaccard"] = f"""
 WITH b AS (SELECT item_id, {G.format("text")} AS s FROM benchmark), q AS (SELECT item_id, list(DISTINCT substr(s, i, 2)) AS g FROM b, unnest(range(1, length(s))) x(i) GROUP BY item_id)
