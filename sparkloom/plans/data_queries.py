@@ -14,10 +14,12 @@ from sparkloom.plans.text_queries import DISTINCT_SQL
 from sparkloom.session import table
 from sparkloom.sources import exports as X
 from sparkloom.sources import files as R
+from sparkloom.sources import formats
 from sparkloom.streaming import blocks as B
 from sparkloom.streaming import endpointing as E
 from sparkloom.streaming import replies as L
-from sparkloom.streaming.drain import delivered
+from sparkloom.streaming.drain import delivered, delivered_to, shared_folder
+from sparkloom.streaming.ingest import Ledger, taken_in
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -61,6 +63,19 @@ QUERIES["q_export_kaldi"] = _kaldi
 ORACLE["q_export_kaldi"] = f"""
 WITH r AS ({ROUTED_SQL}) SELECT 'wav.scp' AS file, split, sample_id || ' ' || path AS line FROM r UNION ALL SELECT 'text', split, sample_id || ' ' || t FROM r
 UNION ALL SELECT 'utt2spk', split, sample_id || ' spk' FROM r UNION ALL SELECT 'spk2utt', split, sample_id FROM r"""
+
+
+def _kaldi_files(spark, d):
+    """The lines of the export, written by the data source and read back from its files."""
+    formats.register(spark)
+    folder = f"{shared_folder(spark)}/kaldi"
+    _kaldi(spark, d).select("split", "file", "line").write.format("kaldi").mode("overwrite").save(folder)
+    read = spark.read.option("recursiveFileLookup", True).text(folder).select(F.split(F.input_file_name(), "/").alias("p"), c("value").alias("line"))
+    return read.select(F.element_at("p", -2).alias("file"), F.element_at("p", -3).alias("split"), "line")
+
+
+QUERIES["q_kaldi_files"] = _kaldi_files
+ORACLE["q_kaldi_files"] = ORACLE["q_export_kaldi"]
 QUERIES["q_export_reference"] = lambda spark, d: X.best_reference(_routed(spark, d), "split", "Brand#7").select("split", "sample_id", "line")
 ORACLE["q_export_reference"] = f"""
 WITH r AS (SELECT r.*, p_size::DOUBLE / 4 AS d, p_retailprice / 2500 AS q FROM ({ROUTED_SQL}) r JOIN part ON sample_id = 's' || p_partkey),
@@ -184,6 +199,21 @@ QUERIES["q_incremental_ingest"] = lambda spark, d: R.ingest(table(spark, d, "pag
 ORACLE["q_incremental_ingest"] = "SELECT page_id, sha256(html) AS sha256, CASE WHEN html IS NULL OR html = '' THEN 'empty' END AS error FROM pages WHERE url NOT LIKE 'https%'"
 
 
+def _ingested(spark, d):
+    """Two deliveries of pages, of which the second has all again: each page comes in once, with the batch that brought it."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("html"))
+    drops = pages.filter("url LIKE 'https%'").withColumn("delivery", F.lit(0)).unionByName(pages.withColumn("delivery", F.lit(1)))
+    ledger = Ledger(spark, f"{shared_folder(spark)}/ingest")
+    schema = "page_id long, sha256 string, error string, n_delivery int"
+    shape = lambda new: R.ingest(new.limit(0), new, "page_id", c("html")).join(new.select("page_id", "n_delivery"), "page_id").select("page_id", "sha256", "error", "n_delivery")
+    delivered_to(drops.withColumn("n_delivery", c("delivery")), "delivery", taken_in(ledger, "page_id", shape, schema))
+    return ledger.rows(schema)
+
+
+QUERIES["q_ingest_stream"] = _ingested
+ORACLE["q_ingest_stream"] = "SELECT page_id, sha256(html) AS sha256, CASE WHEN html IS NULL OR html = '' THEN 'empty' END AS error, CASE WHEN url LIKE 'https%' THEN 0 ELSE 1 END::INTEGER AS n_delivery FROM pages"
+
+
 def _uploads(spark, d):
     i = c("page_id")
     ext = F.element_at(F.array(*[F.lit(x) for x in ("wav", "TXT", "exe", "mp3")]), (i % 4 + 1).cast("int"))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -55,27 +56,42 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def delivered(rows: DataFrame, by: str, through: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What the stream ``through`` appends if ``rows`` come in deliveries, one micro-batch for each value of ``by`` (a small number of whole numbers), in order.
-
-    The rows are written once, a folder for each delivery, and moved one by one to where one running stream finds them, so its state goes from batch to batch. Nothing but
-    folder names comes to the driver.
-    """
+def _dealt(rows: DataFrame, by: str, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Runs the query that ``start`` makes of the stream of ``rows``, a micro-batch for each value of ``by``, in order."""
     spark = rows.sparkSession
-    folder = shared_folder(spark)
     rows.write.partitionBy(by).parquet(f"{folder}/staged")
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     found = [x.getPath() for x in fs.listStatus(hadoop.Path(f"{folder}/staged")) if x.isDirectory()]
     fs.mkdirs(hadoop.Path(f"{folder}/source"))
-    stream = through(spark.readStream.schema(rows.drop(by).schema).parquet(f"{folder}/source/*"))
-    sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
     with rocks_state(spark):
-        query = sink.outputMode("append").start()
+        query = start(spark.readStream.schema(rows.drop(by).schema).parquet(f"{folder}/source/*"))
     try:
         for path in sorted(found, key=lambda p: int(p.getName().split("=")[1])):
             fs.rename(path, hadoop.Path(f"{folder}/source/{path.getName().split('=')[1]}"))  # a name without "=" isn't a column
             query.processAllAvailable()
     finally:
         query.stop()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def delivered(rows: DataFrame, by: str, through: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream ``through`` appends if ``rows`` come in deliveries, one micro-batch for each value of ``by`` (a small number of whole numbers), in order.
+
+    The rows are written once, a folder for each delivery, and moved one by one to where one running stream finds them, so its state goes from batch to batch. Nothing but
+    folder names comes to the driver.
+    """
+    folder, shapes = shared_folder(rows.sparkSession), []
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        out = through(stream)
+        shapes.append(out.schema)
+        return out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows").outputMode("append").start()
+
+    _dealt(rows, by, folder, start)
+    return rows.sparkSession.read.schema(shapes[0]).parquet(f"{folder}/rows")
+
+
+def delivered_to(rows: DataFrame, by: str, take: Callable[[DataFrame, int], None]) -> None:
+    """The same deliveries, each given to ``take`` as a batch (``foreachBatch``)."""
+    folder = shared_folder(rows.sparkSession)
+    _dealt(rows, by, folder, lambda stream: stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").start())
