@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators.dialogue import distinct_lines
@@ -30,18 +31,27 @@ def passed(issues: DataFrame) -> DataFrame:
 
 def bank_issues(pack: DataFrame, bank: DataFrame, required: bool = True) -> DataFrame:
     """``pack`` and ``bank`` (both id, version; one row, or none of the bank) against each other: a missing bank, one of another pack, one of another version."""
-    met = pack.select(F.col("id").alias("_id"), F.col("version").alias("_version")).join(bank.select("id", "version", F.lit(True).alias("_found")), F.lit(True), "left")  # one row each
+    one = bank.limit(1).agg(F.max(F.struct("id", "version")).alias("b"))  # one row, whatever the bank
+    met = pack.limit(1).select(F.col("id").alias("_id"), F.col("version").alias("_version")).crossJoin(F.broadcast(one)).select("_id", "_version", "b.*", F.col("b").isNotNull().alias("_found"))
     return findings(
-        rule(met, "error" if required else "info", "references.missing", F.col("_found").isNull(), F.col("_id")),
+        rule(met, "error" if required else "info", "references.missing", ~F.col("_found"), F.col("_id")),
         rule(met, "error", "references.id_mismatch", F.col("_found") & ~F.col("id").eqNullSafe(F.col("_id")), F.col("id")),
         rule(met, "warning", "references.version_drift", F.col("_found") & ~F.col("version").eqNullSafe(F.col("_version")), F.col("version")),
     )
 
 
-def capped(values: Column, most: int) -> Column:
-    """The first ``most`` of the values in order, and how many there are, as one text: a, b (5 in all)."""
-    shown = F.array_join(F.slice(F.array_sort(values), 1, most), ", ")
-    return F.when(F.size(values) > most, F.concat(shown, F.lit(" ("), F.size(values), F.lit(" in all)"))).otherwise(shown)
+def capped(rows: DataFrame, by: str, value: str, most: int) -> DataFrame:
+    """(by, shown): the first ``most`` values of each key in order, and how many there are, as one text: a, b (5 in all). Null values aren't among them.
+
+    Each task sends at most ``most`` values of a key and one count, however many the key has.
+    """
+    some = rows.select(by, value).filter(F.col(value).isNotNull())
+    n = some.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    first = some.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(value))).filter(F.col("_r") <= most)
+    shown = first.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(value)), ", ").alias("_shown"))
+    met = rows.select(by).distinct().join(n, by, "left").join(shown, by, "left")
+    text = F.when(F.col("_n") > most, F.concat("_shown", F.lit(" ("), "_n", F.lit(" in all)"))).otherwise(F.coalesce("_shown", F.lit("")))
+    return met.select(by, text.alias("shown"))
 
 
 def reference_issues(styles: DataFrame, bank: DataFrame, least: int = 2) -> DataFrame:

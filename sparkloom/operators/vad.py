@@ -86,7 +86,7 @@ def measured(clips: DataFrame, clip: str, samples: str, rate: int, text: str, ho
 
 
 def pitch_tracks(clips: DataFrame, clip: str, samples: str, rate: str, least: float = 0.35) -> DataFrame:
-    """(clip, track array<double>): autocorrelation pitch of 40 ms frames every 20 ms at about 8 kHz, 60 to 500 Hz; unvoiced frames are left out, clips below 50 ms have none."""
+    """(clip, track array<double>): autocorrelation pitch (by the power spectrum of all frames at once) of 40 ms frames every 20 ms at about 8 kHz, 60 to 500 Hz; unvoiced frames are left out, clips below 50 ms have none."""
 
     def track(x: np.ndarray, sr: int) -> list[float]:
         factor = max(1, sr // 8000)
@@ -104,9 +104,11 @@ def pitch_tracks(clips: DataFrame, clip: str, samples: str, rate: str, least: fl
         frames, energy = frames[energy > 1e-8], energy[energy > 1e-8]
         if not len(frames):
             return []
-        score = np.stack([(frames[:, lag:] * frames[:, :-lag]).sum(axis=1) for lag in lags], axis=1)
+        size = 1 << (2 * frame - 1).bit_length()  # so that no lag wraps around
+        power = np.abs(np.fft.rfft(frames, size)) ** 2
+        score = np.round(np.fft.irfft(power, size)[:, lags] / energy[:, None], 9)
         best = score.argmax(axis=1)
-        voiced = score[np.arange(len(best)), best] / energy >= least
+        voiced = score[np.arange(len(best)), best] >= least
         return (sr / lags[best[voiced]]).tolist()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

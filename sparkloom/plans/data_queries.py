@@ -76,6 +76,17 @@ def _kaldi_files(spark, d):
 
 QUERIES["q_kaldi_files"] = _kaldi_files
 ORACLE["q_kaldi_files"] = ORACLE["q_export_kaldi"]
+#: All formats by their names: how many lines each has, and the digest of the first.
+QUERIES["q_export_formats"] = lambda spark, d: Q.findings(
+    *[X.export(n, _routed(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.md5(F.min("line")).alias("first")).select(F.lit(n).alias("format"), "split", "n", "first") for n in sorted(X.FORMATS)]
+)
+ORACLE["q_export_formats"] = f"""
+WITH r AS ({ROUTED_SQL}), p AS (SELECT r.*, p_size::DOUBLE / 4 AS d, p_retailprice / 2500 AS q FROM r JOIN part ON sample_id = 's' || p_partkey),
+b AS (SELECT split, sample_id, path, t FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY style = '' DESC, d BETWEEN 3 AND 10 DESC, q DESC, sample_id DESC) AS k FROM p) WHERE k = 1),
+f AS (SELECT 'jsonl' AS format, split, '{{"audio":"' || path || '","text":"' || t || '","style":"' || style || '"}}' AS line FROM r UNION ALL SELECT 'kaldi_spk2utt', split, sample_id FROM r UNION ALL SELECT 'kaldi_text', split, sample_id || ' ' || t FROM r
+  UNION ALL SELECT 'kaldi_utt2spk', split, sample_id || ' speaker' FROM r UNION ALL SELECT 'kaldi_wav', split, sample_id || ' ' || path FROM r UNION ALL SELECT 'labels', split, t FROM r UNION ALL SELECT 'list', split, path || '|speaker|ZH|' || t FROM r
+  UNION ALL SELECT 'prompt', r.split, '{{"audio":"' || r.path || '","text":"' || r.t || '","prompt_audio":"' || b.path || '","prompt_text":"' || b.t || '"}}' FROM r JOIN b ON r.split = b.split UNION ALL SELECT 'reference', split, t FROM b)
+SELECT format, split, count(*) AS n, md5(min(line)) AS first FROM f GROUP BY ALL"""
 QUERIES["q_export_reference"] = lambda spark, d: X.best_reference(_routed(spark, d), "split", "Brand#7").select("split", "sample_id", "line")
 ORACLE["q_export_reference"] = f"""
 WITH r AS (SELECT r.*, p_size::DOUBLE / 4 AS d, p_retailprice / 2500 AS q FROM ({ROUTED_SQL}) r JOIN part ON sample_id = 's' || p_partkey),
@@ -190,7 +201,7 @@ QUERIES["q_next_version"] = lambda spark, d: R.next_version(table(spark, d, "doc
 ORACLE["q_next_version"] = "SELECT source, count(*) + 1 AS version FROM documents GROUP BY source"
 QUERIES["q_enabled"] = lambda spark, d: S.enabled(table(spark, d, "supplier").select("s_suppkey", F.when(c("s_suppkey") % 4 != 0, c("s_suppkey") % 3 != 0).alias("enabled"))).select("s_suppkey")
 ORACLE["q_enabled"] = "SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 <> 0"
-QUERIES["q_capped_list"] = lambda spark, d: table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(Q.capped(F.collect_list("o_orderkey"), 5).alias("shown"))
+QUERIES["q_capped_list"] = lambda spark, d: Q.capped(table(spark, d, "orders").filter("o_orderstatus = 'F'"), "o_custkey", "o_orderkey", 5)
 ORACLE["q_capped_list"] = """
 WITH l AS (SELECT o_custkey, list_sort(list(o_orderkey)) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT o_custkey, array_to_string(k[1:5], ', ') || CASE WHEN len(k) > 5 THEN ' (' || len(k) || ' in all)' ELSE '' END AS shown FROM l"""

@@ -75,10 +75,45 @@ def write_lines(lines: DataFrame, folder: str) -> None:
     lines.select("split", F.col("line").alias("value")).write.partitionBy("split").mode("overwrite").text(folder)
 
 
-FORMATS: dict[str, Export] = {"list": lambda r: pipe_list(r, "speaker"), "jsonl": json_lines, "kaldi_text": lambda r: kaldi(r, "speaker")["text"]}
+def with_own_prompt(rows: DataFrame) -> DataFrame:
+    """JSON lines with the reference clip of the line's own split as prompt; one row a split is joined."""
+    p = best_reference(rows, "split", "").select("split", F.col("path").alias("_pp"), one_line(F.col("text")).alias("_pt"))
+    line = F.to_json(F.struct(F.col("path").alias("audio"), one_line(F.col("text")).alias("text"), F.col("_pp").alias("prompt_audio"), F.col("_pt").alias("prompt_text")))
+    return rows.join(F.broadcast(p), "split").select("sample_id", "split", line.alias("line"))  # splits are train and val
+
+
+def _kaldi_file(name: str) -> Export:
+    return lambda rows: kaldi(rows, "speaker")[name].select("split", "line")
+
+
+#: Lines (split, line, most with sample_id) of ``routed`` samples by the name of the format; ``registered`` adds one.
+FORMATS: dict[str, Export] = {
+    "list": lambda rows: pipe_list(rows, "speaker"),
+    "labels": lambda rows: rows.select("sample_id", "split", one_line(F.col("text")).alias("line")),
+    "jsonl": json_lines,
+    "prompt": with_own_prompt,
+    "kaldi_wav": _kaldi_file("wav.scp"),
+    "kaldi_text": _kaldi_file("text"),
+    "kaldi_utt2spk": _kaldi_file("utt2spk"),
+    "kaldi_spk2utt": _kaldi_file("spk2utt"),
+    "reference": lambda rows: best_reference(rows, "split", "").select("sample_id", "split", "line"),
+}
+
+
+def registered(name: str) -> Callable[[Export], Export]:
+    """Adds a format under ``name``, which must be free."""
+
+    def add(make: Export) -> Export:
+        if name in FORMATS:
+            raise ValueError(f"there is a format {name!r} already")
+        FORMATS[name] = make
+        return make
+
+    return add
 
 
 def export(name: str, rows: DataFrame) -> DataFrame:
+    """The lines of ``rows`` in the format ``name``; an unknown name lists the known ones."""
     if name not in FORMATS:
         raise KeyError(f"unknown format {name!r}; there are {sorted(FORMATS)}")
     return FORMATS[name](rows)

@@ -67,12 +67,12 @@ def save_document(document: dict, path: str, spark: SparkSession) -> None:
     out = fs.create(hadoop(staged), True)
     out.write(bytearray(text.encode()))
     out.close()
-    aside = f"{path}.old-{uuid.uuid4().hex}"
-    kept = fs.exists(hadoop(path)) and fs.rename(hadoop(path), hadoop(aside))
-    if not fs.rename(hadoop(staged), hadoop(path)):
-        raise OSError(f"could not put {path} in place" + (f"; the old one is {aside}" if kept else ""))
-    if kept:
-        fs.delete(hadoop(aside), False)
+    jvm = spark._jvm
+    options = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    overwrite[0] = jvm.java.lang.Enum.valueOf(options, "OVERWRITE")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(hadoop(staged)), fs.makeQualified(hadoop(path)), overwrite)  # one step: there is always a file
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,19 @@ def _versions(spark: SparkSession, folder: str) -> list[str]:
     return [n for n in names if fs.exists(path(f"{n}/_SUCCESS"))]
 
 
+def _claimed(spark: SparkSession, folder: str, number: int) -> int:
+    """The first number from ``number`` on that no other writer has taken: a claim is a file that only one of them can create."""
+    fs, path = _fs(spark, folder)
+    while True:
+        try:
+            fs.create(path(f"claim-{number:012d}"), False).close()
+            return number
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName() and not fs.exists(path(f"claim-{number:012d}")):
+                raise
+            number += 1
+
+
 def save_state(rows: DataFrame, folder: str, pack: str) -> None:
     """Write the state of ``pack`` as a version of its own beside the ones before; readers take the newest complete version.
 
@@ -30,9 +44,11 @@ def save_state(rows: DataFrame, folder: str, pack: str) -> None:
     """
     spark = rows.sparkSession
     old = _versions(spark, folder)
-    number = int(old[-1].split("-")[1]) + 1 if old else 1
+    number = _claimed(spark, folder, int(old[-1].split("-")[1]) + 1 if old else 1)
     rows.withColumn("pack", F.lit(pack)).write.parquet(f"{folder}/state-{number:012d}-{uuid.uuid4().hex}")
     fs, path = _fs(spark, folder)
+    for claim in range(max(1, number - 100), number - 1):
+        fs.delete(path(f"claim-{claim:012d}"), False)  # claims below a complete version are of no use
     for name in old[:-1]:
         if not fs.delete(path(name), True):
             raise OSError(f"could not delete {folder}/{name}")

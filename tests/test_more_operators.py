@@ -63,8 +63,8 @@ def test_bank_issues(spark):
     codes = lambda rows, **k: sorted((r.severity, r.code) for r in Q.bank_issues(pack, spark.createDataFrame(rows, "id string, version string"), **k).collect())
     assert codes([("p", "1.1")]) == [] and codes([("p", "1.0")]) == [("warning", "references.version_drift")]
     assert codes([("q", "1.1")]) == [("error", "references.id_mismatch")] and codes([]) == [("error", "references.missing")] and codes([], required=False) == [("info", "references.missing")]
-    shown = spark.range(1).select(Q.capped(F.array(*[F.lit(x) for x in "cab"]), 2).alias("a"), Q.capped(F.array(F.lit("z")), 2).alias("b")).first()
-    assert shown.a == "a, b (3 in all)" and shown.b == "z"
+    rows = spark.createDataFrame([("k", x) for x in "cab"] + [("one", "z"), ("none", None)], "key string, v string")
+    assert {r.key: r.shown for r in Q.capped(rows, "key", "v", 2).collect()} == {"k": "a, b (3 in all)", "one": "z", "none": ""}
 
 
 def test_blocks_and_bytes(spark):
@@ -137,6 +137,24 @@ def test_state_survives_an_unfinished_write(spark, tmp_path):
     assert state.load_state(spark, folder, "p").count() == 7 and len(state._versions(spark, folder)) == 2
 
 
+def test_two_writers_never_take_one_number(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    assert [state._claimed(spark, folder, 1) for _ in range(3)] == [1, 2, 3]
+    rows = spark.createDataFrame([(1,)], "x int")
+    state.save_state(rows, folder, "p")
+    assert state._versions(spark, folder)[0].startswith("state-000000000004") and state.load_state(spark, folder, "p").count() == 1
+
+
+def test_formats_by_name(spark):
+    X.registered("own")(lambda rows: rows.select("split", F.lit("x").alias("line")))
+    try:
+        assert X.export("own", spark.createDataFrame([("train",)], "split string")).first().line == "x"
+        with pytest.raises(ValueError, match="own"):
+            X.registered("own")(lambda rows: rows)
+    finally:
+        del X.FORMATS["own"]
+
+
 def test_speaker_lines(spark, tmp_path):
     rows = spark.createDataFrame([(f"s{i:02d}", "approved", "train" if i % 4 else "val", "a.wav", "x", "n") for i in range(20)], "sample_id string, status string, split string, path string, text string, style string")
     X.write_speaker_lines(X.kaldi(rows, "spk")["spk2utt"], "spk", str(tmp_path / "out"), width=8)
