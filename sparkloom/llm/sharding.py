@@ -48,21 +48,31 @@ def permuted(number: Column, n: int, seed: int = 11, rounds: int = 6, back: bool
     return F.when(place < n, place).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
 
 
-def numbered(docs: DataFrame, keys: list[str], slices: int = 1024, name: str = "row_number") -> tuple[DataFrame, int]:
-    """``docs`` with global row numbers from 0, the same in every run, and their count.
+#: So many equal rows at most are made from one row of their count.
+COPIES = 1 << 16
 
-    Rows fall into ``slices`` by a hash of ``keys``; a row's number is the rows of the slices before plus its place by
-    ``keys`` inside its slice. Only the ``slices`` counts (a fixed bound) go through the driver.
+
+def numbered(rows: DataFrame, keys: list[str], slices: int = 1024, name: str = "row_number") -> tuple[DataFrame, int]:
+    """``keys`` of all ``rows`` with global row numbers from 0, the same in every run, and their count.
+
+    Equal rows are first counted, a map-side aggregate. Distinct ones fall into ``slices`` by a hash of ``keys``; a number is the rows of the slices before plus those with smaller
+    keys inside the slice. Then each distinct row becomes as many as it stands for, in pieces of at most COPIES that are dealt to all tasks; so a row that is a third of the table is one row to
+    the slices. Only the ``slices`` counts (a fixed bound) go through the driver.
     """
-    rows = docs.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int"))
-    counts = dict(rows.groupBy("_slice").count().collect())
+    alike = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int"))
+    counts = dict(alike.groupBy("_slice").agg(F.sum("_n")).collect())
     starts, n = [], 0
     for s in range(slices):
         starts.append(n)
         n += counts.get(s, 0)
     start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_slice") + 1)
-    inside = F.row_number().over(W.partitionBy("_slice").orderBy(*[F.col(k).asc_nulls_first() for k in keys]))
-    return rows.withColumn(name, start + inside - 1).drop("_slice"), n
+    order = W.partitionBy("_slice").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("_n") - 1, COPIES))).alias("_piece")
+    cut = alike.withColumn("_start", start + before).select(*keys, "_n", "_start", pieces)
+    first = F.col("_piece") * COPIES
+    here = F.sequence(F.col("_start") + first, F.col("_start") + F.least(first + COPIES, F.col("_n")) - 1)
+    return cut.repartition(*keys, "_piece").select(*keys, F.explode(here).alias(name)), n
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 11, slices: int = 1024) -> DataFrame:
@@ -70,7 +80,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 11, slices: int = 1024)
 
     Law ``rows``: a row's place p in the shuffle gives shard p mod ``shards`` and slot p div ``shards``, so the counts are at most
     one apart and slots have no gaps; both follow from the row number alone and ``permuted(..., back=True)`` inverts them. Null
-    texts count as empty. Repeated rows get numbers of their own (equal rows are interchangeable); an empty table
+    texts count as empty. Repeated rows get numbers of their own, one after the other (equal rows are interchangeable), also if they are a third of all; an empty table
     gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
