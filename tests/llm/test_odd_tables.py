@@ -101,10 +101,71 @@ def test_a_cluster_needs_a_shared_folder():
         _store.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
 
 
-def test_too_many_labels_fail(spark):
+def test_more_labels_than_a_model_takes(spark):
     from sparkloom.llm import language
 
-    rows = spark.createDataFrame([("a text", str(i)) for i in range(6)], "text string, lang string")
-    with pytest.raises(ValueError):
-        language.train(rows, max_labels=5)
-    assert language.train(rows, max_labels=6).labels == list("012345")
+    words = ["".join(chr(97 + (i * k) % 26) for k in range(1, 9)) for i in range(40)]
+    rows = spark.createDataFrame([(f"{w} {w[::-1]} word {i % 3}", f"l{i:02d}") for i, w in enumerate(words)] * 2, "text string, lang string")
+    docs = spark.createDataFrame([(i, f"{w} word", "own") for i, w in enumerate([*words, "", "12", "word word"])] + [(None, None, "own")], "doc_id long, text string, _tag_best string")
+    one = language.train(rows)
+    whole = sorted(map(str, language.tag(docs, one).collect()))
+    assert one.labels == [f"l{i:02d}" for i in range(40)] and one.more == ()
+    for most in (1, 7, 39):
+        cut = language.train(rows, max_labels=most)
+        assert sum((m.labels for m in (cut, *cut.more)), []) == one.labels and len(cut.labels) == most
+        got = language.tag(docs, cut)
+        assert got.columns == ["doc_id", "text", "_tag_best", "lang_pred", "score"]
+        flat = lambda rows_: sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in rows_)
+        assert flat(got.collect()) == flat(language.tag(docs, one).collect()) and len(whole) == len(words) + 4
+
+
+def test_equal_labels_go_to_the_first(spark):
+    from sparkloom.llm import language
+
+    rows = spark.createDataFrame([("same text here", x) for x in "bca"], "text string, lang string")
+    docs = spark.createDataFrame([(1, "same text")], "doc_id long, text string")
+    for most in (1, 2, 9):
+        r = language.predict(docs, language.train(rows, max_labels=most)).first()
+        assert r.lang_pred == "a" and abs(r.score - 1 / 3) < 1e-9
+
+
+def test_language_equals_plain_counts(spark, sf):
+    """Labels and scores by dictionaries of n-gram buckets, worked out character by character."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+
+    from sparkloom.llm import language
+
+    def buckets(text):
+        out, line = [], []
+        for ch in " " + (text or "").lower() + " ":
+            ch = ch if ch.isalpha() else " "
+            if ch != " " or not line or line[-1] != " ":
+                line.append(ch)
+        p = [ord(c) for c in line]
+        wrap = lambda x: x % (1 << 32)
+
+        def folded(h):
+            return wrap((h ^ (h >> 15)) * 0x2C1B3C6D) >> 16
+
+        two = [wrap(a * 0x9E3779B1 + b * 0x85EBCA77) for a, b in zip(p, p[1:])]
+        out += [folded(h) for h in two]
+        return out + [folded(wrap(wrap((h ^ (h >> 13)) * 0xC2B2AE3D) + p[i + 2] * 0x27D4EB2F + 1)) for i, h in enumerate(two[:-1])]
+
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect() if len(r.text or "") < 3000]
+    seen, n = {}, Counter()
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            seen.setdefault(r.lang, Counter()).update(buckets(r.text))
+            n[r.lang] += 1
+    totals = {k: sum(c.values()) + 0.5 * (1 << 16) for k, c in seen.items()}
+    table = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in docs], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.held_out_language(table).collect()}
+    for r in docs:
+        logs = {k: np.log(n[k] / sum(n.values())) + sum(np.log((c[b] + 0.5) / totals[k]) for b in buckets(r.text)) for k, c in seen.items()}
+        best = max(sorted(logs), key=logs.get)
+        letters = any(ch.isalpha() for ch in (r.text or "").lower())
+        assert got[r.doc_id].lang_pred == (best if letters else "und")
+        assert not letters or abs(got[r.doc_id].score - 1 / sum(np.exp(x - logs[best]) for x in logs.values())) < 1e-3
