@@ -296,18 +296,34 @@ def test_lm_scores(spark):
     assert lm.scores(documents(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_lm_scores_of_equal_rows(spark, batch):
+    few = [(3, "the same text"), (None, "the same text"), (4, "another one"), (10, "held or not"), (5, None)]
+    rows = [r for i, r in enumerate(few) for _ in range(1 + 37 * (i == 0) + 11 * (i == 4))]
+    train = [(t or "").encode() for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 10]
+    want = dict(zip(few, ppm(train, [(t or "").encode() for _, t in few]), strict=True))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string").withColumn("times", F.lit("clash"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert all(math.isclose(r.score, want[next(f for f in few if f[0] == r.doc_id)], rel_tol=1e-9) for r in got)
+    assert {r.train_tokens for r in got} == {sum(len(t.split()) + 1 for t in train)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><ul><li><a>Home</a></li></ul></nav><!-- x -->
 <div class="ad">Buy</div><article><h1>Title {0}</h1><p>One &amp; two&nbsp;three<br>four <b>five</b>.<p>Six {0}</p><form>No</form><aside>Side</aside><div class="comments"><p>Nice</p></div></article><div id="cookie-notice">Ok?</div><footer>&copy; x</footer></body></html>"""
 
 
 def test_html(spark):
     texts = [PAGE.format(i) for i in range(3)] + [None, "", "<p>bare " + "w " * 20_000, "<article><p>cut off here &amp", "<body><p>Menu of the site goes here for all of its pages</p><p>own words {0}</p>"]
-    rows = [(i, "http://h.example/%d" % i, t) for i, t in enumerate(texts)] + [(20 + i, "not a url", "<body><p>Menu of the site goes here for all of its pages</p><p>%d own words</p>" % i) for i in range(4)]
+    rows = [(i, "http://h.example/%d" % i, t) for i, t in enumerate(texts)] + [(20 + i, "not a url", "<body><p>Menu of the site goes here for all of its pages</p><p>%d own words, which are more than those of the menu that all of them share</p>" % i) for i in range(4)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
     assert got[1].text == "Title 1\n\nOne & two three four five.\n\nSix 1" and got[1].n_chars == len(got[1].text)
     assert got[3].text == "" and got[4].text == "" and got[5].text.startswith("bare w w") and got[6].text == "cut off here &"
-    assert [got[20 + i].text for i in range(4)] == [f"{i} own words" for i in range(4)]  # a run that several pages of a host share
+    assert [got[20 + i].text for i in range(4)] == [f"{i} own words, which are more than those of the menu that all of them share" for i in range(4)]  # a run that several pages of a host share
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
