@@ -22,6 +22,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, bad), F.lit(False))
 
 
+def _floored(x: Column) -> Column:
+    """The largest whole number up to ``x``, as a double; doubles of 2 ** 53 and more are whole."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+
 class Tree:
     """A KD-tree over integer vectors: median splits along the widest side, with the tight box of every node."""
 
@@ -197,6 +202,77 @@ def _reached(shards: DataFrame, blocks: DataFrame, chunk_rows: int = 1024) -> Da
     return met.applyInArrow(run, "block string, shard string")
 
 
+#: Beyond this size components are compared by exact integers of any length.
+WIDE = 2**22
+LONG = 2**63 - 1
+
+
+def exact_best(ids: np.ndarray, rows: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """For each query the best (score, id) among ``rows``, at most ``k``, ties to the smaller id, other than its ``own`` id; scores are exact integers.
+
+    Components are doubles that are whole numbers. Products in double tell all scores up to a bound of their rounding, taken in units in which no component exceeds 1; only rows
+    that could be among the first ``k`` are multiplied out.
+    """
+    scale_r, scale_q = (max(float(np.abs(x).max(initial=0)), 1.0) for x in (rows, queries))
+    r, q = rows / scale_r, queries / scale_q
+    about = q @ r.T
+    off = (np.abs(q) @ np.abs(r).T) * (r.shape[1] + 4) * 2.0**-52 + 1e-290
+    out = []
+    for i in range(len(queries)):
+        mine = np.flatnonzero(ids != own[i])
+        low, high = about[i, mine] - off[i, mine], about[i, mine] + off[i, mine]
+        floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+        exact = [int(x) for x in queries[i]]
+        met = [(sum(a * int(b) for a, b in zip(exact, rows[j])), int(ids[j])) for j in mine[high >= floor]]
+        out.append(sorted(met, key=lambda x: (-x[0], x[1]))[:k])
+    return out
+
+
+def _packs(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """(dim, ``name``, ids, rows): vectors of doubles as bytes, about ``most`` a pack, dealt by hash."""
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(sizes), "dim").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "parts").cast("int"))  # one row a length
+
+    def pack(t: pa.Table) -> pa.Table:
+        raw = lambda a: pa.array([a.tobytes()], pa.binary())
+        x = t.column("x").combine_chunks().flatten().to_numpy()
+        return pa.table({"dim": t.column("dim")[:1], "part": t.column("part")[:1], "ids": raw(t.column("vec_id").to_numpy()), "rows": raw(x)})
+
+    made = dealt.select("dim", "part", "vec_id", "x").groupBy("dim", "part").applyInArrow(pack, "dim int, part int, ids binary, rows binary")
+    return store(made.withColumn(name, F.concat_ws("/", "dim", "part")), name)
+
+
+def _wide_top_k(rows: DataFrame, asked: DataFrame, k: int, most: int = 4096) -> DataFrame:
+    """``top_k`` where components are wide: ``rows`` and ``asked`` (vec_id, dim, x array<double>) hold those of all sizes; every block of queries meets every block of rows of its length."""
+    shards, blocks = _packs(rows, most, "wide-shard"), _packs(asked, 256, "wide-block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for dim, block, qi, qr, ri, rr in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                own, ids = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
+                found = exact_best(ids, np.frombuffer(rr).reshape(-1, dim), own, np.frombuffer(qr).reshape(-1, dim), k)
+                out += [(block, q, int(own[q]), i, str(s)) for q, best in enumerate(found) for s, i in best]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["block", "q", "query_id", "vec_id", "score"])
+
+    pairs = blocks.select("dim", F.col("wide-block").alias("block"), F.col("ids").alias("qi"), F.col("rows").alias("qr")).join(shards.select("dim", F.col("ids").alias("ri"), F.col("rows").alias("rr")), "dim")
+    # a pair is some megabytes, so few are in a batch
+    met = pairs.repartition("block", F.md5("ri")).mapInArrow(run, "block string, q int, query_id long, vec_id long, score string")
+
+    def best(t: pa.Table) -> pa.Table:
+        order = sorted(zip(t.column("score").to_pylist(), t.column("vec_id").to_pylist(), strict=True), key=lambda x: (-int(x[0]), x[1]))[:k]
+        n = len(order)
+        columns = {
+            "query_id": pa.array([t.column("query_id")[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()),
+            "vec_id": pa.array([i for _, i in order], pa.int64()), "score": pa.array([max(-LONG - 1, min(LONG, int(x))) for x, _ in order], pa.int64()),
+        }
+        return pa.table(columns)
+
+    return met.groupBy("block", "q").applyInArrow(best, "query_id long, rank int, vec_id long, score long")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, shard_rows: int = 4096, block_rows: int = 4096, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: for each distinct row of ``queries`` its ``k`` rows of ``vectors`` (both vec_id, embedding) of highest inner product, other than itself.
 
@@ -207,14 +283,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     the result is exact. A task holds one shard and one block, packed as bytes; what is shuffled is a shard a pair that the bounds leave, at worst rows times blocks.
 
     Vectors that are null, empty or hold null or non-finite components, and rows without a vec_id, take no part, as row or query; vectors of another length
-    than a query are no candidates of it. Components beyond 2 ** 22 in size could overflow 64 bits and make the query fail. Fewer than ``k`` candidates give fewer rows.
+    than a query are no candidates of it. Where a component is 2 ** 22 or more in size, sums could leave 64 bits: then every block of queries meets every block of rows, and what rounding can't decide
+    is multiplied out in integers of any length; a score beyond the range of a long is given as the nearest long, but ranks go by its true value. Fewer than ``k`` candidates give fewer rows.
     Repeated query rows are one query; two vectors of one vec_id are two. Repeated rows are candidates each, except for a query of the same vec_id. Other columns are ignored; an empty table gives none.
     """
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    kept = lambda t: t.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), ints.alias("v"), F.size("embedding").alias("dim"))
-    fits = F.assert_true(F.forall("v", lambda x: F.abs(x) < 2**22), F.lit("components are too large"))
-    narrow = lambda t: t.filter(fits.isNull()).withColumn("v", F.transform("v", lambda x: x.cast("int")))
-    rows, asked = narrow(kept(vectors)), narrow(kept(queries)).distinct()
+    whole = F.transform("embedding", lambda x: _floored(x.cast("double") * scale))
+    kept = lambda t: t.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.size("embedding").alias("dim"), whole.alias("x"))
+    rows, asked = kept(vectors), kept(queries).distinct()
+    wide = ~F.forall("x", lambda x: F.abs(x) < WIDE)
+    if not rows.filter(wide).isEmpty() or not asked.filter(wide).isEmpty():
+        return _wide_top_k(rows, asked, k)
+    narrow = lambda t: t.select("vec_id", "dim", F.transform("x", lambda x: x.cast("int")).alias("v"))
+    rows, asked = narrow(rows), narrow(asked)
     n = rows.count()
     depth = min(max(0, (n - 1) // shard_rows).bit_length(), 12)
     drawn = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, n // sample))) == 0).limit(sample).select("dim", "v").collect() if depth else []

@@ -1,6 +1,10 @@
 """Vector operators against brute force."""
 
+import math
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import embedding_dedup, topk
@@ -85,3 +89,26 @@ def test_top_k_of_separate_clusters_meets_few_shards(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(500)], SCHEMA)  # one leaf of equal vectors is dealt to several shards
     got = topk.top_k(same, same.filter("vec_id % 50 = 0"), shard_rows=50, block_rows=3).collect()
     assert len(got) == 50 and all(r.vec_id == r["rank"] - 1 + (r["rank"] > r.query_id) for r in got if r.query_id in (0, 50))
+
+
+@pytest.mark.parametrize("largest", [20_000.0, 1e15, 3e38])
+def test_wide_components(spark, largest):
+    from fractions import Fraction
+
+    rng = random.Random(int(math.log10(largest)))
+    rows = []
+    for i in range(200):
+        size = rng.choice([1.0, 1.0, largest])
+        rows.append((i, [float(np.float32(rng.uniform(-1, 1) * size)) for _ in range(8)]))
+    rows += [(50, rows[50][1]), (7, rows[8][1]), (300, [largest] * 3), (350, [1.0] * 3), (None, [1.0] * 8), (400, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(table, table.filter("vec_id % 50 = 0"), k=5).collect():
+        got.setdefault((r.query_id, r.rank), []).append((r.vec_id, r.score))
+    floors = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if i is not None and v is not None]
+    want = {}
+    for q, a in {(i, tuple(v)) for i, v in floors if i % 50 == 0}:
+        best = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in floors if i != q and len(b) == len(a)))[:5]
+        for rank, (s, i) in enumerate(best, 1):
+            want.setdefault((q, rank), []).append((i, max(-(2**63), min(2**63 - 1, -s))))
+    assert got == want
