@@ -81,8 +81,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c not in made]
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    place = F.concat(F.substring(hashed, 12, 2), hashed, F.md5(F.coalesce("text", F.lit(""))))
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), digest)))  # without an id the text gives the place, so such rows are spread as well
+    place = F.concat(F.substring(hashed, 12, 2), hashed, digest)
     rows = docs.drop(*made).withColumns({"size": word_count(F.col("text")), "_place": place})
     light = hold(rows.select("source", "size", "_place"))
     by_source = light.groupBy("source").agg(F.sum("size").alias("source_size"))

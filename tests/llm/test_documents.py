@@ -175,6 +175,20 @@ def test_mixing_takes_some_of_equal_rows(spark):
         assert abs(taken - source["a"][1]) <= 3 and all(r.taken in (0, 3) for r in got if r.source == "a")
 
 
+def test_mixing_of_rows_without_ids(spark):
+    import duckdb
+
+    rng = random.Random(6)
+    rows = [(None if i % 3 else i % 50, " ".join(["w"] * rng.randint(0, 9) + [f"x{rng.randint(0, 200)}"]), "en", rng.choice("abbc"), 1) for i in range(600)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    want = Counter((r[0], r[1], r[4]) for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.OP3_SQL})").fetchall())
+    for n in (1, 7):
+        got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(n)).collect()
+        assert Counter((r.doc_id, r.size, r.taken) for r in got) == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 24, 25, 1000, 4097])
 def test_permutation(spark, n):
     rows = spark.range(n).select("id", sharding.permuted(F.col("id"), n).alias("p")).select("id", "p", sharding.permuted(F.col("p"), n, back=True).alias("b")).collect()
