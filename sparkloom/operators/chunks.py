@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,13 +16,40 @@ STRONG, SOFT, CLOSERS = "。！？!?…", "，、；：,;:", "”’）》」』
 OPENERS = ("但是", "但", "不过", "然后", "而且", "所以", "因为", "如果", "虽然", "并且", "或者", "还是", "可是", "只是", "就是")
 
 
-def _ends(marks: str) -> re.Pattern:
-    """Every place of a mark, with the end of it, its closers and any terminators after them (a look-ahead, so places may overlap)."""
-    return re.compile(f"(?=([{re.escape(marks)}][{re.escape(CLOSERS)}]*[{re.escape(STRONG)}]*))")
+_OPENS = re.compile(r"\s*(?:" + "|".join(OPENERS) + ")")
+_MARK = re.compile(f"[{re.escape(STRONG + SOFT)}]")
+_TAIL = re.compile(f"[{re.escape(CLOSERS)}]*[{re.escape(STRONG)}]*")
 
 
-_OPENS = re.compile(r"\s*(?:" + "|".join(OPENERS) + ")")
-_STRONG, _SOFT, _ANY = _ends(STRONG), _ends(SOFT), _ends(STRONG + SOFT)
+class Marks:
+    """The marks of a text in order: where they are, and where the closers and terminators after them end; found once, however often the text is cut."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.at = [m.start() for m in _MARK.finditer(text)]
+        self.end = [_TAIL.match(text, i + 1).end() for i in self.at]
+        self.strong = [j for j, i in enumerate(self.at) if text[i] in STRONG]
+
+    def free(self, end: int) -> bool:
+        """No opener begins after ``end``."""
+        return not _OPENS.match(self.text, end)
+
+    def first_strong(self, start: int, least: int) -> int | None:
+        for k in range(bisect_left(self.strong, bisect_left(self.at, start)), len(self.strong)):
+            end = self.end[self.strong[k]]
+            if end >= least and self.free(end):
+                return end
+        return None
+
+    def last_soft(self, start: int, least: int, most: int) -> int | None:
+        for j in range(bisect_left(self.at, most) - 1, bisect_left(self.at, start) - 1, -1):
+            if self.text[self.at[j]] in SOFT and least <= self.end[j] <= most and self.free(self.end[j]):
+                return self.end[j]
+        return None
+
+    def last_any(self, least: int, before: int) -> int | None:
+        j = bisect_left(self.at, before) - 1
+        return self.end[j] if j >= 0 and self.at[j] >= least else None
 
 
 @dataclass(frozen=True)
@@ -33,24 +61,20 @@ class Limits:
     soft_from: int = 16
 
 
-def cut_at(text: str, first: bool, limits: Limits = Limits(), force: bool = False, start: int = 0) -> int | None:
-    """Where to cut ``text`` after ``start``: at the first sentence end within the preferred length; beyond it at the last pause that fits, or the sentence end;
-    at the hard limit, the last mark or bluntly. None: wait for more. Only what a cut can depend on is looked at, so long texts take linear time."""
-    least, size = start + (limits.first if first else limits.least), len(text) - start
-    free = lambda e: not _OPENS.match(text, e)
-    strong = next((e for m in _STRONG.finditer(text, start) if (e := m.end(1)) >= least and free(e)), None)
+def cut_at(marks: Marks, first: bool, limits: Limits = Limits(), force: bool = False, start: int = 0) -> int | None:
+    """Where to cut the text of ``marks`` after ``start``: at the first sentence end within the preferred length; beyond it at the last pause that fits, or the sentence end;
+    at the hard limit, the last mark or bluntly. None: wait for more."""
+    least, size = start + (limits.first if first else limits.least), len(marks.text) - start
+    strong = marks.first_strong(start, least)
     if strong is not None and strong - start <= limits.most:
         return strong
     if size >= limits.most:
-        window = text[start : start + limits.most + 1]  # a pause whose closers go on beyond it doesn't fit
-        fits = [e for m in _SOFT.finditer(window) if max(least, start + limits.soft_from) <= (e := start + m.end(1)) <= start + limits.most and free(e)]
-        if fits or strong is not None:
-            return fits[-1] if fits else strong
+        soft = marks.last_soft(start, max(least, start + limits.soft_from), start + limits.most)
+        if soft is not None or strong is not None:
+            return strong if soft is None else soft
     if size > 0 and (force or size >= limits.hard):
-        cut = None
-        for m in _ANY.finditer(text, least, min(len(text), start + limits.hard)):
-            cut = m.start()
-        return start + limits.hard if cut is None else _ANY.match(text, cut).end(1)
+        cut = marks.last_any(least, min(len(marks.text), start + limits.hard))
+        return start + limits.hard if cut is None else cut
     return None
 
 
@@ -61,8 +85,8 @@ def _spoken(piece: str) -> str:
 def take(buffer: str, emitted: int, limits: Limits = Limits()) -> tuple[list[str], str]:
     """The chunks that are complete in ``buffer`` (``emitted`` were before) and what stays."""
     out: list[str] = []
-    start = 0
-    while (at := cut_at(buffer, emitted + len(out) == 0, limits, start=start)) is not None:
+    start, marks = 0, Marks(buffer)
+    while (at := cut_at(marks, emitted + len(out) == 0, limits, start=start)) is not None:
         if said := _spoken(buffer[start:at]):
             out.append(said)
         start = at
@@ -72,9 +96,9 @@ def take(buffer: str, emitted: int, limits: Limits = Limits()) -> tuple[list[str
 def rest(buffer: str, emitted: int, limits: Limits = Limits()) -> list[str]:
     """The last chunks, whatever their length."""
     out: list[str] = []
-    start = 0
+    start, marks = 0, Marks(buffer)
     while len(buffer) - start > limits.hard:
-        at = cut_at(buffer, emitted + len(out) == 0, limits, force=True, start=start) or start + limits.hard
+        at = cut_at(marks, emitted + len(out) == 0, limits, force=True, start=start) or start + limits.hard
         if said := _spoken(buffer[start:at]):
             out.append(said)
         start = at
