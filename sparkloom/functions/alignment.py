@@ -82,7 +82,9 @@ def edit_distance(reference: list[str], said: list[str]) -> tuple[int, list[str]
 
 
 def aligned(reference: Column, said: Column) -> Column:
-    """struct(distance, lost) of two array<string> columns: the edit distance over tokens, and the reference tokens that ``said`` lacks. Null arrays are empty, null tokens equal each other."""
+    """struct(distance, lost) of two array<string> columns: the edit distance over tokens, and the reference tokens that ``said`` lacks. Null arrays
+    are empty, null tokens equal each other.
+    """
 
     @F.pandas_udf("distance long, lost array<string>")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:

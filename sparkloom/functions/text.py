@@ -79,7 +79,9 @@ def chars_per_second(text: Column, duration: Column) -> Column:
 
 
 def speech_seconds(text: Column, rate: float = 4.8, speed: float = 1.0) -> Column:
-    """Estimated speaking time: CJK characters and 2.2 for each Latin run (0.6 a character, 1 at least, where there is neither) at ``rate``, 0.18 s a pause, at least 0.25 s."""
+    """Estimated speaking time: CJK characters and 2.2 for each Latin run (0.6 a character, 1 at least, where there is neither) at ``rate``, 0.18 s a
+    pause, at least 0.25 s.
+    """
     units = F.regexp_count(text, F.lit(CJK)) + 2.2 * F.regexp_count(text, F.lit("[A-Za-z0-9_.-]+"))
     units = F.when(units > 0, units).otherwise(F.greatest(F.lit(1.0), F.char_length(text) * 0.6))
     pauses = F.regexp_count(text, F.lit("[，。！？；：、…,.!?;:]"))

@@ -62,8 +62,9 @@ class Limits:
 
 
 def cut_at(marks: Marks, first: bool, limits: Limits = Limits(), force: bool = False, start: int = 0) -> int | None:
-    """Where to cut the text of ``marks`` after ``start``: at the first sentence end within the preferred length; beyond it at the last pause that fits, or the sentence end;
-    at the hard limit, the last mark or bluntly. None: wait for more."""
+    """Where to cut the text of ``marks`` after ``start``: at the first sentence end within the preferred length; beyond it at the last pause that
+    fits, or the sentence end; at the hard limit, the last mark or bluntly. None: wait for more.
+    """
     least, size = start + (limits.first if first else limits.least), len(marks.text) - start
     strong = marks.first_strong(start, least)
     if strong is not None and strong - start <= limits.most:

@@ -109,9 +109,11 @@ def review_queue(rows: DataFrame, quality: str, pos: str, status: Column | None
 
 
 def apply_patch(rows: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """``rows`` (transcript, style, status, reason, human_edited) with a reviewer's ``patch`` (p_transcript, p_style, p_status, p_reason, p_anchor); unknown keys are ignored.
+    """``rows`` (transcript, style, status, reason, human_edited) with a reviewer's ``patch`` (p_transcript, p_style, p_status, p_reason, p_anchor);
+    unknown keys are ignored.
 
-    Only differing fields touch a row. Approving along with a transcript means corrected; rejecting without a reason means other; any other status clears the reason.
+    Only differing fields touch a row. Approving along with a transcript means corrected; rejecting without a reason means other; any other status
+    clears the reason.
     """
     x = rows.join(patch, key, "left")
     text = F.coalesce(F.col("p_transcript") != F.col("transcript"), F.col("p_transcript").isNotNull())
@@ -126,7 +128,9 @@ def apply_patch(rows: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Samples after a sync: rows of ``new`` (text, duration), keeping the text, style and approval of human-edited ``old`` ones; old rows that ``new`` lacks go."""
+    """Samples after a sync: rows of ``new`` (text, duration), keeping the text, style and approval of human-edited ``old`` ones; old rows that
+    ``new`` lacks go.
+    """
     o = old.select(key, F.col("text").alias("o_text"), F.col("style").alias("o_style"), F.col("approved").alias("o_approved"), F.col("human_edited").alias("o_edited"), F.lit(True).alias("had"))
     x = new.join(o, key, "left").withColumn("keep", F.coalesce("o_edited", F.lit(False))).withColumn("t", F.trim(F.coalesce("text", F.lit(""))))
     return x.select(

@@ -30,7 +30,9 @@ def passed(issues: DataFrame) -> DataFrame:
 
 
 def bank_issues(pack: DataFrame, bank: DataFrame, required: bool = True) -> DataFrame:
-    """``pack`` and ``bank`` (both id, version; one row, or none of the bank) against each other: a missing bank, one of another pack, one of another version."""
+    """``pack`` and ``bank`` (both id, version; one row, or none of the bank) against each other: a missing bank, one of another pack, one of another
+    version.
+    """
     one = bank.limit(1).agg(F.max(F.struct("id", "version")).alias("b"))  # one row, whatever the bank
     met = pack.limit(1).select(F.col("id").alias("_id"), F.col("version").alias("_version")).crossJoin(F.broadcast(one)).select("_id", "_version", "b.*", F.col("b").isNotNull().alias("_found"))
     return findings(
@@ -55,7 +57,9 @@ def capped(rows: DataFrame, by: str, value: str, most: int) -> DataFrame:
 
 
 def reference_issues(styles: DataFrame, bank: DataFrame, least: int = 2) -> DataFrame:
-    """``styles`` (style) against ``bank`` (reference_id, style, transcript, has_audio): unknown styles, missing audio and transcripts, empty and thin styles."""
+    """``styles`` (style) against ``bank`` (reference_id, style, transcript, has_audio): unknown styles, missing audio and transcripts, empty and thin
+    styles.
+    """
     unknown = bank.join(styles, "style", "left_anti")
     counts = styles.join(bank.groupBy("style").agg(F.count(F.lit(1)).alias("n")), "style", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return findings(

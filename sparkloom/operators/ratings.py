@@ -40,8 +40,8 @@ def fold(ratings: DataFrame, key: DataFrame, item: str, candidate: str, high: li
 def aggregate(ratings: DataFrame, key: DataFrame, item: str, candidate: str, high: list[str], low: list[str], top: float, believed: str, anchor: str, truth: str, labels: DataFrame | None = None) -> DataFrame:
     """``fold`` with believed_real_rate, is_ground_truth and label.
 
-    The rate is the share of true ``believed`` values among those given, null where none is. A candidate is the ground truth if its id is ``anchor`` or all its rated items
-    are marked so in the key (``truth``). ``labels`` has the candidate and a label; a candidate without one is named by its id.
+    The rate is the share of true ``believed`` values among those given, null where none is. A candidate is the ground truth if its id is ``anchor``
+    or all its rated items are marked so in the key (``truth``). ``labels`` has the candidate and a label; a candidate without one is named by its id.
     """
     known = ratings.join(key.select(item, candidate, truth), item)
     said = known.groupBy(candidate).agg(
@@ -104,10 +104,10 @@ def _moments(left: pd.DataFrame, right: pd.DataFrame, raters: tuple[int, int], i
 def agreement_pairs(ratings: DataFrame, rater: str, item: str, value: str, order: list[str], least: int = 3, raters: int = RATERS, ratings_a_part: int = RATINGS) -> DataFrame:
     """Pearson correlation of each two raters over the items both rated, from moments.
 
-    A rater's last value of an item (by ``order``) counts. Pairs with fewer than ``least`` shared items or no
-    variance are left out. Raters are dealt to blocks and items to parts; a group has two blocks and a part, and gives the moments of its pairs by matrix products. So a rating is sent once for each block of
-    raters, never once for each other rater of its item; a hot item is one column, a hot rater's items lie in all parts. The result has a row a pair, which is its definition.
-    Ratings without a rater, item or value don't count.
+    A rater's last value of an item (by ``order``) counts. Pairs with fewer than ``least`` shared items or no variance are left out. Raters are dealt
+    to blocks and items to parts; a group has two blocks and a part, and gives the moments of its pairs by matrix products. So a rating is sent once
+    for each block of raters, never once for each other rater of its item; a hot item is one column, a hot rater's items lie in all parts. The result
+    has a row a pair, which is its definition. Ratings without a rater, item or value don't count.
     """
     given = ratings.filter(F.col(value).isNotNull() & F.col(item).isNotNull() & F.col(rater).isNotNull())
     last = given.groupBy(F.col(rater).alias("rater"), F.col(item).alias("item")).agg(F.max_by(value, F.struct(*order)).cast("double").alias("v"))

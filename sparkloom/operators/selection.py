@@ -83,9 +83,10 @@ def style_chain(requested: Column, core: Column) -> Column:
 def select_references(requests: DataFrame, styles: DataFrame, bank: DataFrame, request: str, window: tuple[float, float], pool: int = 3, exclude: list | None = None) -> DataFrame:
     """For each request (``request``, style, variation_key) the reference of the first style of its chain that the bank has, else any.
 
-    ``bank`` has reference_id, style, duration, quality; ``styles`` name, core_style. Within the matched style references are ranked by
-    0.65 quality + 0.35 fit, and a variation key picks one of the first ``pool``. The ``pool`` best of each style are all that can be chosen, so the bank is cut to them
-    before the join; an empty bank gives null references. The ids of ``exclude`` can't be chosen; if the bank has references but all are excluded, this fails.
+    ``bank`` has reference_id, style, duration, quality; ``styles`` name, core_style. Within the matched style references are ranked by 0.65 quality +
+    0.35 fit, and a variation key picks one of the first ``pool``. The ``pool`` best of each style are all that can be chosen, so the bank is cut to
+    them before the join; an empty bank gives null references. The ids of ``exclude`` can't be chosen; if the bank has references but all are
+    excluded, this fails.
     """
     if exclude:
         left = bank.filter(~F.col("reference_id").isin(exclude))
@@ -136,7 +137,9 @@ def best_of_style(bank: DataFrame, style: str, quality: str, key: str, most: int
 
 
 def resolve(requests: DataFrame, styles: DataFrame, bank: DataFrame, style: str, quality: str, key: str, most: int = 3) -> DataFrame:
-    """(style, place, key): for each requested style the references of the first style of its chain that the bank has, best quality first, else of the whole bank; ``most`` of them."""
+    """(style, place, key): for each requested style the references of the first style of its chain that the bank has, best quality first, else of the
+    whole bank; ``most`` of them.
+    """
     ranked = best_of_style(bank, style, quality, key, most).select(F.col(style).alias("_s"), "place", key)
     chains = requests.join(styles, F.col(style) == styles.name, "left").select(style, F.posexplode(style_chain(F.col(style), F.col("core_style"))).alias("_pos", "_s"))
     known = chains.join(ranked.select("_s").distinct(), "_s").groupBy(style).agg(F.min_by("_s", "_pos").alias("_s"))

@@ -17,7 +17,9 @@ BANDS = (80, 160, 260, 400, 600, 900, 1400, 2200, 3400, 5200, 8000)
 
 
 def similarity(segments: DataFrame, pack: str, key: str, vector: str, anchor: str) -> DataFrame:
-    """(key, similarity, n_anchors): cosine with the centroid of the pack's anchors, or of all its vectors where it has none; rows without a vector are left out."""
+    """(key, similarity, n_anchors): cosine with the centroid of the pack's anchors, or of all its vectors where it has none; rows without a vector
+    are left out.
+    """
     have = segments.filter(F.col(vector).isNotNull())
     n = have.groupBy(pack).agg(F.count_if(F.coalesce(F.col(anchor), F.lit(False))).alias("n_anchors"))
     x = have.join(n, pack)

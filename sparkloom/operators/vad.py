@@ -44,7 +44,9 @@ def pauses(found: DataFrame, clip: str) -> DataFrame:
 
 
 def trimmed(clips: DataFrame, found: DataFrame, clip: str, samples: str, rate: str) -> DataFrame:
-    """``clips`` with ``samples`` cut to what lies between the start of the first and the end of the last of their ``found`` spans, and start_s and end_s; a clip without spans stays whole."""
+    """``clips`` with ``samples`` cut to what lies between the start of the first and the end of the last of their ``found`` spans, and start_s and
+    end_s; a clip without spans stays whole.
+    """
     edges = found.groupBy(clip).agg(F.min("start_s").alias("_s"), F.max("end_s").alias("_e"))
     x, n = F.col(samples), F.size(samples)
     first, last = F.floor(F.col("_s") * F.col(rate)).cast("int"), F.least(n, F.floor(F.col("_e") * F.col(rate)).cast("int"))
@@ -60,9 +62,11 @@ def level_frames(clips: DataFrame, clip: str, samples: str, rate: int, frame_ms:
 
 
 def measured(clips: DataFrame, clip: str, samples: str, rate: int, text: str, hop_ms: float = 10.0) -> DataFrame:
-    """One row a clip: duration_s, f0_mean_hz, f0_std_hz, chars_per_second, pause_count, pauses_per_second, seconds_per_char, peak_dbfs, clipping_ratio, snr_db, silence_ratio.
+    """One row a clip: duration_s, f0_mean_hz, f0_std_hz, chars_per_second, pause_count, pauses_per_second, seconds_per_char, peak_dbfs,
+    clipping_ratio, snr_db, silence_ratio.
 
-    All clips have the same sample ``rate``. Pauses are the gaps of 180 ms and more between spans of 80 ms and more; silence is what the unpadded spans leave. Clips without samples have no row.
+    All clips have the same sample ``rate``. Pauses are the gaps of 180 ms and more between spans of 80 ms and more; silence is what the unpadded
+    spans leave. Clips without samples have no row.
     """
     some = clips.filter(F.size(samples) > 0)
     x, hop_s = F.col(samples), max(1, int(rate * hop_ms / 1000)) / rate
@@ -86,7 +90,9 @@ def measured(clips: DataFrame, clip: str, samples: str, rate: int, text: str, ho
 
 
 def pitch_tracks(clips: DataFrame, clip: str, samples: str, rate: str, least: float = 0.35) -> DataFrame:
-    """(clip, track array<double>): autocorrelation pitch (by the power spectrum of all frames at once) of 40 ms frames every 20 ms at about 8 kHz, 60 to 500 Hz; unvoiced frames are left out, clips below 50 ms have none."""
+    """(clip, track array<double>): autocorrelation pitch (by the power spectrum of all frames at once) of 40 ms frames every 20 ms at about 8 kHz, 60
+    to 500 Hz; unvoiced frames are left out, clips below 50 ms have none.
+    """
 
     def track(x: np.ndarray, sr: int) -> list[float]:
         factor = max(1, sr // 8000)

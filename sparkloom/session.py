@@ -32,7 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """``query``, with this repository on the Python path of workers that run on the driver's machine, whatever its working folder. On a cluster, ship the package with --py-files."""
+    """``query``, with this repository on the Python path of workers that run on the driver's machine, whatever its working folder. On a cluster, ship
+    the package with --py-files.
+    """
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ Export = Callable[[DataFrame], DataFrame]
 
 
 def routed(samples: DataFrame, splits: DataFrame, include_val: bool = True) -> DataFrame:
-    """Approved or corrected ``samples`` (sample_id, status, ...) with split: the first entry of ``splits``, train by default; held-out ones go, val counts as train unless included."""
+    """Approved or corrected ``samples`` (sample_id, status, ...) with split: the first entry of ``splits``, train by default; held-out ones go, val
+    counts as train unless included.
+    """
     first = splits.groupBy("sample_id").agg(F.min("split").alias("split"))
     x = samples.filter(F.col("status").isin("approved", "corrected")).join(first, "sample_id", "left").withColumn("split", F.coalesce("split", F.lit("train"))).filter("split <> 'heldout'")
     return x if include_val else x.withColumn("split", F.lit("train"))

@@ -20,7 +20,9 @@ TRANSCRIPTS = ("txt", "lab")
 
 
 def ratings(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Ratings of a JSON file or folder of them; a file holds a list, one object, or an object with a ``ratings`` list. Read as text once, parsed with the given schema."""
+    """Ratings of a JSON file or folder of them; a file holds a list, one object, or an object with a ``ratings`` list. Read as text once, parsed with
+    the given schema.
+    """
     text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True) if not path.endswith(".json") else spark.read.text(path, wholetext=True)
     bare = F.ltrim(F.regexp_replace("value", r"^\s+", ""))
     listed = F.from_json("value", ArrayType(schema))

@@ -71,7 +71,9 @@ class WavReader(DataSourceReader):
 
 
 class Wav(DataSource):
-    """``spark.read.format("wav").load(folder)``: path, rate, duration_s, samples of 16-bit files; unreadable ones have nulls. Option ``bytes``: how much a task reads. Folders are of any file system that Arrow knows."""
+    """``spark.read.format("wav").load(folder)``: path, rate, duration_s, samples of 16-bit files; unreadable ones have nulls. Option ``bytes``: how
+    much a task reads. Folders are of any file system that Arrow knows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -140,7 +142,9 @@ class KaldiWriter(DataSourceWriter):
 
 
 class Kaldi(DataSource):
-    """``rows.write.format("kaldi").mode("overwrite").save(folder)`` of rows (split, file, line): the lines as <folder>/<split>/<file>/part-..., all of them or, if a task fails for good, none."""
+    """``rows.write.format("kaldi").mode("overwrite").save(folder)`` of rows (split, file, line): the lines as <folder>/<split>/<file>/part-..., all
+    of them or, if a task fails for good, none.
+    """
 
     @classmethod
     def name(cls) -> str:

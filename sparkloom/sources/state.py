@@ -39,8 +39,8 @@ def _claimed(spark: SparkSession, folder: str, number: int) -> int:
 def save_state(rows: DataFrame, folder: str, pack: str) -> None:
     """Write the state of ``pack`` as a version of its own beside the ones before; readers take the newest complete version.
 
-    A version is complete once its job has committed, so a crash at any time leaves the version before. Older versions than the previous one are then deleted; a reader
-    that has just listed them may still read the previous one.
+    A version is complete once its job has committed, so a crash at any time leaves the version before. Older versions than the previous one are then
+    deleted; a reader that has just listed them may still read the previous one.
     """
     spark = rows.sparkSession
     old = _versions(spark, folder)

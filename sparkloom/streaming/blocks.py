@@ -13,7 +13,9 @@ BLOCKS = "session string, block long, samples array<double>"
 
 
 class Reblocker(StatefulProcessor):
-    """State of a session: the samples left over (a list of fewer than ``size``), the deliveries that came before their turn (a map by seq), and the numbers of the next delivery and block (a value)."""
+    """State of a session: the samples left over (a list of fewer than ``size``), the deliveries that came before their turn (a map by seq), and the
+    numbers of the next delivery and block (a value).
+    """
 
     def __init__(self, size: int, idle_ms: int | None):
         self.size, self.idle_ms = size, idle_ms
@@ -66,10 +68,12 @@ class Reblocker(StatefulProcessor):
 
 
 def stream_blocks(deliveries: DataFrame, size: int, idle_ms: int | None = 600_000) -> DataFrame:
-    """(session, block, samples): blocks of ``size`` samples, however ``deliveries`` (session string, seq from 0 without gaps, samples array<double>) and the micro-batches cut them.
+    """(session, block, samples): blocks of ``size`` samples, however ``deliveries`` (session string, seq from 0 without gaps, samples array<double>)
+    and the micro-batches cut them.
 
-    A delivery that comes before its turn waits; one that came already is dropped. Null samples of a delivery are none. What is left of the last delivery isn't a block. A session
-    without deliveries for ``idle_ms`` is forgotten (timer and TTL); None keeps all. The stream needs the RocksDB state store.
+    A delivery that comes before its turn waits; one that came already is dropped. Null samples of a delivery are none. What is left of the last
+    delivery isn't a block. A session without deliveries for ``idle_ms`` is forgotten (timer and TTL); None keeps all. The stream needs the RocksDB
+    state store.
     """
     rows = deliveries.select("session", "seq", "samples").groupBy("session")
     return rows.transformWithStateInPandas(Reblocker(size, idle_ms), BLOCKS, "Append", "ProcessingTime" if idle_ms else "None")

@@ -75,10 +75,11 @@ def _dealt(rows: DataFrame, by: str, folder: str, start: Callable[[DataFrame], S
 
 
 def delivered(rows: DataFrame, by: str, through: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What the stream ``through`` appends if ``rows`` come in deliveries, one micro-batch for each value of ``by`` (a small number of whole numbers), in order.
+    """What the stream ``through`` appends if ``rows`` come in deliveries, one micro-batch for each value of ``by`` (a small number of whole numbers),
+    in order.
 
-    The rows are written once, a folder for each delivery, and moved one by one to where one running stream finds them, so its state goes from batch to batch. Nothing but
-    folder names comes to the driver.
+    The rows are written once, a folder for each delivery, and moved one by one to where one running stream finds them, so its state goes from batch
+    to batch. Nothing but folder names comes to the driver.
     """
     folder, shapes = shared_folder(rows.sparkSession), []
 

@@ -96,7 +96,9 @@ def _walk(state: State, frames: pd.DataFrame, rules: Rules) -> tuple[State, list
 
 
 def endpoints(frames: DataFrame, rules: Rules = Rules(), end: bool = True) -> DataFrame:
-    """(session, seq, event, frames) of ``frames`` (session string, seq, level in dBFS, speaking); ``end`` flushes at the end of each session. A session is one task's, as its state is sequential."""
+    """(session, seq, event, frames) of ``frames`` (session string, seq, level in dBFS, speaking); ``end`` flushes at the end of each session. A
+    session is one task's, as its state is sequential.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         state, out = _walk(State(), g, rules)
@@ -122,8 +124,9 @@ def _in_order(waiting: dict[int, tuple], next_seq: int, late: int) -> pd.DataFra
 class Endpointer(StatefulProcessor):
     """The walk over one session's frames, delivery by delivery.
 
-    State: where the walk stands (one value), and the frames that wait for others (a map by seq). Frames are let go in order of seq. A gap is waited for until a frame ``late``
-    places after it has come, or, in event time, until the watermark has passed the frame behind it. A session that has been idle for ``idle_ms`` walks what waits, is flushed, and its state goes.
+    State: where the walk stands (one value), and the frames that wait for others (a map by seq). Frames are let go in order of seq. A gap is waited
+    for until a frame ``late`` places after it has come, or, in event time, until the watermark has passed the frame behind it. A session that has
+    been idle for ``idle_ms`` walks what waits, is flushed, and its state goes.
     """
 
     def __init__(self, rules: Rules, late: int, idle_ms: int | None, event_time: bool):
@@ -212,12 +215,14 @@ class Endpointer(StatefulProcessor):
 def stream_endpoints(frames: DataFrame, rules: Rules = Rules(), late: int = 10, idle_ms: int | None = 60_000, event_time: str | None = None, delay: str = "10 seconds") -> DataFrame:
     """The same over a stream, whatever the micro-batches: frames wait for those before them.
 
-    A gap is waited for until a frame ``late`` places after it has come; a frame that comes even later is dropped, as is a second one of the same seq. The first frames of a session wait likewise, as its first seq isn't
-    known. A session without frames for ``idle_ms`` walks what waits, is flushed, and its state goes; so the state is bounded by the sessions of that time, each with at most about ``late`` frames. None, for runs that end
-    by themselves, keeps all.
+    A gap is waited for until a frame ``late`` places after it has come; a frame that comes even later is dropped, as is a second one of the same seq.
+    The first frames of a session wait likewise, as its first seq isn't known. A session without frames for ``idle_ms`` walks what waits, is flushed,
+    and its state goes; so the state is bounded by the sessions of that time, each with at most about ``late`` frames. None, for runs that end by
+    themselves, keeps all.
 
-    ``event_time`` names a timestamp column (an extension: the listener itself knows no clock but its frames): gaps are then waited for until the watermark, ``delay`` behind the newest frame, has
-    passed the frame behind them, and ``idle_ms`` counts in that time, so a run over old frames gives what a run in real time gave. The stream needs the RocksDB state store.
+    ``event_time`` names a timestamp column (an extension: the listener itself knows no clock but its frames): gaps are then waited for until the
+    watermark, ``delay`` behind the newest frame, has passed the frame behind them, and ``idle_ms`` counts in that time, so a run over old frames
+    gives what a run in real time gave. The stream needs the RocksDB state store.
     """
     columns = ["session", "seq", "level", "speaking"]
     mode = "EventTime" if event_time else "ProcessingTime" if idle_ms else "None"

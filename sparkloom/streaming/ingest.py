@@ -35,8 +35,9 @@ class Ledger:
 def taken_in(ledger: Ledger, key: str, prepare: Callable[[DataFrame], DataFrame], schema: str) -> Callable[[DataFrame, int], None]:
     """The body of a ``foreachBatch``: of each batch, the rows whose ``key`` no complete batch has, each key once, as ``prepare`` gives them.
 
-    A batch is written over what an earlier try at it left, then entered. One that is in the ledger already adds nothing, so a batch that runs again after any failure, also between the write and the
-    entry, gives the same rows once. Rows without a key are left out. The known keys meet a batch in a join; nothing is collected.
+    A batch is written over what an earlier try at it left, then entered. One that is in the ledger already adds nothing, so a batch that runs again
+    after any failure, also between the write and the entry, gives the same rows once. Rows without a key are left out. The known keys meet a batch in
+    a join; nothing is collected.
     """
 
     def take(rows: DataFrame, batch: int) -> None:

@@ -20,8 +20,9 @@ def _timeout(idle_ms: int | None) -> str:
 
 
 def stream_chunks(deltas: DataFrame, idle_ms: int | None = 600_000) -> DataFrame:
-    """Chunks of ``deltas`` (reply string, seq, delta, last boolean) as they complete. The newest chunk is held until another follows or the reply ends, so that the final one can say so.
-    A reply without deltas for ``idle_ms`` ends with what there is, and its state goes."""
+    """Chunks of ``deltas`` (reply string, seq, delta, last boolean) as they complete. The newest chunk is held until another follows or the reply
+    ends, so that the final one can say so. A reply without deltas for ``idle_ms`` ends with what there is, and its state goes.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         buffer, emitted, waiting = held.get if held.exists else ("", 0, "")
@@ -72,7 +73,9 @@ def fold_turns(turns: list[tuple[str, str]], n_seen: int, n_folded: int, summary
 
 
 def stream_memory(turns: DataFrame, max_turns: int = 12, after_turns: int = 20, most: int = 600, idle_ms: int | None = 86_400_000) -> DataFrame:
-    """After each micro-batch the summary of every conversation in it; ``turns`` has conv string, turn, role, text. A conversation without turns for ``idle_ms`` is forgotten: a later turn starts it anew."""
+    """After each micro-batch the summary of every conversation in it; ``turns`` has conv string, turn, role, text. A conversation without turns for
+    ``idle_ms`` is forgotten: a later turn starts it anew.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
