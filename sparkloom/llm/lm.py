@@ -130,18 +130,6 @@ def _distinct(docs: list[bytes], train: np.ndarray) -> tuple[Counts, Counts]:
     return both(grams), both(words)
 
 
-def _weighed(docs: list[bytes], train: np.ndarray, times: np.ndarray) -> tuple[Counts, Counts]:
-    """The same of documents that stand for ``times`` equal ones each."""
-    parts = []
-    for n in np.unique(times):
-        at = np.flatnonzero(times == n)
-        (gk, gc), (wk, wc) = _distinct([docs[i] for i in at], train[at])
-        parts.append(((gk, gc * n), (wk, wc * n)))
-    if len(parts) == 1:
-        return parts[0]
-    return tuple(added(np.concatenate([p[k][0] for p in parts]), np.concatenate([p[k][1] for p in parts])) for k in (0, 1))
-
-
 def chunks_of(docs: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of about ``most`` bytes and at most 50,000 documents."""
     first = size = 0
@@ -192,13 +180,12 @@ def _low_counts(docs: DataFrame) -> Counts:
 def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, least_buckets: int = 512) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text); documents outside fold 0 train.
 
-    Documents are dealt by hash to blocks of about ``block_bytes``. Each block sends its distinct six-byte keys and word hashes, with its training counts,
+    Documents are dealt by hash, equal rows in turn, to blocks of about ``block_bytes``. Each block sends its distinct six-byte keys and word hashes, with its training counts,
     to buckets, ``least_buckets`` or as many as there are blocks, so that a bucket's share doesn't grow (keys by their three nearest context bytes, which keeps a context's keys together); a bucket sums the counts of all
     blocks, computes the probabilities of its keys and the totals of its words, and answers every block; a block then adds up its documents.
     So all counts are whole, a frequent word or context is one entry a block, and nothing but the bounded two-byte counts is broadcast.
 
-    Null and empty texts consist of the end alone. Repeated rows count each and get equal scores; those of one Arrow batch are sent as one row with their number, so a row that is a third
-    of the table doesn't fill a block. An empty table gives none; other
+    Null and empty texts consist of the end alone. Repeated rows count each and get equal scores. An empty table gives none; other
     columns are ignored. A null doc_id counts as the empty id.
     """
     spark = docs.sparkSession
@@ -207,33 +194,21 @@ def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, least_b
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     buckets = max(least_buckets, blocks)
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal rows of a batch as one, with their number: a row that is a third of the table is one row a batch."""
-        for batch in batches:
-            seen: dict[tuple, list[int]] = {}
-            for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                seen.setdefault(row, [i, 0])[1] += 1
-            kept = batch.take(pa.array([i for i, _ in seen.values()], pa.int32())) if len(seen) < batch.num_rows else batch
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([n for _, n in seen.values()], pa.int64())], names=["doc_id", "held_out", "text", "times"])
-
-    single = rows.mapInArrow(once, "doc_id long, held_out boolean, text string, times long")
-    placed = single.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(4096))  # equal rows go to many blocks; stored, so that both passes see the same ones
+    placed = store(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", turn), F.lit(blocks)).cast("int")), "lm-rows")
 
     def ask(t: pa.Table) -> pa.Table:
-        (gk, gc), (wk, wc) = _weighed(_raw(t.column("text")), ~np.array(t.column("held_out").to_pylist(), bool), t.column("times").to_numpy())
+        (gk, gc), (wk, wc) = _distinct(_raw(t.column("text")), ~np.array(t.column("held_out").to_pylist(), bool))
         go, ge = _dealt(gk, gk >> U(24), buckets)
         wo, we = _dealt(wk, wk, buckets)
         gk, gc, wk, wc = gk[go], gc[go], wk[wo], wc[wo]
-        width = np.uint32 if max(gc.max(initial=0), wc.max(initial=0)) < 1 << 32 else np.uint64  # seen again by the bytes a key
         cut = lambda x, e: pa.array([x[a:b].tobytes() for a, b in zip(np.append(0, e), e, strict=False)], pa.binary())
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * buckets, pa.int32()), "bucket": pa.array(range(buckets), pa.int32()), "grams": cut(gk, ge), "gram_counts": cut(gc.astype(width), ge), "words": cut(wk, we), "word_counts": cut(wc.astype(width), we)})
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * buckets, pa.int32()), "bucket": pa.array(range(buckets), pa.int32()), "grams": cut(gk, ge), "gram_counts": cut(gc.astype(np.uint32), ge), "words": cut(wk, we), "word_counts": cut(wc.astype(np.uint32), we)})
 
     def answer(t: pa.Table) -> pa.Table:
         def summed(keys: str, counts: str) -> tuple:
             k = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(keys)]
-            raw = [x.as_buffer() for x in t.column(counts)]
-            c = np.concatenate([np.frombuffer(b, np.uint32 if b.size == 4 * len(x) else np.uint64) for b, x in zip(raw, k, strict=True)]).astype(np.int64)
+            c = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column(counts)]).astype(np.int64)
             all_ = np.concatenate(k)
             u, s = added(all_, c)
             return u, s, np.searchsorted(u, all_), np.cumsum([len(x) for x in k])
@@ -246,10 +221,10 @@ def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, least_b
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "logs": back(logs[at], edge), "known": back(ws[wat], wedge), "n": pa.array([int(ws.sum()), *rest], pa.int64()), "v": pa.array([int((ws > 0).sum()), *rest], pa.int64())})
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "times", "n_tokens", "n_known", "base", "score"]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
         if not left.num_rows:
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        docs_, out = _raw(left.column("text")), {n: [] for n in names[3:]}
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+        docs_, out = _raw(left.column("text")), {n: [] for n in names[2:]}
         nothing = np.zeros(len(docs_), bool)
         (gk, _), (wk, _) = _distinct(docs_, nothing)
         right = right.sort_by("bucket")
@@ -271,12 +246,11 @@ def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, least_b
             out["n_known"].append(np.bincount(doc, known[which] > 0, minlength=len(part)).astype(np.int64) + (end > 0))
             out["base"].append(np.bincount(doc, base[which], minlength=len(part)) + np.log10(end + 0.1))
         kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("times"), *(pa.array(np.concatenate(out[n]), kinds[n]) for n in names[3:])], names=names)
+        return pa.table([left.column("doc_id"), left.column("held_out"), *(pa.array(np.concatenate(out[n]), kinds[n]) for n in names[2:])], names=names)
 
     asked = placed.groupBy("block").applyInArrow(ask, "block int, bucket int, grams binary, gram_counts binary, words binary, word_counts binary")
     answers = store(asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, logs binary, known binary, n long, v long"), "answers")
     n, v = answers.agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
-    each = placed.groupBy("block").cogroup(answers.select("block", "bucket", "logs", "known").groupBy("block")).applyInArrow(total, "doc_id long, held_out boolean, times long, n_tokens long, n_known long, base double, score double")
-    each = each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    each = placed.groupBy("block").cogroup(answers.select("block", "bucket", "logs", "known").groupBy("block")).applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.1 * (v + 1))))).alias("base_score"), "score")
