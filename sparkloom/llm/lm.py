@@ -180,7 +180,8 @@ def _low_counts(docs: DataFrame) -> Counts:
 def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, least_buckets: int = 512) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text); documents outside fold 0 train.
 
-    Documents are dealt by hash, equal rows in turn, to blocks of about ``block_bytes``. Each block sends its distinct six-byte keys and word hashes, with its training counts,
+    Documents are dealt by hash, equal rows in turn, to blocks of about ``block_bytes``; ``docs`` is read twice for it and must give its rows in the same
+    partitions and order both times, as files do (else lengths differ and the query fails). Each block sends its distinct six-byte keys and word hashes, with its training counts,
     to buckets, ``least_buckets`` or as many as there are blocks, so that a bucket's share doesn't grow (keys by their three nearest context bytes, which keeps a context's keys together); a bucket sums the counts of all
     blocks, computes the probabilities of its keys and the totals of its words, and answers every block; a block then adds up its documents.
     So all counts are whole, a frequent word or context is one entry a block, and nothing but the bounded two-byte counts is broadcast.
@@ -194,8 +195,8 @@ def scores(docs: DataFrame, of: int = 10, block_bytes: int = 16_000_000, least_b
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     buckets = max(least_buckets, blocks)
-    turn = F.pmod(F.monotonically_increasing_id(), F.lit(4096))  # equal rows go to many blocks; stored, so that both passes see the same ones
-    placed = store(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", turn), F.lit(blocks)).cast("int")), "lm-rows")
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(4096))  # equal rows go to many blocks
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", turn), F.lit(blocks)).cast("int"))
 
     def ask(t: pa.Table) -> pa.Table:
         (gk, gc), (wk, wc) = _distinct(_raw(t.column("text")), ~np.array(t.column("held_out").to_pylist(), bool))
