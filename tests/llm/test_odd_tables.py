@@ -49,6 +49,34 @@ def test_nulls_and_repeats(spark, tmp_path):
     assert corpus_pipeline.run(spark, place).count() > 0
 
 
+def test_values_of_odd_rows(spark, tmp_path):
+    """What each query gives for the rows of ``ROWS``, by plain versions of the operators."""
+    import hashlib
+
+    import test_shards
+    import test_urls_runs_turns as plain
+
+    place = folder(spark, tmp_path, ROWS)
+    docs = [(r[0], r[1]) for r in ROWS["documents"]]
+    asked = lambda name: getattr(queries, name)(spark, place).collect()
+    assert test_shards.derived(queries.op6_shard(spark, place)) == test_shards.plain(docs)
+    assert sorted((str(r.doc_id), r.n_removed, r.text or "") for r in asked("op7_substring_dedup")) == sorted(
+        (str(i), int(i == 1), "" if i == 1 else t or "") for i, t in docs
+    )  # the text without an id is the earliest, its two copies lose it
+    assert all(r.lang_pred == "und" and r.score == 0 for r in asked("op8_language_id") if not any(c.isalpha() for c in dict(docs).get(r.doc_id) or "x"))
+    empty = hashlib.sha256(b"").hexdigest()
+    for r in asked("op9_bpe"):
+        text = [t for i, t in docs if i == r.doc_id]
+        assert r.decoded_sha256 in {hashlib.sha256((t or "").encode()).hexdigest() for t in text} and (r.n_tokens == 0) == (r.ids_sha256 == empty)
+    got = asked("op10_lm_score")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len((t or "").split()) + 1) for i, t in docs) and len({r.train_tokens for r in got}) == 1
+    assert sorted(map(str, map(tuple, asked("op12_periodic_runs")))) == sorted(str(plain.plain_op12(i, t)) for i, t in docs)
+    urls = [r[1] for r in ROWS["pages"]]
+    want = sorted(str((p[0], *x[:4])) for p, x in zip(ROWS["pages"], plain.plain_judge(urls), strict=True))
+    assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in asked("op11_url_filter")) == want
+    assert plain.rows_of(queries.op13_turn_repair(spark, place)) == plain.plain_op13([r[:4] for r in ROWS["conversations"]])
+
+
 @pytest.mark.parametrize("name", ["documents", "embeddings", "pages"])
 def test_one_row(spark, tmp_path, name):
     rows = {"documents": [(7, "one row of text", "en", "a", 15, 0)], "embeddings": [(50, [1.0, 2.0], 1)], "pages": [(1, "http://h/", "<main>text</main>")]}
