@@ -158,3 +158,11 @@ def test_alignment_columns(spark):
     df = spark.createDataFrame([("摘，桂花 x1", "斋桂x"), (None, "a"), ("b。", None), ("", "")], "r string, h string")
     got = df.select(A.aligned(A.bare(F.col("r")), A.bare(F.col("h"))).alias("x")).collect()
     assert [(r.x.distance, r.x.lost) for r in got] == [(3, ["花", "1"]), (1, []), (1, ["b"]), (0, [])]
+
+
+def test_number_columns_equal_plain_readings(spark):
+    rng = random.Random(9)
+    numbers = [0, -1, 10, 19, 110, 1010, 10**16 - 1, 10**16, -(2**63), 2**63 - 1, 20010000, 100001, 10**12 + 1, 5 * 10**8]
+    numbers += [rng.choice([1, -1]) * rng.randrange(10 ** rng.randint(1, 18)) for _ in range(800)] + [10**k + d for k in range(1, 17) for d in (-1, 0, 1, 10, 1000)]
+    df = spark.createDataFrame([(n,) for n in [*numbers, None]], "n long").select("n", Z.read_numbers(F.col("n")).alias("said"))
+    assert all(r.said == (None if r.n is None else Z.cardinal(r.n)) for r in df.collect())
