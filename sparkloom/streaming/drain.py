@@ -63,7 +63,8 @@ def _dealt(rows: DataFrame, by: str, folder: str, start: Callable[[DataFrame], S
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     found = [x.getPath() for x in fs.listStatus(hadoop.Path(f"{folder}/staged")) if x.isDirectory()]
-    fs.mkdirs(hadoop.Path(f"{folder}/source"))
+    for name in ("source", "rows"):  # without deliveries both stay empty
+        fs.mkdirs(hadoop.Path(f"{folder}/{name}"))
     with rocks_state(spark):
         query = start(spark.readStream.schema(rows.drop(by).schema).parquet(f"{folder}/source/*"))
     try:

@@ -130,3 +130,8 @@ def test_chunks_and_memory_over_batches(spark):
     got = delivered(table, "delivery", lambda s: P.stream_chunks(s, idle_ms=None)).orderBy("reply", "chunk_index").collect()
     assert {k: [r.chunk for r in got if r.reply == k] for k in want} == want
     assert [(r.reply, r.is_final) for r in got if r.is_final] == [(k, True) for k in sorted(want)]
+
+
+def test_no_deliveries(spark):
+    none = spark.createDataFrame([], "session string, seq long, samples array<double>, delivery int")
+    assert delivered(none, "delivery", lambda s: B.stream_blocks(s, 16, idle_ms=None)).count() == 0
