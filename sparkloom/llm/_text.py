@@ -34,7 +34,7 @@ def powers(base: int, n: int) -> np.ndarray:
 _POWERS = powers(0xD1342543DE82EF95, 64)
 
 
-def chunks(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts in UTF-8) of runs of about ``most`` bytes; one text may be longer. Null is empty."""
     held, first, size = [], 0, 0
     for i, t in enumerate(texts):

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = 1 << 60
 SHORT = 48
-#: The cache holds so many pieces at most, each of at most KEPT characters, so some 100 MB at worst.
-CACHED, KEPT = 300_000, 64
+#: The cache holds so many pieces at most, each of at most KEPT characters, so some 40 MB at worst.
+CACHED, KEPT = 120_000, 64
 
 
 def byte_chars() -> dict[str, int]:

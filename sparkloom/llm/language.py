@@ -54,7 +54,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([two, three]), np.concatenate([owner[:-1][same2], owner[:-2][same3]]), count
 
 
-def _parts(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts: list, most: int = 400_000) -> Iterator[tuple[int, int]]:
     first = size = 0
     for i, t in enumerate(texts):
         if i > first and size + len(t or "") > most:
