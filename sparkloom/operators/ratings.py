@@ -109,9 +109,17 @@ def agreement_pairs(ratings: DataFrame, rater: str, item: str, value: str, order
     for each block of raters, never once for each other rater of its item; a hot item is one column, a hot rater's items lie in all parts. The result
     has a row a pair, which is its definition. Ratings without a rater, item or value don't count.
     """
+    return _pairs(written(_last(ratings, rater, item, value, order)), least, raters, ratings_a_part)
+
+
+def _last(ratings: DataFrame, rater: str, item: str, value: str, order: list[str]) -> DataFrame:
+    """(rater, item, v): a rater's last value of each item."""
     given = ratings.filter(F.col(value).isNotNull() & F.col(item).isNotNull() & F.col(rater).isNotNull())
-    last = given.groupBy(F.col(rater).alias("rater"), F.col(item).alias("item")).agg(F.max_by(value, F.struct(*order)).cast("double").alias("v"))
-    last = written(last)
+    return given.groupBy(F.col(rater).alias("rater"), F.col(item).alias("item")).agg(F.max_by(value, F.struct(*order)).cast("double").alias("v"))
+
+
+def _pairs(last: DataFrame, least: int, raters: int, ratings_a_part: int) -> DataFrame:
+    """``agreement_pairs`` of written last values."""
     n_ratings, n_raters = last.agg(F.count(F.lit(1)), F.approx_count_distinct("rater")).first()
     blocks, parts = -(-n_raters // raters) or 1, -(-n_ratings // ratings_a_part) or 1
     dealt = last.withColumn("block", F.pmod(F.xxhash64("rater"), F.lit(blocks)).cast("int")).withColumn("part", F.pmod(F.xxhash64("item", F.lit(1)), F.lit(parts)).cast("int"))
@@ -149,3 +157,47 @@ def agreement_pairs(ratings: DataFrame, rater: str, item: str, value: str, order
         .filter((n >= least) & (vx > 1e-9) & (vy > 1e-9))
         .select("left_rater", "right_rater", n.cast("long").alias("n_shared"), ((n * sxy - sx * sy) / F.sqrt(vx * vy)).alias("r"))
     )
+
+
+#: With at most so many items raters are summed by the items they rated, without pairs: a rater has a row for each of at most 42 sets of 3 items or more.
+FEW_ITEMS = 6
+
+
+def mean_agreement(ratings: DataFrame, rater: str, item: str, value: str, order: list[str], least: int = 3, few: int = FEW_ITEMS) -> DataFrame:
+    """One row: n_pairs and agreement, the number and mean of the correlations of ``agreement_pairs``.
+
+    A correlation over a set of shared items is the product of two unit vectors, each a rater's values of the set less their mean. So the sum over the
+    pairs of two groups of raters is the product of the groups' summed vectors, and raters are grouped by the items they rated: the work grows with
+    the ratings, not with the pairs. Beyond ``few`` items the pairs are made, which is quadratic in the raters.
+    """
+    last = written(_last(ratings, rater, item, value, order))
+    found = last.select("item").distinct().limit(few + 1).orderBy("item")
+    names = [row["item"] for row in found.collect()]  # at most few + 1 values
+    if len(names) > few:
+        return _pairs(last, least, RATERS, RATINGS).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("r").alias("agreement"))
+    sets = [m for m in range(1 << len(names)) if m.bit_count() >= max(1, least)]
+    if not sets:
+        return last.limit(0).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("v").alias("agreement"))
+    slots = range(len(names))
+    values = last.groupBy("rater").agg(*[F.max(F.when(F.col("item") == F.lit(names[i]), F.col("v"))).alias(f"v{i}") for i in slots])
+    rated = sum((F.when(F.col(f"v{i}").isNotNull(), 1 << i).otherwise(0) for i in slots), F.lit(0))
+
+    def unit(shared: int) -> Column:
+        """The rater's vector over a set of items, null if it lacks one of them or has no variance."""
+        inside = [i for i in slots if shared >> i & 1]
+        n, v = len(inside), [F.col(f"v{i}") for i in inside]
+        spread = n * sum(x * x for x in v) - sum(v) * sum(v)
+        z = [(F.col(f"v{i}") - sum(v) / n) / F.sqrt(spread / n) if i in inside else F.lit(0.0) for i in slots]
+        return F.when(spread > 1e-9, F.struct(F.lit(shared).alias("shared"), *[x.alias(f"z{i}") for i, x in enumerate(z)]))
+
+    x = values.select(rated.alias("rated"), F.explode(F.array_compact(F.array(*[unit(m) for m in sets]))).alias("u")).select("rated", "u.*")
+    square = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in slots), F.lit(0.0))
+    groups = x.groupBy("shared", "rated").agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("own"), *[F.sum(f"z{i}").alias(f"z{i}") for i in slots])
+    one, two = (groups.select("shared", *[F.col(c).alias(f"{s}_{c}") for c in groups.columns if c != "shared"]) for s in ("a", "b"))
+    both = one.join(two, "shared").filter((F.col("a_rated") <= F.col("b_rated")) & (F.col("a_rated").bitwiseAND(F.col("b_rated")) == F.col("shared")))
+    product = sum((F.col(f"a_z{i}") * F.col(f"b_z{i}") for i in slots), F.lit(0.0))
+    alike = F.col("a_rated") == F.col("b_rated")
+    n = F.when(alike, F.call_function("div", F.col("a_n") * (F.col("a_n") - 1), F.lit(2))).otherwise(F.col("a_n") * F.col("b_n"))
+    total = F.when(alike, (product - F.col("a_own")) / 2).otherwise(product)
+    sums = both.select(n.alias("n"), total.alias("r")).filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_pairs"), F.sum("r").alias("r"))
+    return sums.select("n_pairs", (F.col("r") / F.col("n_pairs")).alias("agreement"))

@@ -39,8 +39,8 @@ ORACLE["q_orphan_ratings"] = """
 SELECT count(*) AS n_ratings, count(*) FILTER (WHERE k.doc_id IS NULL) AS n_orphans, count(DISTINCT l.doc_id % 7) AS n_raters
 FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') k ON l.doc_id = k.doc_id"""
 
-QUERIES["q_rater_agreement"] = lambda spark, d: R.agreement_pairs(table(spark, d, "events"), "user_id", "event_type", "value", ["ts", "event_id"]).agg(
-    F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("r"), 6).alias("agreement")
+QUERIES["q_rater_agreement"] = lambda spark, d: R.mean_agreement(table(spark, d, "events"), "user_id", "event_type", "value", ["ts", "event_id"]).select(
+    "n_pairs", F.round("agreement", 6).alias("agreement")
 )
 ORACLE["q_rater_agreement"] = """
 WITH last AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),

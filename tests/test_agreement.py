@@ -41,3 +41,18 @@ def test_agreement_by_blocks(spark, raters, part):
 
 def test_agreement_of_nobody(spark):
     assert R.agreement_pairs(spark.createDataFrame([], "rater long, item long, value double"), "rater", "item", "value", ["item"]).count() == 0
+
+
+def test_mean_agreement_makes_no_pairs(spark):
+    """Few items: as many raters as would make two billion pairs, and the same mean as by pairs on a small table."""
+    rng = random.Random(3)
+    rows = [(rng.choice([*range(40), None]), rng.choice(["a", "b", "c", "d", "e", None]), rng.choice([1.0, 2.0, 3.0, 4.5, None]), t) for t in range(260)]
+    table = spark.createDataFrame(rows, "rater int, item string, value double, at int")
+    want = list(plain(rows, 3).values())
+    for few in (6, 2):  # summed by sets of items; by pairs
+        got = R.mean_agreement(table, "rater", "item", "value", ["at"], few=few).first()
+        assert got.n_pairs == len(want) and abs(got.agreement - sum(r for _, r in want) / len(want)) < 1e-9
+    many = spark.range(65536).selectExpr("id AS rater", "explode(array(0, 1, 2)) AS item").selectExpr("rater", "item", "double(item) AS value")
+    got = R.mean_agreement(many, "rater", "item", "value", ["item"]).first()
+    assert got.n_pairs == 65536 * 65535 // 2 and abs(got.agreement - 1) < 1e-9
+    assert R.mean_agreement(many.limit(0), "rater", "item", "value", ["item"]).first().n_pairs == 0
