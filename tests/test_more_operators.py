@@ -214,3 +214,22 @@ def test_selection_equals_brute_force(spark, first):
     for r in D.select(spark.createDataFrame(asks, "query_id int, query string, style string"), spark.createDataFrame(rows, "pos int, user string, character string, style string"), 5, first).collect():
         got.setdefault(r.query_id, []).append(r.pos)
     assert {q: sorted(p) for q, p in got.items()} == {q: plain_select(text, style, rows, 5) for q, text, style in asks}
+
+
+def test_selection_takes_one_pass_a_turn(spark):
+    """Rows whose best are alike: a charge makes later choices fall below many others, for which the whole pool used to come to one task."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(3, 30)))
+    rows = [(i, word(), word(), "s") for i in range(300)]
+    asks = [(1, "abcdabddcab", "s"), (2, "a", None), (3, "zz", "s"), (4, "dcba", None)]
+    pool, queries = spark.createDataFrame(rows, "pos int, user string, character string, style string"), spark.createDataFrame(asks, "query_id int, query string, style string")
+    got, alone = {}, {}
+    for r in D.select(queries, pool, 6, 7).collect():
+        got.setdefault(r.query_id, []).append(r.pos)
+    assert {q: sorted(p) for q, p in got.items()} == {q: plain_select(text, style, rows, 6) for q, text, style in asks}
+    top = D.top_k(queries, pool, 5).collect()
+    every = D.scores(queries, pool).collect()
+    for r in every:
+        alone.setdefault(r.query_id, []).append((-round(r.score, 9), r.pos))
+    assert {(r.query_id, r["rank"], r.pos) for r in top} == {(q, k + 1, pos) for q, x in alone.items() for k, (_, pos) in enumerate(sorted(x)[:5])}
+    assert not any("Exchange hash" in x for x in D.scores(queries, pool)._jdf.queryExecution().executedPlan().toString().split("\n") if "pos" in x)  # no row of the pool is shuffled
