@@ -7,9 +7,10 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Ends and pauses of sentences, closers that stay with them, and openers that no cut may strand.
 STRONG, SOFT, CLOSERS = "。！？!?…", "，、；：,;:", "”’）》」』\"')"
@@ -126,12 +127,22 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("speech_chunks", SpeechChunks)
 
 
+#: So many texts of an Arrow batch are Python strings at once.
+STRETCH = 256
+
+
 def chunked(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chunk_index, chunk, is_final) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(k, i, p, i == len(parts) - 1) for k, t in zip(b[key], b[text], strict=True) for parts in [split(t or "")] for i, p in enumerate(parts)]
-            yield pd.DataFrame(out, columns=[key, "chunk_index", "chunk", "is_final"])
+    kind = to_arrow_type(rows.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, STRETCH):
+                part = batch.slice(first, STRETCH)
+                found = [(k, i, p, i == len(parts) - 1) for k, t in zip(part[key].to_pylist(), part[text].to_pylist(), strict=True) for parts in [split(t or "")] for i, p in enumerate(parts)]
+                columns = zip(*found, strict=True) if found else ((), (), (), ())
+                arrays = [pa.array(list(x), t) for x, t in zip(columns, (kind, pa.int32(), pa.string(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, "chunk_index", "chunk", "is_final"])
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, chunk_index int, chunk string, is_final boolean")
+    return rows.select(key, text).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, chunk_index int, chunk string, is_final boolean")
