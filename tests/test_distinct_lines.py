@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from sparkloom.functions.text import bigrams
 from sparkloom.operators import dialogue as D
 
 
@@ -39,3 +42,20 @@ def test_distinct_lines_equal_a_plain_walk(spark):
         assert sorted((str(r.g), r["at"]) for r in D.distinct_lines(table, "g", "at", "text").collect()) == plain(rows)
     assert sorted((str(r.g), r["at"]) for r in D.distinct_lines(table, "g", "at", "text", 3).collect()) == plain(rows, 3)
     assert D.distinct_lines(table.limit(0), "g", "at", "text").count() == 0
+
+
+def test_large_groups_meet_in_packs_without_a_shuffle_of_pairs(spark):
+    for seed, group, size in ((1, 0, 7), (2, 64, 16), (1, 0, 1000)):
+        table = spark.createDataFrame(lines(seed), "g string, at int, text string")
+        assert sorted((str(r.g), r["at"]) for r in D.distinct_lines(table, "g", "at", "text", group=group, size=size).collect()) == plain(lines(seed))
+
+
+def test_grams_keep_their_codes_and_digests(spark):
+    texts = ["a", "ab", "ba ab", "\U0001f600x", "\U0001f600", "重庆火锅", "a\0b"]
+    table = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "g int, at int, text string")
+    got = {r["pos"]: r for r in D._lines(table, "g", "at", "text").collect()}
+    want = table.select("at", F.array_sort(bigrams(F.col("text"))).alias("grams"), F.md5(F.array_join(F.array_sort(bigrams(F.col("text"))), "\0")).alias("digest")).collect()
+    for r in want:
+        codes = D._unblob(bytes(got[r["at"]].grams), got[r["at"]].n)
+        assert [chr(c >> 21 & 0x1FFFFF) * (c >> 42 == 2) + chr(c & 0x1FFFFF) if c >> 42 == 2 else chr(c >> 21 & 0x1FFFFF) for c in codes.tolist()] == r["grams"]
+        assert got[r["at"]].digest == r["digest"]
