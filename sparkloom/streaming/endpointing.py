@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import astuple, dataclass, replace
+from collections.abc import Iterable, Iterator
+from dataclasses import astuple, dataclass, fields, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +43,7 @@ class State:
 
 
 SCHEMA = "floor double, voiced int, silent int, over int, speaking boolean, ring int, kept int, next_seq long"
+NAMES = [f.name for f in fields(State)]
 
 
 def step(s: State, level: float, character_speaks: bool, rules: Rules) -> tuple[State, list[tuple[str, int]]]:
@@ -84,9 +85,10 @@ def flush(s: State, rules: Rules) -> tuple[State, list[tuple[str, int]]]:
     return ended, [("speech_end", s.kept)] if s.kept * rules.frame_ms >= rules.least_ms else []
 
 
-def _walk(state: State, frames: pd.DataFrame, rules: Rules) -> tuple[State, list[tuple[int, str, int]]]:
+def _walk(state: State, frames: Iterable[tuple], rules: Rules) -> tuple[State, list[tuple[int, str, int]]]:
+    """Over (seq, level, speaking) in order of seq."""
     out: list[tuple[int, str, int]] = []
-    for seq, level, speaks in frames.sort_values("seq")[["seq", "level", "speaking"]].itertuples(index=False):
+    for seq, level, speaks in frames:
         if seq < state.next_seq:
             continue  # a frame that came too late or twice
         state, events = step(state, float(level), bool(speaks), rules)
@@ -101,7 +103,7 @@ def endpoints(frames: DataFrame, rules: Rules = Rules(), end: bool = True) -> Da
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        state, out = _walk(State(), g, rules)
+        state, out = _walk(State(), g.sort_values("seq")[["seq", "level", "speaking"]].itertuples(index=False, name=None), rules)
         if end:
             out += [(state.next_seq - 1, e, n) for e, n in flush(state, rules)[1]]
         return pd.DataFrame([(g["session"].iloc[0], *x) for x in out], columns=["session", "seq", "event", "frames"])
@@ -109,7 +111,7 @@ def endpoints(frames: DataFrame, rules: Rules = Rules(), end: bool = True) -> Da
     return frames.select("session", "seq", "level", "speaking").groupBy("session").applyInPandas(run, EVENTS)
 
 
-def _in_order(waiting: dict[int, tuple], next_seq: int, late: int) -> pd.DataFrame:
+def _in_order(waiting: dict[int, tuple], next_seq: int, late: int) -> list[tuple]:
     """Takes from ``waiting`` the frames that can be walked: the next one by seq, or one whose gap before it is ``late`` frames old."""
     ready = []
     newest = max(waiting, default=0)
@@ -118,14 +120,14 @@ def _in_order(waiting: dict[int, tuple], next_seq: int, late: int) -> pd.DataFra
             break
         ready.append((seq, *waiting.pop(seq)[:2]))
         next_seq = max(next_seq, seq + 1)
-    return pd.DataFrame(ready, columns=["seq", "level", "speaking"])
+    return ready
 
 
 class Endpointer(StatefulProcessor):
     """The walk over one session's frames, delivery by delivery.
 
-    State: where the walk stands (one value), and the frames that wait for others (a map by seq). Frames are let go in order of seq. A gap is waited
-    for until a frame ``late`` places after it has come, or, in event time, until the watermark has passed the frame behind it. A session that has
+    State: where the walk stands (one value), and the frames that wait for others (a second one, as every access to a state is a call to the executor:
+    frames of a delivery are read and written at once). Frames are let go in order of seq. A gap is waited for until a frame ``late`` places after it has come, or, in event time, until the watermark has passed the frame behind it. A session that has
     been idle for ``idle_ms`` walks what waits, is flushed, and its state goes.
     """
 
@@ -137,13 +139,14 @@ class Endpointer(StatefulProcessor):
         # a timer ends a session; frames that a timer could no longer reach go by themselves
         live = 4 * self.idle_ms if self.idle_ms and not self.event_time else None
         self.walked = handle.getValueState("walked", f"{SCHEMA}, last long, timer long")
-        self.waiting = handle.getMapState("waiting", "seq long", "level double, speaking boolean, at long", live)
+        self.waiting = handle.getValueState("waiting", "seq array<long>, level array<double>, speaking array<boolean>, at array<long>", live)
 
     def _known(self) -> tuple[State, int, int, dict[int, tuple]]:
-        *plain, last, timer = self.walked.get() if self.walked.exists() else (*astuple(State()), -1, -1)
-        return State(*plain), last, timer, {int(k[0]): tuple(v) for k, v in self.waiting.iterator()}
+        *plain, last, timer = self.walked.get() or (*astuple(State()), -1, -1)
+        seq, *rest = self.waiting.get() or ([], [], [], [])
+        return State(*plain), last, timer, dict(zip(seq, zip(*rest, strict=True), strict=True))
 
-    def _let_go(self, waiting: dict[int, tuple], next_seq: int, watermark: int) -> pd.DataFrame:
+    def _let_go(self, waiting: dict[int, tuple], next_seq: int, watermark: int) -> list[tuple]:
         """Takes from ``waiting`` what can be walked."""
         if not self.event_time:
             return _in_order(waiting, next_seq, self.late)
@@ -153,7 +156,7 @@ class Endpointer(StatefulProcessor):
                 break
             ready.append((seq, *waiting.pop(seq)[:2]))
             next_seq = max(next_seq, seq + 1)
-        return pd.DataFrame(ready, columns=["seq", "level", "speaking"])
+        return ready
 
     def _next_timer(self, old: int, waiting: dict[int, tuple], last: int, now: int) -> int:
         """The timer in place of ``old``: when the session is idle, or in event time when the first waiting frame is passed."""
@@ -168,35 +171,36 @@ class Endpointer(StatefulProcessor):
                 self.handle.registerTimer(new)
         return new
 
-    def _keep(self, state: State, last: int, timer: int, before: set[int], waiting: dict[int, tuple]) -> None:
-        for seq in before - set(waiting):
-            self.waiting.removeKey((seq,))
-        for seq in set(waiting) - before:
-            self.waiting.updateValue((seq,), waiting[seq])
-        self.walked.update((*astuple(state), last, timer))
+    def _keep(self, state: State, last: int, timer: int, before: dict[int, tuple], waiting: dict[int, tuple]) -> None:
+        if not waiting and before:
+            self.waiting.clear()
+        elif waiting != before:
+            self.waiting.update((list(waiting), *map(list, zip(*waiting.values(), strict=True))))
+        self.walked.update((*[getattr(state, f) for f in NAMES], last, timer))
 
-    def _events(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in out], columns=["session", "seq", "event", "frames"])
+    def _events(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame([(key[0], *x) for x in out], columns=["session", "seq", "event", "frames"])
 
     def _clock(self, times: TimerValues) -> int:
         return times.getCurrentWatermarkInMs() if self.event_time else times.getCurrentProcessingTimeInMs()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         state, last, timer, waiting = self._known()
-        before, now = set(waiting), self._clock(timerValues) if self.idle_ms or self.event_time else 0
+        before, now = dict(waiting), self._clock(timerValues) if self.idle_ms or self.event_time else 0
         for frames in rows:
-            at = (frames["at"].astype("datetime64[ms]").astype("int64") if self.event_time else pd.Series(now, frames.index)).tolist()
+            at = frames["at"].to_numpy().astype("datetime64[ms]").astype("int64").tolist() if self.event_time else [now] * len(frames)
             for seq, level, speaks, t in zip(frames["seq"].tolist(), frames["level"].tolist(), frames["speaking"].tolist(), at, strict=True):
                 last = max(last, t)
                 if seq >= state.next_seq:
                     waiting.setdefault(seq, (level, bool(speaks), t))
         state, out = _walk(state, self._let_go(waiting, state.next_seq, now), self.rules)
         self._keep(state, last, self._next_timer(timer, waiting, last, now), before, waiting)
-        yield self._events(key, out)
+        yield from self._events(key, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         state, last, timer, waiting = self._known()
-        before, now = set(waiting), self._clock(timerValues)
+        before, now = dict(waiting), self._clock(timerValues)
         idle = self.idle_ms is not None and last + self.idle_ms <= now
         ready = _in_order(waiting, state.next_seq, 0) if idle else self._let_go(waiting, state.next_seq, now)
         state, out = _walk(state, ready, self.rules)
@@ -206,7 +210,7 @@ class Endpointer(StatefulProcessor):
             self.walked.clear()
         else:
             self._keep(state, last, self._next_timer(timer, waiting, last, now), before, waiting)
-        yield self._events(key, out)
+        yield from self._events(key, out)
 
     def close(self) -> None:
         pass
