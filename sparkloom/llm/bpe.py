@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +16,10 @@ from pyspark.sql import functions as F
 
 #: The pattern that splits text into pieces before the merges, with white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-NONE = 1 << 60
+NONE = 1 << 29
 SHORT = 48
-#: The cache holds so many pieces at most, each of at most KEPT characters, so some 40 MB at worst.
-CACHED, KEPT = 120_000, 64
+#: The cache holds so many pieces at most, half of them from before, each of at most KEPT characters, so some 50 MB at worst.
+CACHED, KEPT = 200_000, 32
 
 
 def byte_chars() -> dict[str, int]:
@@ -45,20 +47,30 @@ class Codec:
             self.bytes[i] = bytes(byte[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        #: rank of merging two adjacent ids, and the id they become: both in one integer, so that the lowest rank is the lowest value
-        self.merge = {}
+        #: by the left id the ranks of merging it with right ones, and by rank the id that a merge makes
+        none: dict[int, int] = {}
+        self.merge, self.made = [none] * len(self.bytes), []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge.setdefault(vocab[a] << 32 | vocab[b], rank << 32 | vocab[a + b])
+            if self.merge[vocab[a]] is none:
+                self.merge[vocab[a]] = {}
+            self.merge[vocab[a]].setdefault(vocab[b], rank)
+            self.made.append(vocab[a + b])
         codec = self
 
         class Cache(dict):
+            """Ids by piece. When half of CACHED are held they become the old ones, of which those that are met again are taken over."""
+
+            old: dict[str, bytes] = {}
+
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHED:
-                    self.clear()
-                ids = codec.piece(piece.encode())
-                out = np.array(ids, "<u4").tobytes()
+                out = self.old.get(piece)
+                if out is None:
+                    out = array("I", codec.piece(piece.encode())).tobytes()
                 if len(piece) <= KEPT:
+                    if len(self) >= CACHED // 2:
+                        self.old = dict(self)
+                        self.clear()
                     self[piece] = out
                 return out
 
@@ -70,51 +82,48 @@ class Codec:
         ids = [self.single[b] for b in raw]
         if len(ids) > SHORT:
             return self._long(ids)
-        merge = self.merge.get
-        ranks = [merge(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            low = min(ranks)
-            if low == NONE:
-                break
+        merge, made = self.merge, self.made
+        ranks = [merge[a].get(b, NONE) for a, b in pairwise(ids)]
+        while ranks and (low := min(ranks)) != NONE:
             i = ranks.index(low)
-            ids[i] = low & 0xFFFFFFFF
+            ids[i] = one = made[low]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = merge(ids[i - 1] << 32 | ids[i], NONE)
+                ranks[i - 1] = merge[ids[i - 1]].get(one, NONE)
             if i < len(ranks):
-                ranks[i] = merge(ids[i] << 32 | ids[i + 1], NONE)
+                ranks[i] = merge[one].get(ids[i + 1], NONE)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same for long pieces, with a heap of ranks, as scanning would take the square of the length."""
-        n, merge = len(ids), self.merge.get
+        n, merge, made = len(ids), self.merge, self.made
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := merge(ids[i] << 32 | ids[i + 1], NONE)) != NONE]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := merge[ids[i]].get(ids[i + 1], NONE)) != NONE]
         heapq.heapify(heap)
         while heap:
             low, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = low & 0xFFFFFFFF, -1
+            ids[i], ids[j] = made[low], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (r := merge(ids[left] << 32 | ids[right], NONE)) != NONE:
+                if left >= 0 and right >= 0 and (r := merge[ids[left]].get(ids[right], NONE)) != NONE:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         get, pieces = self.cache.__getitem__, self.pieces.findall
-        if self.split is None or not self.split.search(text):
+        if not any(x in text for x in self.special):
             return b"".join(map(get, pieces(text)))
         return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else b"".join(map(get, pieces(x))) for x in self.split.split(text))
 
     def decode(self, ids: bytes) -> str:
         """The text of such ids; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
 _codecs: dict[int, Codec] = {}

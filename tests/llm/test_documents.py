@@ -363,3 +363,17 @@ def test_html_counts_are_of_the_whole_host(spark):
         assert len(got) == 250 and all(r.text == f"own{r.page_id} words of page number {r.page_id} and nothing{r.page_id} that any other page says" for r in got), group
     four = html_text.extract(pages.filter("page_id IN (0, 40, 1)"), group_chars=1).collect()  # two texts have the line, on four rows
     assert sum(line in r.text for r in four) == 4
+
+
+def test_old_pieces_of_the_cache_are_taken_over(monkeypatch):
+    codec = bpe.Codec(bpe._texts(queries.vocabulary()))
+    words = [f" {a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    want = [codec.encode(w) for w in words]
+    monkeypatch.setattr(bpe, "CACHED", 20)
+    small, computed = bpe.Codec(bpe._texts(queries.vocabulary())), []
+    plain = small.piece
+    small.piece = lambda raw: computed.append(raw) or plain(raw)
+    for i, w in enumerate(words):
+        assert small.encode(" often") + small.encode(w) == codec.encode(" often") + want[i]
+        assert len(small.cache) + len(small.cache.old) <= 20
+    assert computed.count(b" often") == 1  # a cache that is emptied when full computes it anew
