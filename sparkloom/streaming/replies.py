@@ -28,8 +28,10 @@ def stream_chunks(deltas: DataFrame, idle_ms: int | None = 600_000) -> DataFrame
         buffer, emitted, waiting = held.get if held.exists else ("", 0, "")
         out, ended = [], False
         if held.hasTimedOut:
-            parts = iter([pd.DataFrame({"seq": [0], "delta": [""], "last": [True]})])
-        for delta, last in pd.concat(list(parts)).sort_values("seq")[["delta", "last"]].itertuples(index=False):
+            rows = [(0, "", True)]
+        else:
+            rows = sorted((x for p in parts for x in zip(p["seq"].tolist(), p["delta"].tolist(), p["last"].tolist(), strict=True)), key=lambda x: x[0])
+        for _, delta, last in rows:
             new, buffer = take(buffer + (delta or ""), emitted)
             if last:
                 new, buffer, ended = new + rest(buffer, emitted + len(new)), "", True
@@ -45,7 +47,8 @@ def stream_chunks(deltas: DataFrame, idle_ms: int | None = 600_000) -> DataFrame
             held.update((buffer, emitted, waiting))
             if idle_ms:
                 held.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["reply", "chunk_index", "chunk", "is_final"])
+        if out:
+            yield pd.DataFrame(out, columns=["reply", "chunk_index", "chunk", "is_final"])
 
     return deltas.groupBy("reply").applyInPandasWithState(run, CHUNKS, "buffer string, emitted int, waiting string", "append", _timeout(idle_ms))
 

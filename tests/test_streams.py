@@ -135,3 +135,16 @@ def test_chunks_and_memory_over_batches(spark):
 def test_no_deliveries(spark):
     none = spark.createDataFrame([], "session string, seq long, samples array<double>, delivery int")
     assert delivered(none, "delivery", lambda s: B.stream_blocks(s, 16, idle_ms=None)).count() == 0
+
+
+def test_state_is_kept_in_no_more_parts_than_cores(spark):
+    name, log = "spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    own = spark.conf.get(name)
+    spark.conf.set(name, "50")
+    try:
+        with rocks_state(spark):
+            assert int(spark.conf.get(name)) == spark.sparkContext.defaultParallelism < 50
+            assert spark.conf.get(log) == "true"
+        assert spark.conf.get(name) == "50"
+    finally:
+        spark.conf.set(name, own)
