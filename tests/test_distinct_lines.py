@@ -59,3 +59,9 @@ def test_grams_keep_their_codes_and_digests(spark):
         codes = D._unblob(bytes(got[r["at"]].grams), got[r["at"]].n)
         assert [chr(c >> 21 & 0x1FFFFF) * (c >> 42 == 2) + chr(c & 0x1FFFFF) if c >> 42 == 2 else chr(c >> 21 & 0x1FFFFF) for c in codes.tolist()] == r["grams"]
         assert got[r["at"]].digest == r["digest"]
+
+
+def test_small_groups_are_walked_without_packs(spark, monkeypatch):
+    monkeypatch.setattr(D, "_distinct_sets", None)
+    table = spark.createDataFrame(lines(2), "g string, at int, text string")
+    assert sorted((str(r.g), r["at"]) for r in D.distinct_lines(table, "g", "at", "text").collect()) == plain(lines(2))
