@@ -1,4 +1,4 @@
-"""Main text of web pages: the blocks of the article, and on pages without one a suffix array per host against repeated boilerplate."""
+"""Main text of web pages: suffix arrays per host find what its pages repeat outside their articles, and the elements of a page check it."""
 
 from __future__ import annotations
 
@@ -43,6 +43,8 @@ PARTS = set("area bar block bottom box container form inner item items left link
 #: First words that make a name a state of its element (has-sidebar, no-ads), not what it is.
 STATES = set("above after before below disable enable has hide is no non not post pre show toggle under with without".split())
 ROLES = set("alert banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+#: A text counts as so many characters more, so that a group has no more than hundreds of short ones.
+LEAST_CHARS = 1000
 #: So many hosts (some MB) are broadcast.
 SMALL = 100_000
 TAG = re.compile(
@@ -133,8 +135,15 @@ class Page:
 
 
 def blocks(page: str) -> tuple[list[str], bool]:
-    """The text blocks of ``page`` in order, without furniture, and whether they are those of article or main elements. These are taken if they hold at
-    least half of the text that isn't furniture; else the blocks of the whole body are. White space inside a block is one space.
+    """The text blocks of ``page`` in order, without furniture, and whether they are those of article or main elements (see ``parts``)."""
+    main, _, found = parts(page)
+    return main, found
+
+
+def parts(page: str) -> tuple[list[str], list[str], bool]:
+    """The text blocks of ``page`` in order, without furniture; the other blocks that a reader sees; whether the first are those of article or main
+    elements. These are taken if they hold at least half of the text that isn't furniture; else the blocks of the whole body are. White space inside a
+    block is one space.
 
     Furniture are the elements of SKIP, forms, labels in forms, headers outside articles, hidden elements and those whose class, id or role says so (see MARKS).
     A form, a header and an element marked by names stay where they hold an article or main element, or, on a page without one, two thirds of its text: then
@@ -145,8 +154,9 @@ def blocks(page: str) -> tuple[list[str], bool]:
     n = len(p.name)
     says, hidden, is_main = zip(*(_marks(r) if r else ("", False, False) for r in p.rest), strict=True)
     gone = [False] * n  # furniture in any case
-    in_form, in_link = [False] * n, [False] * n
+    in_form, in_link, unseen = [False] * n, [False] * n, [False] * n
     for i in range(1, n):
+        unseen[i] = unseen[p.up[i]] or hidden[i] or p.name[i] == "head"
         in_form[i] = in_form[p.up[i]] or p.name[i] == "form"
         in_link[i] = in_link[p.up[i]] or p.name[i] == "a"
         gone[i] = gone[p.up[i]] or p.name[i] in SKIP or hidden[i] or (p.name[i] in ("label", "fieldset") and in_form[i])
@@ -177,21 +187,26 @@ def blocks(page: str) -> tuple[list[str], bool]:
         size = of(sizes, i)
         frame = before[until[i]] > before[i] or not any_wanted and (3 * size >= 2 * sizes[-1] if marked != "comments" else size == sizes[-1])
         gone[i] = not frame
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, bool]] = []
     words: list[str] = []
+    furniture: list[str] = []
     where = False
     for s, e in [*zip(p.piece, p.of, strict=True), (None, 0)]:
         if s is None:
-            text = " ".join(html.unescape("".join(words)).split())
-            words.clear()
-            if text:
-                out.append((text, where))
+            for held, within, stays in ((words, where, True), (furniture, False, False)):
+                text = " ".join(html.unescape("".join(held)).split())
+                held.clear()
+                if text:
+                    out.append((text, within, stays))
         elif not gone[e]:
             words.append(s)
             where = inside[e]
-    within = sum(len(t) for t, i in out if i)
-    found = 0 < within and 2 * within >= sum(len(t) for t, _ in out)
-    return [t for t, i in out if i or not found], found
+        elif not unseen[e]:
+            furniture.append(s)
+    size = sum(len(t) for t, i, _ in out if i)
+    found = 0 < size and 2 * size >= sum(len(t) for t, _, stays in out if stays)
+    wanted = [(t, i if found else stays) for t, i, stays in out]
+    return [t for t, w in wanted if w], [t for t, w in wanted if not w], found
 
 
 def suffixes(flat: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,26 +233,36 @@ def suffixes(flat: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return array, shared
 
 
-def shared(pages: list[int], streams: list[list[str]], length: int) -> list[np.ndarray]:
-    """For each token of each stream, on how many distinct ``pages`` the run of ``length`` tokens that begins there stands.
+def runs_of(streams: list[list[str]], length: int) -> tuple[np.ndarray, list[int]]:
+    """A number for each token of the concatenated ``streams``, alike where runs of the same ``length`` tokens begin, and where streams end.
 
-    The streams are concatenated, each followed by an end of its own. In the suffix array, suffixes that begin with the same run are neighbours, each
-    sharing ``length`` tokens or more with the one before.
+    Each stream is followed by an end of its own. In the suffix array, suffixes that begin with the same run are neighbours, each sharing ``length`` tokens
+    or more with the one before.
     """
     ids: dict[str, int] = {}
-    flat, page, ends = [], [], [0]
-    for p, tokens in zip(pages, streams, strict=True):
+    flat, ends = [], [0]
+    for tokens in streams:
         flat += [ids.setdefault(t, len(ids)) for t in tokens] + [-len(ends)]
-        page += [p] * (len(tokens) + 1)
         ends.append(len(flat))
     array, common = suffixes(np.array(flat, np.int64), 1 << max(0, length - 1).bit_length())
-    run = np.cumsum(common < length) - 1
-    pair = np.unique(np.stack([run, np.array(page, np.int64)[array]], axis=1), axis=0)
-    seen = np.zeros(len(flat), np.int64)
-    seen[array] = np.bincount(pair[:, 0], minlength=len(flat))[run]
+    run = np.zeros(len(flat), np.int64)
+    run[array] = np.cumsum(common < length) - 1
+    return run, ends
+
+
+def on_pages(run: np.ndarray, ends: list[int], pages: list[int]) -> list[np.ndarray]:
+    """For each token of each stream, on how many distinct ``pages`` its run (see ``runs_of``) stands; the streams of page -1 aren't counted."""
+    page = np.repeat(np.array(pages, np.int64), np.diff(ends))
+    pair = np.unique(np.stack([run, page], axis=1)[page >= 0], axis=0)
+    seen = np.bincount(pair[:, 0], minlength=int(run.max(initial=-1)) + 1)[run]
     return [seen[a : b - 1] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def shared(pages: list[int], streams: list[list[str]], length: int) -> list[np.ndarray]:
+    """For each token of each stream, on how many distinct ``pages`` the run of ``length`` tokens that begins there stands."""
+    return on_pages(*runs_of(streams, length), pages)
+
+
 def _cover(runs: np.ndarray, tokens: int, length: int) -> np.ndarray:
     """For each of ``tokens`` tokens the largest of ``runs`` (by first token) that covers it."""
     out = np.zeros(tokens, runs.dtype)
@@ -272,26 +297,29 @@ def _split(text: str) -> list[list[str]]:
     return [b.split() for b in text.split("\n\n")]
 
 
-def _without(text: str, runs: pd.Series, length: int) -> str:
-    """``text`` without the boilerplate blocks, by the runs whose digests are in ``runs``."""
+def _gone(text: str, runs: pd.Series, length: int) -> list[int]:
+    """The places of the boilerplate blocks of ``text``, by the runs whose digests are in ``runs``."""
     page = _split(text)
     tokens = [w for b in page for w in b]
     covered = _cover(np.isin(run_digests([tokens], length)[0], runs), len(tokens), length)
-    gone = boilerplate(covered, [len(b) for b in page])
-    return "\n\n".join(" ".join(b) for b, g in zip(page, gone, strict=True) if not g)
+    return np.flatnonzero(boilerplate(covered, [len(b) for b in page])).tolist()
 
 
-def extract(pages: DataFrame, length: int = 8, group_chars: int = 600_000, few: int = 3, share: float = 0.02) -> DataFrame:
+def extract(pages: DataFrame, length: int = 8, group_chars: int = 600_000, few: int = 3, share: float = 0.02, most: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
-    Where article and main elements hold at least half of a page's text without furniture (see ``blocks``), their text is wanted whole and nothing else is: it is never cut, however many
-    pages have it, and text outside them goes. Of the other pages all blocks of the body become one token stream. What at least ``few`` distinct such texts of a host, and ``share`` of them, have is
-    repeated: a block goes if runs of ``length`` repeated tokens cover it whole and only such blocks stand before it, or after it, on its page. So a passage that texts quote stays,
-    and a page that would lose more than half keeps all: it is a near copy. Copies are one text to the counts.
+    All text that a reader of a host's pages sees outside of articles goes through suffix arrays: of every page its furniture and what stands beside its article, and of a page
+    without one (see ``parts``) the blocks of its body. A run of ``length`` tokens is repeated if it stands in the bodies of at least ``few`` distinct such texts of the host, and
+    of ``share`` of them, or outside the article on at least ``few`` distinct texts of the host, and on ``most`` of all of them.
+
+    What is repeated goes as far as the page's elements agree. Where article and main elements hold at least half of a page's text without furniture, their text is wanted whole
+    and nothing else is: it is never cut, however many pages have it, so it isn't sent to be counted, and text outside them goes, repeated or not. A block of a body goes if runs
+    of repeated tokens cover it whole and only such blocks stand before it, or after it, on its page. So a passage that texts quote stays,
+    and a page that would lose more than half keeps all: it is a near copy. Copies are one text to the counts, with the least of their furniture.
 
     A host's distinct texts are dealt to groups of about ``group_chars`` characters. The suffix array of a group gives the number of its texts by run; these numbers
     are added up by host and run, a map-side aggregate, so that the result doesn't depend on the groups. Runs are known by 64-bit digests; those that are repeated
-    return to the groups that have them. Pages are parsed once.
+    return to the groups whose bodies have them, and the places of the blocks that go return to the pages. Pages are parsed once, and their texts aren't shuffled unless blocks of very many go.
 
     Null, empty and textless pages have an empty text. Null or malformed urls are one host. Repeated rows each get their result. An
     empty table gives none; other columns are ignored.
@@ -301,36 +329,43 @@ def extract(pages: DataFrame, length: int = 8, group_chars: int = 600_000, few:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [blocks(h or "") for h in batch["html"]]
-            yield batch.drop(columns="html").assign(text=["\n\n".join(b) for b, _ in found], inside=[i for _, i in found])
+            main, rest, found = zip(*(parts(h or "") for h in batch["html"]), strict=True) if len(batch) else ((), (), ())
+            yield batch.drop(columns="html").assign(text=["\n\n".join(b) for b in main], rest=["\n\n".join(b) for b in rest], inside=list(found))
 
     def count(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
-        streams = [[w for b in _split(t) for w in b] for t in texts["text"]]
+        streams = [[w for b in _split(t) for w in b] for t in (*texts["body"].fillna(""), *texts["rest"])]
+        n = len(texts)
+        run, ends = runs_of(streams, length)
         digests = run_digests(streams, length)
-        seen = [s[: len(d)] for s, d in zip(shared(list(range(len(streams))), streams, length), digests, strict=True)]
         runs, at = np.unique(np.concatenate(digests), return_index=True)
-        n = np.concatenate(seen)[at]
-        stay = n >= (few if texts["alone"].iloc[0] else 1)  # no other group adds to the numbers of a host's only group
-        return pd.DataFrame({"host": key[0], "part": key[1], "run": runs[stay], "n": n[stay]})
-
-    def clean(key: tuple, texts: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": key[0], "digest": texts["digest"], "text": [_without(t, runs["run"], length) for t in texts["text"]]})
-
-    parsed = store(rows.mapInPandas(parse, "page_id long, url string, host string, text string, inside boolean"), "parsed")
-    result = lambda t: t.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
-    inside = result(parsed.filter("inside"))
-    bare = parsed.filter("not inside").select("page_id", "url", "host", "text", F.md5("text").alias("digest"))
-    if bare.isEmpty():
-        return inside
-    texts = store(bare.select("host", "digest", "text").dropDuplicates(["host", "digest"]), "texts")
-    hosts = store(texts.groupBy("host").agg(F.sum(F.char_length("text") + 1).alias("chars"), F.greatest(F.lit(few), F.ceil(F.count(F.lit(1)) * F.lit(share))).alias("least")), "hosts")
+        number = lambda of: np.concatenate([s[: len(d)] for s, d in zip(on_pages(run, ends, of), digests, strict=True)])[at]
+        bodies, outside = number([*range(n)] + [-1] * n), number([*range(n)] * 2)
+        stay = outside >= (few if texts["alone"].iloc[0] else 1)  # no other group adds to the numbers of a host's only group
+        return pd.DataFrame({"host": key[0], "part": key[1], "run": runs[stay], "bodies": bodies[stay], "outside": outside[stay]})
+
+    def cut(key: tuple, texts: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        gone = [_gone(t, runs["run"], length) for t in texts["body"]]
+        found = [(key[0], d, g) for d, g in zip(texts["digest"], gone, strict=True) if g]
+        return pd.DataFrame(found, columns=["host", "digest", "gone"], dtype=object)
+
+    parsed = store(rows.mapInPandas(parse, "page_id long, url string, host string, text string, rest string, inside boolean"), "parsed").withColumn("digest", F.md5("text"))
+    body = F.when(~F.col("inside"), F.col("text"))
+    texts = store(parsed.groupBy("host", "digest").agg(F.max(body).alias("body"), F.min("rest").alias("rest")), "texts")
+    least = lambda n, part: F.greatest(F.lit(few), F.ceil(n * F.lit(part)))
+    chars = F.sum(F.char_length(F.coalesce("body", F.lit(""))) + F.char_length("rest") + LEAST_CHARS)
+    hosts = store(texts.groupBy("host").agg(chars.alias("chars"), least(F.count("body"), share).alias("least_bodies"), least(F.count(F.lit(1)), most).alias("least_outside")), "hosts")
     large = hosts.filter(F.col("chars") > group_chars).select("host", "chars")
     large = F.broadcast(large) if large.count() <= SMALL else large  # a shuffled join of whole texts only beyond that
-    parts = F.ceil(F.coalesce(F.col("chars"), F.lit(1)) / group_chars)
-    part = F.pmod(F.xxhash64("digest"), parts).cast("int")
-    dealt = texts.join(large, "host", "left").select("host", "digest", "text", part.alias("part"), F.col("chars").isNull().alias("alone"))
-    runs = store(dealt.groupBy("host", "part").applyInPandas(count, "host string, part int, run long, n long"), "runs")
-    common = runs.groupBy("host", "run").agg(F.sum("n").alias("n")).join(hosts.select("host", "least"), "host").filter(F.col("n") >= F.col("least")).hint("rebalance")
-    back = runs.select("host", "part", "run").join(common, ["host", "run"], "left_semi")
-    done = dealt.groupBy("host", "part").cogroup(back.groupBy("host", "part")).applyInPandas(clean, "host string, digest string, text string")
-    return inside.unionByName(result(bare.drop("text").join(done, ["host", "digest"])))
+    groups = F.ceil(F.coalesce(F.col("chars"), F.lit(1)) / group_chars)
+    part = F.pmod(F.xxhash64("digest"), groups).cast("int")
+    dealt = texts.join(large, "host", "left").select("host", "digest", "body", "rest", part.alias("part"), F.col("chars").isNull().alias("alone"))
+    runs = store(dealt.groupBy("host", "part").applyInPandas(count, "host string, part int, run long, bodies long, outside long"), "runs")
+    repeated = (F.col("bodies") >= F.col("least_bodies")) | (F.col("outside") >= F.col("least_outside"))
+    summed = runs.groupBy("host", "run").agg(F.sum("bodies").alias("bodies"), F.sum("outside").alias("outside"))
+    common = summed.join(hosts.select("host", "least_bodies", "least_outside"), "host").filter(repeated).select("host", "run").hint("rebalance")
+    back = runs.filter("bodies > 0").select("host", "part", "run").join(common, ["host", "run"], "left_semi")
+    bare = dealt.filter(F.col("body").isNotNull()).select("host", "part", "digest", "body")
+    gone = store(bare.groupBy("host", "part").cogroup(back.groupBy("host", "part")).applyInPandas(cut, "host string, digest string, gone array<int>"), "gone")
+    kept = F.array_join(F.filter(F.split("text", "\n\n"), lambda b, i: ~F.array_contains("gone", i)), "\n\n")
+    done = parsed.drop("rest").join(gone, ["host", "digest"], "left").withColumn("text", F.when(F.col("gone").isNull() | F.col("inside"), F.col("text")).otherwise(kept))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -137,6 +137,27 @@ def test_quotations_stay_and_edges_go(spark):
     assert got[9].startswith(top) and got[9].endswith(end)
 
 
+def test_parts_hold_all_that_a_reader_sees():
+    page = f'<head><title>T</title></head><nav>Menu</nav><p hidden>no</p><div>beside</div><article>{TEXT}{TEXT}<aside>See <b>too</b></aside></article><script>x</script><footer>&copy; F</footer>'
+    assert html_text.parts(page) == (BLOCKS * 2, ["Menu", "beside", "See too", "\u00a9 F"], True)
+    assert html_text.parts(f"<nav>Menu</nav><div>{TEXT}<button>Go</button> on</div>") == ([*BLOCKS, "on"], ["Menu", "Go"], False)
+
+
+def test_what_pages_with_articles_repeat_goes_from_a_page_without_one(spark):
+    menu, seldom = "Home and news and sport and weather and all the rest of this site", "Read too what stands below these words on some few of the pages"
+    own = lambda i, n: " ".join(f"p{i}w{k}" for k in range(n))
+    quoted = f"<p>{own(99, 12)}</p>"  # every article has it
+    pages = [f"<div>{menu}</div><article><h1>{own(i, 9)}</h1>{quoted}<p>{own(i + 100, 40)} {menu}</p></article>" + f"<aside>{seldom}</aside>" * (i < 4) for i in range(10)]
+    bare = f"<div>{menu}</div>{quoted}<p>{own(50, 60)}</p><p>{seldom}</p>"
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate([*pages, bare, bare])] + [(20, "http://other.example/", bare)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (1, 300, 600_000):
+        got = {r.page_id: r.text for r in html_text.extract(table, group_chars=group).collect()}
+        assert {i: got[i] for i in range(10)} == {i: f"{own(i, 9)}\n\n{own(99, 12)}\n\n{own(i + 100, 40)} {menu}" for i in range(10)}
+        assert got[10] == got[11] == f"{own(99, 12)}\n\n{own(50, 60)}\n\n{seldom}"  # 4 of 11 texts are no half
+        assert got[20] == f"{menu}\n\n{got[10]}"
+
+
 def test_unclosed_elements_take_linear_time():
     import time
 
