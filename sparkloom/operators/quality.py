@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.operators.dialogue import distinct_lines
+from sparkloom.sources.tables import written
 
 ISSUES = "severity string, code string, subject string"
 
@@ -100,15 +101,18 @@ def profile_issues(profile: DataFrame, wanted: DataFrame, styles: DataFrame, pac
 def lint(examples: DataFrame, styles: DataFrame, readings: DataFrame, least: int = 12, per_style: int = 2) -> DataFrame:
     """Findings by profile. ``examples`` has profile, pos, style, character, source; ``styles`` profile, style; ``readings`` profile, word, reading.
 
-    Examples are doubled if they are near-duplicates of an earlier one of their profile, by bigrams.
+    Examples are doubled if they are near-duplicates of an earlier one of their profile, by bigrams. Each rule would read its own columns and so walk
+    the examples again: what several rules read is written once.
     """
     distinct = distinct_lines(examples, "profile", "pos", "character").groupBy("profile").agg(F.count(F.lit(1)).alias("n_distinct"))
-    per = examples.groupBy("profile").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.trim(F.coalesce("source", F.lit(""))) == "").alias("unsourced"), F.count_if(F.col("character").rlike("[A-Za-z]")).alias("latin")
+    counts = examples.groupBy("profile", "style").agg(
+        F.count(F.lit(1)).alias("k"), F.count_if(F.trim(F.coalesce("source", F.lit(""))) == "").alias("unsourced"), F.count_if(F.col("character").rlike("[A-Za-z]")).alias("latin")
     )
-    all_ = styles.select("profile").distinct().join(per, "profile", "left").join(distinct, "profile", "left").fillna(0, ["n", "unsourced", "latin", "n_distinct"])
-    counts = examples.groupBy("profile", "style").agg(F.count(F.lit(1)).alias("k"))
-    declared = styles.join(counts, ["profile", "style"], "left").join(per.select("profile", "n"), "profile").withColumn("k", F.coalesce("k", F.lit(0)))
+    counts = written(counts)
+    per = counts.groupBy("profile").agg(F.sum("k").alias("n"), *[F.sum(x).alias(x) for x in ("unsourced", "latin")])
+    all_ = written(styles.select("profile").distinct().join(per, "profile", "left").join(distinct, "profile", "left").fillna(0, ["n", "unsourced", "latin", "n_distinct"]))
+    declared = styles.join(counts.select("profile", "style", "k"), ["profile", "style"], "left").join(all_.filter("n > 0"), "profile", "left_semi").withColumn("k", F.coalesce("k", F.lit(0)))
+    declared = written(declared.filter(F.col("k") < per_style))
     p, s = F.col("profile"), F.concat_ws("/", "profile", "style")
     return findings(
         rule(all_, "error", "profile.no_examples", F.col("n") == 0, p), rule(all_, "warning", "profile.few_examples", F.col("n").between(1, least - 1), p),

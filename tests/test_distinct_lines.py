@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import bigrams
 from sparkloom.operators import dialogue as D
+from sparkloom.operators.quality import lint
 
 
 def plain(rows, limit=1 << 30):
@@ -65,3 +66,26 @@ def test_small_groups_are_walked_without_packs(spark, monkeypatch):
     monkeypatch.setattr(D, "_distinct_sets", None)
     table = spark.createDataFrame(lines(2), "g string, at int, text string")
     assert sorted((str(r.g), r["at"]) for r in D.distinct_lines(table, "g", "at", "text").collect()) == plain(lines(2))
+
+
+def test_groups_over_batches_and_rows_of_one_place(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for seed in (1, 2):
+            assert sorted((str(r.g), r["at"]) for r in D.distinct_lines(spark.createDataFrame(lines(seed), "g string, at int, text string"), "g", "at", "text").collect()) == plain(lines(seed))
+        near = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxy", "bcdefghijklmnopqrstuvwxy"]
+        tied = spark.createDataFrame([("t", at, x) for at in (1, 2) for x in near] + [("u", 1, "x"), ("u", 2, "\0x"), ("u", 3, "x"), ("u", 4, "")], "g string, at int, text string")
+        large, small = (sorted(map(str, D.distinct_lines(tied, "g", "at", "text", group=n).collect())) for n in (0, 512))
+        assert small == large and len([x for x in small if "'u'" in x]) == 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rules_of_lint_walk_the_lines_once(spark):
+    rows = spark.createDataFrame([("p", 1, "user", "hello there", None), ("p", 2, "user", "hello there", "file"), (None, 1, "x", "one", "")], "profile string, pos int, style string, character string, source string")
+    styles = spark.createDataFrame([("p", "user"), ("p", "zh"), ("q", "zh")], "profile string, style string")
+    found = lint(rows, styles, spark.createDataFrame([], "profile string, word string, reading string"))
+    assert "InArrow" not in found._jdf.queryExecution().toString()
+    assert sorted((r.code.split(".")[1], r.subject) for r in found.collect()) == [
+        ("duplicate_examples", "p"), ("examples_in_undeclared_styles", "x"), ("few_examples", "p"), ("latin_in_examples", "p"), ("no_examples", "q"), ("style_without_examples", "p/zh"),
+    ]
