@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 SPACES = b" \t\n\r\x0b\x0c"
@@ -48,6 +49,31 @@ def chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int
         yield first, held
 
 
+def stretches(column: pa.Array, rows: int = 256, most: int = 250_000) -> Iterator[tuple[int, list[bytes]]]:
+    """``chunks`` of a column, of which only ``rows`` texts are taken out of Arrow at once: a worker then holds no second copy of a whole batch."""
+    for a in range(0, len(column), rows):
+        for first, part in chunks(column.slice(a, rows).to_pylist(), most):
+            yield a + first, part
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow in a worker that gives back, after each batch and at the end, what Arrow's pool keeps: workers live on from task to task,
+    and beside their executor what they keep counts in full.
+    """
+
+    def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                pa.default_memory_pool().release_unused()
+
+        yield from run(each())
+        pa.default_memory_pool().release_unused()
+
+    return freeing
+
+
 def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all ``docs`` and the first word of each document (one more entry at the end)."""
     global _POWERS

@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm._text import freed
+
 #: The pattern that splits text into pieces before the merges, with white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = 1 << 29
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
                 out = [part.column(0), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(map(codec.decode, ids), pa.string())] * decoded, names=["doc_id", "ids"] + ["decoded"] * decoded)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decoded)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freed(run), "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -173,7 +175,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(freed(run), "doc_id long, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._store import store
+from sparkloom.llm._text import freed
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -100,7 +101,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
         return pa.table({"lang": [t.column("lang")[0].as_py()], "part": pa.array([t.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     known = labelled.filter("lang IS NOT NULL").select("text", F.col("lang").cast("string"))
-    return known.mapInArrow(count, "lang string, part int, keys binary, counts binary").groupBy("lang", "part").applyInArrow(add, "lang string, part int, counts binary")
+    return known.mapInArrow(freed(count), "lang string, part int, keys binary, counts binary").groupBy("lang", "part").applyInArrow(add, "lang string, part int, counts binary")
 
 
 def train(labelled: DataFrame, alpha: float = 0.5, max_labels: int = 500) -> Model:
@@ -180,7 +181,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
                     else:
                         yield pa.RecordBatch.from_arrays([*kept, pa.array(label, pa.string()), pa.array(best), pa.array(over)], names=[*names, *state])
 
-        return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double" if last else f"{kinds}, {state[0]} string, {state[1]} double, {state[2]} double")
+        return rows.mapInArrow(freed(run), f"{kinds}, lang_pred string, score double" if last else f"{kinds}, {state[0]} string, {state[1]} double, {state[2]} double")
 
     rows = docs.select(*names)
     every = [first, *model.more]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._store import drop, hold, release, store
-from sparkloom.llm._text import chunks, mix, powers, shingles
+from sparkloom.llm._text import freed, mix, powers, shingles, stretches
 from sparkloom.llm.components import connected
 
 U = np.uint64
@@ -65,7 +65,7 @@ def sketch(docs: DataFrame, k: int, bits: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for first, part in chunks(batch.column(1).to_pylist()):
+            for first, part in stretches(batch.column(1)):
                 n, both, bands, sig = [], [], [], []
                 for x in shingles(part, k):
                     low = minima(x)
@@ -76,7 +76,7 @@ def sketch(docs: DataFrame, k: int, bits: int = 2) -> DataFrame:
                 columns = [ids.slice(first, len(part)), pa.array(n, pa.int64()), _longs([d for d, _ in both]), _longs([d for _, d in both]), _lists(bands), _lists(sig)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "bands", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freed(run), "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -84,13 +84,13 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in chunks(batch.column(0).to_pylist()):
+            for _, part in stretches(batch.column(0)):
                 sets = list(shingles(part, k))
                 both = [digests(x) for x in sets]
                 columns = [pa.array([len(x) for x in sets], pa.int64()), _longs([d for d, _ in both]), _longs([d for _, d in both]), pa.array([x.tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["n", "d1", "d2", "members"])
 
-    return docs.select("text").mapInArrow(run, "n long, d1 long, d2 long, members binary")
+    return docs.select("text").mapInArrow(freed(run), "n long, d1 long, d2 long, members binary")
 
 
 def estimate(a: Column, b: Column, bits: int = 2) -> Column:
@@ -133,7 +133,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mark = F.broadcast if small else lambda t: t
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y")).join(mark(pairs), "b")
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")).join(mark(pairs.select("a").distinct()), "a", "left_semi")
-    return right.join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").filter("linked").select("a", "b").distinct()
+    return right.join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(freed(run), "a long, b long, linked boolean").filter("linked").select("a", "b").distinct()
 
 
 def _agree(sig: np.ndarray, others: np.ndarray) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._store import hold, release, store
+from sparkloom.llm._text import freed
 
 LINE = re.compile(r"[^\n\r]+")
 #: A sentence end: closing marks after . ! ? and before white space, or the full stops of scripts without spaces.
@@ -18,6 +19,8 @@ END = re.compile(r"[.!?]+[\"')\]»”]*(?=\s)|[。！？｡]+[”’」』）]*"
 #: Characters of scripts without spaces between words; two of them count as a word.
 SOLID = re.compile("[\u0e00-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 UNIT_WORDS, LINE_WORDS = 5, 3
+#: So many rows of a batch are taken out of Arrow at once.
+STRETCH = 256
 
 
 def units(text: str) -> list[tuple[int, int, bytes, int]]:
@@ -64,15 +67,15 @@ def unit_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, STRETCH):
+                part = batch.slice(first, STRETCH)
                 found = [(i, h, *u) for i, t, h in zip(*(c.to_pylist() for c in part.columns), strict=True) for u in units(t or "")]
                 i, h, a, b, d, n = zip(*found, strict=True) if found else ((),) * 6
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
                 columns = [pa.array(c, kind) for c, kind in zip((i, h, a, b, d, n), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "start", "until", "digest", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, start int, until int, digest binary, words int")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(freed(run), "doc_id long, text_hash long, start int, until int, digest binary, words int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -124,16 +127,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("until", pa.int32())]))
         for batch in batches:
-            texts, removed, gone = batch.column(place).to_pylist(), [], []
-            for i, s in enumerate(batch.column(len(names)).to_pylist()):
-                cut, merged, n = _cut(texts[i], s) if s and texts[i] is not None else (texts[i], [], 0)
-                texts[i] = cut
-                removed.append(merged)
-                gone.append(n)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("until", pa.int32())]))
-            columns = [pa.array(texts, pa.string()) if j == place else batch.column(j) for j in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind), pa.array(gone, pa.int64())], names=[*names, "removed", "n_removed_chars"])
+            for first in range(0, batch.num_rows, STRETCH):
+                part = batch.slice(first, STRETCH)
+                texts, removed, gone = part.column(place).to_pylist(), [], []
+                for i, s in enumerate(part.column(len(names)).to_pylist()):
+                    cut, merged, n = _cut(texts[i], s) if s and texts[i] is not None else (texts[i], [], 0)
+                    texts[i] = cut
+                    removed.append(merged)
+                    gone.append(n)
+                columns = [pa.array(texts, pa.string()) if j == place else part.column(j) for j in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind), pa.array(gone, pa.int64())], names=[*names, "removed", "n_removed_chars"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return joined.mapInArrow(run, f"{shape}, removed array<struct<start: int, until: int>>, n_removed_chars long")
+    return joined.mapInArrow(freed(run), f"{shape}, removed array<struct<start: int, until: int>>, n_removed_chars long")

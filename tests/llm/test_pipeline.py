@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import bpe, language, queries, substring_dedup
+from sparkloom.llm import _text, bpe, language, queries, substring_dedup
 
 
 def known_language(docs):
@@ -105,3 +106,20 @@ def test_pipeline_equals_plain_python(spark, sf):
         ids = codec.encode(d["text"] or "")
         want[d["doc_id"], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((d["text"] or "").encode()).hexdigest()] += 1
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+
+
+def test_workers_give_back_what_arrow_keeps():
+    texts = pa.array([f"{i} " + "some words of a text " * 50 for i in range(4000)])
+
+    def run(batches):
+        for batch in batches:
+            for _, part in _text.stretches(batch.column(0)):
+                assert len(part) <= 256 and sum(map(len, part)) <= 250_000
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], names=["text"])
+
+    calls = []
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(1)})()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(_text.pa, "default_memory_pool", lambda: pool)
+        out = list(_text.freed(run)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])] * 2)))
+    assert len(calls) == 3 and [x.decode() for b in out for x in b.column(0).to_pylist()] == texts.to_pylist() * 2
