@@ -67,6 +67,23 @@ def test_gap_is_passed_by_the_watermark(spark, walks):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_sessions_share_calls_to_the_state(spark):
+    """Sessions of a bucket, one without a name and some that end long before others, keep their own walks, ends and timers."""
+    import datetime
+
+    rng, start, rules = random.Random(6), datetime.datetime(2024, 1, 1), E.Rules(silence_ms=100, least_ms=60)
+    rows, sessions = [], [None, *map(str, range(11))]
+    for k, name in enumerate(sessions):
+        rows += [(s, i, x, b, start + datetime.timedelta(seconds=i + 300 * (k % 3)), (i + 300 * (k % 3) + rng.randint(0, 20)) // 90) for s, i, x, b in frames(name, 60 + k, k)]
+    table = spark.createDataFrame([*rows, ("", 0, -90.0, False, start.replace(year=2025), 90)], FRAMES)
+    as_rows = lambda x: sorted((str(r.session), r.seq, r.event, r.frames) for r in x.collect())
+    want = as_rows(E.endpoints(table.filter("delivery < 90"), rules))
+    assert len({r[0] for r in want}) > 6
+    for buckets in (1, 5):
+        got = delivered(table, "delivery", lambda s: E.stream_endpoints(s, rules, idle_ms=120_000, event_time="at", delay="25 seconds", buckets=buckets))  # noqa: B023
+        assert as_rows(got) == want
+
+
 def test_idle_session_is_flushed_by_a_timer(spark, tmp_path):
     import json
 
