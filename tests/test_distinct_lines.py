@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import bigrams
 from sparkloom.operators import dialogue as D
 from sparkloom.operators.quality import lint
+from sparkloom.sources import tables as T
 
 
 def plain(rows, limit=1 << 30):
@@ -89,3 +92,35 @@ def test_rules_of_lint_walk_the_lines_once(spark):
     assert sorted((r.code.split(".")[1], r.subject) for r in found.collect()) == [
         ("duplicate_examples", "p"), ("examples_in_undeclared_styles", "x"), ("few_examples", "p"), ("latin_in_examples", "p"), ("no_examples", "q"), ("style_without_examples", "p/zh"),
     ]
+
+
+def test_packs_are_bounded_by_their_grams_and_written_in_small_row_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("g", i, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))) for i in range(60)]
+    table = spark.createDataFrame(rows, "g string, at int, text string").repartition(1)
+    packs = D._line_packs(D._lines(table, "g", "at", "text").withColumn("kept", F.lit(False)), 1000, 2000).collect()
+    counts = [np.frombuffer(bytes(p.n), D.COUNTS) for p in packs]
+    assert sum(map(len, counts)) == 60 and all(n.sum() <= 2000 for n in counts)  # a pack of 60 lines held 24,000 before
+    monkeypatch.setitem(T.LARGE_ROWS, "parquet.block.size", 1 << 20)
+    large = spark.range(12, numPartitions=1).select("id", F.expr("transform(sequence(1, 50000), x -> rand())").alias("x"))
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in T.written(large, large_rows=True).inputFiles()]
+    assert sum(groups) > 3
+
+
+def test_packs_meet_by_stretches_as_whole_sets_do():
+    rng = random.Random(3)
+
+    def pack(sets):
+        codes, at = np.unique(np.concatenate([np.array(sorted(x), np.int64) for x in sets]), return_inverse=True)
+        return np.array([len(x) for x in sets], D.COUNTS), codes, at.astype(np.uint16)
+
+    near = 0
+    for _ in range(200):
+        base = [set(rng.sample(range(rng.choice([30, 200, 2000])), rng.randint(1, 30))) for _ in range(4)]
+        sides = [[rng.choice(base) ^ set(rng.sample(range(2000), rng.choice([0, 0, 1, 2, 3]))) or {1} for _ in range(rng.randint(1, 12))] for _ in "ab"]
+        for met in (sides, sides[:1]):
+            want = [[185 * len(x & y) >= 85 * (len(x) + len(y)) for y in met[-1]] for x in met[0]]
+            for stretches in ((1, 2, 3), (4,), D.STRETCHES):
+                assert D._near([pack(x) for x in met], stretches).tolist() == want
+            near += sum(map(sum, want))
+    assert near > 500
