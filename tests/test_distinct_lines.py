@@ -124,3 +124,19 @@ def test_packs_meet_by_stretches_as_whole_sets_do():
                 assert D._near([pack(x) for x in met], stretches).tolist() == want
             near += sum(map(sum, want))
     assert near > 500
+
+
+def test_smaller_parts_leave_the_sessions_own_choices(spark):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    own = [spark.conf.get(x) for x in names]
+    try:
+        for first, second, want in (("1m", "64m", [1 << 20, 1 << 23]), ("128MB", "4194304b", [1 << 25, 1 << 22])):
+            spark.conf.set(names[0], first)
+            spark.conf.set(names[1], second)
+            kept = [spark.conf.get(x) for x in names]
+            with T.small_parts(spark, 1 << 25, 1 << 23):
+                assert [int(spark.conf.get(x).rstrip("b")) for x in names] == want
+            assert [spark.conf.get(x) for x in names] == kept
+    finally:
+        for name, value in zip(names, own, strict=True):
+            spark.conf.set(name, value)
