@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import uuid
 import wave
 from collections.abc import Iterable, Iterator
@@ -93,11 +94,20 @@ class Staged(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
+#: So often is a folder deleted that tasks still write to.
+TRIES = 20
+
+
 class KaldiWriter(DataSourceWriter):
-    """Each task writes its lines beside the result, a file for each (file, split) it has; only the commit of the whole job moves them into place."""
+    """Each task writes its lines beside the result, a file for each (file, split) it has; only the commit of the whole job moves them into place.
+
+    The driver makes the folder for that, once; a task makes only its own inside it, so one that is still being killed leaves nothing after an abort.
+    """
 
     def __init__(self, root: str, overwrite: bool):
         self.root, self.overwrite, self.staging = root.rstrip("/"), overwrite, f"_staged-{uuid.uuid4().hex}"
+        system, base = fs.FileSystem.from_uri(self.root)
+        system.create_dir(f"{base}/{self.staging}", recursive=True)
 
     def write(self, rows: Iterator[Row]) -> Staged:
         system, base = fs.FileSystem.from_uri(self.root)
@@ -108,7 +118,8 @@ class KaldiWriter(DataSourceWriter):
             place = (row["split"], row["file"])
             if place not in open_files:
                 staged = f"{base}/{self.staging}/{task.partitionId()}-{task.attemptNumber()}/{len(open_files)}"
-                system.create_dir(staged.rpartition("/")[0], recursive=True)
+                if not open_files:
+                    system.create_dir(staged.rpartition("/")[0], recursive=False)
                 open_files[place] = system.open_output_stream(staged)
                 moves.append((staged, f"{base}/{row['split']}/{row['file']}/part-{task.partitionId():05d}"))
             open_files[place].write(row["line"].encode() + b"\n")
@@ -137,8 +148,15 @@ class KaldiWriter(DataSourceWriter):
         self._clear(*fs.FileSystem.from_uri(self.root))
 
     def _clear(self, system: fs.FileSystem, base: str) -> None:
-        if system.get_file_info(f"{base}/{self.staging}").type == fs.FileType.Directory:
-            system.delete_dir(f"{base}/{self.staging}")
+        for turn in range(TRIES):
+            if system.get_file_info(f"{base}/{self.staging}").type != fs.FileType.Directory:
+                return
+            try:
+                system.delete_dir(f"{base}/{self.staging}")
+            except OSError:  # a task made its folder meanwhile
+                if turn == TRIES - 1:
+                    raise
+                time.sleep(0.1)
 
 
 class Kaldi(DataSource):

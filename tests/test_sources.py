@@ -4,6 +4,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sparkloom.sources import files as R
@@ -61,6 +62,18 @@ def test_kaldi_writer(spark, tmp_path):
     assert list(lines_of(folder).values()) == [["s2"]]
 
 
+def test_kaldi_task_that_ends_after_the_abort_leaves_nothing(tmp_path, monkeypatch):
+    task = type("Task", (), {"partitionId": lambda self: 0, "attemptNumber": lambda self: 0})()
+    monkeypatch.setattr(formats.TaskContext, "get", lambda: task)
+    rows = [Row(split="train", file=f, line="s1") for f in ("text", "wav.scp")]
+    writer = formats.KaldiWriter(str(tmp_path / "out"), False)
+    assert len(writer.write(iter(rows)).moves) == 2
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter(rows))
+    assert os.listdir(tmp_path / "out") == []
+
+
 def test_ingest_that_fails_between_write_and_entry(spark, tmp_path, monkeypatch):
     ledger = Ledger(spark, str(tmp_path / "pages"))
     take = taken_in(ledger, "path", lambda new: new.select("path", F.sha2("content", 256).alias("sha256")), "path string, sha256 string")
